@@ -59,10 +59,12 @@ def _ledger_out(df: DataFrame, extra=()) -> DataFrame:
 
 # ---------------------------------------------------------------- parties
 
-_KIND = (F.when((F.col("type") == "customer") & (F.col("source_table") == "ORDER_PAYMENT"), F.lit("C"))
-         .when(F.col("type") == "supplier", F.lit("S"))
-         .when((F.col("type") == "payroll") & (F.col("source_table") == "PERSON_PAYMENT"), F.lit("P"))
-         .when((F.col("type") == "transport") & (F.col("source_table") == "ITEM_TRANSFER"), F.lit("T")))
+def _kind():
+    """Which lookup resolves the row's party (NULL: resolved in place)."""
+    return (F.when((F.col("type") == "customer") & (F.col("source_table") == "ORDER_PAYMENT"), F.lit("C"))
+            .when(F.col("type") == "supplier", F.lit("S"))
+            .when((F.col("type") == "payroll") & (F.col("source_table") == "PERSON_PAYMENT"), F.lit("P"))
+            .when((F.col("type") == "transport") & (F.col("source_table") == "ITEM_TRANSFER"), F.lit("T")))
 
 
 def party_lookup(c: Catalog) -> DataFrame:
@@ -92,7 +94,7 @@ def ledger_party(c: Catalog, ledger: DataFrame | None = None) -> DataFrame:
     join: NULL keys would all hash to one shuffle partition, so they are
     split off and unioned back with their party computed in place."""
     led = c.transaction_log if ledger is None else ledger
-    led = led.withColumn("kind", _KIND)
+    led = led.withColumn("kind", _kind())
     keyed = led.filter(F.col("kind").isNotNull())
     lk = party_lookup(c)
     joined = keyed.join(lk, (keyed.kind == lk.kind) & (keyed.source_id == lk.src_id), "left").drop(lk.kind)
