@@ -31,11 +31,18 @@ BUSINESS_TABLES = (
 class Catalog:
     """Lazy name -> DataFrame map. Attribute and item access both work."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialized: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialized: str | None = None,
+                 frames: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.materialized = materialized
-        self._frames: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = dict(frames or {})
+
+    @classmethod
+    def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Catalog":
+        """A catalog over given DataFrames (small literal fixtures in tests);
+        names not given are derived as usual from those that are."""
+        return cls(spark, "", frames=frames)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
