@@ -100,7 +100,8 @@ def ledger_reversals(ledger: DataFrame, installments: DataFrame, expenses: DataF
     gone_exp = exp_rows.join(alive, exp_rows.source_id == alive.k, "left_anti").select(
         F.lit("EXPENSE").alias("g_table"), F.col("source_id").alias("g_id"))
     gone = gone_inst.unionByName(gone_exp).distinct()
-    return ledger.join(gone, (ledger.source_table == gone.g_table) & (ledger.source_id == gone.g_id), "left_anti")
+    kept = ledger.join(gone, (ledger.source_table == gone.g_table) & (ledger.source_id == gone.g_id), "left_anti")
+    return kept.select(*LEDGER_COLS)
 
 
 def ledger_expense_sync(ledger: DataFrame, expenses: DataFrame) -> DataFrame:

@@ -70,9 +70,25 @@ class Catalog:
         return self.spark.sql(VIEWS[name], **frames)
 
 
+def materialize_catalog(spark: SparkSession, sf_dir: str, out_dir: str) -> Catalog:
+    """Derive the 18 ERP tables once and store them as Parquet under
+    ``out_dir`` (the ledger partitioned by month through ``sink_ledger``);
+    returns a catalog that scans the stored tables."""
+    from ledgerloom.operators.ledger import sink_ledger
+
+    src = Catalog(spark, sf_dir)
+    for name in BUSINESS_TABLES:
+        path = os.path.join(out_dir, name)
+        if name == "transaction_log":
+            sink_ledger(src[name], path)
+        else:
+            src[name].write.mode("overwrite").parquet(path)
+    return Catalog(spark, sf_dir, materialized=out_dir)
+
+
 def load_catalog(spark: SparkSession, sf_dir: str, materialized: str | None = None) -> Catalog:
     """Fixed-schema scan of the ERP tables (op ``load_catalog``)."""
     return Catalog(spark, sf_dir, materialized)
 
 
-__all__ = ["Catalog", "load_catalog", "BUSINESS_TABLES", "RAW_SCHEMAS"]
+__all__ = ["Catalog", "load_catalog", "materialize_catalog", "BUSINESS_TABLES", "RAW_SCHEMAS"]

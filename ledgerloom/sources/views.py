@@ -197,7 +197,8 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
     "image_replacement": """SELECT id AS item_id, 1 AS pos, '  /new/' || CAST(id AS STRING) || '.jpg ' AS url FROM {item} WHERE id%7=0
  UNION ALL SELECT id, 2, '   ' FROM {item} WHERE id%7=0""",
 
-    "ledger_dirty": """SELECT * FROM {transaction_log} WHERE id%97<>0
+    "ledger_dirty": """SELECT id, transaction_date, type, direction, amount, location_id, source_table, source_id, notes
+ FROM {transaction_log} WHERE id%97<>0
  UNION ALL SELECT id+6, transaction_date, type, direction, amount, location_id, source_table, source_id, notes
  FROM {transaction_log} WHERE source_table='SHIPMENT_INSTALLMENT' AND source_id%101=0
  UNION ALL SELECT id+2, transaction_date, type, direction, amount, location_id, source_table, 999999999, notes
