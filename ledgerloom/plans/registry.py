@@ -11,7 +11,7 @@ from importlib import import_module
 
 from ledgerloom.plans.oracle import with_views
 
-_MODULES = ("supply", "sales", "stock", "people", "finance", "windows", "ledger", "rules", "validation",
+_MODULES = ("catalog", "supply", "sales", "stock", "people", "finance", "windows", "ledger", "rules", "validation",
             "streams")
 
 
