@@ -172,11 +172,19 @@ ENUMS = (
 
 def enum_audit(c: Catalog) -> DataFrame:
     """Rows breaking an enum constraint, counted per table and column
-    (NULLs pass a CHECK, as in SQL). One narrow scan per checked column."""
-    parts = [c[t].filter(F.col(col).isNotNull() & ~F.col(col).isin(*allowed))
-             .agg(F.count(F.lit(1)).alias("bad_rows"))
-             .select(F.lit(t).alias("table_name"), F.lit(col).alias("column_name"), "bad_rows")
-             for t, col, allowed in ENUMS]
+    (NULLs pass a CHECK, as in SQL). One scan per table: every checked
+    column of that table is a conditional count in the same aggregate,
+    then the counts are unpivoted to rows."""
+    by_table: dict[str, list] = {}
+    for t, col, allowed in ENUMS:
+        by_table.setdefault(t, []).append((col, allowed))
+    parts = []
+    for t, cols in by_table.items():
+        counts = [F.count_if(F.col(col).isNotNull() & ~F.col(col).isin(*allowed)).alias(f"bad_{i}")
+                  for i, (col, allowed) in enumerate(cols)]
+        rows = F.array(*[F.struct(F.lit(col).alias("column_name"), F.col(f"bad_{i}").alias("bad_rows"))
+                         for i, (col, _) in enumerate(cols)])
+        parts.append(c[t].agg(*counts).select(F.lit(t).alias("table_name"), F.inline(rows)))
     return union_all(parts)
 
 
@@ -210,16 +218,33 @@ FOREIGN_KEYS = (
 
 
 def fk_audit(c: Catalog) -> DataFrame:
-    """Orphans per foreign key: ``left_anti`` of the non-NULL child values
-    against the parent keys (a semi-join, no fan-out), counted."""
-    parts = []
-    for t, col, ref in FOREIGN_KEYS:
-        child = c[t].select(F.col(col).alias("k")).filter(F.col("k").isNotNull())
-        parent = c[ref].select(F.col("id").alias("pk"))
-        orphans = child.join(parent, child.k == parent.pk, "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
-            F.lit(t).alias("table_name"), F.lit(col).alias("column_name"), F.lit(ref).alias("ref_table"), "orphans"))
-    return union_all(parts)
+    """Orphans per foreign key, with one scan per child table and one join.
+
+    Each child table is read once and unpivoted into (fk, key) references;
+    references are pre-aggregated to (fk, key) -> multiplicity (map-side
+    partial aggregation, so a key used by a third of all rows becomes one
+    row per task, then one row), anti-joined against the distinct parent
+    keys (both sides unique per key: no skew), and the multiplicities of
+    orphan keys are summed. FKs without orphans report 0."""
+    by_child: dict[str, list] = {}
+    for i, (t, col, ref) in enumerate(FOREIGN_KEYS):
+        by_child.setdefault(t, []).append((i, col, ref))
+    refs = []
+    for t, fks in by_child.items():
+        arr = F.array(*[F.struct(F.lit(i).alias("fk"), F.lit(ref).alias("ref"), F.col(col).cast("bigint").alias("key"))
+                        for i, col, ref in fks])
+        refs.append(c[t].select(F.inline(arr)))
+    keyed = (union_all(refs).filter(F.col("key").isNotNull())
+             .groupBy("fk", "ref", "key").agg(F.count(F.lit(1)).alias("n")))
+    parents = union_all([c[r].select(F.lit(r).alias("p_ref"), F.col("id").cast("bigint").alias("p_key"))
+                         for r in dict.fromkeys(ref for _, _, ref in FOREIGN_KEYS)]).distinct()
+    orphans = (keyed.join(parents, (keyed.ref == parents.p_ref) & (keyed.key == parents.p_key), "left_anti")
+               .groupBy("fk").agg(F.sum("n").alias("orphans")))
+    fks = c.spark.createDataFrame([(i, t, col, ref) for i, (t, col, ref) in enumerate(FOREIGN_KEYS)],
+                                  "fk int, table_name string, column_name string, ref_table string")
+    return (fks.join(orphans, "fk", "left")
+            .select("table_name", "column_name", "ref_table",
+                    F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans")))
 
 
 def parse_payloads(raw: DataFrame, schema: str = "k BIGINT") -> DataFrame:

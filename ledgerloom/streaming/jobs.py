@@ -6,11 +6,10 @@
 * :func:`ledger_dedup_stream` - one posting per (source_table, source_id)
   (fixes Q9) with ``dropDuplicatesWithinWatermark``; manual rows have no
   source and bypass it.
-* :func:`order_fulfilment_stream` - running paid per order (a streaming
-  aggregate: partial sums map-side, state per order), emitting an order once
-  when it reaches its price. The ``foreachBatch`` sink anti-joins against
-  what it already wrote, so a replayed batch after a failure emits nothing
-  twice.
+* :func:`order_fulfilment_stream` - running paid per order kept in state
+  (``applyInPandasWithState``), emitting an order once when it reaches its
+  price; the emitted flag lives in state, so nothing is emitted twice and
+  the sink never has to be re-read.
 
 All state lives in the checkpoint folder, so a lost executor or a restarted
 driver resumes from the last committed batch.
@@ -71,39 +70,52 @@ def ledger_dedup_stream(ledger: DataFrame, watermark: str = "3 days") -> DataFra
     return sourced.unionByName(manual).drop("ts")
 
 
-def order_running_paid(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Stream-static join for the price, then a streaming sum per order."""
-    o = orders.filter(F.col("status") == "active").select(F.col("id").alias("o_id"), "agreed_price")
-    j = payments.join(o, payments.order_id == o.o_id)
-    return j.groupBy("order_id").agg(F.sum("amount").alias("paid"), F.max("agreed_price").alias("agreed_price"))
-
-
-def fulfilment_writer(out_path: str):
-    """``foreachBatch`` sink: append orders that reached their price and were
-    not emitted before (anti-join on the sink's own output)."""
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        reached = batch.filter(F.col("paid") >= F.col("agreed_price")).select(
-            "order_id", money("paid").alias("paid_at_emission"), money("agreed_price").alias("agreed_price"),
-            F.lit(epoch_id).cast("bigint").alias("epoch"))
-        try:
-            done = spark.read.parquet(out_path).select(F.col("order_id").alias("done_id"))
-            reached = reached.join(done, reached.order_id == done.done_id, "left_anti")
-        except Exception as exc:  # first batch: nothing written yet
-            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-                raise
-        reached.write.mode("append").parquet(out_path)
-    return write
-
-
-def run_available(df: DataFrame, checkpoint: str, *, path: str | None = None, foreach_batch=None,
-                  mode: str = "append", timeout_s: int = 600) -> None:
-    """Process everything that has arrived, then stop (``availableNow``)."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if foreach_batch is not None:
-        q = w.foreachBatch(foreach_batch).start()
-    else:
-        q = w.format("parquet").option("path", path).start()
+FULFIL_OUT = "order_id bigint, paid_cents bigint, price_cents bigint"
+FULFIL_STATE = "paid_cents bigint, emitted boolean"
+
+
+def _fulfil_step(key, batches, state):
+    """Per order and micro-batch: add this batch's payments (exact cents) to
+    the running total kept in state; emit the order the first time the
+    total reaches its price. The emitted flag stays in state, so later
+    payments never emit it again. Batches arrive as an iterator of Arrow
+    chunks, so a hot order costs bounded memory."""
+    import pandas as pd
+
+    paid, emitted = (state.get if state.exists else (0, False))
+    price = None
+    for pdf in batches:
+        if len(pdf):
+            paid += int(pdf["amount_cents"].sum())
+            price = int(pdf["price_cents"].iloc[0])
+    reached = price is not None and paid >= price and not emitted
+    state.update((paid, emitted or reached))
+    if reached:
+        yield pd.DataFrame({"order_id": [int(key[0])], "paid_cents": [paid], "price_cents": [price]})
+
+
+def order_fulfilment_stream(payments: DataFrame, orders: DataFrame) -> DataFrame:
+    """Stream-static join for the price (active orders only), then a
+    stateful step per order that emits each order once, when its running
+    paid first reaches the agreed price."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    o = orders.filter(F.col("status") == "active").select(
+        F.col("id").alias("o_id"), (F.col("agreed_price") * 100).cast("bigint").alias("price_cents"))
+    j = payments.join(o, payments.order_id == o.o_id).select(
+        "order_id", (F.col("amount") * 100).cast("bigint").alias("amount_cents"), "price_cents")
+    out = j.groupBy("order_id").applyInPandasWithState(
+        _fulfil_step, FULFIL_OUT, FULFIL_STATE, "append", GroupStateTimeout.NoTimeout)
+    return out.select("order_id", (F.col("paid_cents") / 100).alias("paid_at_emission"),
+                      (F.col("price_cents") / 100).alias("agreed_price"))
+
+
+def run_available(df: DataFrame, checkpoint: str, path: str, timeout_s: int = 600) -> None:
+    """Process everything that has arrived, then stop (``availableNow``).
+    The file sink commits each batch through its metadata log, so output
+    is exactly-once across restarts."""
+    q = (df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).format("parquet").option("path", path).start())
     if not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"streaming query did not finish within {timeout_s}s")

@@ -39,7 +39,7 @@ def _ledger_arrivals(ledger: DataFrame, late: DataFrame | None = None) -> list[D
         parts.append(led.filter(cond))
     if late is not None:
         parts.append(late.select(*cols))
-    sentinel = led.limit(1).select(
+    sentinel = led.sparkSession.range(1).select(
         F.lit(-1).cast("bigint").alias("id"), F.lit(SENTINEL).alias("transaction_date"),
         F.lit("customer").alias("type"), F.lit("inflow").alias("direction"),
         F.lit(0).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("bigint").alias("location_id"),
@@ -49,16 +49,13 @@ def _ledger_arrivals(ledger: DataFrame, late: DataFrame | None = None) -> list[D
     return parts
 
 
-def _replay(spark, arrivals: list[DataFrame], build, name: str, **sink) -> str:
+def _replay(spark, arrivals: list[DataFrame], build, name: str) -> str:
     base = _run_dir(spark, name)
     landing, ck, out = f"{base}/in", f"{base}/ck", f"{base}/out"
     for part in arrivals:
         part.write.mode("append").parquet(landing)
         stream = build(landing)
-        if "foreach" in sink:
-            jobs.run_available(stream, ck, foreach_batch=sink["foreach"](out), mode=sink.get("mode", "update"))
-        else:
-            jobs.run_available(stream, ck, path=out)
+        jobs.run_available(stream, ck, path=out)
     return out
 
 
@@ -92,6 +89,6 @@ def stream_order_fulfilment(c, payments: DataFrame | None = None) -> DataFrame:
     arrivals = [p.filter(F.col("id") % 4 == k) for k in range(4)]
     orders = c.sales_order
     out = _replay(spark, arrivals,
-                  lambda path: jobs.order_running_paid(jobs.read_stream(spark, path, jobs.PAYMENT_SCHEMA), orders),
-                  "fulfil", foreach=jobs.fulfilment_writer, mode="update")
+                  lambda path: jobs.order_fulfilment_stream(jobs.read_stream(spark, path, jobs.PAYMENT_SCHEMA), orders),
+                  "fulfil")
     return spark.read.parquet(out).select("order_id", "agreed_price")
