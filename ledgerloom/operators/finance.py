@@ -203,8 +203,8 @@ def gallery_pnl(c: Catalog, date_from, date_to, location_id: int | None = None)
 
 
 def obligations_totals(c: Catalog, as_of=None) -> DataFrame:
-    """Three totals in one row; each side is a global aggregate (one row),
-    so the cross join is of single rows."""
+    """Three totals in one row, each a global aggregate evaluated once as a
+    scalar subquery."""
     si = c.shipment_installment.filter(F.col("is_paid") == 0)
     sh = c.shipment.select(F.col("id").alias("sh_id"), "supplier_id")
     su = c.erp_supplier.select(F.col("id").alias("s_id"))
@@ -217,9 +217,9 @@ def obligations_totals(c: Catalog, as_of=None) -> DataFrame:
     cust = (o.join(cu, o.customer_id == cu.c_id).join(p, o.id == p.order_id, "left")
             .withColumn("out", F.col("agreed_price") - zero_if_null("total_paid")).filter(F.col("out") > 0)
             .agg(zero_if_null(F.sum("out")).alias("k")))
-    return sup.crossJoin(staff).crossJoin(cust).select(
-        money("s").alias("total_owed_to_suppliers"), money("p").alias("total_owed_to_staff"),
-        money("k").alias("total_owed_by_customers"))
+    return c.spark.range(1).select(
+        money(sup.scalar()).alias("total_owed_to_suppliers"), money(staff.scalar()).alias("total_owed_to_staff"),
+        money(cust.scalar()).alias("total_owed_by_customers"))
 
 
 def dashboard_overview(c: Catalog) -> DataFrame:
@@ -263,8 +263,8 @@ def target_progress(c: Catalog, target: int, year: int, month: int) -> DataFrame
 # ---------------------------------------------------------------- lists
 
 def expense_list(c: Catalog, category=None, location_id=None, date_from=None, date_to=None) -> DataFrame:
-    """Expenses with location name and the total of the filtered rows
-    (a one-row aggregate attached to every row)."""
+    """Expenses with location name and the total of the filtered rows (a
+    global aggregate attached as a scalar subquery)."""
     e = c.expense
     if category:
         e = e.filter(F.col("category") == category)
@@ -279,7 +279,7 @@ def expense_list(c: Catalog, category=None, location_id=None, date_from=None, da
     rows = e.join(lo, e.location_id == lo.l_id, "left").select(
         "id", "description", money("amount").alias("amount"), "expense_date", "category", "location_id",
         "paid_by_person_id", "location_name")
-    return rows.crossJoin(F.broadcast(total)).orderBy(F.col("expense_date").desc(), "id")
+    return rows.withColumn("total", total.scalar()).orderBy(F.col("expense_date").desc(), "id")
 
 
 def expense_categories(c: Catalog) -> DataFrame:
@@ -310,7 +310,7 @@ def transaction_search(c: Catalog, type_=None, direction=None, location_id=None,
     count = led.agg(F.count(F.lit(1)).alias("total_count"))
     page_rows = (led.orderBy(F.col("transaction_date").desc(), F.col("id").desc())
                  .offset((max(int(page), 1) - 1) * per_page).limit(per_page))
-    return _ledger_out(_with_location_name(c, page_rows), ["location_name"]).crossJoin(F.broadcast(count))
+    return _ledger_out(_with_location_name(c, page_rows), ["location_name"]).withColumn("total_count", count.scalar())
 
 
 def transaction_page_keyset(c: Catalog, last_date, last_id: int, per_page: int = 50, **filters) -> DataFrame:
