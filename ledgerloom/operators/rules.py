@@ -117,6 +117,22 @@ def installment_expand(shipments: DataFrame, date_received: DataFrame) -> DataFr
                     F.coalesce(F.col("inst.paid_date"), F.when(paid, F.col("date_received"))).alias("paid_date"))
 
 
+def shipment_form_payloads(forms: DataFrame) -> DataFrame:
+    """The new-shipment form: an initial payment > 0 becomes the payload's
+    only instalment, paid, due and paid on the receipt date; otherwise the
+    payload has no instalments."""
+    inst = F.struct(F.lit(None).cast("bigint").alias("inst_key"), F.col("initial_payment").alias("amount"),
+                    F.col("date_received").alias("due_date"), F.lit("true").alias("is_paid_raw"),
+                    F.col("date_received").alias("paid_date"))
+    empty = F.array().cast(T_INSTALLMENTS)
+    return forms.select("shipment_id", F.when(F.col("initial_payment") > 0, F.array(inst)).otherwise(empty)
+                        .alias("installments"))
+
+
+T_INSTALLMENTS = ("array<struct<inst_key:bigint,amount:decimal(18,2),due_date:date,is_paid_raw:string,"
+                  "paid_date:date>>")
+
+
 def installment_payloads(batch: DataFrame) -> DataFrame:
     """Fixture adapter: one payload per shipment with its instalments nested
     (a shipment has at most one instalment per line number, so the array is

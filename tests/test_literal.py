@@ -187,3 +187,11 @@ def test_sales_search_keeps_like_wildcards(spark, frames):
                                     "order_payment": frames("order_payment", [])})
     assert sorted(r.id for r in sales.order_search(c, "b_c").collect()) == [1, 2]   # LIKE: '_' is a wildcard
     assert [r.id for r in sales.sales_list_filter(c, query=" B_C ").collect()] == [1]  # contains: literal
+
+
+def test_shipment_form_initial_payment(spark, frames):
+    forms = spark.createDataFrame([(1, DAY, D("500.00")), (2, DAY, D("0.00"))],
+                                  "shipment_id bigint, date_received date, initial_payment decimal(18,2)")
+    sh = frames("shipment", [(1, 1, DAY, D("900.00"), "unpaid"), (2, 1, DAY, D("10.00"), "unpaid")])
+    got = rules.installment_expand(rules.shipment_form_payloads(forms), sh).collect()
+    assert [(r.shipment_id, r.amount, r.is_paid, r.paid_date) for r in got] == [(1, 500.0, 1, DAY)]
