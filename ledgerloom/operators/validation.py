@@ -137,17 +137,22 @@ SUPPLIER_STATUS = ("active", "inactive")
 
 
 def validate_contacts(c: Catalog) -> DataFrame:
+    """Contact forms. Supplier: name 3-100 characters, phone pattern, address
+    <= 200 and notes <= 500 (when the table has them), status enum.
+    Customer: name, phone pattern."""
     s = c.erp_supplier
     n = F.length(F.coalesce(F.col("name"), F.lit("")))
-    r1 = first_reason(
-        (missing_text("name"), "name_required"), ((n < 3) | (n > 100), "name_length"),
-        (missing_text("phone"), "phone_required"), (~F.col("phone").rlike(SUPPLIER_PHONE), "phone_format"),
-        (~F.coalesce(F.col("status"), F.lit("active")).isin(*SUPPLIER_STATUS), "status_invalid"))
+    checks = [(missing_text("name"), "name_required"), ((n < 3) | (n > 100), "name_length"),
+              (missing_text("phone"), "phone_required"), (~F.col("phone").rlike(SUPPLIER_PHONE), "phone_format")]
+    for col, limit in (("address", 200), ("notes", 500)):
+        if col in s.columns:
+            checks.append((F.length(F.coalesce(F.col(col), F.lit(""))) > limit, f"{col}_length"))
+    checks.append((~F.coalesce(F.col("status"), F.lit("active")).isin(*SUPPLIER_STATUS), "status_invalid"))
+    r1 = first_reason(*checks)
     cu = c.erp_customer
     r2 = first_reason(
         (missing_text("name"), "name_required"), (missing_text("phone"), "phone_required"),
-        (~F.col("phone").rlike(CUSTOMER_PHONE), "phone_format"),
-        (F.length(F.coalesce(F.col("notes"), F.lit(""))) > 500, "notes_length"))
+        (~F.col("phone").rlike(CUSTOMER_PHONE), "phone_format"))
     return _result(s, r1, "supplier").unionByName(_result(cu, r2, "customer"))
 
 

@@ -75,8 +75,8 @@ CONTACTS = res(f"""SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_req
  WHEN COALESCE(status, 'active') NOT IN ('active', 'inactive') THEN 'status_invalid' END AS reason FROM erp_supplier""",
                "supplier") + " UNION ALL " + res(f"""SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_required'
  WHEN phone IS NULL OR phone = '' THEN 'phone_required'
- WHEN NOT regexp_full_match(phone, '{op.CUSTOMER_PHONE.strip('^$')}') THEN 'phone_format'
- WHEN length(COALESCE(notes, '')) > 500 THEN 'notes_length' END AS reason FROM erp_customer""", "customer")
+ WHEN NOT regexp_full_match(phone, '{op.CUSTOMER_PHONE.strip('^$')}') THEN 'phone_format' END AS reason
+ FROM erp_customer""", "customer")
 
 ENUM = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{col}' AS column_name, COUNT(*) AS bad_rows FROM {t} "
