@@ -94,12 +94,25 @@ def _fulfil_step(key, batches, state):
         yield pd.DataFrame({"order_id": [int(key[0])], "paid_cents": [paid], "price_cents": [price]})
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's functions by value, so the Python workers run
+    the state step without having ``ledgerloom`` installed (executors on a
+    cluster, or a driver started from another directory)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def order_fulfilment_stream(payments: DataFrame, orders: DataFrame) -> DataFrame:
     """Stream-static join for the price (active orders only), then a
     stateful step per order that emits each order once, when its running
     paid first reaches the agreed price."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    _ship_by_value()
+
     o = orders.filter(F.col("status") == "active").select(
         F.col("id").alias("o_id"), (F.col("agreed_price") * 100).cast("bigint").alias("price_cents"))
     j = payments.join(o, payments.order_id == o.o_id).select(
