@@ -1,6 +1,4 @@
-"""Registered ledger and finance queries. The party oracle restates the
-reference's per-row lookups as correlated subqueries (DuckDB decorrelates
-them), independently of the Spark plan's single keyed join."""
+"""Registered ledger and finance queries with their DuckDB oracle SQL."""
 
 from ledgerloom.operators import finance as op
 from ledgerloom.plans.oracle import M, Z
@@ -8,17 +6,25 @@ from ledgerloom.plans.params import (AS_OF, EMPTY_MONTH, GALLERY_ID, EMPTY_YEAR,
                                      STAFF_MONTH, STAFF_TO, STAFF_YEAR, TARGET, TRADE_FROM, TRADE_MONTH, TRADE_TO,
                                      TRADE_YEAR)
 
-PARTY = """CASE
- WHEN t.type = 'customer' AND t.source_table = 'ORDER_PAYMENT' THEN COALESCE((SELECT c.name FROM order_payment op
-   JOIN sales_order o ON o.id = op.order_id JOIN erp_customer c ON c.id = o.customer_id WHERE op.id = t.source_id), 'Unknown customer')
- WHEN t.type = 'supplier' THEN COALESCE((SELECT s.name FROM shipment_installment si JOIN shipment sh ON sh.id = si.shipment_id
-   JOIN erp_supplier s ON s.id = sh.supplier_id WHERE si.id = t.source_id), 'Unknown supplier')
- WHEN t.type = 'payroll' AND t.source_table = 'PERSON_PAYMENT' THEN COALESCE((SELECT p.name FROM person_payment pp
-   JOIN person p ON p.id = pp.person_id WHERE pp.id = t.source_id), 'Unknown person')
- WHEN t.type = 'transport' AND t.source_table = 'ITEM_TRANSFER' THEN COALESCE((SELECT p.name FROM item_transfer it
-   LEFT JOIN person p ON p.id = it.transporter_id WHERE it.id = t.source_id), 'Transport')
- WHEN t.type = 'expense' THEN COALESCE(NULLIF(t.notes, ''), 'Expense')
- ELSE '' END"""
+# Party oracle: the source kind of each row picks one of four keyed lookups,
+# each a LEFT JOIN (independent of the Spark plan's single union lookup).
+KIND = """CASE WHEN t.type = 'customer' AND t.source_table = 'ORDER_PAYMENT' THEN 'C'
+ WHEN t.type = 'supplier' THEN 'S' WHEN t.type = 'payroll' AND t.source_table = 'PERSON_PAYMENT' THEN 'P'
+ WHEN t.type = 'transport' AND t.source_table = 'ITEM_TRANSFER' THEN 'T' END"""
+
+PARTY_JOINS = """LEFT JOIN (SELECT op.id AS k, cu.name AS nm FROM order_payment op JOIN sales_order so ON so.id = op.order_id
+   JOIN erp_customer cu ON cu.id = so.customer_id) pc ON pc.k = t.source_id AND ({kind}) = 'C'
+ LEFT JOIN (SELECT si.id AS k, su.name AS nm FROM shipment_installment si JOIN shipment sp ON sp.id = si.shipment_id
+   JOIN erp_supplier su ON su.id = sp.supplier_id) ps ON ps.k = t.source_id AND ({kind}) = 'S'
+ LEFT JOIN (SELECT pp.id AS k, pe.name AS nm FROM person_payment pp JOIN person pe ON pe.id = pp.person_id) pr
+   ON pr.k = t.source_id AND ({kind}) = 'P'
+ LEFT JOIN (SELECT it.id AS k, pe.name AS nm FROM item_transfer it LEFT JOIN person pe ON pe.id = it.transporter_id) pt
+   ON pt.k = t.source_id AND ({kind}) = 'T'""".format(kind=KIND)
+
+PARTY = f"""CASE ({KIND})
+ WHEN 'C' THEN COALESCE(pc.nm, 'Unknown customer') WHEN 'S' THEN COALESCE(ps.nm, 'Unknown supplier')
+ WHEN 'P' THEN COALESCE(pr.nm, 'Unknown person') WHEN 'T' THEN COALESCE(pt.nm, 'Transport')
+ ELSE CASE WHEN t.type = 'expense' THEN COALESCE(NULLIF(t.notes, ''), 'Expense') ELSE '' END END"""
 
 
 def rng(a, b, col="transaction_date"):
@@ -37,7 +43,7 @@ def daily(a, b):
 
 def entries_sql(a, b):
     return (f"SELECT t.id, t.direction, t.type, {PARTY} AS party, {M('t.amount')} AS amount, t.source_id, "
-            f"l.name AS location FROM transaction_log t LEFT JOIN location l ON l.id = t.location_id "
+            f"l.name AS location FROM transaction_log t LEFT JOIN location l ON l.id = t.location_id {PARTY_JOINS} "
             f"WHERE {rng(a, b, 't.transaction_date')}")
 
 
@@ -121,7 +127,7 @@ def target(y, m):
 ENTRIES = {
     "ledger_party": (
         lambda c: op.ledger_party(c).select("id", "party"),
-        f"SELECT t.id, {PARTY} AS party FROM transaction_log t"),
+        f"SELECT t.id, {PARTY} AS party FROM transaction_log t {PARTY_JOINS}"),
     "finance_daily": (lambda c: op.finance_daily(c, STAFF_FROM, STAFF_TO), daily(STAFF_FROM, STAFF_TO)),
     "finance_daily_trade": (lambda c: op.finance_daily(c, TRADE_FROM, TRADE_TO), daily(TRADE_FROM, TRADE_TO)),
     "finance_daily_entries": (lambda c: op.finance_daily_entries(c, TRADE_FROM, TRADE_TO),
