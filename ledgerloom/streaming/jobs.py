@@ -51,12 +51,15 @@ def _event_time(df: DataFrame) -> DataFrame:
 
 
 def ledger_daily_stream(ledger: DataFrame, watermark: str = "3 days") -> DataFrame:
-    """Per day: in, out, net. Grouping on the event-time column itself lets
-    append mode finalize (and drop the state of) each day."""
+    """Per day: in, out, net over a 1-day tumbling event-time window; append
+    mode emits a day (and drops its state) once the watermark passes the
+    window's end. The calendar day is a second grouping key: each day falls
+    in exactly one window, and the date stays right whatever the session
+    time zone (the window itself is aligned to UTC)."""
     s = _event_time(ledger).withWatermark("ts", watermark)
     i = F.sum(F.when(F.col("direction") == "inflow", F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
     o = F.sum(F.when(F.col("direction") == "outflow", F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    agg = s.groupBy("ts", "transaction_date").agg(i.alias("i"), o.alias("o"))
+    agg = s.groupBy(F.window("ts", "1 day"), "transaction_date").agg(i.alias("i"), o.alias("o"))
     return agg.select(F.col("transaction_date").alias("date"), money("i").alias("in"), money("o").alias("out"),
                       money(F.col("i") - F.col("o")).alias("net"))
 
