@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import MONEY, conditional_sum, like_contains, money, zero_if_null
+from ledgerloom.functions import conditional_sum, like_contains, money, zero_if_null
 from ledgerloom.operators.people import staff_balances
 from ledgerloom.operators.sales import paid_by_order
 from ledgerloom.sources.catalog import Catalog

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import MONEY, money, zero_if_null
+from ledgerloom.functions import money, zero_if_null
 from ledgerloom.sources.catalog import Catalog
 
 
@@ -241,4 +241,4 @@ def deletable_suppliers(c: Catalog) -> DataFrame:
     return s.join(c.shipment, s.id == c.shipment.supplier_id, "left_anti").select("id", "name")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("F", "DataFrame", "Catalog", "MONEY")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("F", "DataFrame", "Catalog")]
