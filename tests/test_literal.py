@@ -195,3 +195,27 @@ def test_shipment_form_initial_payment(spark, frames):
     sh = frames("shipment", [(1, 1, DAY, D("900.00"), "unpaid"), (2, 1, DAY, D("10.00"), "unpaid")])
     got = rules.installment_expand(rules.shipment_form_payloads(forms), sh).collect()
     assert [(r.shipment_id, r.amount, r.is_paid, r.paid_date) for r in got] == [(1, 500.0, 1, DAY)]
+
+
+def test_nested_point_lookups_match_flat_rows(spark, small_catalog):
+    c = small_catalog
+    sid = c.shipment_installment.select("shipment_id").first()[0]
+    doc = supply.shipment_detail_nested(c, sid).collect()
+    assert len(doc) == 1
+    inst = doc[0].installments
+    flat = supply.shipment_detail(c, sid).collect()
+    assert sorted(i.installment_id for i in inst) == sorted(r.installment_id for r in flat)
+    assert [i.due_date for i in inst] == sorted(i.due_date for i in inst)
+
+    from ledgerloom.operators import stock
+    iid = c.item_part.select("parent_item_id").first()[0]
+    item = stock.item_detail_nested(c, iid).collect()[0]
+    parts = sorted(r.part_item_id for r in c.item_part.filter(F.col("parent_item_id") == iid).collect())
+    imgs = [r.url for r in c.item_image.filter(F.col("item_id") == iid).orderBy("id").collect()]
+    assert item.part_ids == parts and item.images == imgs
+
+
+def test_people_locations_array_form(spark, small_catalog):
+    rows = people.people_locations(small_catalog).collect()
+    assert all(r.location_ids == sorted(r.location_ids) for r in rows)
+    assert any(r.location_ids == [] for r in rows)  # people without a location get []
