@@ -156,8 +156,11 @@ def sink_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
     # Range partitioning on (date, id) splits a hot month over several tasks
     # (hash on tx_month would give one task per month) while each task still
     # writes a contiguous run of dates, i.e. few files per month.
+    # Overwrite replaces only the months present in ``ledger`` (dynamic
+    # partition overwrite): re-posting a month after a failure or a
+    # correction is idempotent and leaves the other months alone.
     (out.repartitionByRange("transaction_date", "id").sortWithinPartitions("transaction_date", "id")
-     .write.mode(mode).partitionBy("tx_month").parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tx_month").parquet(path))
 
 
 def read_ledger(spark, path: str) -> DataFrame:
