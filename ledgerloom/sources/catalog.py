@@ -12,8 +12,6 @@ Two backings:
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.sources.raw import RAW_SCHEMAS, read_raw
@@ -61,9 +59,7 @@ class Catalog:
         if name in RAW_TABLES:
             return read_raw(self.spark, self.sf_dir, name)
         if self.materialized and name in BUSINESS_TABLES:
-            path = os.path.join(self.materialized, name)
-            if os.path.exists(path) or "://" in path:
-                return self.spark.read.parquet(path)
+            return self.spark.read.parquet(f"{self.materialized.rstrip('/')}/{name}")
         if name not in VIEWS:
             raise KeyError(name)
         frames = {dep: self[dep] for dep in dependencies(name)}
@@ -78,7 +74,7 @@ def materialize_catalog(spark: SparkSession, sf_dir: str, out_dir: str) -> Catal
 
     src = Catalog(spark, sf_dir)
     for name in BUSINESS_TABLES:
-        path = os.path.join(out_dir, name)
+        path = f"{out_dir.rstrip('/')}/{name}"
         if name == "transaction_log":
             sink_ledger(src[name], path)
         else:
