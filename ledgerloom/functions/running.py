@@ -1,17 +1,24 @@
 """Skew-tolerant running sums.
 
-A plain ``sum().over(Window.partitionBy(key).orderBy(date, id))`` sends
+A plain ``sum().over(Window.partitionBy(key).orderBy(day, id))`` sends
 every row of a key to one task; a key holding a third of the data would
-serialize the job. ``running_sum`` splits the work by day:
+serialize the job. ``running_sum`` splits each key's ordered rows into
+buckets that follow the order: a (key, day) is one bucket, unless it holds
+more than T rows (T = sqrt of all rows, a scalar subquery in the plan);
+then it is cut into ceil(rows / T) id ranges. So
 
-1. per (key, day) partial sums (``groupBy``: map-side combine);
-2. an exclusive prefix of those day sums per key (a window over at most one
-   row per calendar day of the key, a bound set by the calendar, not by
-   the data);
-3. the running sum inside each (key, day), partitioned by both columns, so
-   a hot key's days are spread across tasks;
+1. per (key, day) row counts and id ranges (``groupBy``, partial
+   aggregation) fix each day's bucket width;
+2. per (key, bucket) partial sums, then an exclusive prefix of the bucket
+   sums per key: a window over at most ``days + rows_of_key / T`` rows;
+3. the running sum inside each (key, bucket) (about T rows when a day was
+   cut), hash-spread over tasks;
 
-and adds (2) to (3). Rows are ordered by ``day`` then ``tiebreak`` columns.
+and (2) + (3) is the running sum. A key holding a third of all rows, on
+one day or spread over years, never puts more than about ``days + sqrt(N)``
+rows in one window partition. The order (day, tiebreak...) must be total
+within a key and end with an integral id. Buckets come from the data, so a
+recomputed task (lost executor) gets the same buckets.
 """
 
 from __future__ import annotations
@@ -20,14 +27,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, key: str, day: str, tiebreak: list[str], value: str, out: str) -> DataFrame:
-    day_tot = df.groupBy(key, day).agg(F.sum(value).alias("_day_sum"))
-    w_days = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = day_tot.select(key, day, F.coalesce(F.sum("_day_sum").over(w_days),
-                                                  F.lit(0).cast(day_tot.schema["_day_sum"].dataType)).alias("_offset"))
-    w_in = (Window.partitionBy(key, day).orderBy(*tiebreak)
+def running_sum(df: DataFrame, key: str, day: str, tiebreak: list[str], value: str, out: str,
+                rows_per_bucket: int | None = None) -> DataFrame:
+    *prefix, last = tiebreak
+    target = (F.lit(float(rows_per_bucket)) if rows_per_bucket else
+              df.agg(F.greatest(F.lit(1.0), F.sqrt(F.count(F.lit(1)))).alias("t")).scalar())
+    days = df.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"), F.min(last).alias("_lo"),
+                                    F.max(last).alias("_hi"))
+    pieces = F.ceil(F.col("_n") / target)
+    days = days.select(key, day, "_lo", F.greatest(F.lit(1.0), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces))
+                       .alias("_width"))
+    d = (df.join(days, [key, day])
+         .withColumn("_b", F.floor((F.col(last) - F.col("_lo")) / F.col("_width")))
+         .drop("_lo", "_width"))
+    bucket = [day, *prefix, "_b"]
+    sums = d.groupBy(key, *bucket).agg(F.sum(value).alias("_bucket_sum"))
+    w_buckets = Window.partitionBy(key).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(sums.schema["_bucket_sum"].dataType)
+    offsets = sums.select(key, *bucket, F.coalesce(F.sum("_bucket_sum").over(w_buckets), zero).alias("_offset"))
+    w_in = (Window.partitionBy(key, *bucket).orderBy(day, *tiebreak)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = df.withColumn("_in_day", F.sum(value).over(w_in))
-    return (inner.join(offsets, [key, day])
-            .withColumn(out, F.col("_offset") + F.col("_in_day"))
-            .drop("_offset", "_in_day"))
+    inner = d.withColumn("_in_bucket", F.sum(value).over(w_in))
+    return (inner.join(offsets, [key, *bucket])
+            .withColumn(out, F.col("_offset") + F.col("_in_bucket"))
+            .drop("_offset", "_in_bucket", "_b"))

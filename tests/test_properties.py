@@ -34,7 +34,8 @@ def test_running_sum_equals_plain_window(spark, rows):
     data = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=d), i, Decimal(v).scaleb(-2))
             for i, (k, d, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "k int, d date, id bigint, v decimal(18,2)")
-    got = {r.id: r.run for r in running_sum(df, "k", "d", ["id"], "v", "run").collect()}
     w = Window.partitionBy("k").orderBy("d", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = {r.id: r.run for r in df.withColumn("run", F.sum("v").over(w)).collect()}
-    assert got == want
+    for per_bucket in (None, 1 << 20, 3, 1):  # sqrt rule, one bucket per day, small buckets, one row each
+        got = {r.id: r.run for r in running_sum(df, "k", "d", ["id"], "v", "run", per_bucket).collect()}
+        assert got == want
