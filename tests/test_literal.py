@@ -20,7 +20,7 @@ def _base(frames):
     return {
         "location": frames("location", [(1, "Gallery A", "gallery"), (2, "Store B", "warehouse")]),
         "erp_customer": frames("erp_customer", [(1, "Mona", "01112223334", None)]),
-        "erp_supplier": frames("erp_supplier", [(1, "Kayan Wood", "01234567890", "active")]),
+        "erp_supplier": frames("erp_supplier", [(1, "Oakline Wood", "01234567890", "active")]),
     }
 
 
@@ -165,7 +165,7 @@ def test_ledger_party_cascade(spark, frames):
                                     "sales_order": frames("sales_order", []),
                                     "person_payment": frames("person_payment", [])})
     got = {r.id: r.party for r in finance.ledger_party(c).collect()}
-    assert got == {1: "Expense", 2: "", 3: "Kayan Wood", 4: "Transport"}
+    assert got == {1: "Expense", 2: "", 3: "Oakline Wood", 4: "Transport"}
 
 
 def test_installment_expand_paid_flags(spark, frames):
