@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import conditional_sum, like_contains, money, zero_if_null
 from ledgerloom.operators.people import staff_balances
 from ledgerloom.operators.sales import paid_by_order
+from ledgerloom import fixed as fx
 from ledgerloom.sources.catalog import Catalog
 
 LEDGER_COLS = ("id", "transaction_date", "type", "direction", "amount", "location_id", "source_table",
                "source_id", "notes")
-COST_TYPES = ("supplier", "customer", "payroll", "transport", "expense")  # the type enum
+COST_TYPES = fx.LEDGER_TYPES
 
 
 def _d(x):
@@ -61,10 +62,10 @@ def _ledger_out(df: DataFrame, extra=()) -> DataFrame:
 
 def _kind():
     """Which lookup resolves the row's party (NULL: resolved in place)."""
-    return (F.when((F.col("type") == "customer") & (F.col("source_table") == "ORDER_PAYMENT"), F.lit("C"))
+    return (F.when((F.col("type") == "customer") & (F.col("source_table") == fx.ORDER_PAYMENT), F.lit("C"))
             .when(F.col("type") == "supplier", F.lit("S"))
-            .when((F.col("type") == "payroll") & (F.col("source_table") == "PERSON_PAYMENT"), F.lit("P"))
-            .when((F.col("type") == "transport") & (F.col("source_table") == "ITEM_TRANSFER"), F.lit("T")))
+            .when((F.col("type") == "payroll") & (F.col("source_table") == fx.PERSON_PAYMENT), F.lit("P"))
+            .when((F.col("type") == "transport") & (F.col("source_table") == fx.ITEM_TRANSFER), F.lit("T")))
 
 
 def party_lookup(c: Catalog) -> DataFrame:
@@ -98,14 +99,14 @@ def ledger_party(c: Catalog, ledger: DataFrame | None = None) -> DataFrame:
     keyed = led.filter(F.col("kind").isNotNull())
     lk = party_lookup(c)
     joined = keyed.join(lk, (keyed.kind == lk.kind) & (keyed.source_id == lk.src_id), "left").drop(lk.kind)
-    fallback = (F.when(F.col("kind") == "C", F.lit("Unknown customer"))
-                .when(F.col("kind") == "S", F.lit("Unknown supplier"))
-                .when(F.col("kind") == "P", F.lit("Unknown person")).otherwise(F.lit("Transport")))
+    fallback = (F.when(F.col("kind") == "C", F.lit(fx.UNKNOWN_CUSTOMER))
+                .when(F.col("kind") == "S", F.lit(fx.UNKNOWN_SUPPLIER))
+                .when(F.col("kind") == "P", F.lit(fx.UNKNOWN_PERSON)).otherwise(F.lit(fx.TRANSPORT)))
     joined = joined.withColumn("party", F.coalesce("party_name", fallback)).drop("party_name", "src_id")
     rest = (led.filter(F.col("kind").isNull())
             .withColumn("party", F.when(F.col("type") == "expense",
                                         F.when(F.coalesce(F.col("notes"), F.lit("")) != "", F.col("notes"))
-                                        .otherwise(F.lit("Expense"))).otherwise(F.lit(""))))
+                                        .otherwise(F.lit(fx.EXPENSE_PARTY))).otherwise(F.lit(""))))
     return joined.unionByName(rest).drop("kind")
 
 
@@ -236,7 +237,7 @@ def dashboard_expenses(c: Catalog, date_to, date_from="1970-01-01") -> DataFrame
             .select("category", money("t").alias("total")).orderBy(F.col("total").desc(), "category"))
 
 
-def dashboard_month_inflow(c: Catalog, as_of, target: int = 50000) -> DataFrame:
+def dashboard_month_inflow(c: Catalog, as_of, target: int = fx.DASHBOARD_TARGET) -> DataFrame:
     """Inflow since the first of ``as_of``'s month, no upper bound (Q24)."""
     start = _d(as_of).replace(day=1)
     led = ledger_range(c.transaction_log, start).filter(F.col("direction") == "inflow")
@@ -300,12 +301,12 @@ def _search_filter(led, type_=None, direction=None, location_id=None, date_from=
 
 
 def transaction_search(c: Catalog, type_=None, direction=None, location_id=None, date_from=None, date_to=None,
-                       search=None, page: int = 1, per_page: int = 50) -> DataFrame:
+                       search=None, page: int = 1, per_page: int = fx.PAGE_DEFAULT) -> DataFrame:
     """One page of the filtered ledger, newest first, with the total count.
     ``orderBy().offset().limit()`` plans as a top-k (each partition keeps
     offset+limit rows), so it is for small pages; deep pages should use
     :func:`transaction_page_keyset`."""
-    per_page = min(int(per_page), 200)
+    per_page = min(int(per_page), fx.PAGE_CAP)
     led = _search_filter(c.transaction_log, type_, direction, location_id, date_from, date_to, search)
     count = led.agg(F.count(F.lit(1)).alias("total_count"))
     page_rows = (led.orderBy(F.col("transaction_date").desc(), F.col("id").desc())
@@ -313,23 +314,24 @@ def transaction_search(c: Catalog, type_=None, direction=None, location_id=None,
     return _ledger_out(_with_location_name(c, page_rows), ["location_name"]).withColumn("total_count", count.scalar())
 
 
-def transaction_page_keyset(c: Catalog, last_date, last_id: int, per_page: int = 50, **filters) -> DataFrame:
+def transaction_page_keyset(c: Catalog, last_date, last_id: int, per_page: int = fx.PAGE_DEFAULT,
+                            **filters) -> DataFrame:
     """The page after ``(last_date, last_id)`` in (date desc, id desc) order:
     a tuple predicate (pushed to the scan) + top-k, cost independent of depth."""
     led = _search_filter(c.transaction_log, **filters)
     d = F.lit(_d(last_date))
     led = led.filter((F.col("transaction_date") < d) | ((F.col("transaction_date") == d) & (F.col("id") < last_id)))
-    page_rows = led.orderBy(F.col("transaction_date").desc(), F.col("id").desc()).limit(min(int(per_page), 200))
+    page_rows = led.orderBy(F.col("transaction_date").desc(), F.col("id").desc()).limit(min(int(per_page), fx.PAGE_CAP))
     return _ledger_out(_with_location_name(c, page_rows), ["location_name"])
 
 
-def recent_transactions(c: Catalog, n: int = 10) -> DataFrame:
+def recent_transactions(c: Catalog, n: int = fx.RECENT_ROWS) -> DataFrame:
     """Latest n ledger rows (TakeOrderedAndProject) with location name."""
     top = c.transaction_log.orderBy(F.col("transaction_date").desc(), F.col("id").desc()).limit(n)
     return _ledger_out(_with_location_name(c, top), ["location_name"])
 
 
-def inflow_outflow_split(c: Catalog, n: int = 10) -> DataFrame:
+def inflow_outflow_split(c: Catalog, n: int = fx.RECENT_ROWS) -> DataFrame:
     """The dashboard's recent rows split into the inflow and outflow lists."""
     r = recent_transactions(c, n)
     return r.filter(F.col("direction").isin("inflow", "outflow")).select(

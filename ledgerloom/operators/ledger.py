@@ -11,16 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import missing, union_all
+from ledgerloom import fixed as fx
 from ledgerloom.sources.catalog import Catalog
 
 LEDGER_COLS = ("id", "transaction_date", "type", "direction", "amount", "location_id", "source_table",
                "source_id", "notes")
 
-# Ledger rule slots (id = source id * 8 + slot) and source tags.
-RULE_SLOT = {"ORDER_PAYMENT": 0, "SHIPMENT_INSTALLMENT": 1, "PERSON_PAYMENT": 2, "ITEM_TRANSFER": 3,
-             "EXPENSE": 4, "MANUAL": 5}
-
-
 def _row(id_, date, type_, direction, amount, loc, table, src, notes) -> list:
     return [id_.alias("id"), date.alias("transaction_date"), F.lit(type_).alias("type"),
             F.lit(direction).alias("direction"), amount.cast("decimal(18,2)").alias("amount"),
@@ -46,22 +42,22 @@ def post_ledger(c: Catalog, installments: DataFrame | None = None, manual: DataF
     o = c.sales_order.select(F.col("id").alias("o_id"), F.col("location_id").alias("o_loc"))
     cust = op_.join(o, op_.order_id == o.o_id).select(*_row(
         F.col("id") * 8, F.col("payment_date"), "customer", "inflow", F.col("amount"), F.col("o_loc"),
-        "ORDER_PAYMENT", F.col("id"), n))
+        fx.ORDER_PAYMENT, F.col("id"), n))
     si = (c.shipment_installment if installments is None else installments).filter(F.col("is_paid") == 1)
     sl = shipment_location(c)
     supp = si.join(sl, si.shipment_id == sl.loc_shipment_id, "left").select(*_row(
         F.col("id") * 8 + 1, F.col("paid_date"), "supplier", "outflow", F.col("amount"), F.col("loc"),
-        "SHIPMENT_INSTALLMENT", F.col("id"),
-        F.concat(F.lit("Payment for shipment #"), F.col("shipment_id").cast("string"))))
+        fx.SHIPMENT_INSTALLMENT, F.col("id"),
+        F.concat(F.lit(fx.SHIPMENT_PAYMENT_NOTE), F.col("shipment_id").cast("string"))))
     pay = c.person_payment.select(*_row(
         F.col("id") * 8 + 2, F.col("payment_date"), "payroll", "outflow", F.col("amount"), n,
-        "PERSON_PAYMENT", F.col("id"), n))
+        fx.PERSON_PAYMENT, F.col("id"), n))
     trn = c.item_transfer.filter(F.col("transport_cost") > 0).select(*_row(
         F.col("id") * 8 + 3, F.col("transfer_date"), "transport", "outflow", F.col("transport_cost"),
-        F.col("to_location_id"), "ITEM_TRANSFER", F.col("id"), n))
+        F.col("to_location_id"), fx.ITEM_TRANSFER, F.col("id"), n))
     exp = c.expense.select(*_row(
         F.col("id") * 8 + 4, F.col("expense_date"), "expense", "outflow", F.col("amount"), F.col("location_id"),
-        "EXPENSE", F.col("id"), F.col("description")))
+        fx.EXPENSE, F.col("id"), F.col("description")))
     parts = [cust, supp, pay, trn, exp]
     if manual is not None:
         parts.append(manual.select(*LEDGER_COLS))
@@ -92,13 +88,13 @@ def ledger_reversals(ledger: DataFrame, installments: DataFrame, expenses: DataF
     of deleted expenses: one ``left_anti`` on (source_table, source_id)
     against the set of sources that must disappear."""
     still_paid = installments.filter(F.col("is_paid") == 1).select(F.col("id").alias("k"))
-    inst_rows = ledger.filter(F.col("source_table") == "SHIPMENT_INSTALLMENT")
+    inst_rows = ledger.filter(F.col("source_table") == fx.SHIPMENT_INSTALLMENT)
     gone_inst = inst_rows.join(still_paid, inst_rows.source_id == still_paid.k, "left_anti").select(
-        F.lit("SHIPMENT_INSTALLMENT").alias("g_table"), F.col("source_id").alias("g_id"))
-    exp_rows = ledger.filter(F.col("source_table") == "EXPENSE")
+        F.lit(fx.SHIPMENT_INSTALLMENT).alias("g_table"), F.col("source_id").alias("g_id"))
+    exp_rows = ledger.filter(F.col("source_table") == fx.EXPENSE)
     alive = expenses.select(F.col("id").alias("k"))
     gone_exp = exp_rows.join(alive, exp_rows.source_id == alive.k, "left_anti").select(
-        F.lit("EXPENSE").alias("g_table"), F.col("source_id").alias("g_id"))
+        F.lit(fx.EXPENSE).alias("g_table"), F.col("source_id").alias("g_id"))
     gone = gone_inst.unionByName(gone_exp).distinct()
     kept = ledger.join(gone, (ledger.source_table == gone.g_table) & (ledger.source_id == gone.g_id), "left_anti")
     return kept.select(*LEDGER_COLS)
@@ -110,7 +106,7 @@ def ledger_expense_sync(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
     e = expenses.select(F.col("id").alias("e_id"), F.col("amount").alias("e_amount"),
                         F.col("expense_date").alias("e_date"), F.col("description").alias("e_desc"),
                         F.col("location_id").alias("e_loc"))
-    j = ledger.join(e, (ledger.source_table == "EXPENSE") & (ledger.source_id == e.e_id), "left")
+    j = ledger.join(e, (ledger.source_table == fx.EXPENSE) & (ledger.source_id == e.e_id), "left")
     hit = F.col("e_id").isNotNull()
     return j.select(
         "id", F.when(hit, F.col("e_date")).otherwise(F.col("transaction_date")).alias("transaction_date"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, zero_if_null
+from ledgerloom import fixed as fx
 from ledgerloom.sources.catalog import Catalog
 
 
@@ -187,7 +188,8 @@ def top_supplier_by_paid(c: Catalog) -> DataFrame:
 def supplier_codes(c: Catalog) -> DataFrame:
     """``#SPL-0001``: zero-padded to four digits, longer ids never cut."""
     sid = F.col("id").cast("string")
-    code = F.concat(F.lit("#SPL-"), F.when(F.length(sid) < 4, F.lpad(sid, 4, "0")).otherwise(sid))
+    n = fx.SUPPLIER_CODE_DIGITS
+    code = F.concat(F.lit(fx.SUPPLIER_CODE_PREFIX), F.when(F.length(sid) < n, F.lpad(sid, n, "0")).otherwise(sid))
     return c.erp_supplier.select("id", code.alias("code"))
 
 
@@ -219,7 +221,7 @@ def supplier_history(c: Catalog, supplier_id: int | None = None) -> DataFrame:
     pays = (inst.join(sh.select(F.col("id").alias("shipment_id"), "supplier_id"), "shipment_id")
             .select("supplier_id", "id", F.col("paid_date").alias("date"), F.lit("payment").alias("type"),
                     money("amount").alias("amount"),
-                    F.concat(F.lit("For shipment #"), F.col("shipment_id").cast("string")).alias("notes")))
+                    F.concat(F.lit(fx.SHIPMENT_HISTORY_NOTE), F.col("shipment_id").cast("string")).alias("notes")))
     return ships.unionByName(pays).orderBy("supplier_id", F.col("date").desc(), "type", "id")
 
 

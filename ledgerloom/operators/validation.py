@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import blank, first_reason, missing, missing_text, union_all
+from ledgerloom.fixed import CUSTOMER_PHONE, ENUMS, FOREIGN_KEYS, SUPPLIER_PHONE, SUPPLIER_STATUS
 from ledgerloom.sources.catalog import Catalog
 
 
@@ -130,12 +131,6 @@ def validate_expenses(c: Catalog) -> DataFrame:
     return _result(e, reason, extra=[(~missing("paid_by_person_id")).cast("int").alias("is_reimbursement")])
 
 
-# The contact form rules of the client.
-SUPPLIER_PHONE = r"^01[0125][0-9]{8}$"
-CUSTOMER_PHONE = r"^[0-9+]+$"
-SUPPLIER_STATUS = ("active", "inactive")
-
-
 def validate_contacts(c: Catalog) -> DataFrame:
     """Contact forms. Supplier: name 3-100 characters, phone pattern, address
     <= 200 and notes <= 500 (when the table has them), status enum.
@@ -156,25 +151,6 @@ def validate_contacts(c: Catalog) -> DataFrame:
     return _result(s, r1, "supplier").unionByName(_result(cu, r2, "customer"))
 
 
-# The CHECK (... IN ...) enums of the schema (table, column, allowed).
-ENUMS = (
-    ("location", "type", ("gallery", "warehouse")),
-    ("erp_supplier", "status", ("active", "inactive")),
-    ("shipment", "payment_status", ("unpaid", "partial", "settled")),
-    ("item", "status", ("on_display", "in_storage", "reserved", "sold", "in_transit")),
-    ("sales_order", "status", ("active", "backorder", "fulfilled", "cancelled")),
-    ("person", "role", ("accountant", "sales", "transporter", "cleaner", "worker", "other")),
-    ("people_batch", "employment_type", ("permanent", "temporary", "daily_hire")),
-    ("people_batch", "payment_type", ("monthly_salary", "daily_wage", "per_task", "mixed")),
-    ("work_log", "log_type", ("day_worked", "task", "trip", "month_confirmed")),
-    ("person_payment", "method", ("cash", "bank_transfer")),
-    ("expense", "category", ("packaging", "cleaning", "tools", "repair", "other")),
-    ("expense_batch", "category", ("packaging", "cleaning", "tools", "repair", "other")),
-    ("transaction_log", "type", ("supplier", "customer", "payroll", "transport", "expense")),
-    ("transaction_log", "direction", ("inflow", "outflow")),
-)
-
-
 def enum_audit(c: Catalog) -> DataFrame:
     """Rows breaking an enum constraint, counted per table and column
     (NULLs pass a CHECK, as in SQL). One scan per table: every checked
@@ -193,35 +169,6 @@ def enum_audit(c: Catalog) -> DataFrame:
     return union_all(parts)
 
 
-# Foreign keys of the schema (table, column, referenced table).
-FOREIGN_KEYS = (
-    ("shipment", "supplier_id", "erp_supplier"),
-    ("shipment_installment", "shipment_id", "shipment"),
-    ("item", "shipment_id", "shipment"),
-    ("item", "location_id", "location"),
-    ("item_part", "parent_item_id", "item"),
-    ("item_part", "part_item_id", "item"),
-    ("item_transfer", "item_id", "item"),
-    ("item_transfer", "from_location_id", "location"),
-    ("item_transfer", "to_location_id", "location"),
-    ("item_transfer", "transporter_id", "person"),
-    ("sales_order", "customer_id", "erp_customer"),
-    ("sales_order", "item_id", "item"),
-    ("sales_order", "location_id", "location"),
-    ("order_payment", "order_id", "sales_order"),
-    ("person_location", "person_id", "person"),
-    ("person_location", "location_id", "location"),
-    ("work_log", "person_id", "person"),
-    ("work_log", "location_id", "location"),
-    ("person_payment", "person_id", "person"),
-    ("expense", "location_id", "location"),
-    ("expense", "paid_by_person_id", "person"),
-    ("transaction_log", "location_id", "location"),
-    ("inventory", "location_id", "location"),
-    ("item_image", "item_id", "item"),
-)
-
-
 def fk_audit(c: Catalog) -> DataFrame:
     """Orphans per foreign key, with one scan per child table and one join.
 

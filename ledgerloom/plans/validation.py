@@ -1,5 +1,6 @@
 """Registered validation and audit jobs; each oracle is an ordered CASE."""
 
+from ledgerloom import fixed as fx
 from ledgerloom.operators import validation as op
 
 ORDERS = """SELECT b.id, CASE
@@ -71,22 +72,22 @@ EXPENSES = res("""SELECT id, paid_by_person_id, CASE WHEN description IS NULL OR
 CONTACTS = res(f"""SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_required'
  WHEN length(name) < 3 OR length(name) > 100 THEN 'name_length'
  WHEN phone IS NULL OR phone = '' THEN 'phone_required'
- WHEN NOT regexp_full_match(phone, '{op.SUPPLIER_PHONE.strip('^$')}') THEN 'phone_format'
+ WHEN NOT regexp_full_match(phone, '{fx.SUPPLIER_PHONE.strip('^$')}') THEN 'phone_format'
  WHEN COALESCE(status, 'active') NOT IN ('active', 'inactive') THEN 'status_invalid' END AS reason FROM erp_supplier""",
                "supplier") + " UNION ALL " + res(f"""SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_required'
  WHEN phone IS NULL OR phone = '' THEN 'phone_required'
- WHEN NOT regexp_full_match(phone, '{op.CUSTOMER_PHONE.strip('^$')}') THEN 'phone_format' END AS reason
+ WHEN NOT regexp_full_match(phone, '{fx.CUSTOMER_PHONE.strip('^$')}') THEN 'phone_format' END AS reason
  FROM erp_customer""", "customer")
 
 ENUM = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{col}' AS column_name, COUNT(*) AS bad_rows FROM {t} "
     f"WHERE {col} IS NOT NULL AND {col} NOT IN ({', '.join(repr(v) for v in allowed)})"
-    for t, col, allowed in op.ENUMS)
+    for t, col, allowed in fx.ENUMS)
 
 FK = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{col}' AS column_name, '{ref}' AS ref_table, COUNT(*) AS orphans FROM {t} c "
     f"WHERE c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {ref} p WHERE p.id = c.{col})"
-    for t, col, ref in op.FOREIGN_KEYS)
+    for t, col, ref in fx.FOREIGN_KEYS)
 
 ENTRIES = {
     "validate_orders": (lambda c: op.validate_orders(c), res(ORDERS)),
