@@ -106,16 +106,15 @@ def search(where, page, per_page):
 
 KEYSET_DATE, KEYSET_ID = TRADE_TO, 80000000
 
-OBLIG = f"""SELECT {M('s')} AS total_owed_to_suppliers, {M('p')} AS total_owed_to_staff, {M('k')} AS total_owed_by_customers
-FROM (SELECT {Z('SUM(si.amount)')} AS s FROM shipment_installment si JOIN shipment sh ON sh.id = si.shipment_id
-      JOIN erp_supplier su ON su.id = sh.supplier_id WHERE si.is_paid = 0) a,
-     (SELECT {Z('SUM(outstanding)')} AS p FROM (SELECT {Z('w.earned')} - {Z('pp.paid')} AS outstanding FROM person pe
-      LEFT JOIN (SELECT person_id, SUM(amount_earned) AS earned FROM work_log GROUP BY person_id) w ON w.person_id = pe.id
-      LEFT JOIN (SELECT person_id, SUM(amount) AS paid FROM person_payment GROUP BY person_id) pp ON pp.person_id = pe.id) z
-      WHERE outstanding > 0) b,
-     (SELECT {Z('SUM(o.agreed_price - ' + Z('p.paid') + ')')} AS k FROM sales_order o JOIN erp_customer c ON c.id = o.customer_id
-      LEFT JOIN (SELECT order_id, SUM(amount) AS paid FROM order_payment GROUP BY order_id) p ON p.order_id = o.id
-      WHERE o.status NOT IN ('cancelled') AND o.agreed_price - {Z('p.paid')} > 0) d"""
+OBLIG = f"""SELECT {M(Z('(SELECT SUM(i.amount) FROM shipment_installment i WHERE i.is_paid = 0 AND EXISTS '
+                      '(SELECT 1 FROM shipment y JOIN erp_supplier u ON u.id = y.supplier_id WHERE y.id = i.shipment_id))'))}
+ AS total_owed_to_suppliers,
+ {M(Z('(SELECT SUM(b) FROM (SELECT ' + Z('(SELECT SUM(w.amount_earned) FROM work_log w WHERE w.person_id = pe.id)')
+      + ' - ' + Z('(SELECT SUM(q.amount) FROM person_payment q WHERE q.person_id = pe.id)')
+      + ' AS b FROM person pe) z WHERE b > 0)'))} AS total_owed_to_staff,
+ {M(Z('(SELECT SUM(r) FROM (SELECT o.agreed_price - ' + Z('(SELECT SUM(op.amount) FROM order_payment op WHERE op.order_id = o.id)')
+      + ' AS r FROM sales_order o WHERE o.status <> \'cancelled\' AND EXISTS (SELECT 1 FROM erp_customer c WHERE c.id = o.customer_id)) z '
+      'WHERE r > 0)'))} AS total_owed_by_customers"""
 
 
 def target(y, m):
