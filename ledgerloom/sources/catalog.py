@@ -26,6 +26,19 @@ BUSINESS_TABLES = (
 )
 
 
+# Fact tables and the (date, id) order their files are written in.
+CLUSTER_BY = {
+    "sales_order": ("order_date", "id"),
+    "order_payment": ("payment_date", "id"),
+    "shipment": ("date_received", "id"),
+    "shipment_installment": ("due_date", "id"),
+    "item_transfer": ("transfer_date", "id"),
+    "work_log": ("log_date", "id"),
+    "person_payment": ("payment_date", "id"),
+    "expense": ("expense_date", "id"),
+}
+
+
 class Catalog:
     """Lazy name -> DataFrame map. Attribute and item access both work."""
 
@@ -75,10 +88,16 @@ def materialize_catalog(spark: SparkSession, sf_dir: str, out_dir: str) -> Catal
     src = Catalog(spark, sf_dir)
     for name in BUSINESS_TABLES:
         path = f"{out_dir.rstrip('/')}/{name}"
+        df = src[name]
         if name == "transaction_log":
-            sink_ledger(src[name], path)
-        else:
-            src[name].write.mode("overwrite").parquet(path)
+            sink_ledger(df, path)
+            continue
+        if name in CLUSTER_BY:
+            # files clustered on (date, id): date-range filters skip row
+            # groups through Parquet min/max statistics; the id splits a hot
+            # date over several tasks
+            df = df.repartitionByRange(*CLUSTER_BY[name]).sortWithinPartitions(*CLUSTER_BY[name])
+        df.write.mode("overwrite").parquet(path)
     return Catalog(spark, sf_dir, materialized=out_dir)
 
 
