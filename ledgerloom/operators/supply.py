@@ -168,7 +168,11 @@ def shipment_paid_pct(c: Catalog) -> DataFrame:
 
 
 def shipments_total_debt(c: Catalog) -> DataFrame:
+    """Sum of declared minus paid over the shipments list (which only shows
+    shipments of known suppliers)."""
     sh = shipments_with_paid(c)
+    known = c.erp_supplier.select(F.col("id").alias("s_id"))
+    sh = sh.join(known, sh.supplier_id == known.s_id, "left_semi")
     return sh.agg(money(zero_if_null(F.sum("remaining"))).alias("total_debt"))
 
 

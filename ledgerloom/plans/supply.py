@@ -66,7 +66,8 @@ FROM shipment sh LEFT JOIN {PAID_BY_SHIPMENT} p ON p.shipment_id = sh.id"""),
     "shipments_total_debt": (
         lambda c: op.shipments_total_debt(c),
         f"SELECT {M(Z('SUM(sh.declared_value - ' + Z('p.total_paid') + ')'))} AS total_debt "
-        f"FROM shipment sh LEFT JOIN {PAID_BY_SHIPMENT} p ON p.shipment_id = sh.id"),
+        f"FROM shipment sh LEFT JOIN {PAID_BY_SHIPMENT} p ON p.shipment_id = sh.id "
+        "WHERE sh.supplier_id IN (SELECT id FROM erp_supplier)"),
     "suppliers_total_debt": (
         lambda c: op.suppliers_total_debt(c),
         f"SELECT {M(Z('SUM(declared - paid)'))} AS total_debt FROM ({SUPPLIER_TOTALS}) t"),
