@@ -3,8 +3,7 @@ own ledger derivation; the others restate each rule in SQL."""
 
 from __future__ import annotations
 
-import hashlib
-import os
+import uuid
 
 from ledgerloom.operators import finance as fin
 from ledgerloom.operators import ledger as op
@@ -42,12 +41,11 @@ def _expenses_left(c):
 
 
 def _sink_roundtrip(c):
-    """Write the ledger partitioned by month into the session's checkpoint
-    folder, read it back and select one month: the plan prunes to one
-    ``tx_month`` directory."""
+    """Write the ledger partitioned by month into a fresh folder under the
+    session's checkpoint folder, read it back and select one month: the
+    plan prunes to one ``tx_month`` directory."""
     root = ensure_checkpoint_dir(c.spark)
-    tag = hashlib.sha1(os.path.abspath(c.sf_dir).encode()).hexdigest()[:12]
-    path = f"{root.rstrip('/')}/ledger-{tag}"
+    path = f"{root.rstrip('/')}/ledger-{uuid.uuid4().hex[:12]}"
     op.sink_ledger(c.transaction_log, path)
     led = op.read_ledger(c.spark, path)
     return edge(fin.ledger_range(led, *fin.month_bounds(TRADE_YEAR, TRADE_MONTH)).select(*op.LEDGER_COLS))
