@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import conditional_sum, like_contains, money, zero_if_null
+from ledgerloom.functions import conditional_sum, like_contains, money, union_all, zero_if_null
 from ledgerloom.operators.people import staff_balances
 from ledgerloom.operators.sales import paid_by_order
 from ledgerloom import fixed as fx
@@ -68,46 +68,49 @@ def _kind():
             .when((F.col("type") == "transport") & (F.col("source_table") == fx.ITEM_TRANSFER), F.lit("T")))
 
 
-def party_lookup(c: Catalog) -> DataFrame:
-    """(kind, source_id) -> party name for the four kinds of source. One
-    keyed table, so the ledger needs one join instead of four lookups."""
-    o = c.sales_order.select(F.col("id").alias("o_id"), "customer_id")
-    cu = c.erp_customer.select(F.col("id").alias("c_id"), F.col("name").alias("party_name"))
-    cust = (c.order_payment.join(o, F.col("order_id") == F.col("o_id")).join(cu, F.col("customer_id") == F.col("c_id"))
-            .select(F.lit("C").alias("kind"), F.col("id").alias("src_id"), "party_name"))
-    sh = c.shipment.select(F.col("id").alias("sh_id"), "supplier_id")
-    su = c.erp_supplier.select(F.col("id").alias("s_id"), F.col("name").alias("party_name"))
-    supp = (c.shipment_installment.join(sh, F.col("shipment_id") == F.col("sh_id"))
-            .join(su, F.col("supplier_id") == F.col("s_id"))
-            .select(F.lit("S").alias("kind"), F.col("id").alias("src_id"), "party_name"))
-    pe = c.person.select(F.col("id").alias("p_id"), F.col("name").alias("party_name"))
-    pay = (c.person_payment.join(pe, F.col("person_id") == F.col("p_id"))
-           .select(F.lit("P").alias("kind"), F.col("id").alias("src_id"), "party_name"))
-    trn = (c.item_transfer.join(pe, F.col("transporter_id") == F.col("p_id"), "left")
-           .select(F.lit("T").alias("kind"), F.col("id").alias("src_id"), "party_name"))
-    return cust.unionByName(supp).unionByName(pay).unionByName(trn)
+def _resolve(rows: DataFrame, hops: list[tuple[DataFrame, str, str]], name_col: str) -> DataFrame:
+    """Follow key hops from the ledger rows to the party name with left joins;
+    a missing link leaves the name NULL (the reference's inner lookup finds
+    no row)."""
+    cur, key = rows, "source_id"
+    for i, (table, table_key, next_key) in enumerate(hops):
+        t = table.select(F.col(table_key).alias(f"_k{i}"),
+                         F.col(next_key).alias(f"_n{i}") if next_key else F.lit(None).alias(f"_n{i}"),
+                         *([F.col(name_col).alias("_party")] if i == len(hops) - 1 else []))
+        cur = cur.join(t, cur[key] == t[f"_k{i}"], "left").drop(f"_k{i}")
+        key = f"_n{i}"
+    return cur.drop(*[f"_n{i}" for i in range(len(hops))])
 
 
 def ledger_party(c: Catalog, ledger: DataFrame | None = None) -> DataFrame:
     """Counterparty of every ledger row through its polymorphic source (Q6).
 
-    Rows without a resolvable kind (manual rows, expenses) never enter the
-    join: NULL keys would all hash to one shuffle partition, so they are
-    split off and unioned back with their party computed in place."""
-    led = c.transaction_log if ledger is None else ledger
-    led = led.withColumn("kind", _kind())
-    keyed = led.filter(F.col("kind").isNotNull())
-    lk = party_lookup(c)
-    joined = keyed.join(lk, (keyed.kind == lk.kind) & (keyed.source_id == lk.src_id), "left").drop(lk.kind)
-    fallback = (F.when(F.col("kind") == "C", F.lit(fx.UNKNOWN_CUSTOMER))
-                .when(F.col("kind") == "S", F.lit(fx.UNKNOWN_SUPPLIER))
-                .when(F.col("kind") == "P", F.lit(fx.UNKNOWN_PERSON)).otherwise(F.lit(fx.TRANSPORT)))
-    joined = joined.withColumn("party", F.coalesce("party_name", fallback)).drop("party_name", "src_id")
+    The (possibly date-filtered) ledger drives the joins: each kind of row
+    walks its own chain (payment -> order -> customer, instalment ->
+    shipment -> supplier, staff payment -> person, transfer -> transporter),
+    so a one-day report touches one day of ledger rows, and the planner can
+    broadcast that side when its measured size is small. Rows without a
+    resolvable kind (manual rows, expenses) never enter a join: NULL keys
+    would all hash to one shuffle partition."""
+    led = (c.transaction_log if ledger is None else ledger).withColumn("kind", _kind())
+    chains = {
+        "C": ([(c.order_payment, "id", "order_id"), (c.sales_order, "id", "customer_id"),
+               (c.erp_customer, "id", None)], fx.UNKNOWN_CUSTOMER),
+        "S": ([(c.shipment_installment, "id", "shipment_id"), (c.shipment, "id", "supplier_id"),
+               (c.erp_supplier, "id", None)], fx.UNKNOWN_SUPPLIER),
+        "P": ([(c.person_payment, "id", "person_id"), (c.person, "id", None)], fx.UNKNOWN_PERSON),
+        "T": ([(c.item_transfer, "id", "transporter_id"), (c.person, "id", None)], fx.TRANSPORT),
+    }
+    parts = []
+    for kind, (hops, fallback) in chains.items():
+        r = _resolve(led.filter(F.col("kind") == kind), hops, "name")
+        parts.append(r.withColumn("party", F.coalesce("_party", F.lit(fallback))).drop("_party"))
     rest = (led.filter(F.col("kind").isNull())
             .withColumn("party", F.when(F.col("type") == "expense",
                                         F.when(F.coalesce(F.col("notes"), F.lit("")) != "", F.col("notes"))
                                         .otherwise(F.lit(fx.EXPENSE_PARTY))).otherwise(F.lit(""))))
-    return joined.unionByName(rest).drop("kind")
+    parts.append(rest)
+    return union_all(parts).drop("kind")
 
 
 # ---------------------------------------------------------------- daily / monthly
