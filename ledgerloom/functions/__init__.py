@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,10 +51,16 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return out
 
 
+_FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def like_contains(c: Column | str, text: str) -> Column:
-    """SQLite ``LIKE '%text%'``: ASCII case-insensitive, wildcards stay live (Q2)."""
+    """SQLite ``LIKE '%text%'`` (Q2): case is folded for ASCII letters only,
+    ``%`` and ``_`` typed by the user stay wildcards, and a backslash is an
+    ordinary character (SQLite has no default escape; Spark's is ``\\``)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.ilike(f"%{text}%")
+    pattern = "%" + text.translate(_FOLD).replace("\\", "\\\\") + "%"
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase).like(pattern)
 
 
 def conditional_sum(value: Column, cond: Column) -> Column:

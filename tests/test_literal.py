@@ -219,3 +219,11 @@ def test_people_locations_array_form(spark, small_catalog):
     rows = people.people_locations(small_catalog).collect()
     assert all(r.location_ids == sorted(r.location_ids) for r in rows)
     assert any(r.location_ids == [] for r in rows)  # people without a location get []
+
+
+def test_like_folds_ascii_only_and_keeps_backslash_literal(spark):
+    from ledgerloom.functions import like_contains
+    df = spark.createDataFrame([(1, "RING ä"), (2, "ring Ä"), (3, "a\\b"), (4, "ab")], "id int, name string")
+    assert [r.id for r in df.filter(like_contains("name", "ring ä")).collect()] == [1]
+    assert [r.id for r in df.filter(like_contains("name", "a\\b")).collect()] == [3]
+    assert sorted(r.id for r in df.filter(like_contains("name", "r_ng")).collect()) == [1, 2]
