@@ -14,10 +14,6 @@ from ledgerloom.functions import first_reason, missing, money, zero_if_null
 from ledgerloom.operators.sales import paid_by_order
 from ledgerloom.sources.catalog import Catalog
 
-ITEM_TABLE_COLS = ("id", "shipment_id", "location_id", "name", "category", "description", "purchase_value",
-                   "sale_price", "status")
-
-
 # ---------------------------------------------------------------- orders
 
 def order_intake(c: Catalog, batch: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from ledgerloom.operators import finance as op
 from ledgerloom.plans.oracle import M, Z
-from ledgerloom.plans.params import (AS_OF, EMPTY_MONTH, GALLERY_ID, EMPTY_YEAR, LEDGER_SEARCH, PAGE, PER_PAGE, STAFF_FROM,
+from ledgerloom.plans.params import (AS_OF, EMPTY_MONTH, GALLERY_ID, WAREHOUSE_ID, EMPTY_YEAR, LEDGER_SEARCH, PAGE, PER_PAGE, STAFF_FROM,
                                      STAFF_MONTH, STAFF_TO, STAFF_YEAR, TARGET, TRADE_FROM, TRADE_MONTH, TRADE_TO,
                                      TRADE_YEAR)
 
@@ -76,7 +76,7 @@ def month_daily(y, m):
             f"FROM transaction_log WHERE {rng(a, b)} GROUP BY transaction_date")
 
 
-def gallery(a, b):
+def gallery(a, b, loc=None):
     def cs(cond):
         return Z(f"SUM(CASE WHEN {cond} THEN t.amount ELSE 0 END)")
     return f"""SELECT l.id AS location_id, l.name AS location_name, DATE '{a}' AS date_from, DATE '{b}' AS date_to,
@@ -89,7 +89,7 @@ LEFT JOIN (SELECT t.location_id, {cs("t.direction = 'inflow'")} AS rev,
   FROM transaction_log t WHERE {rng(a, b, 't.transaction_date')} GROUP BY t.location_id) f ON f.location_id = l.id
 LEFT JOIN (SELECT location_id, SUM(purchase_value) AS stock FROM item WHERE status != 'sold' GROUP BY location_id) s
  ON s.location_id = l.id
-WHERE l.type = 'gallery'"""
+WHERE l.type = 'gallery'""" + (f" AND l.id = {loc}" if loc is not None else "")
 
 
 LEDGER_SEL = (f"t.id, t.transaction_date, t.type, t.direction, {M('t.amount')} AS amount, t.location_id, t.source_table, "
@@ -147,6 +147,12 @@ ENTRIES = {
         lambda c: op.finance_monthly_daily(c, TRADE_YEAR, TRADE_MONTH), month_daily(TRADE_YEAR, TRADE_MONTH)),
     "gallery_pnl": (lambda c: op.gallery_pnl(c, TRADE_FROM, TRADE_TO), gallery(TRADE_FROM, TRADE_TO)),
     "gallery_pnl_staff": (lambda c: op.gallery_pnl(c, STAFF_FROM, STAFF_TO), gallery(STAFF_FROM, STAFF_TO)),
+    "gallery_pnl_warehouse": (  # a warehouse is not a gallery: no row
+        lambda c: op.gallery_pnl(c, TRADE_FROM, TRADE_TO, location_id=WAREHOUSE_ID),
+        gallery(TRADE_FROM, TRADE_TO, WAREHOUSE_ID)),
+    "gallery_pnl_one": (
+        lambda c: op.gallery_pnl(c, TRADE_FROM, TRADE_TO, location_id=GALLERY_ID),
+        gallery(TRADE_FROM, TRADE_TO, GALLERY_ID)),
     "obligations_totals": (lambda c: op.obligations_totals(c, AS_OF), OBLIG),
     "dashboard_overview": (
         lambda c: op.dashboard_overview(c),
