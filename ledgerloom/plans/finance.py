@@ -195,6 +195,9 @@ ENTRIES = {
         lambda c: op.transaction_search(c, direction="outflow", date_from=TRADE_FROM, date_to=TRADE_TO, page=PAGE,
                                         per_page=PER_PAGE),
         search(f"direction = 'outflow' AND {rng(TRADE_FROM, TRADE_TO)}", PAGE, PER_PAGE)),
+    "transaction_search_typed": (
+        lambda c: op.transaction_search(c, type_="supplier", location_id=GALLERY_ID, page=2, per_page=PER_PAGE),
+        search(f"type = 'supplier' AND location_id = {GALLERY_ID}", 2, PER_PAGE)),
     "transaction_page_keyset": (
         lambda c: op.transaction_page_keyset(c, KEYSET_DATE, KEYSET_ID, PER_PAGE),
         f"SELECT {LEDGER_SEL} FROM (SELECT * FROM transaction_log WHERE transaction_date < DATE '{KEYSET_DATE}' OR "

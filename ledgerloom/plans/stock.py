@@ -2,7 +2,7 @@
 
 from ledgerloom.operators import stock as op
 from ledgerloom.plans.oracle import M, Z
-from ledgerloom.plans.params import ITEM_SEARCH
+from ledgerloom.plans.params import GALLERY_ID, ITEM_SEARCH
 
 ITEMS = (f"SELECT i.id, i.name, i.category, i.status, i.location_id, l.name AS location_name, "
          f"{M('i.purchase_value')} AS purchase_value, {M('i.sale_price')} AS sale_price, i.shipment_id "
@@ -19,6 +19,14 @@ ENTRIES = {
     "item_list": (lambda c: op.item_list(c, search=ITEM_SEARCH),
                   ITEM_LIST + f" WHERE x.name ILIKE '%{ITEM_SEARCH}%'"),
     "item_list_all": (lambda c: op.item_list(c), ITEM_LIST),
+    "item_list_filtered": (
+        lambda c: op.item_list(c, location_id=GALLERY_ID, status="reserved"),
+        ITEM_LIST + f" WHERE x.location_id = {GALLERY_ID} AND x.status = 'reserved'"),
+    "inventory_list_location": (
+        lambda c: op.inventory_list(c, location_id=GALLERY_ID),
+        f"SELECT i.id, i.name, i.category, i.location_id, i.quantity, {M('i.unit_price')} AS unit_price, "
+        f"{M('i.total_value')} AS total_value, l.name AS location_name FROM inventory i "
+        f"LEFT JOIN location l ON l.id = i.location_id WHERE i.location_id = {GALLERY_ID}"),
     "available_items": (lambda c: op.available_items(c), ITEM_LIST + " WHERE x.status = 'in_storage'"),
     "location_inventory": (lambda c: op.location_inventory(c), ITEMS),
     "shipment_manifest": (lambda c: op.shipment_manifest(c), ITEMS + " WHERE i.shipment_id IS NOT NULL"),

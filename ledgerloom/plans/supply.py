@@ -48,6 +48,9 @@ FROM ({SUPPLIER_SUMMARY}) x"""),
         f"SELECT * FROM ({SHIPMENT_BALANCES}) b WHERE date_received >= DATE '{TRADE_FROM}' "
         f"AND date_received <= DATE '{TRADE_TO}'"),
     "supplier_shipments": (lambda c: op.supplier_shipments(c), SHIPMENT_BALANCES),
+    "shipment_balances_supplier": (
+        lambda c: op.shipment_balances(c, supplier_id=1, payment_status="unpaid"),
+        f"SELECT * FROM ({SHIPMENT_BALANCES}) b WHERE supplier_id = 1 AND payment_status = 'unpaid'"),
     "shipment_detail": (
         lambda c: op.shipment_detail(c),
         f"""SELECT b.*, si.id AS installment_id, {M('si.amount')} AS installment_amount, si.due_date, si.is_paid, si.paid_date
