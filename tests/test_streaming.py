@@ -1,4 +1,8 @@
-"""Streams against their batch twins, plus late data."""
+"""Streams against their batch twins, plus late data.
+
+Each arriving file is processed by a new query on the same checkpoint
+(``streaming.replay``), so every test also exercises the restart path: state
+and sink commits are recovered from the checkpoint between arrivals."""
 
 import datetime as dt
 
