@@ -77,24 +77,38 @@ FULFIL_OUT = "order_id bigint, paid_cents bigint, price_cents bigint"
 FULFIL_STATE = "paid_cents bigint, emitted boolean"
 
 
-def _fulfil_step(key, batches, state):
-    """Per order and micro-batch: add this batch's payments (exact cents) to
-    the running total kept in state; emit the order the first time the
-    total reaches its price. The emitted flag stays in state, so later
-    payments never emit it again. Batches arrive as an iterator of Arrow
-    chunks, so a hot order costs bounded memory."""
-    import pandas as pd
-
-    paid, emitted = (state.get if state.exists else (0, False))
-    price = None
-    for pdf in batches:
-        if len(pdf):
-            paid += int(pdf["amount_cents"].sum())
-            price = int(pdf["price_cents"].iloc[0])
-    reached = price is not None and paid >= price and not emitted
-    state.update((paid, emitted or reached))
-    if reached:
-        yield pd.DataFrame({"order_id": [int(key[0])], "paid_cents": [paid], "price_cents": [price]})
+def _fulfil_step_with_retention(retention_ms: int | None):
+    """The state step, closing over how long an emitted order's state is
+    kept before it expires."""
+
+    def step(key, batches, state):
+        """Per order and micro-batch: add this batch's payments (exact cents)
+        to the running total kept in state; emit the order the first time the
+        total reaches its price. The emitted flag stays in state, so later
+        payments never emit it again. With ``retention_ms`` the state of an
+        emitted order expires that long after its last update; by then the
+        orders table marks the order fulfilled and the stream-static join
+        no longer admits its payments. Batches arrive as an iterator of
+        Arrow chunks, so a hot order costs bounded memory."""
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        paid, emitted = (state.get if state.exists else (0, False))
+        price = None
+        for pdf in batches:
+            if len(pdf):
+                paid += int(pdf["amount_cents"].sum())
+                price = int(pdf["price_cents"].iloc[0])
+        reached = price is not None and paid >= price and not emitted
+        state.update((paid, emitted or reached))
+        if retention_ms and (emitted or reached):
+            state.setTimeoutDuration(retention_ms)
+        if reached:
+            yield pd.DataFrame({"order_id": [int(key[0])], "paid_cents": [paid], "price_cents": [price]})
+
+    return step
 
 
 def _ship_by_value() -> None:
@@ -108,10 +122,17 @@ def _ship_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def order_fulfilment_stream(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Stream-static join for the price (active orders only), then a
-    stateful step per order that emits each order once, when its running
-    paid first reaches the agreed price."""
+def order_fulfilment_stream(payments: DataFrame, orders: DataFrame,
+                            retention_ms: int | None = None) -> DataFrame:
+    """Stream-static join for the price (orders active in the orders table,
+    re-read each micro-batch), then a stateful step per order that emits each
+    order once, when its running paid first reaches the agreed price.
+
+    ``retention_ms`` (for continuously triggered queries, e.g. 30 days)
+    expires the state of emitted orders after that much processing time, so
+    state is bounded by orders open or recently fulfilled. It needs a
+    processing-time timeout, which keeps scheduling batches, so it is off
+    for ``availableNow`` runs: there the emitted flag is kept."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     _ship_by_value()
@@ -121,7 +142,8 @@ def order_fulfilment_stream(payments: DataFrame, orders: DataFrame) -> DataFrame
     j = payments.join(o, payments.order_id == o.o_id).select(
         "order_id", (F.col("amount") * 100).cast("bigint").alias("amount_cents"), "price_cents")
     out = j.groupBy("order_id").applyInPandasWithState(
-        _fulfil_step, FULFIL_OUT, FULFIL_STATE, "append", GroupStateTimeout.NoTimeout)
+        _fulfil_step_with_retention(retention_ms), FULFIL_OUT, FULFIL_STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if retention_ms else GroupStateTimeout.NoTimeout)
     return out.select("order_id", (F.col("paid_cents") / 100).alias("paid_at_emission"),
                       (F.col("price_cents") / 100).alias("agreed_price"))
 
