@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.sources.raw import RAW_SCHEMAS, read_raw
+from ledgerloom.sources.schemas import ERP_SCHEMAS
 from ledgerloom.sources.views import RAW_TABLES, VIEWS, dependencies
 
 # Tables of the ERP schema; the rest of VIEWS are helpers or
@@ -72,7 +73,8 @@ class Catalog:
         if name in RAW_TABLES:
             return read_raw(self.spark, self.sf_dir, name)
         if self.materialized and name in BUSINESS_TABLES:
-            return self.spark.read.parquet(f"{self.materialized.rstrip('/')}/{name}")
+            schema = ERP_SCHEMAS[name] + (", tx_month string" if name == "transaction_log" else "")
+            return self.spark.read.schema(schema).parquet(f"{self.materialized.rstrip('/')}/{name}")
         if name not in VIEWS:
             raise KeyError(name)
         frames = {dep: self[dep] for dep in dependencies(name)}

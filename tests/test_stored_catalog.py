@@ -27,3 +27,13 @@ def test_stored_catalog_gives_same_rows(catalogs, key):
     a, b = ENTRIES[key][0](derived), ENTRIES[key][0](stored)
     assert a.columns == b.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_erp_schemas_match_the_derivations(catalogs):
+    from ledgerloom.sources.catalog import BUSINESS_TABLES
+    from ledgerloom.sources.schemas import ERP_SCHEMAS
+    derived, stored = catalogs
+    for t in BUSINESS_TABLES:
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in derived[t].schema.fields)
+        assert ddl == ERP_SCHEMAS[t], t
+        assert [f.name for f in stored[t].schema.fields if f.name != "tx_month"] == derived[t].columns
