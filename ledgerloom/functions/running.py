@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 def running_sum(df: DataFrame, key: str, day: str, tiebreak: list[str], value: str, out: str,
                 rows_per_bucket: int | None = None) -> DataFrame:
     *prefix, last = tiebreak
-    target = (F.lit(float(rows_per_bucket)) if rows_per_bucket else
-              df.agg(F.greatest(F.lit(1.0), F.sqrt(F.count(F.lit(1)))).alias("t")).scalar())
     days = df.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"), F.min(last).alias("_lo"),
                                     F.max(last).alias("_hi"))
+    # T = sqrt(N), from the day counts (no second pass over the rows)
+    target = (F.lit(float(rows_per_bucket)) if rows_per_bucket else
+              days.agg(F.greatest(F.lit(1.0), F.sqrt(F.sum("_n"))).alias("t")).scalar())
     pieces = F.ceil(F.col("_n") / target)
     days = days.select(key, day, "_lo", F.greatest(F.lit(1.0), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces))
                        .alias("_width"))
