@@ -1,7 +1,9 @@
 """ERP tables derived from the driver's star schema (see FIXTURES.md).
 
 Fixed values: the derivation rules below are the test-fixture definitions
-from FIXTURES.md, kept verbatim so that Spark and the DuckDB oracle see the
+from FIXTURES.md, kept as written there (only ``ledger_dirty`` lists its
+nine columns instead of ``*``, so it also works over a stored ledger that
+carries a partition column) so that Spark and the DuckDB oracle see the
 same rows.  Names in braces are other views or driver tables; Spark binds
 them to DataFrames (``spark.sql(text, **frames)``), the oracle turns them
 into CTE names.  Ids come from keys, never from a global row number.
