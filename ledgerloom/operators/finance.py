@@ -38,6 +38,7 @@ def month_bounds(year: int, month: int) -> tuple[dt.date, dt.date]:
 
 
 def ledger_range(ledger: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """Date-range filter on the ledger, plus the month-partition predicate when the ledger is stored."""
     if date_from is not None:
         ledger = ledger.filter(F.col("transaction_date") >= F.lit(_d(date_from)))
         if "tx_month" in ledger.columns:
@@ -159,6 +160,7 @@ def finance_monthly_revenue_by_location(c: Catalog, year: int, month: int) -> Da
 
 
 def finance_monthly_costs_by_type(c: Catalog, year: int, month: int) -> DataFrame:
+    """Outflow per ledger type in the month."""
     led = ledger_range(c.transaction_log, *month_bounds(year, month)).filter(F.col("direction") == "outflow")
     return led.groupBy("type").agg(money(F.sum("amount")).alias("amount"))
 
@@ -170,6 +172,7 @@ def finance_monthly_daily(c: Catalog, year: int, month: int) -> DataFrame:
 
 
 def daily_flows(led: DataFrame) -> DataFrame:
+    """In, out and net per day of the given ledger rows."""
     i = zero_if_null(conditional_sum(F.col("amount"), F.col("direction") == "inflow"))
     o = zero_if_null(conditional_sum(F.col("amount"), F.col("direction") == "outflow"))
     agg = led.groupBy(F.col("transaction_date").alias("date")).agg(i.alias("i"), o.alias("o"))
@@ -227,6 +230,7 @@ def obligations_totals(c: Catalog, as_of=None) -> DataFrame:
 
 
 def dashboard_overview(c: Catalog) -> DataFrame:
+    """All-time inflow, outflow and their difference."""
     led = c.transaction_log
     i = zero_if_null(conditional_sum(F.col("amount"), F.col("direction") == "inflow"))
     o = zero_if_null(conditional_sum(F.col("amount"), F.col("direction") == "outflow"))
@@ -235,6 +239,7 @@ def dashboard_overview(c: Catalog) -> DataFrame:
 
 
 def dashboard_expenses(c: Catalog, date_to, date_from="1970-01-01") -> DataFrame:
+    """Expense totals per category in the period, largest first."""
     e = c.expense.filter(F.col("expense_date").between(F.lit(_d(date_from)), F.lit(_d(date_to))))
     return (e.groupBy("category").agg(F.sum("amount").alias("t"))
             .select("category", money("t").alias("total")).orderBy(F.col("total").desc(), "category"))
@@ -287,6 +292,7 @@ def expense_list(c: Catalog, category=None, location_id=None, date_from=None, da
 
 
 def expense_categories(c: Catalog) -> DataFrame:
+    """Distinct expense categories."""
     return c.expense.filter(F.col("category").isNotNull()).select("category").distinct()
 
 

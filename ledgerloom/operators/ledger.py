@@ -80,6 +80,7 @@ def manual_transactions(batch: DataFrame, as_of) -> DataFrame:
 
 
 def blank_or_empty(col: str):
+    """NULL or the empty string (JavaScript falsiness of a text field)."""
     return F.col(col).isNull() | (F.col(col) == "")
 
 
@@ -160,4 +161,5 @@ def sink_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_ledger(spark, path: str) -> DataFrame:
+    """Read a ledger written by ``sink_ledger`` (partition column ``tx_month``)."""
     return spark.read.parquet(path)

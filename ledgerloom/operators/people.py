@@ -24,6 +24,7 @@ def people_locations(c: Catalog, as_csv: bool = False) -> DataFrame:
 
 
 def person_work_log(c: Catalog, person_id: int | None = None) -> DataFrame:
+    """Work log rows of a person (or everyone), newest first."""
     w = c.work_log if person_id is None else c.work_log.filter(F.col("person_id") == person_id)
     return (w.select("id", "person_id", "location_id", "log_date", "log_type", "quantity",
                      money("amount_earned").alias("amount_earned"))
@@ -31,6 +32,7 @@ def person_work_log(c: Catalog, person_id: int | None = None) -> DataFrame:
 
 
 def person_payments(c: Catalog, person_id: int | None = None) -> DataFrame:
+    """Staff payments of a person (or everyone), newest first."""
     p = c.person_payment if person_id is None else c.person_payment.filter(F.col("person_id") == person_id)
     return (p.select("id", "person_id", money("amount").alias("amount"), "payment_date", "method")
             .orderBy("person_id", F.col("payment_date").desc(), "id"))

@@ -157,6 +157,7 @@ def installment_mark_paid(c: Catalog, marks: DataFrame, as_of) -> DataFrame:
 
 
 def payment_status_of(shipments: DataFrame, installments: DataFrame) -> DataFrame:
+    """Payment status and paid amount of shipments over a given instalment state."""
     paid = (installments.filter(F.col("is_paid") == 1).groupBy(F.col("shipment_id").alias("p_sid"))
             .agg(F.sum("amount").alias("paid")))
     j = shipments.join(paid, shipments.id == paid.p_sid, "left")
@@ -274,6 +275,7 @@ def apply_deletes(table: DataFrame, ids: DataFrame, guard=None) -> DataFrame:
 
 
 def surviving_rows(table: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The table without the rows whose delete outcome is ``deleted``."""
     gone = outcomes.filter(F.col("outcome") == "deleted").select(F.col("id").alias("g_id"))
     return table.join(gone, table.id == gone.g_id, "left_anti")
 

@@ -49,11 +49,13 @@ def order_search(c: Catalog, q: str | None = None) -> DataFrame:
 
 
 def order_detail(c: Catalog, order_id: int | None = None) -> DataFrame:
+    """Orders with customer, location, paid and remaining (one order when ``order_id`` is given)."""
     df = orders_enriched(c)
     return df if order_id is None else df.filter(F.col("id") == order_id)
 
 
 def customer_orders(c: Catalog, customer_id: int | None = None) -> DataFrame:
+    """Orders of a customer (or of every customer) with balances, newest first."""
     df = orders_enriched(c)
     if customer_id is not None:
         df = df.filter(F.col("customer_id") == customer_id)
@@ -82,6 +84,7 @@ def backorders(c: Catalog) -> DataFrame:
 
 
 def order_payments(c: Catalog, order_id: int | None = None) -> DataFrame:
+    """Payments of an order (or of every order) by payment date."""
     p = c.order_payment
     if order_id is not None:
         p = p.filter(F.col("order_id") == order_id)
@@ -102,6 +105,7 @@ def customer_payments(c: Catalog, customer_id: int | None = None) -> DataFrame:
 
 
 def customer_list(c: Catalog) -> DataFrame:
+    """Customers ordered by id."""
     return c.erp_customer.select("id", "name", "phone", "notes").orderBy("id")
 
 
@@ -144,5 +148,6 @@ def obligations_customers(c: Catalog) -> DataFrame:
 
 
 def deletable_customers(c: Catalog) -> DataFrame:
+    """Customers without orders (the delete guard)."""
     cu = c.erp_customer
     return cu.join(c.sales_order, cu.id == c.sales_order.customer_id, "left_anti").select("id", "name")

@@ -24,6 +24,7 @@ def _items_with_location(c: Catalog, items: DataFrame | None = None) -> DataFram
 
 
 def location_list(c: Catalog) -> DataFrame:
+    """Locations ordered by id."""
     return c.location.select("id", "name", "type").orderBy("id")
 
 
@@ -36,6 +37,7 @@ def thumbnails(c: Catalog) -> DataFrame:
 
 def item_list(c: Catalog, location_id: int | None = None, status: str | None = None,
               category: str | None = None, search: str | None = None) -> DataFrame:
+    """Items with location name and thumbnail; optional location, status, category and name filters."""
     i = c.item
     if location_id is not None:
         i = i.filter(F.col("location_id") == location_id)
@@ -56,11 +58,13 @@ def available_items(c: Catalog) -> DataFrame:
 
 
 def location_inventory(c: Catalog, location_id: int | None = None) -> DataFrame:
+    """Items at a location (or at every location) with the location name."""
     i = c.item if location_id is None else c.item.filter(F.col("location_id") == location_id)
     return _items_with_location(c, i).orderBy("location_id", "id")
 
 
 def shipment_manifest(c: Catalog, shipment_id: int | None = None) -> DataFrame:
+    """Items of a shipment (or of every shipment) with the location name."""
     i = c.item.filter(F.col("shipment_id").isNotNull())
     if shipment_id is not None:
         i = i.filter(F.col("shipment_id") == shipment_id)

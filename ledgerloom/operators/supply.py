@@ -161,6 +161,7 @@ def shipment_payment_status(c: Catalog) -> DataFrame:
 
 
 def shipment_paid_pct(c: Catalog) -> DataFrame:
+    """Percent paid per shipment, rounded; 0 when nothing is declared."""
     sh = shipments_with_paid(c)
     pct = F.when(F.col("declared_value") == 0, F.lit(0)).otherwise(
         F.floor(money("paid") / money("declared_value") * 100 + 0.5))
@@ -177,6 +178,7 @@ def shipments_total_debt(c: Catalog) -> DataFrame:
 
 
 def suppliers_total_debt(c: Catalog) -> DataFrame:
+    """Sum of the suppliers' outstanding balances."""
     t = supplier_totals(c)
     return t.agg(money(zero_if_null(F.sum(F.col("declared") - F.col("paid")))).alias("total_debt"))
 
@@ -198,6 +200,7 @@ def supplier_codes(c: Catalog) -> DataFrame:
 
 
 def shipment_item_status(c: Catalog, shipment_id: int | None = None) -> DataFrame:
+    """Item count per shipment and status."""
     it = c.item.filter(F.col("shipment_id").isNotNull())
     if shipment_id is not None:
         it = it.filter(F.col("shipment_id") == shipment_id)
@@ -205,6 +208,7 @@ def shipment_item_status(c: Catalog, shipment_id: int | None = None) -> DataFram
 
 
 def shipment_item_value(c: Catalog, shipment_id: int | None = None) -> DataFrame:
+    """Purchase and sale totals of the items of each shipment."""
     it = c.item.filter(F.col("shipment_id").isNotNull())
     if shipment_id is not None:
         it = it.filter(F.col("shipment_id") == shipment_id)

@@ -25,6 +25,7 @@ def _result(df: DataFrame, reason, kind: str | None = None, extra=()) -> DataFra
 
 
 def validate_orders(c: Catalog, batch: DataFrame | None = None) -> DataFrame:
+    """New orders: required fields, known customer, location and item, backorder text, item free."""
     b = c.order_batch if batch is None else batch
     b = (b.join(_keys(c.erp_customer, "cu"), b.customer_id == F.col("cu"), "left")
          .join(_keys(c.location, "lo"), b.location_id == F.col("lo"), "left")
@@ -88,6 +89,7 @@ def validate_items(c: Catalog) -> DataFrame:
 
 
 def validate_transfers(c: Catalog) -> DataFrame:
+    """Transfers: known unsold item, destination and date given, a different and known place."""
     t = c.transfer_batch
     t = (t.join(_keys(c.item, "it", ("status", "location_id")), t.item_id == F.col("it"), "left")
          .join(_keys(c.location, "lo"), t.to_location_id == F.col("lo"), "left"))
@@ -102,6 +104,7 @@ def validate_transfers(c: Catalog) -> DataFrame:
 
 
 def validate_people(c: Catalog) -> DataFrame:
+    """People: required fields, at least one location, temporary staff need a contract start."""
     p = c.people_batch
     reason = first_reason(
         (missing_text("name"), "name_required"), (missing_text("role"), "role_required"),
@@ -114,6 +117,7 @@ def validate_people(c: Catalog) -> DataFrame:
 
 
 def validate_work_logs(c: Catalog) -> DataFrame:
+    """Work log entries: known person, then date, type, location and quantity."""
     w = c.work_batch
     w = w.join(_keys(c.person, "p"), w.person_id == F.col("p"), "left")
     reason = first_reason(
@@ -124,6 +128,7 @@ def validate_work_logs(c: Catalog) -> DataFrame:
 
 
 def validate_expenses(c: Catalog) -> DataFrame:
+    """Expenses: description, amount, date and category; reimbursement flag from the payer."""
     e = c.expense_batch
     reason = first_reason(
         (missing_text("description"), "description_required"), (F.col("amount").isNull(), "amount_required"),
