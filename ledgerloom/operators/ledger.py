@@ -96,7 +96,7 @@ def ledger_reversals(ledger: DataFrame, installments: DataFrame, expenses: DataF
     alive = expenses.select(F.col("id").alias("k"))
     gone_exp = exp_rows.join(alive, exp_rows.source_id == alive.k, "left_anti").select(
         F.lit(fx.EXPENSE).alias("g_table"), F.col("source_id").alias("g_id"))
-    gone = gone_inst.unionByName(gone_exp).distinct()
+    gone = gone_inst.unionByName(gone_exp)  # duplicates are harmless on an anti join's right side
     kept = ledger.join(gone, (ledger.source_table == gone.g_table) & (ledger.source_id == gone.g_id), "left_anti")
     return kept.select(*LEDGER_COLS)
 

@@ -194,7 +194,8 @@ def fk_audit(c: Catalog) -> DataFrame:
     keyed = (union_all(refs).filter(F.col("key").isNotNull())
              .groupBy("fk", "ref", "key").agg(F.count(F.lit(1)).alias("n")))
     parents = union_all([c[r].select(F.lit(r).alias("p_ref"), F.col("id").cast("bigint").alias("p_key"))
-                         for r in dict.fromkeys(ref for _, _, ref in FOREIGN_KEYS)]).distinct()
+                         for r in dict.fromkeys(ref for _, _, ref in FOREIGN_KEYS)])
+    # no distinct(): duplicate parent keys cannot change an anti join's result
     orphans = (keyed.join(parents, (keyed.ref == parents.p_ref) & (keyed.key == parents.p_key), "left_anti")
                .groupBy("fk").agg(F.sum("n").alias("orphans")))
     fks = c.spark.createDataFrame([(i, t, col, ref) for i, (t, col, ref) in enumerate(FOREIGN_KEYS)],
