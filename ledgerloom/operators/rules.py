@@ -254,7 +254,7 @@ def replace_children(children: DataFrame, replacements: DataFrame, parent: str,
     """Replace a child collection per parent: parents named in the batch lose
     all their children (``left_anti``) and get the new values, trimmed,
     blanks dropped. Other parents keep theirs."""
-    parents = replacements.select(F.col(parent).alias("r_parent")).distinct()
+    parents = replacements.select(F.col(parent).alias("r_parent"))  # anti join: no distinct needed
     kept = (children.join(parents, children[parent] == parents.r_parent, "left_anti")
             .select(parent, "id", value, F.lit("kept").alias("origin")))
     new = (replacements.withColumn(value, F.trim(F.col(value))).filter(F.col(value) != "")
