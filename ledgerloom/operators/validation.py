@@ -196,7 +196,11 @@ def fk_audit(c: Catalog) -> DataFrame:
     parents = union_all([c[r].select(F.lit(r).alias("p_ref"), F.col("id").cast("bigint").alias("p_key"))
                          for r in dict.fromkeys(ref for _, _, ref in FOREIGN_KEYS)])
     # no distinct(): duplicate parent keys cannot change an anti join's result
-    orphans = (keyed.join(parents, (keyed.ref == parents.p_ref) & (keyed.key == parents.p_key), "left_anti")
+    # left join + "no match" filter rather than left_anti: the optimizer may
+    # push a semi/anti join below the aggregate and into every union branch
+    # (copying the parents into each); an outer join stays one join
+    orphans = (keyed.join(parents, (keyed.ref == parents.p_ref) & (keyed.key == parents.p_key), "left")
+               .filter(F.col("p_key").isNull())
                .groupBy("fk").agg(F.sum("n").alias("orphans")))
     fks = c.spark.createDataFrame([(i, t, col, ref) for i, (t, col, ref) in enumerate(FOREIGN_KEYS)],
                                   "fk int, table_name string, column_name string, ref_table string")
