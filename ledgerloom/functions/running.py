@@ -8,7 +8,8 @@ more than T rows (T = sqrt of all rows, a scalar subquery in the plan);
 then it is cut into ceil(rows / T) id ranges. So
 
 1. per (key, day) row counts and id ranges (``groupBy``, partial
-   aggregation) fix each day's bucket width;
+   aggregation); the hot days among them (fewer than sqrt(N)) are
+   broadcast with their bucket width;
 2. per (key, bucket) partial sums, then an exclusive prefix of the bucket
    sums per key: a window over at most ``days + rows_of_key / T`` rows;
 3. the running sum inside each (key, bucket) (about T rows when a day was
@@ -35,13 +36,21 @@ def running_sum(df: DataFrame, key: str, day: str, tiebreak: list[str], value: s
     # T = sqrt(N), from the day counts (no second pass over the rows)
     target = (F.lit(float(rows_per_bucket)) if rows_per_bucket else
               days.agg(F.greatest(F.lit(1.0), F.sqrt(F.sum("_n"))).alias("t")).scalar())
-    pieces = F.ceil(F.col("_n") / target)
-    days = days.select(key, day, "_lo", F.greatest(F.lit(1.0), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces))
-                       .alias("_width"))
-    d = (df.join(days, [key, day])
-         .withColumn("_b", F.floor((F.col(last) - F.col("_lo")) / F.col("_width")))
-         .drop("_lo", "_width"))
+    # Only hot days (more than T rows) are cut into id ranges. There are
+    # fewer than N / T = sqrt(N) of them, a proven bound, so they are
+    # broadcast to the rows: the big side is never shuffled for this lookup.
+    hot = (days.filter(F.col("_n") > target)
+           .select(key, day, "_lo", F.greatest(F.lit(1.0), F.ceil((F.col("_hi") - F.col("_lo") + 1)
+                                                                  / F.ceil(F.col("_n") / target))).alias("_width")))
     bucket = [day, *prefix, "_b"]
+    # Explicit hash exchange on the whole bucket key, shared by the per-bucket
+    # aggregate and window (a layout inherited from an earlier (key, day)
+    # exchange would satisfy them and keep a hot day in one task).
+    d = (df.join(F.broadcast(hot), [key, day], "left")
+         .withColumn("_b", F.when(F.col("_width").isNull(), F.lit(0))
+                     .otherwise(F.floor((F.col(last) - F.col("_lo")) / F.col("_width"))))
+         .drop("_lo", "_width")
+         .repartition(key, *bucket))
     sums = d.groupBy(key, *bucket).agg(F.sum(value).alias("_bucket_sum"))
     w_buckets = Window.partitionBy(key).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(sums.schema["_bucket_sum"].dataType)

@@ -79,6 +79,8 @@ def main(sf_dir: str) -> None:
     # worst case for day buckets: the hot order's payments all on one day
     h1 = h.withColumn("payment_date", F.when(F.col("order_id") == 1, F.lit("1998-03-02").cast("date"))
                       .otherwise(F.col("payment_date")))
+    # as at scale: the per-day stats are too big to broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     for name, df in (("plain_window", h.withColumn("run", F.sum("amount").over(w))),
                      ("running_sum", running_sum(h, "order_id", "payment_date", ["id"], "amount", "run")),
                      ("running_sum_one_hot_day", running_sum(h1, "order_id", "payment_date", ["id"], "amount", "run"))):
