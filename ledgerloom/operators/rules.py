@@ -74,7 +74,7 @@ def backorder_assign(c: Catalog, assignments: DataFrame) -> DataFrame:
     unknown order, not a backorder, already fulfilled (a cancelled one
     passes, Q19), item missing, unknown item, item reserved or sold. Among
     valid claims on one item the lowest order id wins (``min`` per item:
-    a partial aggregate, safe when thousands of orders claim one item)."""
+    a partial aggregate, safe when a third of all claims target one item)."""
     o = c.sales_order.select(F.col("id").alias("o_id"), "is_backorder", F.col("status").alias("o_status"))
     i = c.item.select(F.col("id").alias("i_id"), F.col("status").alias("i_status"))
     a = (assignments.join(o, assignments.order_id == o.o_id, "left")
@@ -86,16 +86,21 @@ def backorder_assign(c: Catalog, assignments: DataFrame) -> DataFrame:
         (missing("item_id"), "item_required"),
         (F.col("i_id").isNull(), "item_not_found"),
         (F.col("i_status").isin("reserved", "sold"), "item_unavailable"))
-    a = a.withColumn("reason", reason)
-    winners = (a.filter(F.col("reason").isNull()).groupBy(F.col("item_id").alias("w_item"))
-               .agg(F.min("order_id").alias("w_order")))
-    j = a.join(winners, a.item_id == winners.w_item, "left")
-    outcome = (F.when(F.col("reason").isNotNull(), F.col("reason"))
-               .when(F.col("order_id") == F.col("w_order"), "assigned").otherwise("item_taken"))
-    assigned = outcome == "assigned"
-    return j.select("order_id", "item_id", outcome.alias("outcome"),
-                    F.when(assigned, "fulfilled").alias("order_status"),
-                    F.when(assigned, "reserved").alias("item_status"))
+    # Spread the claims by their own key: the joins above may leave them
+    # partitioned by item, which the per-item aggregate below would reuse.
+    a = a.withColumn("reason", reason).repartition("order_id")
+    rejected = a.filter(F.col("reason").isNotNull()).select("order_id", "item_id", F.col("reason").alias("outcome"))
+    valid = a.filter(F.col("reason").isNull()).select("order_id", "item_id")
+    # The winners are the per-item minimum itself (a partial aggregate); the
+    # other valid claims are found with an anti join on (order, item), a key
+    # with no hot value, so nothing joins back on the (possibly hot) item.
+    winners = valid.groupBy("item_id").agg(F.min("order_id").alias("order_id"))
+    taken = valid.join(winners, ["order_id", "item_id"], "left_anti").withColumn("outcome", F.lit("item_taken"))
+    assigned = winners.select("order_id", "item_id", F.lit("assigned").alias("outcome"))
+    out = rejected.unionByName(taken).unionByName(assigned)
+    won = F.col("outcome") == "assigned"
+    return out.select("order_id", "item_id", "outcome", F.when(won, "fulfilled").alias("order_status"),
+                      F.when(won, "reserved").alias("item_status"))
 
 
 # ---------------------------------------------------------------- shipments
@@ -207,7 +212,8 @@ def transfer_apply(c: Catalog, transfers: DataFrame) -> DataFrame:
         (F.col("transfer_date").isNull(), "transfer_date_required"),
         (F.col("to_location_id") == F.col("cur_loc"), "same_location"),
         (F.col("l_id").isNull(), "location_not_found"))
-    ok = t.filter(bad.isNull())
+    # spread by transfer id so the per-item step does not inherit an item layout
+    ok = t.filter(bad.isNull()).repartition("id")
     last = ok.groupBy(F.col("item_id").alias("t_item")).agg(
         F.max_by(F.struct("to_location_id", "id"), F.struct("transfer_date", "id")).alias("t"))
     it = c.item

@@ -35,7 +35,10 @@ def order_fulfilment_date(c: Catalog) -> DataFrame:
     reaches the agreed price. ``min_by`` is a partial aggregate."""
     r = _payment_running(c)
     o = c.sales_order.filter(F.col("status") == "active").select(F.col("id").alias("o_id"), "agreed_price")
-    hit = r.join(o, r.order_id == o.o_id).filter(F.col("running_paid") >= F.col("agreed_price"))
+    # spread by payment id so min_by per order combines map-side instead of
+    # inheriting the join's order layout (a hot order would stay in one task)
+    hit = (r.join(o, r.order_id == o.o_id).filter(F.col("running_paid") >= F.col("agreed_price"))
+           .repartition("id"))
     first = hit.groupBy("order_id").agg(F.min_by(F.struct("payment_date", "id", "running_paid"),
                                                   F.struct("payment_date", "id")).alias("f"))
     return first.select("order_id", F.col("f.id").alias("payment_id"), F.col("f.payment_date").alias("fulfilled_on"),
