@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed as fx
 from ledgerloom.functions import missing, union_all
+from ledgerloom.functions.skew import hot_split_left_join
 from ledgerloom.sources.catalog import Catalog
 
 LEDGER_COLS = ("id", "transaction_date", "type", "direction", "amount", "location_id", "source_table",
@@ -45,7 +46,7 @@ def post_ledger(c: Catalog, installments: DataFrame | None = None, manual: DataF
         fx.ORDER_PAYMENT, F.col("id"), n))
     si = (c.shipment_installment if installments is None else installments).filter(F.col("is_paid") == 1)
     sl = shipment_location(c)
-    supp = si.join(sl, si.shipment_id == sl.loc_shipment_id, "left").select(*_row(
+    supp = hot_split_left_join(si, sl, "shipment_id", "loc_shipment_id").select(*_row(
         F.col("id") * 8 + 1, F.col("paid_date"), "supplier", "outflow", F.col("amount"), F.col("loc"),
         fx.SHIPMENT_INSTALLMENT, F.col("id"),
         F.concat(F.lit(fx.SHIPMENT_PAYMENT_NOTE), F.col("shipment_id").cast("string"))))

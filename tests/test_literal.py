@@ -227,3 +227,12 @@ def test_like_folds_ascii_only_and_keeps_backslash_literal(spark):
     assert [r.id for r in df.filter(like_contains("name", "ring ä")).collect()] == [1]
     assert [r.id for r in df.filter(like_contains("name", "a\\b")).collect()] == [3]
     assert sorted(r.id for r in df.filter(like_contains("name", "r_ng")).collect()) == [1, 2]
+
+
+def test_hot_split_left_join_equals_plain_left_join(spark):
+    from ledgerloom.functions.skew import hot_split_left_join
+    fact = spark.createDataFrame([(i, 1 if i % 2 else i % 7) for i in range(400)], "id bigint, k bigint")
+    look = spark.createDataFrame([(k, f"v{k}") for k in range(0, 6)], "lk bigint, v string")
+    got = hot_split_left_join(fact, look, "k", "lk").select("id", "k", "v")
+    want = fact.join(look, fact.k == look.lk, "left").select("id", "k", "v")
+    assert got.count() == 400 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -105,6 +105,17 @@ def main(sf_dir: str) -> None:
     t = time.time()
     windows.order_fulfilment_date(hot_cat).write.format("noop").mode("overwrite").save()
     wall["order_fulfilment_date_hot_order"] = round(time.time() - t, 2)
+    # Ledger posting with a hot shipment: a third of the instalments on one
+    # shipment (instalments joined to the per-shipment location).
+    from ledgerloom.operators import ledger
+    si = cat.shipment_installment
+    hot_sid = si.agg(F.min("shipment_id")).first()[0]
+    hot_si = si.withColumn("shipment_id", F.when(F.col("id") % 3 == 0, F.lit(hot_sid))
+                           .otherwise(F.col("shipment_id"))).withColumn("is_paid", F.lit(1))
+    spark.sparkContext.setJobGroup("post_ledger_hot_shipment", "post_ledger_hot_shipment")
+    t = time.time()
+    ledger.post_ledger(cat, installments=hot_si).write.format("noop").mode("overwrite").save()
+    wall["post_ledger_hot_shipment"] = round(time.time() - t, 2)
     # Rule job with a hot key: a third of the backorder claims go to one item.
     claims = cat.sales_order.select(F.col("id").alias("order_id"),
                                     F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 2000 + 1)
