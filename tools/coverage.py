@@ -28,6 +28,11 @@ DEVIATIONS = [
     "attached as scalar subqueries (`DataFrame.scalar()`) instead of cross joins.",
     "`ledger_party`: the four guarded left joins start from the (date-filtered) ledger rows of each kind, so "
     "runtime bloom filters prune the source scans; rows without a source skip the joins.",
+    "`post_ledger`: the instalment-to-shipment-location join splits hot shipments (more than sqrt(N) "
+    "instalments, broadcast) from the rest (`functions/skew.py`), since AQE cannot split a join against a "
+    "per-key aggregate.",
+    "`backorder_assign`, `transfer_apply`, `order_fulfilment_date`: rows are spread by their own id after the "
+    "join on the (possibly hot) key, so the per-key step does not inherit that layout.",
     "`stream_order_fulfilment`: the `applyInPandasWithState` option (state holds paid-so-far and an emitted "
     "flag), not the `foreachBatch` anti-join, whose cost grows with everything emitted so far.",
 ]
