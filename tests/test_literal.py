@@ -236,3 +236,13 @@ def test_hot_split_left_join_equals_plain_left_join(spark):
     got = hot_split_left_join(fact, look, "k", "lk").select("id", "k", "v")
     want = fact.join(look, fact.k == look.lk, "left").select("id", "k", "v")
     assert got.count() == 400 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hot_split_left_join_keeps_hot_rows_without_lookup(spark):
+    from ledgerloom.functions.skew import hot_split_left_join
+    fact = spark.createDataFrame([(i, 9 if i % 2 else i % 5) for i in range(300)], "id bigint, k bigint")
+    look = spark.createDataFrame([(k, f"v{k}") for k in range(0, 4)], "lk bigint, v string")
+    got = hot_split_left_join(fact, look, "k", "lk")
+    assert got.count() == 300
+    assert got.filter("k = 9 AND v IS NULL").count() == 150   # hot key, no lookup row
+    assert got.filter("k = 4 AND v IS NULL").count() == 30    # cold key, no lookup row
