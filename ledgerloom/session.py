@@ -1,13 +1,15 @@
 """Session settings for tests and the benchmark, and the checkpoint folder.
 
 On a cluster the session comes from the platform; jobs here only read
-``spark.checkpoint.dir`` from it and set one (a scratch folder) when it is
-unset, as in local tests.
+``spark.checkpoint.dir`` from it, and fail when it is unset. Local runs and
+tests get a scratch folder.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,9 +35,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster
-    (``spark.checkpoint.dir``); a scratch folder only when none is
-    configured (local runs and tests). Works on Spark Connect too, where
-    only the session conf is reachable."""
+    (``spark.checkpoint.dir``). Only a local master without that setting
+    gets a scratch folder, removed when Python exits; elsewhere each executor
+    would write to its own disk, so a missing setting is an error. Works on
+    Spark Connect too, where only the session conf is reachable."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext on the client
@@ -44,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
