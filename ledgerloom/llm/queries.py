@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, packing, quality_rules, sharding, warc
+from ledgerloom.llm import chat_format, packing, quality_classifier, quality_rules, sharding, warc
 from ledgerloom.llm.common import scratch_path
 from ledgerloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -63,4 +63,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"), "row_number"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op7_sharding)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select("doc_id", "_quality.expected_grade",
+                                                        "_quality.tail_probability", "_quality.kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op7_sharding, op9_quality_classifier)}
