@@ -81,44 +81,45 @@ def base_failed(c: Column) -> Column:
     return short | repeats
 
 
-def host_verdicts(counted: DataFrame, host: Column, counts: Column, host_limit: float) -> DataFrame:
-    """host, rejected: one row per host."""
-    per = counted.groupBy(host.alias("host")).agg(
+def rejected_hosts(measured: DataFrame, host_col: str, host_limit: float) -> DataFrame:
+    """The hosts whose shrunk rate of some rule exceeds the limit."""
+    per = stored(measured.groupBy(F.col(host_col).alias("host")).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(r.cast("double")).alias(name) for r, name in zip(_rules(counts), RULES, strict=True)])
-    per = stored(per, "hosts")
-    # one row each, as scalar subqueries: the sums, then the moments about the mean
-    sums = per.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"),
-                            *[F.sum(name).alias(name) for name in RULES])).scalar()
+        *[F.sum(r.cast("double")).alias(name) for r, name in zip(_rules(F.col("_rules")), RULES, strict=True)]), "hosts")
+    # one row each: the sums over all hosts, then the moments about the means
+    sums = per.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.count(F.lit(1)).alias("hosts"),
+                   *[F.sum(name).alias(name) for name in RULES]).first()
+    if not sums["n"]:
+        return per.select("host")
     mean = {name: sums[name] / sums["n"] for name in RULES}
-    spread = per.agg(F.struct(*[
-        (F.sum(F.col("n") * F.pow(F.col(name) / F.col("n") - mean[name], F.lit(2.0))) / F.sum("n")).alias(name)
-        for name in RULES])).scalar()
-
+    spread = per.agg(*[(F.sum(F.col("n") * F.pow(F.col(name) / F.col("n") - mean[name], F.lit(2.0)))
+                        / sums["n"]).alias(name) for name in RULES]).first()
     rejected = F.lit(False)
     for name in RULES:
-        m, noise = mean[name], mean[name] * (1 - mean[name])
+        noise = mean[name] * (1 - mean[name])
         between = spread[name] - noise * (sums["hosts"] - 1) / sums["n"]
-        strength = (F.when(between <= 0, F.lit(1e6))
-                    .otherwise(F.least(F.lit(1e6), F.greatest(F.lit(1.0), noise / between - 1))))
-        rejected = rejected | ((F.col(name) + m * strength) / (F.col("n") + strength) > host_limit)
-    return per.select("host", rejected.alias("rejected"))
-
-
-def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """``df`` with the struct ``_rules`` (counts) and the booleans
-    ``_base_failed`` and ``_kept``."""
-    counted = df.withColumn("_rules", rule_counts(F.col(text_col).cast("string")))
-    narrow = df.select(F.col(host_col).alias("_host"), rule_counts(F.col(text_col).cast("string")).alias("_rules"))
-    bad = stored(host_verdicts(narrow, F.col("_host"), F.col("_rules"), host_limit)
-                 .filter("rejected").select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")), "bad-hosts")
+        strength = 1e6 if between <= 0 else min(1e6, max(1.0, noise / between - 1))
+        rejected = rejected | ((F.col(name) + mean[name] * strength) / (F.col("n") + strength) > host_limit)
+    return per.filter(rejected).select("host")
+
+
+def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the struct ``_rules`` of its text's counts."""
+    return df.withColumn("_rules", rule_counts(F.col(text_col).cast("string")))
+
+
+def judge(measured: DataFrame, host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
+    """A measured table with the booleans ``_base_failed`` and ``_kept``. It
+    is read twice, for the hosts and for the documents."""
+    bad = stored(rejected_hosts(measured, host_col, host_limit)
+                 .select(F.col("host").alias("_bad_host"), F.lit(True).alias("_bad")), "bad-hosts")
     # few hosts are rejected: the planner broadcasts them below its threshold, else both sides are shuffled
-    return (counted.join(bad, F.col(host_col).eqNullSafe(F.col("_bad_host")), "left")
+    return (measured.join(bad, F.col(host_col).eqNullSafe(F.col("_bad_host")), "left")
             .withColumn("_base_failed", base_failed(F.col("_rules")))
             .withColumn("_kept", ~F.col("_base_failed") & F.col("_bad").isNull())
             .drop("_bad", "_bad_host"))
 
 
-def keep_documents(df: DataFrame, **options) -> DataFrame:
+def keep_documents(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that pass, with the columns of ``df``."""
-    return judge(df, **options).filter("_kept").select(*df.columns)
+    return judge(measure(df, text_col), **options).filter("_kept").select(*df.columns)

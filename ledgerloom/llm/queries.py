@@ -6,8 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, packing, quality_classifier, quality_rules, sharding, warc
-from ledgerloom.llm.common import scratch_path
+from ledgerloom.llm import (
+    chat_format,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    warc,
+)
+from ledgerloom.llm.common import scratch_path, stored
 from ledgerloom.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -35,7 +42,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counts = [F.col(f"_rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return quality_rules.judge(docs).select("doc_id", *counts, F.col("_base_failed").alias("base_failed"),
+    measured = stored(quality_rules.measure(docs).drop("text"), "rules")  # texts are read once
+    return quality_rules.judge(measured).select("doc_id", *counts, F.col("_base_failed").alias("base_failed"),
                                             F.col("_kept").alias("kept"))
 
 
@@ -70,4 +78,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                         "_quality.tail_probability", "_quality.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op7_sharding, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format,
+                                  op7_sharding, op9_quality_classifier)}
