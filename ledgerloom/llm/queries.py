@@ -11,7 +11,9 @@ from ledgerloom.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    sentencepiece_fst,
     sharding,
+    token_counts,
     warc,
 )
 from ledgerloom.llm.common import scratch_path, stored
@@ -65,12 +67,25 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "formatted_chars")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (sentencepiece_fst.encode(docs, check="round_trip")
+            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.shard_rows(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "row_number"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -78,5 +93,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                         "_quality.tail_probability", "_quality.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format,
-                                  op7_sharding, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op5_sentencepiece,
+                                  op7_sharding, op8_token_counts, op9_quality_classifier)}
