@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     chat_format,
+    learned_ann,
     packing,
     quality_classifier,
     quality_rules,
@@ -73,6 +74,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip"))
 
 
+def op6_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                              F.col("vec_id") % 100 == 0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.shard_rows(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -94,4 +100,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op5_sentencepiece,
-                                  op7_sharding, op8_token_counts, op9_quality_classifier)}
+                                  op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier)}
