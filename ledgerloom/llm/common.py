@@ -63,3 +63,57 @@ def numbered(df: DataFrame, id_col: str, order: list[str], out: str, by: list[st
     return (d.withColumn("_in", F.row_number().over(inside)).join(offsets, same)
             .withColumn(out, F.col("_offset") + F.col("_in") - 1)
             .drop("_mix", "_cell", "_in", "_offset", "_of_cell", *[f"_by_{c}" for c in by]))
+
+
+#: A filter of ids is a bitmap of this many bits, in words of 64, whatever
+#: the number of ids: the words it is broadcast as never exceed BITS / 64 rows.
+BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, col: str) -> DataFrame:
+    """The bitmap (word, bits) of hashed ids, combined before the shuffle."""
+    at = F.pmod(F.xxhash64(col), F.lit(BITS))
+    return stored(ids.select(F.shiftright(at, 6).alias("word"), F.expr(
+        f"shiftleft(1L, cast(pmod(xxhash64(`{col}`), {BITS}) % 64 AS int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")), "id-filter")
+
+
+def split_by_filter(df: DataFrame, col: str, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be among the ids of the filter, and rows whose id
+    is surely not. Only the former need a join with them, so the others'
+    texts are never shuffled."""
+    at = F.pmod(F.xxhash64(col), F.lit(BITS))
+    w = words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    d = df.join(F.broadcast(w), F.shiftright(at, 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64(`{col}`), {BITS}) % 64 AS int)) & 1 = 1"),
+                     F.lit(False))
+    return d.filter(hit).drop("_word", "_bits"), d.filter(~hit).drop("_word", "_bits")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): for every node of the links (a, b) the smallest node it
+    reaches. Each round hooks every label to its smallest neighbour, follows
+    the hooks to their roots by pointer jumping, and contracts the links to
+    the labels; rounds are logarithmic and only narrow rows move."""
+    edges = stored(links.select("a", "b").filter("a <> b")
+                   .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                           .alias("e")).select("e.*").distinct(), "links")
+    labels = stored(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
+    while not edges.isEmpty():
+        up = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+                    .select("node", F.least("node", "b").alias("up")), "hooks")
+        while True:
+            over = up.select(F.col("node").alias("mid"), F.col("up").alias("top"))
+            jumped = stored(up.join(over, up["up"] == over["mid"])
+                            .select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")),
+                            "hooks")
+            up = jumped.select("node", "up")
+            if jumped.filter("moved").isEmpty():
+                break
+        hook = up.select(F.col("node").alias("label"), "up")
+        labels = stored(labels.join(hook, "label", "left")
+                        .select("node", F.coalesce("up", "label").alias("label")), "labels")
+        edges = stored(edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
+                       .join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
+                       .filter("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct(), "links")
+    return labels

@@ -92,4 +92,31 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM named)
 """
 
-ORACLES: dict[str, str] = {"op2_warc": WARC, "op3_quality_rules": QUALITY_RULES, "op4_chat_format": CHAT_FORMAT}
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i+4] END AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": WARC, "op3_quality_rules": QUALITY_RULES, "op4_chat_format": CHAT_FORMAT,
+                           "op10_jaccard_join": JACCARD_JOIN}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     chat_format,
+    jaccard_join,
     learned_ann,
     packing,
     quality_classifier,
@@ -99,5 +100,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                         "_quality.tail_probability", "_quality.kept")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.group_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = lambda c: F.when(F.col(c) < jaccard_join.NULL_ID, F.col(c))
+    return found.select(own("node").alias("doc_id"), "n_shingles", own("component").alias("component_id"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op5_sentencepiece,
-                                  op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier)}
+                                  op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier, op10_jaccard_join)}
