@@ -315,9 +315,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     losers = found.filter("node <> component").select("node", F.lit(True).alias("_out"))
     twice = found.groupBy("node").count().filter("count > 1").select("node", F.lit(False).alias("_out"))
     decided = stored(losers.unionByName(twice).groupBy("node").agg(F.max("_out").alias("_out")), "decided")
-    maybe, plain = split_by_filter(df.withColumn("_node", node), "_node", id_filter(decided, "node"))
-    d = decided.withColumnRenamed("node", "_decided")
-    checked = maybe.join(d, F.col("_node") == F.col("_decided"), "left").drop("_decided")
-    once = checked.filter("NOT _out").dropDuplicates(["_node"])
-    return (plain.select(*df.columns).unionByName(checked.filter("_out IS NULL").select(*df.columns))
-            .unionByName(once.select(*df.columns)))
+    rows = df.select(F.struct("*").alias("row"), node.alias("node"))
+    maybe, plain = split_by_filter(rows, "node", id_filter(decided, "node"))
+    checked = maybe.join(decided.withColumnRenamed("node", "decided"), F.col("node") == F.col("decided"), "left")
+    once = checked.filter("NOT _out").dropDuplicates(["node"])
+    return (plain.select("row.*").unionByName(checked.filter("_out IS NULL").select("row.*"))
+            .unionByName(once.select("row.*")))

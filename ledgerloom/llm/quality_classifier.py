@@ -204,9 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return OrdinalModel({f: float(x) for f, x in zip(best, w, strict=True) if x}, tuple(map(float, theta)))
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_tail: float = 0.5) -> DataFrame:
-    """``docs`` with the struct ``_quality``: score, expected_grade,
-    tail_probability, kept."""
+def rating(text: Column, model: OrdinalModel, min_tail: float = 0.5) -> Column:
+    """Struct of a text: score, expected_grade, tail_probability, kept."""
     kinds = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("expected_grade", T.DoubleType()),
                           T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
@@ -219,9 +218,11 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_tail
             yield pd.DataFrame({"score": s, "expected_grade": one + two, "tail_probability": two,
                                 "kept": two >= min_tail})
 
-    return docs.withColumn("_quality", rate(F.col(text_col).cast("string")))
+    return rate(text.cast("string"))
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the classifier selects, with its columns."""
-    return score(docs, fit(docs, labels, **options)).filter("_quality.kept").select(*docs.columns)
+    model = fit(docs, labels, text_col=text_col, **options)
+    return (docs.select(F.struct("*").alias("row"), rating(F.col(text_col), model).alias("rated"))
+            .filter("rated.kept").select("row.*"))

@@ -120,6 +120,9 @@ def judge(measured: DataFrame, host_col: str = "source", host_limit: float = 0.5
             .drop("_bad", "_bad_host"))
 
 
-def keep_documents(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def keep_documents(df: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5
+                   ) -> DataFrame:
     """The rows of ``df`` that pass, with the columns of ``df``."""
-    return judge(measure(df, text_col), **options).filter("_kept").select(*df.columns)
+    measured = df.select(F.struct("*").alias("row"), F.col(host_col).alias("host"),
+                         rule_counts(F.col(text_col).cast("string")).alias("_rules"))
+    return judge(measured, "host", host_limit).filter("_kept").select("row.*")

@@ -96,8 +96,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).select("doc_id", "_quality.expected_grade",
-                                                        "_quality.tail_probability", "_quality.kept")
+    return (docs.select("doc_id", quality_classifier.rating(F.col("text"), model).alias("r"))
+            .select("doc_id", "r.expected_grade", "r.tail_probability", "r.kept"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

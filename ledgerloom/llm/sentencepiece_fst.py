@@ -177,8 +177,10 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", model: str =
                 for (ids, same), part in zip(done, (texts.slice(i, ROWS) for i in range(0, len(texts), ROWS)),
                                              strict=True)] or [pa.array([], type=to_arrow_type(kinds))])
 
-    found = df.withColumn("_encoded", run(F.col(text_col).cast("string"))).withColumn(out, F.col("_encoded.ids"))
-    return (found.withColumn(check, F.col("_encoded.same")) if check else found).drop("_encoded")
+    rows = df.drop(out, check or out)
+    found = rows.select(F.struct("*").alias("row"), run(F.col(text_col).cast("string")).alias("done"))
+    extra = [F.col("done.same").alias(check)] if check else []
+    return found.select("row.*", F.col("done.ids").alias(out), *extra)
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:

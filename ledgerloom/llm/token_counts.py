@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.common import stored
 from ledgerloom.llm.sentencepiece_fst import model_path
 from ledgerloom.llm.token_lattice import TokenLattice, compiled, sum_lists, words_of
 
@@ -214,11 +215,12 @@ def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", m
             yield pd.Series([fst.compose((m["front"], m["inside"], m["behind"]) for m in maps) for maps in batch],
                             dtype="int64")
 
-    short = df.filter(F.length(text) <= chunk).withColumn(out, whole(text))
-    # a long text's chunks are dealt to all tasks; its text stays behind, found again by the row's number
-    long_rows = (df.filter(F.length(text) > chunk).withColumn("_row", F.monotonically_increasing_id()))
-    chunks = long_rows.select("_row", F.posexplode(cut(text)).alias("_at", "_chunk")).repartition("_row", "_at")
-    counted = (chunks.select("_row", "_at", state_map("_chunk").alias("_map"))
-               .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "_map"))).alias("_maps"))
-               .select("_row", compose(F.transform("_maps", lambda m: m["_map"])).alias(out)))
-    return short.unionByName(long_rows.join(counted, "_row").drop("_row"))
+    rows = df.drop(out).select(F.struct("*").alias("row"), text.alias("text"))
+    short = rows.filter(F.length("text") <= chunk).select("row.*", whole("text").alias(out))
+    # a long text's chunks are dealt to all tasks; its row stays behind, found again by a number
+    long_rows = stored(rows.filter(F.length("text") > chunk).withColumn("id", F.monotonically_increasing_id()), "long")
+    chunks = long_rows.select("id", F.posexplode(cut("text")).alias("at", "chunk")).repartition("id", "at")
+    counted = (chunks.select("id", "at", state_map("chunk").alias("map"))
+               .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "map"))).alias("maps"))
+               .select("id", compose(F.transform("maps", lambda m: m["map"])).alias("count")))
+    return short.unionByName(long_rows.join(counted, "id").select("row.*", F.col("count").alias(out)))
