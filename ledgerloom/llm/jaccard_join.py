@@ -116,7 +116,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append([])
                 continue
             with np.errstate(over="ignore"):
-                least = np.array([_scramble(s ^ seed).min() for seed in seeds])
+                least = np.array([_scramble(s ^ seed).min() for seed in seeds], dtype=np.uint64)
                 pairs = _scramble(least[0::2] * _MIX[3] + least[1::2]) + np.arange(KEYS, dtype=np.uint64)
             keys.append(pairs.view(np.int64).tolist())
         none = lambda n, t: pa.nulls(n, t)
