@@ -48,6 +48,7 @@ from ledgerloom.llm.common import components, id_filter, split_by_filter, stored
 
 SHINGLE, PERCENT = 5, 75
 KEYS, HOT, HOT_MIN = 6, 65_536, 24
+SLICE = 4 << 20
 NULL_ID = 1 << 62
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F)]
@@ -88,6 +89,18 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield w[:0]
 
 
+def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text: what a task holds at once
+    doesn't depend on the size of a batch."""
+    upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(upto):
+        past = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, past + limit, side="right")))
+        yield begin, end
+        begin = end
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if not len(a) or not len(b):
         return False
@@ -105,32 +118,37 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the shingles met twice or more."""
     schema = pa.schema([("node", pa.int64()), ("class", pa.binary()), ("n", pa.int64()),
                         ("keys", pa.list_(pa.int64())), ("often", pa.int64()), ("times", pa.int64())])
-    seeds = np.array([(i * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64 for i in range(1, 2 * KEYS + 1)], dtype=np.uint64)
+    seeds = [np.uint64((i * 0x9E3779B97F4A7C15 + 0x1234566) % 2**64 | 1) for i in range(1, 2 * KEYS + 1)]
+    none = pa.nulls
     for batch in batches:
-        node, classes, sizes, keys, all_sets = batch.column("node"), [], [], [], []
-        for s in shingle_sets(batch.column("text")):
-            classes.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sizes.append(len(s))
-            all_sets.append(s)
-            if not len(s):
-                keys.append([])
-                continue
-            with np.errstate(over="ignore"):
-                least = np.array([_scramble(s ^ seed).min() for seed in seeds], dtype=np.uint64)
-                pairs = _scramble(least[0::2] * _MIX[3] + least[1::2]) + np.arange(KEYS, dtype=np.uint64)
-            keys.append(pairs.view(np.int64).tolist())
-        none = lambda n, t: pa.nulls(n, t)
-        n = len(sizes)
-        yield pa.RecordBatch.from_arrays([node, pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()),
-                                          pa.array(keys, pa.list_(pa.int64())), none(n, pa.int64()),
-                                          none(n, pa.int64())], schema=schema)
-        if all_sets:
-            shingles, times = np.unique(np.concatenate(all_sets), return_counts=True)
-            shingles, times = shingles[times > 1], times[times > 1]
-            m = len(shingles)
+        often, times = [], []
+        for begin, end in slices(batch.column("text")):
+            sets = list(shingle_sets(batch.column("text").slice(begin, end - begin)))
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            n, full = len(sets), np.flatnonzero(sizes)
+            flat = np.concatenate(sets) if n else np.zeros(0, dtype=np.uint64)
+            keys: list = [[]] * n
+            if len(full) and KEYS:
+                first = np.concatenate([[0], np.cumsum(sizes[full])])[:-1]
+                with np.errstate(over="ignore"):
+                    least = np.array([np.minimum.reduceat(flat * seed, first) for seed in seeds])
+                    pairs = _scramble(least[0::2] * _MIX[3] + least[1::2]).view(np.int64).T.tolist()
+                for i, k in zip(full, pairs, strict=True):
+                    keys[i] = k
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(begin, n),
+                 pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(sizes),
+                 pa.array(keys, pa.list_(pa.int64())), none(n, pa.int64()), none(n, pa.int64())], schema=schema)
+            seen, count = np.unique(flat, return_counts=True)
+            often.append(seen[count > 1])
+            times.append(count[count > 1])
+        if often:
+            met = pd.Series(np.concatenate(times)).groupby(np.concatenate(often)).sum()
+            m = len(met)
             yield pa.RecordBatch.from_arrays(
                 [none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), none(m, pa.list_(pa.int64())),
-                 pa.array(shingles.view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
+                 pa.array(met.index.to_numpy(dtype=np.uint64).view(np.int64)),
+                 pa.array(met.to_numpy(dtype=np.int64))], schema=schema)
 
 
 def _matrix_rows(hot: np.ndarray):
@@ -142,73 +160,102 @@ def _matrix_rows(hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group, node = batch.column("label").to_numpy(), batch.column("node").to_numpy()
-            found, at, sizes = [], [], []
-            for i, s in enumerate(shingle_sets(batch.column("text"))):
-                if not len(s):
-                    continue
-                first = len(s) - -(-PERCENT * len(s) // 100) + 1
-                if len(values):
-                    place = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    is_hot = values[place] == s
-                    if is_hot.any():
-                        late = np.argsort(by_value[place[is_hot]], kind="stable")
-                        s = np.concatenate([s[~is_hot], s[is_hot][late]])
-                found.append(s[:first])
-                at.append(np.full(first, i))
-                sizes.append(np.full(first, len(s)))
-            if found:
-                at = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(group[at]), pa.array(node[at]),
-                     pa.array(np.concatenate(sizes).astype(np.int64))], names=["shingle", "label", "node", "n"])
+            for begin, end in slices(batch.column("text")):
+                found, at, sizes = [], [], []
+                for i, s in enumerate(shingle_sets(batch.column("text").slice(begin, end - begin)), begin):
+                    if not len(s):
+                        continue
+                    first = len(s) - -(-PERCENT * len(s) // 100) + 1
+                    if len(values):
+                        place = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                        is_hot = values[place] == s
+                        if is_hot.any():
+                            late = np.argsort(by_value[place[is_hot]], kind="stable")
+                            s = np.concatenate([s[~is_hot], s[is_hot][late]])
+                    found.append(s[:first])
+                    at.append(i)
+                    sizes.append(len(s))
+                if found:
+                    firsts = [len(f) for f in found]
+                    at = np.repeat(at, firsts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(found).view(np.int64)), pa.array(group[at]), pa.array(node[at]),
+                         pa.array(np.repeat(np.array(sizes, dtype=np.int64), firsts))],
+                        names=["shingle", "label", "node", "n"])
     return run
 
 
-def _group_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of groups that share shingles, counted; rows come sorted by
-    shingle and group."""
-    rest = None
-
-    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        each = rows.groupby(["shingle", "label"], sort=False).agg(
-            node=("node", "min"), low=("n", "min"), high=("n", "max")).reset_index()
-        each = each[each.duplicated("shingle", keep=False)]
-        out = []
-        for _, g in each.groupby("shingle", sort=False):
-            g = g.sort_values("label")
-            label, node, low, high = (g[c].to_numpy() for c in ("label", "node", "low", "high"))
-            for i in range(len(g) - 1):
-                fits = ((100 * high[i + 1:] >= PERCENT * low[i]) & (100 * high[i] >= PERCENT * low[i + 1:])).nonzero()[0]
-                j = fits + i + 1
-                if len(j):
-                    out.append(np.vstack([np.full(len(j), label[i]), label[j], np.full(len(j), node[i]), node[j],
-                                          np.full(len(j), low[i]), low[j], np.maximum(high[i], high[j])]))
-                if sum(x.shape[1] for x in out[-512:]) > 200_000:
-                    yield counted(out)
-                    out = []
-        if out:
-            yield counted(out)
-
-    def counted(out: list[np.ndarray]) -> pd.DataFrame:
-        p = pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "node_a", "node_b", "low_a", "low_b", "high"])
-        return (p.groupby(["a", "b"], sort=False)
-                .agg(shared=("node_a", "size"), node_a=("node_a", "min"), node_b=("node_b", "min"),
-                     low_a=("low_a", "min"), low_b=("low_b", "min"), high=("high", "max")).reset_index())
+_PAIR = ("a", "b", "shared", "node_a", "node_b", "low_a", "low_b", "high")
+_FLUSH = 500_000
+
+
+def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups that share shingles, with the number shared; rows come
+    sorted by shingle and group. Runs of a shingle are paired at distance 1,
+    2, ... in one step for all of them, and counted before they leave."""
+    made: list[np.ndarray] = []  # rows of _PAIR
+    rest = np.zeros((4, 0), dtype=np.int64)
+
+    def counted() -> pa.RecordBatch:
+        p = np.concatenate(made, axis=1)
+        made.clear()
+        p = p[:, np.lexsort((p[1], p[0]))]
+        first = np.flatnonzero(np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])]))
+        how = (np.minimum, np.minimum, np.add, np.minimum, np.minimum, np.minimum, np.minimum, np.maximum)
+        return pa.RecordBatch.from_arrays([pa.array(f.reduceat(c, first)) for f, c in zip(how, p, strict=True)],
+                                          names=list(_PAIR))
+
+    def pair(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle = rows[0]
+        if len(shingle) < 2:
+            return
+        same = shingle[1:] == shingle[:-1]
+        rows = rows[:, np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        if not rows.shape[1]:
+            return
+        # one row for each shingle and group: its smallest node, its least and greatest set
+        new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+        first = np.flatnonzero(new)
+        shingle, label = rows[0, first], rows[1, first]
+        node, low, high = (np.minimum.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first),
+                           np.maximum.reduceat(rows[3], first))
+        i, step = np.arange(len(first)), 1
+        while True:
+            i = i[i + step < len(first)]
+            i = i[shingle[i] == shingle[i + step]]
+            if not len(i):
+                return
+            j = i + step
+            fits = (100 * high[j] >= PERCENT * low[i]) & (100 * high[i] >= PERCENT * low[j])
+            x, y = i[fits], j[fits]
+            if len(x):
+                made.append(np.array([label[x], label[y], np.ones(len(x), dtype=np.int64), node[x], node[y], low[x],
+                                      low[y], np.maximum(high[x], high[y])]))
+                if sum(m.shape[1] for m in made) > _FLUSH:
+                    yield counted()
+            step += 1
 
     for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if rows.empty:
+        rows = np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in ("shingle", "label", "node", "n")],
+                                              dtype=np.int64)], axis=1)
+        if not rows.shape[1]:
             continue
-        last = rows["shingle"] == rows["shingle"].iloc[-1]
-        rest = rows[last]
-        yield from pairs(rows[~last])
-    if rest is not None:
-        yield from pairs(rest)
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last shingle may go on
+        yield from pair(rows[:, :cut])
+        rest = rows[:, cut:]
+    yield from pair(rest)
+    if made:
+        yield counted()
 
 
 @F.arrow_udf(T.BooleanType())
 def _texts_linked(left: pa.Array, right: pa.Array) -> pa.Array:
-    return pa.array([linked(a, b) for a, b in zip(shingle_sets(left), shingle_sets(right), strict=True)], pa.bool_())
+    out = []
+    for begin, end in slices(left):
+        n = end - begin
+        out.extend(linked(a, b) for a, b in zip(shingle_sets(left.slice(begin, n)), shingle_sets(right.slice(begin, n)),
+                                                strict=True))
+    return pa.array(out, pa.bool_())
 
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -274,8 +321,7 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .unionByName(plain.select("node", F.col("node").alias("label"), "text")))
     matrix = (texts.mapInArrow(_matrix_rows(hot), "shingle long, label long, node long, n long")
               .repartition("shingle").sortWithinPartitions("shingle", "label"))
-    counted = (matrix.mapInPandas(_group_pairs, "a long, b long, shared long, node_a long, node_b long, low_a long, "
-                                                "low_b long, high long")
+    counted = (matrix.mapInArrow(_group_pairs, ", ".join(f"{c} long" for c in _PAIR))
                .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("node_a").alias("node_a"),
                                       F.min("node_b").alias("node_b"), F.min("low_a").alias("low_a"),
                                       F.min("low_b").alias("low_b"), F.max("high").alias("high")))
