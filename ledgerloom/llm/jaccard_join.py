@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import components, id_filter, split_by_filter, stored
+from ledgerloom.llm.common import arrow_rows, components, id_filter, split_by_filter, stored
 
 SHINGLE, PERCENT = 5, 75
 KEYS, HOT, HOT_MIN = 6, 65_536, 24
@@ -268,7 +268,8 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = stored(maybe.join(nodes, "node", "left_semi"), "pair-texts")
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
-    return stored(both.filter(_texts_linked("text_a", "text_b")).select("a", "b").distinct(), "verified")
+    with arrow_rows(docs.sparkSession, 500):
+        return stored(both.filter(_texts_linked("text_a", "text_b")).select("a", "b").distinct(), "verified")
 
 
 def _least_sizes(n: str = "n", m: str = "m") -> str:
