@@ -5,20 +5,20 @@ every row of a key to one task; a key holding a third of the data would
 serialize the job. ``running_sum`` splits each key's ordered rows into
 buckets that follow the order: a (key, day) is one bucket, unless it holds
 more than T rows (T = sqrt of all rows, a scalar subquery in the plan);
-then it is cut into ceil(rows / T) id ranges. So
+then it is cut at CUTS quantiles of its ids, so its buckets hold equal
+counts whatever the gaps between ids. So
 
-1. per (key, day) row counts and id ranges (``groupBy``, partial
-   aggregation); the hot days among them (fewer than sqrt(N)) are
-   broadcast with their bucket width;
+1. per (key, day) row counts, and the quantiles of the ids of the hot days
+   (partial aggregates); the hot days (fewer than sqrt(N), and at most N / T
+   rows of a fixed width) are broadcast with their cuts;
 2. per (key, bucket) partial sums, then an exclusive prefix of the bucket
-   sums per key: a window over at most ``days + rows_of_key / T`` rows;
-3. the running sum inside each (key, bucket) (about T rows when a day was
-   cut), hash-spread over tasks;
-
-and (2) + (3) is the running sum. A key holding a third of all rows, on
-one day or spread over years, never puts more than about ``days + sqrt(N)``
-rows in one window partition. The order (day, tiebreak...) must be total
-within a key and end with an integral id. Buckets come from the data, so a
+   sums per key: a window over at most ``days + CUTS`` rows a hot day;
+3. the running sum inside each (key, bucket), hash-spread over tasks;
+
+and (2) + (3) is the running sum. No window partition of rows holds more
+than T rows or about twice a CUTS-th of a day. The order (day, tiebreak...)
+must be total within a key and end with an integral id; NULL keys, days and
+tie-breakers are kept (NULL sorts first). Buckets come from the data, so a
 recomputed task (lost executor) gets the same buckets.
 """
 
@@ -28,36 +28,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that a hot day is cut into.
+CUTS = 256
+
+
 def running_sum(df: DataFrame, key: str, day: str, tiebreak: list[str], value: str, out: str,
                 rows_per_bucket: int | None = None) -> DataFrame:
     *prefix, last = tiebreak
-    days = df.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"), F.min(last).alias("_lo"),
-                                    F.max(last).alias("_hi"))
+    days = df.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"))
     # T = sqrt(N), from the day counts (no second pass over the rows)
     target = (F.lit(float(rows_per_bucket)) if rows_per_bucket else
               days.agg(F.greatest(F.lit(1.0), F.sqrt(F.sum("_n"))).alias("t")).scalar())
-    # Only hot days (more than T rows) are cut into id ranges. There are
-    # fewer than N / T = sqrt(N) of them, a proven bound, so they are
-    # broadcast to the rows: the big side is never shuffled for this lookup.
-    hot = (days.filter(F.col("_n") > target)
-           .select(key, day, "_lo", F.greatest(F.lit(1.0), F.ceil((F.col("_hi") - F.col("_lo") + 1)
-                                                                  / F.ceil(F.col("_n") / target))).alias("_width")))
-    bucket = [day, *prefix, "_b"]
+    hot = days.filter(F.col("_n") > target).select(F.col(key).alias("_hk"), F.col(day).alias("_hd"))
+    same = df[key].eqNullSafe(F.col("_hk")) & df[day].eqNullSafe(F.col("_hd"))
+    # The cuts of hot days only. There are fewer than N / T = sqrt(N) such
+    # days, each with CUTS ids, so the rows are never shuffled for them.
+    shares = [i / CUTS for i in range(1, CUTS)]
+    cuts = (df.join(F.broadcast(hot), same).groupBy("_hk", "_hd")
+            .agg(F.percentile_approx(last, shares, 20 * CUTS).alias("_cuts")))
     # Explicit hash exchange on the whole bucket key, shared by the per-bucket
     # aggregate and window (a layout inherited from an earlier (key, day)
     # exchange would satisfy them and keep a hot day in one task).
-    d = (df.join(F.broadcast(hot), [key, day], "left")
-         .withColumn("_b", F.when(F.col("_width").isNull(), F.lit(0))
-                     .otherwise(F.floor((F.col(last) - F.col("_lo")) / F.col("_width"))))
-         .drop("_lo", "_width")
+    bucket = [day, *prefix, "_b"]
+    d = (df.join(F.broadcast(cuts), same, "left")
+         .withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col(last))), F.lit(0)))
+         .drop("_cuts", "_hk", "_hd")
          .repartition(key, *bucket))
     sums = d.groupBy(key, *bucket).agg(F.sum(value).alias("_bucket_sum"))
     w_buckets = Window.partitionBy(key).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(sums.schema["_bucket_sum"].dataType)
-    offsets = sums.select(key, *bucket, F.coalesce(F.sum("_bucket_sum").over(w_buckets), zero).alias("_offset"))
-    w_in = (Window.partitionBy(key, *bucket).orderBy(day, *tiebreak)
+    keys = [key, *bucket]
+    offsets = sums.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
+                          F.coalesce(F.sum("_bucket_sum").over(w_buckets), zero).alias("_offset"))
+    w_in = (Window.partitionBy(*keys).orderBy(day, *tiebreak)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = d.withColumn("_in_bucket", F.sum(value).over(w_in))
-    return (inner.join(offsets, [key, *bucket])
-            .withColumn(out, F.col("_offset") + F.col("_in_bucket"))
-            .drop("_offset", "_in_bucket", "_b"))
+    inner = d.withColumn("_in_bucket", F.coalesce(F.sum(value).over(w_in), zero))
+    match = F.lit(True)
+    for k in keys:
+        match = match & inner[k].eqNullSafe(F.col(f"_o_{k}"))
+    return (inner.join(offsets, match).withColumn(out, F.col("_offset") + F.col("_in_bucket"))
+            .drop("_offset", "_in_bucket", "_b", *[f"_o_{k}" for k in keys]))

@@ -1,22 +1,31 @@
 """Structured Streaming forms of the reference's event handlers.
 
-* :func:`ledger_daily_stream` - daily in/out/net of an arriving ledger;
-  event time is the day, late rows beyond the watermark are dropped; append
-  mode emits a day once the watermark passes it.
+All of them are built-in aggregations whose state holds one small row per
+key and no watermark, so a posting counts however late it arrives:
+
+* :func:`ledger_daily_totals` - daily in/out of an arriving ledger (one
+  state row per calendar day);
 * :func:`ledger_dedup_stream` - one posting per (source_table, source_id)
-  (fixes Q9) with ``dropDuplicatesWithinWatermark``; manual rows have no
-  source and bypass it.
-* :func:`order_fulfilment_stream` - running paid per order kept in state
-  (``applyInPandasWithState``), emitting an order once when it reaches its
-  price; the emitted flag lives in state, so nothing is emitted twice and
-  the sink never has to be re-read.
-
-All state lives in the checkpoint folder, so a lost executor or a restarted
+  for all time (fixes Q9; one state row per source); manual rows have no
+  source and bypass it;
+* :func:`order_paid_totals` - the running paid sum of every order, whatever
+  its status; a hot order is summed in every task before its state.
+
+Sums leave in update mode through :func:`upsert_sink`: each micro-batch
+writes the rows it changed under its own batch folder, and
+:func:`latest` reads the last version of each key. A batch that is run again
+after a failure overwrites its folder, so results are exactly-once.
+Status and price of orders are applied when fulfilments are emitted
+(:func:`emit_fulfilled`), so payments made before an order is active count.
+
+State lives in the checkpoint folder, so a lost executor or a restarted
 driver resumes from the last committed batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,116 +54,78 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return r.parquet(path)
 
 
-def _event_time(df: DataFrame) -> DataFrame:
-    # the day as a timestamp: the watermark needs a timestamp column
-    return df.withColumn("ts", F.col("transaction_date").cast("timestamp"))
-
-
-def ledger_daily_stream(ledger: DataFrame, watermark: str = "3 days") -> DataFrame:
-    """Per day: in, out, net over a 1-day tumbling event-time window; append
-    mode emits a day (and drops its state) once the watermark passes the
-    window's end. The calendar day is a second grouping key: each day falls
-    in exactly one window, and the date stays right whatever the session
-    time zone (the window itself is aligned to UTC)."""
-    s = _event_time(ledger).withWatermark("ts", watermark)
-    i = F.sum(F.when(F.col("direction") == "inflow", F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    o = F.sum(F.when(F.col("direction") == "outflow", F.col("amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    agg = s.groupBy(F.window("ts", "1 day"), "transaction_date").agg(i.alias("i"), o.alias("o"))
-    return agg.select(F.col("transaction_date").alias("date"), money("i").alias("in"), money("o").alias("out"),
-                      money(F.col("i") - F.col("o")).alias("net"))
-
-
-def ledger_dedup_stream(ledger: DataFrame, watermark: str = "3 days") -> DataFrame:
-    """Keep the first posting per source within the watermark; rows without a
-    source pass through."""
-    s = _event_time(ledger).withWatermark("ts", watermark)
-    sourced = s.filter(F.col("source_table").isNotNull()).dropDuplicatesWithinWatermark(["source_table", "source_id"])
-    manual = s.filter(F.col("source_table").isNull())
-    return sourced.unionByName(manual).drop("ts")
-
-
-FULFIL_OUT = "order_id bigint, paid_cents bigint, price_cents bigint"
-FULFIL_STATE = "paid_cents bigint, emitted boolean"
-
-
-def _fulfil_step_with_retention(retention_ms: int | None):
-    """The state step, closing over how long an emitted order's state is
-    kept before it expires."""
-
-    def step(key, batches, state):
-        """Per order and micro-batch: add this batch's payments (exact cents)
-        to the running total kept in state; emit the order the first time the
-        total reaches its price. The emitted flag stays in state, so later
-        payments never emit it again. With ``retention_ms`` the state of an
-        emitted order expires that long after its last update; by then the
-        orders table marks the order fulfilled and the stream-static join
-        no longer admits its payments. Batches arrive as an iterator of
-        Arrow chunks, so a hot order costs bounded memory."""
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        paid, emitted = (state.get if state.exists else (0, False))
-        price = None
-        for pdf in batches:
-            if len(pdf):
-                paid += int(pdf["amount_cents"].sum())
-                price = int(pdf["price_cents"].iloc[0])
-        reached = price is not None and paid >= price and not emitted
-        state.update((paid, emitted or reached))
-        if retention_ms and (emitted or reached):
-            state.setTimeoutDuration(retention_ms)
-        if reached:
-            yield pd.DataFrame({"order_id": [int(key[0])], "paid_cents": [paid], "price_cents": [price]})
-
-    return step
-
-
-def _ship_by_value() -> None:
-    """Pickle this module's functions by value, so the Python workers run
-    the state step without having ``ledgerloom`` installed (executors on a
-    cluster, or a driver started from another directory)."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def order_fulfilment_stream(payments: DataFrame, orders: DataFrame,
-                            retention_ms: int | None = None) -> DataFrame:
-    """Stream-static join for the price (orders active in the orders table,
-    re-read each micro-batch), then a stateful step per order that emits each
-    order once, when its running paid first reaches the agreed price.
-
-    ``retention_ms`` (for continuously triggered queries, e.g. 30 days)
-    expires the state of emitted orders after that much processing time, so
-    state is bounded by orders open or recently fulfilled. It needs a
-    processing-time timeout, which keeps scheduling batches, so it is off
-    for ``availableNow`` runs: there the emitted flag is kept."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    _ship_by_value()
-
-    o = orders.filter(F.col("status") == "active").select(
-        F.col("id").alias("o_id"), (F.col("agreed_price") * 100).cast("bigint").alias("price_cents"))
-    j = payments.join(o, payments.order_id == o.o_id).select(
-        "order_id", (F.col("amount") * 100).cast("bigint").alias("amount_cents"), "price_cents")
-    out = j.groupBy("order_id").applyInPandasWithState(
-        _fulfil_step_with_retention(retention_ms), FULFIL_OUT, FULFIL_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if retention_ms else GroupStateTimeout.NoTimeout)
-    return out.select("order_id", (F.col("paid_cents") / 100).alias("paid_at_emission"),
-                      (F.col("price_cents") / 100).alias("agreed_price"))
-
-
-def run_available(df: DataFrame, checkpoint: str, path: str, timeout_s: int = 600) -> None:
-    """Process everything that has arrived, then stop (``availableNow``).
-    The file sink commits each batch through its metadata log, so output
-    is exactly-once across restarts."""
-    q = (df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).format("parquet").option("path", path).start())
-    if not q.awaitTermination(timeout_s):
+def ledger_daily_totals(ledger: DataFrame) -> DataFrame:
+    """Per day: inflow and outflow so far (update mode)."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    i = F.sum(F.when(F.col("direction") == "inflow", F.col("amount")).otherwise(zero))
+    o = F.sum(F.when(F.col("direction") == "outflow", F.col("amount")).otherwise(zero))
+    return ledger.groupBy(F.col("transaction_date").alias("date")).agg(i.alias("i"), o.alias("o"))
+
+
+def daily_flows_of(totals: DataFrame) -> DataFrame:
+    return totals.select("date", money("i").alias("in"), money("o").alias("out"),
+                         money(F.col("i") - F.col("o")).alias("net"))
+
+
+def ledger_dedup_stream(ledger: DataFrame) -> DataFrame:
+    """Keep one posting per source, however far apart repeats arrive; rows
+    without a source pass through."""
+    sourced = ledger.filter(F.col("source_table").isNotNull()).dropDuplicates(["source_table", "source_id"])
+    return sourced.unionByName(ledger.filter(F.col("source_table").isNull()))
+
+
+def order_paid_totals(payments: DataFrame) -> DataFrame:
+    """Per order: the sum paid so far (update mode)."""
+    return payments.groupBy("order_id").agg(F.sum("amount").alias("paid"))
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
+    """The last version of every key an upsert sink has written."""
+    rows = spark.read.schema(schema.add("batch", T.LongType())).parquet(path)
+    values = [f.name for f in schema.fields if f.name not in keys and f.name != "batch"]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+            .select(*keys, *[F.col(f"v.{v}").alias(v) for v in values]))
+
+
+def upsert_sink(path: str, after: Callable[[DataFrame, int], None] | None = None
+                ) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch's changed rows under ``batch=<id>``; ``after``
+    then runs on the same batch."""
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if after is not None:
+            after(changed, batch)
+    return write
+
+
+EMITTED_SCHEMA = "order_id bigint, paid decimal(28,2), agreed_price decimal(18,2)"
+
+
+def emit_fulfilled(spark: SparkSession, totals: DataFrame, orders: DataFrame, out: str, step: str) -> None:
+    """Orders that are active now, paid in full and not emitted before, as a
+    new part ``step`` of the emitted table (written again if it is run again)."""
+    o = orders.filter(F.col("status") == "active").select(F.col("id").alias("order_id"), "agreed_price")
+    due = (o.join(totals, "order_id").filter(F.col("paid") >= F.col("agreed_price"))
+           .select("order_id", F.col("paid").cast("decimal(28,2)").alias("paid"), "agreed_price"))
+    fs = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+        before = spark.read.schema(f"{EMITTED_SCHEMA}, step string").parquet(out).filter(F.col("step") != step)
+        due = due.join(before.select("order_id"), "order_id", "left_anti")
+    due.write.mode("overwrite").parquet(f"{out}/step={step}")
+
+
+def run_available(df: DataFrame, checkpoint: str, path: str | None = None, sink: Callable | None = None,
+                  timeout_s: int | None = None) -> None:
+    """Process everything that has arrived, then stop (``availableNow``). The
+    file sink (``path``, append) commits each batch through its metadata
+    log; ``sink`` is a batch function of an update-mode query. It ends when
+    the backlog is done; ``timeout_s`` is a caller's own limit."""
+    w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q = (w.outputMode("update").foreachBatch(sink).start() if sink is not None
+         else w.outputMode("append").format("parquet").option("path", path).start())
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"streaming query did not finish within {timeout_s}s")
     if q.exception() is not None:

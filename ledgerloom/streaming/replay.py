@@ -1,94 +1,85 @@
 """Feed fixture tables to the streaming jobs as arriving files and run each
 arrival with ``availableNow`` on one checkpoint (FIXTURES.md section 5).
 
-Everything is written under the session's ``spark.checkpoint.dir`` (the
-shared folder on a cluster), one fresh folder per run.
+Rows arrive by ``id % ARRIVALS``, so every arrival holds dates of the whole
+range and late postings are the rule. Everything is written under the
+session's ``spark.checkpoint.dir`` (the shared folder on a cluster), one
+fresh folder per run.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.streaming import jobs
 
-# Arrival cuts of the ledger (years) and the closing sentinel day.
-LEDGER_CUTS = (1997, 1999, 2001, 2003)
-SENTINEL = dt.date(2100, 1, 1)
+ARRIVALS = 3
+DAILY = T.StructType([T.StructField("date", T.DateType()), T.StructField("i", T.DecimalType(28, 2)),
+                      T.StructField("o", T.DecimalType(28, 2))])
+PAID = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("paid", T.DecimalType(28, 2))])
 
 
 def _run_dir(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:10]}"
 
 
-def _ledger_arrivals(ledger: DataFrame, late: DataFrame | None = None) -> list[DataFrame]:
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in jobs.LEDGER_SCHEMA.fields]
-    led = ledger.select(*cols)
-    bounds = [None, *[dt.date(y, 1, 1) for y in LEDGER_CUTS], None]
-    parts = []
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("transaction_date") >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col("transaction_date") < F.lit(hi))
-        parts.append(led.filter(cond))
-    if late is not None:
-        parts.append(late.select(*cols))
-    sentinel = led.sparkSession.range(1).select(
-        F.lit(-1).cast("bigint").alias("id"), F.lit(SENTINEL).alias("transaction_date"),
-        F.lit("customer").alias("type"), F.lit("inflow").alias("direction"),
-        F.lit(0).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("bigint").alias("location_id"),
-        F.lit(None).cast("string").alias("source_table"), F.lit(None).cast("bigint").alias("source_id"),
-        F.lit(None).cast("string").alias("notes"))
-    parts.append(sentinel)
-    return parts
-
-
-def _replay(spark, arrivals: list[DataFrame], build, name: str) -> str:
-    base = _run_dir(spark, name)
-    landing, ck, out = f"{base}/in", f"{base}/ck", f"{base}/out"
-    for part in arrivals:
-        part.write.mode("append").parquet(landing)
-        stream = build(landing)
-        jobs.run_available(stream, ck, path=out)
-    return out
-
-
-def stream_ledger_daily(c, ledger: DataFrame | None = None, late: DataFrame | None = None,
-                        watermark: str = "3 days") -> DataFrame:
-    spark = c.spark
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def arrivals_of(df: DataFrame, schema: T.StructType) -> list[DataFrame]:
+    typed = _typed(df, schema)
+    at = F.coalesce(F.pmod("id", F.lit(ARRIVALS)), F.lit(0))
+    return [typed.filter(at == k) for k in range(ARRIVALS)]
+
+
+def _replay(spark, arrivals: list[DataFrame], base: str, schema: T.StructType,
+            run: Callable[[DataFrame, int], None]) -> None:
+    for k, part in enumerate(arrivals):
+        part.write.mode("append").parquet(f"{base}/in")
+        run(jobs.read_stream(spark, f"{base}/in", schema), k)
+
+
+def stream_ledger_daily(c, ledger: DataFrame | None = None, arrivals: list[DataFrame] | None = None) -> DataFrame:
+    """Days of an arriving ledger; ``arrivals`` fixes the files by hand."""
+    spark, base = c.spark, _run_dir(c.spark, "daily")
     led = c.transaction_log if ledger is None else ledger
-    out = _replay(spark, _ledger_arrivals(led, late),
-                  lambda p: jobs.ledger_daily_stream(jobs.read_stream(spark, p, jobs.LEDGER_SCHEMA), watermark),
-                  "daily")
-    return spark.read.parquet(out).filter(F.col("date") < F.lit(SENTINEL))
+    arrivals = [_typed(a, jobs.LEDGER_SCHEMA) for a in arrivals] if arrivals else arrivals_of(led, jobs.LEDGER_SCHEMA)
+    _replay(spark, arrivals, base, jobs.LEDGER_SCHEMA, lambda stream, _: jobs.run_available(
+        jobs.ledger_daily_totals(stream), f"{base}/ck", sink=jobs.upsert_sink(f"{base}/totals")))
+    return jobs.daily_flows_of(jobs.latest(spark, f"{base}/totals", ["date"], DAILY))
 
 
-def stream_ledger_dedup(c, ledger: DataFrame | None = None, watermark: str = "3 days") -> DataFrame:
-    spark = c.spark
+def stream_ledger_dedup(c, ledger: DataFrame | None = None, arrivals: list[DataFrame] | None = None) -> DataFrame:
+    spark, base = c.spark, _run_dir(c.spark, "dedup")
     led = c.ledger_dirty if ledger is None else ledger
-    out = _replay(spark, _ledger_arrivals(led),
-                  lambda p: jobs.ledger_dedup_stream(jobs.read_stream(spark, p, jobs.LEDGER_SCHEMA), watermark),
-                  "dedup")
-    kept = spark.read.parquet(out).filter(F.col("id") != -1)
-    return kept.select("source_table", "source_id",
-                       F.when(F.col("source_table").isNull(), F.col("id")).cast("bigint").alias("manual_id"))
-
-
-def stream_order_fulfilment(c, payments: DataFrame | None = None) -> DataFrame:
-    """Payments arrive in four files by ``id % 4`` (no watermark, so arrival
-    order does not matter); each order is emitted once."""
-    spark = c.spark
-    p = (c.order_payment if payments is None else payments).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in jobs.PAYMENT_SCHEMA.fields])
-    arrivals = [p.filter(F.col("id") % 4 == k) for k in range(4)]
-    orders = c.sales_order
-    out = _replay(spark, arrivals,
-                  lambda path: jobs.order_fulfilment_stream(jobs.read_stream(spark, path, jobs.PAYMENT_SCHEMA), orders),
-                  "fulfil")
-    return spark.read.parquet(out).select("order_id", "agreed_price")
+    arrivals = [_typed(a, jobs.LEDGER_SCHEMA) for a in arrivals] if arrivals else arrivals_of(led, jobs.LEDGER_SCHEMA)
+    _replay(spark, arrivals, base, jobs.LEDGER_SCHEMA, lambda stream, _: jobs.run_available(
+        jobs.ledger_dedup_stream(stream), f"{base}/ck", path=f"{base}/out"))
+    return spark.read.schema(jobs.LEDGER_SCHEMA).parquet(f"{base}/out").select(
+        "source_table", "source_id", F.when(F.col("source_table").isNull(), F.col("id")).cast("bigint").alias("manual_id"))
+
+
+def stream_order_fulfilment(c, payments: DataFrame | None = None,
+                            orders_at: Callable[[int], DataFrame] | None = None) -> DataFrame:
+    """Payments arrive in files; after each, the orders active by then
+    (``orders_at(arrival)``; default the orders table) and paid are emitted,
+    each once."""
+    spark, base = c.spark, _run_dir(c.spark, "fulfil")
+    orders_at = orders_at or (lambda k: c.sales_order)
+    p = c.order_payment if payments is None else payments
+
+    def run(stream: DataFrame, k: int) -> None:
+        jobs.run_available(jobs.order_paid_totals(stream), f"{base}/ck", sink=jobs.upsert_sink(f"{base}/totals"))
+        jobs.emit_fulfilled(spark, jobs.latest(spark, f"{base}/totals", ["order_id"], PAID), orders_at(k),
+                            f"{base}/emitted", str(k))
+
+    _replay(spark, arrivals_of(p, jobs.PAYMENT_SCHEMA), base, jobs.PAYMENT_SCHEMA, run)
+    return spark.read.schema(jobs.EMITTED_SCHEMA).parquet(f"{base}/emitted").select(
+        "order_id", F.col("agreed_price").cast("double").alias("agreed_price"))
