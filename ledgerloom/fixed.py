@@ -41,13 +41,14 @@ ENUMS = (
     ("shipment", "payment_status", ("unpaid", "partial", "settled")),
     ("item", "status", ("on_display", "in_storage", "reserved", "sold", "in_transit")),
     ("sales_order", "status", ("active", "backorder", "fulfilled", "cancelled")),
+    ("sales_order", "fulfillment_trigger", ("specific_order", "assigned_on_arrival", "customer_waiting")),
     ("person", "role", ("accountant", "sales", "transporter", "cleaner", "worker", "other")),
-    ("people_batch", "employment_type", ("permanent", "temporary", "daily_hire")),
-    ("people_batch", "payment_type", ("monthly_salary", "daily_wage", "per_task", "mixed")),
+    ("person", "employment_type", ("permanent", "temporary", "daily_hire")),
+    ("person", "payment_type", ("monthly_salary", "daily_wage", "per_task", "mixed")),
+    ("person", "status", ("active", "inactive", "contract_ended")),
     ("work_log", "log_type", ("day_worked", "task", "trip", "month_confirmed")),
     ("person_payment", "method", ("cash", "bank_transfer")),
     ("expense", "category", ("packaging", "cleaning", "tools", "repair", "other")),
-    ("expense_batch", "category", ("packaging", "cleaning", "tools", "repair", "other")),
     ("transaction_log", "type", ("supplier", "customer", "payroll", "transport", "expense")),
     ("transaction_log", "direction", ("inflow", "outflow")),
 )
@@ -72,6 +73,7 @@ FOREIGN_KEYS = (
     ("person_location", "location_id", "location"),
     ("work_log", "person_id", "person"),
     ("work_log", "location_id", "location"),
+    ("work_log", "transfer_id", "item_transfer"),
     ("person_payment", "person_id", "person"),
     ("expense", "location_id", "location"),
     ("expense", "paid_by_person_id", "person"),

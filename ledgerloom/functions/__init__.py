@@ -4,19 +4,23 @@
 from __future__ import annotations
 
 import string
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+HALF = Decimal("0.5")
 
 
 def money(c: Column | str) -> Column:
     """Q1 rounding to cents, half toward +infinity (``floor(x*100+0.5)/100``),
-    returned as DOUBLE. Sums are taken exactly in DECIMAL before this."""
+    returned as DOUBLE. Sums and the rounding are exact in DECIMAL; only the
+    result is a DOUBLE, so totals above 2^53 cents (9e13 units) keep 15
+    digits. Callers that need more take the DECIMAL before this step."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 100 + F.lit(0.5)).cast("double") / 100
+    return F.floor(c * 100 + F.lit(HALF)).cast("double") / 100
 
 
 def zero_if_null(c: Column | str) -> Column:

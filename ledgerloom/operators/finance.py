@@ -61,57 +61,56 @@ def _ledger_out(df: DataFrame, extra=()) -> DataFrame:
 
 # ---------------------------------------------------------------- parties
 
-def _kind():
-    """Which lookup resolves the row's party (NULL: resolved in place)."""
-    return (F.when((F.col("type") == "customer") & (F.col("source_table") == fx.ORDER_PAYMENT), F.lit("C"))
-            .when(F.col("type") == "supplier", F.lit("S"))
-            .when((F.col("type") == "payroll") & (F.col("source_table") == fx.PERSON_PAYMENT), F.lit("P"))
-            .when((F.col("type") == "transport") & (F.col("source_table") == fx.ITEM_TRANSFER), F.lit("T")))
-
-
-def _resolve(rows: DataFrame, hops: list[tuple[DataFrame, str, str]], name_col: str) -> DataFrame:
-    """Follow key hops from the ledger rows to the party name with left joins;
-    a missing link leaves the name NULL (the reference's inner lookup finds
-    no row)."""
-    cur, key = rows, "source_id"
-    for i, (table, table_key, next_key) in enumerate(hops):
-        t = table.select(F.col(table_key).alias(f"_k{i}"),
-                         F.col(next_key).alias(f"_n{i}") if next_key else F.lit(None).alias(f"_n{i}"),
-                         *([F.col(name_col).alias("_party")] if i == len(hops) - 1 else []))
-        cur = cur.join(t, cur[key] == t[f"_k{i}"], "left").drop(f"_k{i}")
-        key = f"_n{i}"
-    return cur.drop(*[f"_n{i}" for i in range(len(hops))])
+def _tagged(*tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """Several lookup tables as one: (tag, key, value) rows."""
+    return union_all([t.select(F.lit(tag).alias("t_tag"), F.col("id").cast("bigint").alias("t_key"),
+                               F.col(col).alias("t_value")) for t, tag, col in tables])
+
+
+def _hop(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Follow ``_key`` one step; ``_tag`` tells which table it points to. Rows
+    that point nowhere get a key of their own id (negative: it matches
+    nothing), as NULL keys would all hash to one partition."""
+    key = F.coalesce(F.when(F.col("_tag") != "", F.col("_key")), -F.col("id") - 1)
+    rows = rows.withColumn("_key", key)
+    return (rows.join(table, (rows["_tag"] == table.t_tag) & (rows["_key"] == table.t_key), "left")
+            .withColumn("_key", F.col("t_value")).drop("t_tag", "t_key", "t_value"))
 
 
 def ledger_party(c: Catalog, ledger: DataFrame | None = None) -> DataFrame:
-    """Counterparty of every ledger row through its polymorphic source (Q6).
-
-    The (possibly date-filtered) ledger drives the joins: each kind of row
-    walks its own chain (payment -> order -> customer, instalment ->
-    shipment -> supplier, staff payment -> person, transfer -> transporter),
-    so a one-day report touches one day of ledger rows, and the planner can
-    broadcast that side when its measured size is small. Rows without a
-    resolvable kind (manual rows, expenses) never enter a join: NULL keys
-    would all hash to one shuffle partition."""
-    led = (c.transaction_log if ledger is None else ledger).withColumn("kind", _kind())
-    chains = {
-        "C": ([(c.order_payment, "id", "order_id"), (c.sales_order, "id", "customer_id"),
-               (c.erp_customer, "id", None)], fx.UNKNOWN_CUSTOMER),
-        "S": ([(c.shipment_installment, "id", "shipment_id"), (c.shipment, "id", "supplier_id"),
-               (c.erp_supplier, "id", None)], fx.UNKNOWN_SUPPLIER),
-        "P": ([(c.person_payment, "id", "person_id"), (c.person, "id", None)], fx.UNKNOWN_PERSON),
-        "T": ([(c.item_transfer, "id", "transporter_id"), (c.person, "id", None)], fx.TRANSPORT),
-    }
-    parts = []
-    for kind, (hops, fallback) in chains.items():
-        r = _resolve(led.filter(F.col("kind") == kind), hops, "name")
-        parts.append(r.withColumn("party", F.coalesce("_party", F.lit(fallback))).drop("_party"))
-    rest = (led.filter(F.col("kind").isNull())
-            .withColumn("party", F.when(F.col("type") == "expense",
-                                        F.when(F.coalesce(F.col("notes"), F.lit("")) != "", F.col("notes"))
-                                        .otherwise(F.lit(fx.EXPENSE_PARTY))).otherwise(F.lit(""))))
-    parts.append(rest)
-    return union_all(parts).drop("kind")
+    """Counterparty of every ledger row through its polymorphic source (Q6):
+    payment -> order -> customer, instalment -> shipment -> supplier, staff
+    payment -> person, transfer -> transporter.
+
+    The (possibly date-filtered) ledger is read once and makes three joins,
+    whatever the kind of its rows: with the sources, with orders and
+    shipments, and with the parties' names, each a union tagged by kind. Rows
+    without a resolvable source keep a spread key of their own."""
+    led = c.transaction_log if ledger is None else ledger
+    source = F.when(F.col("source_id").isNotNull(), F.coalesce(
+        F.when((F.col("type") == "customer") & (F.col("source_table") == fx.ORDER_PAYMENT), F.lit("C"))
+        .when(F.col("type") == "supplier", F.lit("S"))
+        .when((F.col("type") == "payroll") & (F.col("source_table") == fx.PERSON_PAYMENT), F.lit("P"))
+        .when((F.col("type") == "transport") & (F.col("source_table") == fx.ITEM_TRANSFER), F.lit("T")), F.lit("")))
+    rows = (led.withColumn("_tag", F.coalesce(source, F.lit(""))).withColumn("_key", F.col("source_id").cast("bigint")))
+    rows = _hop(rows, _tagged((c.order_payment, "C", "order_id"), (c.shipment_installment, "S", "shipment_id"),
+                              (c.person_payment, "P", "person_id"), (c.item_transfer, "T", "transporter_id")))
+    # people are reached already; their key passes through
+    via = rows.withColumn("_person", F.when(F.col("_tag").isin("P", "T"), F.col("_key")))
+    via = _hop(via, _tagged((c.sales_order, "C", "customer_id"), (c.shipment, "S", "supplier_id")))
+    via = (via.withColumn("_key", F.coalesce("_person", "_key")).drop("_person")
+           .withColumn("_tag", F.when(F.col("_tag") == "T", "P").otherwise(F.col("_tag"))))
+    named = _hop(via, _tagged((c.erp_customer, "C", "name"), (c.erp_supplier, "S", "name"), (c.person, "P", "name")))
+    # a payroll or customer row from elsewhere has no party; supplier rows always have one
+    from_source = F.col("_tag") != ""
+    fallback = (F.when(F.col("type") == "supplier", fx.UNKNOWN_SUPPLIER)
+                .when(F.col("type") == "expense", F.when(F.coalesce(F.col("notes"), F.lit("")) != "", F.col("notes"))
+                      .otherwise(F.lit(fx.EXPENSE_PARTY)))
+                .when((F.col("type") == "customer") & (F.col("source_table") == fx.ORDER_PAYMENT), fx.UNKNOWN_CUSTOMER)
+                .when((F.col("type") == "payroll") & (F.col("source_table") == fx.PERSON_PAYMENT), fx.UNKNOWN_PERSON)
+                .when((F.col("type") == "transport") & (F.col("source_table") == fx.ITEM_TRANSFER), fx.TRANSPORT)
+                .otherwise(F.lit("")))
+    return named.withColumn("party", F.coalesce(F.when(from_source, F.col("_key")), fallback)).drop("_tag", "_key")
 
 
 # ---------------------------------------------------------------- daily / monthly

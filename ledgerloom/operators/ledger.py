@@ -52,10 +52,10 @@ def post_ledger(c: Catalog, installments: DataFrame | None = None, manual: DataF
         F.concat(F.lit(fx.SHIPMENT_PAYMENT_NOTE), F.col("shipment_id").cast("string"))))
     pay = c.person_payment.select(*_row(
         F.col("id") * 8 + 2, F.col("payment_date"), "payroll", "outflow", F.col("amount"), n,
-        fx.PERSON_PAYMENT, F.col("id"), n))
+        fx.PERSON_PAYMENT, F.col("id"), F.col("notes")))
     trn = c.item_transfer.filter(F.col("transport_cost") > 0).select(*_row(
         F.col("id") * 8 + 3, F.col("transfer_date"), "transport", "outflow", F.col("transport_cost"),
-        F.col("to_location_id"), fx.ITEM_TRANSFER, F.col("id"), n))
+        F.col("to_location_id"), fx.ITEM_TRANSFER, F.col("id"), F.col("notes")))
     exp = c.expense.select(*_row(
         F.col("id") * 8 + 4, F.col("expense_date"), "expense", "outflow", F.col("amount"), F.col("location_id"),
         fx.EXPENSE, F.col("id"), F.col("description")))
@@ -68,7 +68,8 @@ def post_ledger(c: Catalog, installments: DataFrame | None = None, manual: DataF
 def manual_transactions(batch: DataFrame, as_of) -> DataFrame:
     """Accepted manual entries as ledger rows: amount, direction, type and
     party are required (JavaScript truthiness); notes become
-    ``[party] notes``; the date defaults to ``as_of``; location 0 is none."""
+    ``[party] notes``; the date defaults to ``as_of``; location 0 is none; a
+    ``source_id`` is kept, without a source table."""
     ok = ~(missing("amount") | blank_or_empty("direction") | blank_or_empty("type") | blank_or_empty("party"))
     acc = batch.filter(ok)
     notes = F.concat(F.lit("["), F.col("party"), F.lit("] "), F.coalesce(F.col("notes"), F.lit("")))
@@ -76,7 +77,8 @@ def manual_transactions(batch: DataFrame, as_of) -> DataFrame:
     return acc.select(
         (F.col("id") * 8 + 5).alias("id"), F.coalesce(F.col("transaction_date"), F.lit(as_of)).alias("transaction_date"),
         "type", "direction", F.col("amount").cast("decimal(18,2)").alias("amount"), loc.cast("bigint").alias("location_id"),
-        F.lit(None).cast("string").alias("source_table"), F.lit(None).cast("bigint").alias("source_id"),
+        F.lit(None).cast("string").alias("source_table"),
+        (F.col("source_id") if "source_id" in batch.columns else F.lit(None)).cast("bigint").alias("source_id"),
         notes.alias("notes"))
 
 
@@ -87,19 +89,17 @@ def blank_or_empty(col: str):
 
 def ledger_reversals(ledger: DataFrame, installments: DataFrame, expenses: DataFrame) -> DataFrame:
     """Drop ledger rows whose instalment is unpaid again (or gone) and rows
-    of deleted expenses: one ``left_anti`` on (source_table, source_id)
-    against the set of sources that must disappear."""
-    still_paid = installments.filter(F.col("is_paid") == 1).select(F.col("id").alias("k"))
-    inst_rows = ledger.filter(F.col("source_table") == fx.SHIPMENT_INSTALLMENT)
-    gone_inst = inst_rows.join(still_paid, inst_rows.source_id == still_paid.k, "left_anti").select(
-        F.lit(fx.SHIPMENT_INSTALLMENT).alias("g_table"), F.col("source_id").alias("g_id"))
-    exp_rows = ledger.filter(F.col("source_table") == fx.EXPENSE)
-    alive = expenses.select(F.col("id").alias("k"))
-    gone_exp = exp_rows.join(alive, exp_rows.source_id == alive.k, "left_anti").select(
-        F.lit(fx.EXPENSE).alias("g_table"), F.col("source_id").alias("g_id"))
-    gone = gone_inst.unionByName(gone_exp)  # duplicates are harmless on an anti join's right side
-    kept = ledger.join(gone, (ledger.source_table == gone.g_table) & (ledger.source_id == gone.g_id), "left_anti")
-    return kept.select(*LEDGER_COLS)
+    of deleted expenses. One ledger scan, one left join with the sources
+    that are still live; rows of other sources carry a key of their own id
+    (negative, so it matches nothing and no NULL key is hot)."""
+    live = (installments.filter(F.col("is_paid") == 1).select(F.lit(fx.SHIPMENT_INSTALLMENT).alias("l_table"),
+                                                              F.col("id").alias("l_id"))
+            .unionByName(expenses.select(F.lit(fx.EXPENSE).alias("l_table"), F.col("id").alias("l_id"))))
+    bound = F.coalesce(F.col("source_table").isin(fx.SHIPMENT_INSTALLMENT, fx.EXPENSE), F.lit(False))
+    key = F.when(bound & F.col("source_id").isNotNull(), F.col("source_id")).otherwise(-F.col("id") - 1)
+    led = ledger.withColumn("_key", key).withColumn("_table", F.coalesce("source_table", F.lit("")))
+    j = led.join(live, (led["_table"] == live.l_table) & (led["_key"] == live.l_id), "left")
+    return j.filter(~bound | F.col("l_id").isNotNull()).select(*LEDGER_COLS)
 
 
 def ledger_expense_sync(ledger: DataFrame, expenses: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from ledgerloom.sources.catalog import Catalog
 
 
 def people_locations(c: Catalog, as_csv: bool = False) -> DataFrame:
-    """People with the sorted list of their location ids ([] if none).
-    ``collect_set`` keeps at most one entry per location, so the list is
-    bounded by the location dimension whatever the bridge size."""
-    pl = c.person_location.groupBy("person_id").agg(F.array_sort(F.collect_set("location_id")).alias("ids"))
+    """People with the sorted list of their location ids ([] if none), one
+    entry for each bridge row, as the reference lists them. A location comes
+    with its count from the partial aggregate, so what is collected for a
+    person is bounded by the location dimension."""
+    each = c.person_location.groupBy("person_id", "location_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    pl = each.groupBy("person_id").agg(F.array_sort(F.flatten(F.collect_list(
+        F.array_repeat("location_id", F.col("n"))))).alias("ids"))
     p = c.person
     ids = F.coalesce("ids", F.array().cast("array<bigint>"))
     out = p.join(pl, p.id == pl.person_id, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import first_reason, missing, money, zero_if_null
 from ledgerloom.operators.sales import paid_by_order
+from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.sources.catalog import Catalog
 
 # ---------------------------------------------------------------- orders
@@ -70,11 +71,18 @@ def delivery_status_items(c: Catalog) -> DataFrame:
 
 
 def backorder_assign(c: Catalog, assignments: DataFrame) -> DataFrame:
-    """Apply (order, item) assignments. Reasons in the reference's order:
-    unknown order, not a backorder, already fulfilled (a cancelled one
-    passes, Q19), item missing, unknown item, item reserved or sold. Among
-    valid claims on one item the lowest order id wins (``min`` per item:
-    a partial aggregate, safe when a third of all claims target one item)."""
+    """Apply (order, item) assignments, as if one after the other by
+    (order_id, item_id). Reasons in the reference's order: unknown order, not
+    a backorder, already fulfilled (a cancelled one passes, Q19; so is an
+    order that an earlier claim served), item missing, unknown item, item
+    reserved or sold (``item_taken`` when by an earlier claim).
+
+    Claims that could all stand alone are settled in rounds: a claim that is
+    the first of those left at its order and at its item stands, and those it
+    shuts out go. The firsts are ``min`` per order and per item (partial
+    aggregates, safe when a third of all claims target one item) and join
+    back on keys without hot values. Every round settles at least the first
+    claim left; chains of claims are short, so rounds are few."""
     o = c.sales_order.select(F.col("id").alias("o_id"), "is_backorder", F.col("status").alias("o_status"))
     i = c.item.select(F.col("id").alias("i_id"), F.col("status").alias("i_status"))
     a = (assignments.join(o, assignments.order_id == o.o_id, "left")
@@ -87,35 +95,48 @@ def backorder_assign(c: Catalog, assignments: DataFrame) -> DataFrame:
         (F.col("i_id").isNull(), "item_not_found"),
         (F.col("i_status").isin("reserved", "sold"), "item_unavailable"))
     # Spread the claims by their own key: the joins above may leave them
-    # partitioned by item, which the per-item aggregate below would reuse.
-    a = a.withColumn("reason", reason).repartition("order_id")
+    # partitioned by item, which the per-item aggregates would reuse.
+    a = a.withColumn("reason", reason).repartition("order_id", "item_id")
     rejected = a.filter(F.col("reason").isNotNull()).select("order_id", "item_id", F.col("reason").alias("outcome"))
-    valid = a.filter(F.col("reason").isNull()).select("order_id", "item_id")
-    # The winners are the per-item minimum itself (a partial aggregate); the
-    # other valid claims are found with an anti join on (order, item), a key
-    # with no hot value, so nothing joins back on the (possibly hot) item.
-    winners = valid.groupBy("item_id").agg(F.min("order_id").alias("order_id"))
-    taken = valid.join(winners, ["order_id", "item_id"], "left_anti").withColumn("outcome", F.lit("item_taken"))
-    assigned = winners.select("order_id", "item_id", F.lit("assigned").alias("outcome"))
-    out = rejected.unionByName(taken).unionByName(assigned)
-    won = F.col("outcome") == "assigned"
-    return out.select("order_id", "item_id", "outcome", F.when(won, "fulfilled").alias("order_status"),
-                      F.when(won, "reserved").alias("item_status"))
+    ensure_checkpoint_dir(c.spark)
+    valid = a.filter(F.col("reason").isNull()).select("order_id", "item_id").distinct().checkpoint()
+    left, won = valid, valid.limit(0)
+    while not left.isEmpty():
+        by_order = left.groupBy("order_id").agg(F.min("item_id").alias("item_id"))
+        by_item = left.groupBy("item_id").agg(F.min("order_id").alias("order_id"))
+        stands = by_order.join(by_item, ["order_id", "item_id"]).checkpoint()
+        won = won.unionByName(stands)
+        left = (left.join(stands.select("order_id"), "order_id", "left_anti")
+                .join(stands.select("item_id"), "item_id", "left_anti").repartition("order_id", "item_id").checkpoint())
+    served = won.select(F.col("order_id").alias("s_order"), F.col("item_id").alias("s_item"))
+    out = valid.join(served, valid.order_id == served.s_order, "left")
+    outcome = (F.when(F.col("s_item") == F.col("item_id"), "assigned")
+               .when(F.col("s_item") < F.col("item_id"), "already_fulfilled").otherwise("item_taken"))
+    out = rejected.unionByName(out.select("order_id", "item_id", outcome.alias("outcome")))
+    hit = F.col("outcome") == "assigned"
+    return out.select("order_id", "item_id", "outcome", F.when(hit, "fulfilled").alias("order_status"),
+                      F.when(hit, "reserved").alias("item_status"))
 
 
 # ---------------------------------------------------------------- shipments
 
-def installment_expand(shipments: DataFrame, date_received: DataFrame) -> DataFrame:
-    """Shipment payloads with nested ``installments`` to rows. Paid when the
-    raw JSON token is ``true`` or ``1``; paid date defaults to the
-    shipment's receipt date when paid."""
-    s = shipments.select("shipment_id", F.explode("installments").alias("inst"))
+def installment_rows(batch: DataFrame, date_received: DataFrame) -> DataFrame:
+    """Instalment rows of new shipments. Paid when the raw JSON value is
+    ``true``, ``1`` or the string ``"true"``, exactly (a string ``"1"``
+    keeps its quotes and is not); paid date defaults to the shipment's
+    receipt date when paid."""
     d = date_received.select(F.col("id").alias("d_id"), "date_received")
-    s = s.join(d, s.shipment_id == d.d_id, "left")
-    paid = F.coalesce(F.lower(F.trim(F.col("inst.is_paid_raw"))).isin("true", "1"), F.lit(False))
-    return s.select("shipment_id", F.col("inst.inst_key").alias("inst_key"), money("inst.amount").alias("amount"),
-                    F.col("inst.due_date").alias("due_date"), paid.cast("int").alias("is_paid"),
-                    F.coalesce(F.col("inst.paid_date"), F.when(paid, F.col("date_received"))).alias("paid_date"))
+    s = batch.join(d, batch.shipment_id == d.d_id, "left")
+    paid = F.coalesce(F.col("is_paid_raw").isin("true", "1", '"true"'), F.lit(False))
+    return s.select("shipment_id", "inst_key", money("amount").alias("amount"), "due_date",
+                    paid.cast("int").alias("is_paid"),
+                    F.coalesce(F.col("paid_date"), F.when(paid, F.col("date_received"))).alias("paid_date"))
+
+
+def installment_expand(shipments: DataFrame, date_received: DataFrame) -> DataFrame:
+    """Shipment payloads with nested ``installments`` to rows."""
+    flat = shipments.select("shipment_id", F.inline("installments"))
+    return installment_rows(flat, date_received)
 
 
 def shipment_form_payloads(forms: DataFrame) -> DataFrame:
@@ -134,25 +155,20 @@ T_INSTALLMENTS = ("array<struct<inst_key:bigint,amount:decimal(18,2),due_date:da
                   "paid_date:date>>")
 
 
-def installment_payloads(batch: DataFrame) -> DataFrame:
-    """Fixture adapter: one payload per shipment with its instalments nested
-    (a shipment has at most one instalment per line number, so the array is
-    small and bounded)."""
-    return batch.groupBy("shipment_id").agg(F.collect_list(F.struct(
-        "inst_key", "amount", "due_date", "is_paid_raw", "paid_date")).alias("installments"))
-
-
 def installment_mark_paid(c: Catalog, marks: DataFrame, as_of) -> DataFrame:
-    """Apply paid/unpaid marks: the flag is required and the instalment must
-    belong to the given shipment; paid date defaults to ``as_of`` and is
-    cleared on reversal. Several marks for one instalment: the one with the
-    highest ``seq`` (or mark id) wins, via ``max_by``."""
-    order_col = "seq" if "seq" in marks.columns else "id"
-    m = marks.filter(F.col("is_paid").isNotNull())
-    last = m.groupBy(F.col("id").alias("m_id")).agg(
-        F.max_by(F.struct("shipment_id", "is_paid", "paid_date"), F.col(order_col)).alias("m"))
+    """Apply paid/unpaid marks in the order (seq, is_paid, paid_date): the
+    flag is required and the instalment must belong to the given shipment;
+    a mark that fails is rejected and leaves earlier ones in force. Paid date
+    defaults to ``as_of`` and is cleared on reversal. The last mark that
+    holds wins (``max_by``, a partial aggregate)."""
     si = c.shipment_installment
-    j = si.join(last, (si.id == last.m_id) & (si.shipment_id == F.col("m.shipment_id")), "left")
+    own = si.select(F.col("id").alias("s_id"), F.col("shipment_id").alias("s_shipment"))
+    seq = F.col("seq") if "seq" in marks.columns else F.lit(0)
+    held = (marks.filter(F.col("is_paid").isNotNull())
+            .join(own, (marks.id == own.s_id) & (marks.shipment_id == own.s_shipment)))
+    last = held.groupBy(F.col("id").alias("m_id")).agg(
+        F.max_by(F.struct("is_paid", "paid_date"), F.struct(seq, "is_paid", "paid_date")).alias("m"))
+    j = si.join(last, si.id == last.m_id, "left")
     hit = F.col("m_id").isNotNull()
     new_paid = F.when(F.col("m.is_paid") != 0, 1).otherwise(0)
     paid_date = F.when(new_paid == 1, F.coalesce(F.col("m.paid_date"), F.lit(as_of)))
@@ -224,26 +240,32 @@ def transfer_apply(c: Catalog, transfers: DataFrame) -> DataFrame:
                     F.col("t.id").alias("last_transfer_id"))
 
 
-def patch_map(patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def patch_map(patches: DataFrame, key: str, fields: list[str], seq: str | None = None) -> DataFrame:
     """Fixture adapter: ``has_<f>`` flags + values to ``map<string,string>``
     (a key present with a NULL value sets the column to NULL)."""
     entries = [F.when(F.col(f"has_{f}"), F.struct(F.lit(f).alias("k"), F.col(f).cast("string").alias("v")))
                for f in fields]
     extra = [F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v"))
-             for n in patches.columns if n not in fields and n != key and not n.startswith("has_")]
+             for n in patches.columns if n not in fields and n not in (key, seq) and not n.startswith("has_")]
     arr = F.filter(F.array(*entries, *extra), lambda x: x.isNotNull())
-    return patches.select(F.col(key).alias("patch_id"), F.map_from_entries(arr).alias("patch"))
+    return patches.select(F.col(key).alias("patch_id"), F.map_from_entries(arr).alias("patch"),
+                          *([F.col(seq)] if seq else []))
 
 
 def apply_patch(table: DataFrame, patches: DataFrame, allowed: list[str], key: str = "id",
                 seq: str | None = None) -> DataFrame:
     """Apply ``map<string,string>`` patches: only whitelisted columns and only
-    keys present in the patch change; values are cast to the column type
+    keys present in a patch change; values are cast to the column type
     (``try_cast``: a bad value becomes NULL instead of failing the job).
-    Several patches per id: the last by ``seq`` (``max_by``) wins."""
-    if seq:
-        patches = patches.groupBy("patch_id").agg(F.max_by("patch", seq).alias("patch"))
-    j = table.join(patches, table[key] == patches.patch_id, "left")
+    Patches of one id apply in turn: per (id, column) the last by ``seq``
+    holds. Without ``seq``, patches of one id count as one moment and the
+    greatest value of a column holds."""
+    order = F.col(seq) if seq else F.lit(0)
+    each = patches.select("patch_id", order.alias("seq"), F.explode("patch").alias("k", "v"))
+    merged = (each.filter(F.col("k").isin(*allowed)).groupBy("patch_id", "k")
+              .agg(F.max_by(F.struct("v"), F.struct("seq", "v")).alias("last"))
+              .groupBy("patch_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("last.v")))).alias("patch")))
+    j = table.join(merged, table[key] == merged.patch_id, "left")  # a map has at most len(allowed) entries
     types = dict(table.dtypes)
     cols = []
     for col in table.columns:
@@ -258,12 +280,15 @@ def apply_patch(table: DataFrame, patches: DataFrame, allowed: list[str], key: s
 
 def replace_children(children: DataFrame, replacements: DataFrame, parent: str, value: str) -> DataFrame:
     """Replace a child collection per parent: parents named in the batch lose
-    all their children (``left_anti``) and get the new values, trimmed,
-    blanks dropped. Other parents keep theirs."""
+    all their children (``left_anti``) and get the new values, texts
+    trimmed, blanks and NULLs dropped. A parent named with nothing but NULLs
+    or blanks (an empty list) keeps none. Other parents keep theirs."""
     parents = replacements.select(F.col(parent).alias("r_parent"))  # anti join: no distinct needed
     kept = (children.join(parents, children[parent] == parents.r_parent, "left_anti")
             .select(parent, "id", value, F.lit("kept").alias("origin")))
-    new = (replacements.withColumn(value, F.trim(F.col(value))).filter(F.col(value) != "")
+    if dict(replacements.dtypes)[value] == "string":
+        replacements = replacements.withColumn(value, F.nullif(F.trim(F.col(value)), F.lit("")))
+    new = (replacements.filter(F.col(value).isNotNull())
            .select(parent, F.lit(None).cast("bigint").alias("id"), value, F.lit("new").alias("origin")))
     return kept.unionByName(new)
 

@@ -33,13 +33,10 @@ def shipments_with_paid(c: Catalog) -> DataFrame:
 
 def supplier_totals(c: Catalog) -> DataFrame:
     """id, name, phone, status + exact ``declared`` and ``paid`` per supplier."""
-    declared = c.shipment.groupBy("supplier_id").agg(F.sum("declared_value").alias("total_declared"))
-    paid = (paid_by_shipment(c)
-            .join(c.shipment.select(F.col("id").alias("shipment_id"), "supplier_id"), "shipment_id")
-            .groupBy("supplier_id").agg(F.sum("total_paid").alias("total_paid")))
+    per = (shipments_with_paid(c).groupBy("supplier_id")
+           .agg(F.sum("declared_value").alias("total_declared"), F.sum("paid").alias("total_paid")))
     s = c.erp_supplier
-    return (s.join(declared, s.id == declared.supplier_id, "left").drop("supplier_id")
-            .join(paid, s.id == paid.supplier_id, "left").drop("supplier_id")
+    return (s.join(per, s.id == per.supplier_id, "left").drop("supplier_id")
             .select("id", "name", "phone", "status",
                     zero_if_null("total_declared").alias("declared"),
                     zero_if_null("total_paid").alias("paid")))
@@ -223,8 +220,7 @@ def supplier_history(c: Catalog, supplier_id: int | None = None) -> DataFrame:
     if supplier_id is not None:
         sh = sh.filter(F.col("supplier_id") == supplier_id)
     ships = sh.select("supplier_id", "id", F.col("date_received").alias("date"),
-                      F.lit("shipment").alias("type"), money("declared_value").alias("amount"),
-                      F.lit(None).cast("string").alias("notes"))
+                      F.lit("shipment").alias("type"), money("declared_value").alias("amount"), "notes")
     inst = c.shipment_installment.filter(F.col("is_paid") == 1)
     pays = (inst.join(sh.select(F.col("id").alias("shipment_id"), "supplier_id"), "shipment_id")
             .select("supplier_id", "id", F.col("paid_date").alias("date"), F.lit("payment").alias("type"),

@@ -25,7 +25,10 @@ def _result(df: DataFrame, reason, kind: str | None = None, extra=()) -> DataFra
 
 
 def validate_orders(c: Catalog, batch: DataFrame | None = None) -> DataFrame:
-    """New orders: required fields, known customer, location and item, backorder text, item free."""
+    """New orders: required fields, known customer, location and item, backorder
+    text, item free. An accepted order takes its item, so among orders of
+    the batch that want one item the lowest id gets it (``min`` per item, a
+    partial aggregate; joined back on the order, a key without hot values)."""
     b = c.order_batch if batch is None else batch
     b = (b.join(_keys(c.erp_customer, "cu"), b.customer_id == F.col("cu"), "left")
          .join(_keys(c.location, "lo"), b.location_id == F.col("lo"), "left")
@@ -39,7 +42,11 @@ def validate_orders(c: Catalog, batch: DataFrame | None = None) -> DataFrame:
         ((F.col("is_backorder") == 1) & blank("backorder_description"), "backorder_description_required"),
         (~missing("item_id") & F.col("it").isNull(), "item_not_found"),
         (~missing("item_id") & F.col("it_status").isin("reserved", "sold"), "item_unavailable"))
-    return _result(b, reason)
+    b = b.withColumn("reason", reason).repartition("id")
+    claims = ~missing("item_id") & F.col("reason").isNull()
+    first = b.filter(claims).groupBy(F.col("item_id").alias("w_item")).agg(F.min("id").alias("w_id"))
+    b = b.join(first, (b.id == first.w_id) & (b.item_id == first.w_item), "left")
+    return _result(b, F.when(claims & F.col("w_id").isNull(), "item_unavailable").otherwise(F.col("reason")))
 
 
 def validate_payments(c: Catalog) -> DataFrame:

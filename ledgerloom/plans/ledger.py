@@ -18,16 +18,18 @@ LCOLS = COLS.format(amt=M("amount"))
 
 MANUAL = f"""SELECT id * 8 + 5 AS id, COALESCE(transaction_date, DATE '{AS_OF}') AS transaction_date, type, direction,
  {M('amount')} AS amount, CASE WHEN location_id = 0 THEN NULL ELSE location_id END AS location_id,
- CAST(NULL AS VARCHAR) AS source_table, CAST(NULL AS BIGINT) AS source_id,
+ CAST(NULL AS VARCHAR) AS source_table, source_id,
  '[' || party || '] ' || COALESCE(notes, '') AS notes
 FROM manual_batch WHERE amount IS NOT NULL AND amount <> 0 AND COALESCE(direction, '') <> ''
  AND COALESCE(type, '') <> '' AND COALESCE(party, '') <> ''"""
 
+# the mark with the highest seq among those that name the instalment's own shipment and have a flag
 MARKED = f"""SELECT si.id, si.shipment_id, si.amount, si.due_date,
  CASE WHEN m.id IS NULL THEN si.is_paid WHEN m.is_paid <> 0 THEN 1 ELSE 0 END AS is_paid,
  CASE WHEN m.id IS NULL THEN si.paid_date WHEN m.is_paid <> 0 THEN COALESCE(m.paid_date, DATE '{AS_OF}') END AS paid_date
-FROM shipment_installment si LEFT JOIN (SELECT * FROM mark_batch WHERE is_paid IS NOT NULL) m
- ON m.id = si.id AND m.shipment_id = si.shipment_id"""
+FROM shipment_installment si LEFT JOIN (SELECT k.*, ROW_NUMBER() OVER (PARTITION BY k.id ORDER BY k.seq DESC) AS rn
+ FROM mark_batch k JOIN shipment_installment own ON own.id = k.id AND own.shipment_id = k.shipment_id
+ WHERE k.is_paid IS NOT NULL) m ON m.id = si.id AND m.rn = 1"""
 
 EXPENSE_LEFT = "SELECT e.id FROM expense e WHERE e.id NOT IN (SELECT id FROM delete_batch WHERE id > 0)"
 

@@ -14,7 +14,11 @@ FULLY_PAID = (f"SELECT o.id, o.item_id FROM sales_order o LEFT JOIN {PAID} p ON
               f"WHERE o.status = 'active' AND {Z('p.total_paid')} >= o.agreed_price")
 ITEM_PATCH_ALLOWED = ["name", "category", "description", "purchase_value", "sale_price", "status", "location_id",
                       "shipment_id"]
-PAID_RAW = "COALESCE(lower(trim(b.is_paid_raw)) IN ('true', '1'), false)"
+PERSON_PATCH_ALLOWED = ["name", "role", "rate"]
+ORDER_PATCH_ALLOWED = ["status", "agreed_price", "discount", "delivery_status", "expected_arrival", "location_id"]
+# a JSON value counts as paid when it is the literal true, the number 1 or the text "true"
+PAID_RAW = ("COALESCE(b.is_paid_raw = 'true' OR b.is_paid_raw = '1' OR (length(b.is_paid_raw) = 6 "
+            "AND b.is_paid_raw LIKE '\"true\"'), false)")
 
 
 def _intake(c):
@@ -33,16 +37,28 @@ INTAKE = f"""SELECT b.id, {_status_expr()} AS status,
  CASE WHEN b.initial_payment > 0 THEN 1 ELSE 0 END AS posts_ledger
 FROM order_batch b WHERE b.id IN (SELECT id FROM ({ORDERS}) r WHERE reason IS NULL)"""
 
+# one claim after the other: the state of the recursion is what has been served so far
 ASSIGN = """SELECT order_id, item_id, outcome, CASE WHEN outcome = 'assigned' THEN 'fulfilled' END AS order_status,
  CASE WHEN outcome = 'assigned' THEN 'reserved' END AS item_status FROM (
- SELECT r.*, CASE WHEN reason IS NOT NULL THEN reason
-   WHEN order_id = MIN(CASE WHEN reason IS NULL THEN order_id END) OVER (PARTITION BY item_id) THEN 'assigned'
-   ELSE 'item_taken' END AS outcome FROM (
+ WITH RECURSIVE r AS (
   SELECT a.order_id, a.item_id, CASE WHEN o.id IS NULL THEN 'order_not_found'
    WHEN COALESCE(o.is_backorder, 0) <> 1 THEN 'not_backorder' WHEN o.status = 'fulfilled' THEN 'already_fulfilled'
    WHEN COALESCE(a.item_id, 0) = 0 THEN 'item_required' WHEN i.id IS NULL THEN 'item_not_found'
    WHEN i.status IN ('reserved', 'sold') THEN 'item_unavailable' END AS reason
-  FROM assignments a LEFT JOIN sales_order o ON o.id = a.order_id LEFT JOIN item i ON i.id = a.item_id) r) x"""
+  FROM assignments a LEFT JOIN sales_order o ON o.id = a.order_id LEFT JOIN item i ON i.id = a.item_id),
+ q AS (SELECT order_id, item_id, ROW_NUMBER() OVER (ORDER BY order_id, item_id) AS n
+       FROM (SELECT DISTINCT order_id, item_id FROM r WHERE reason IS NULL) u),
+ turn AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS orders, CAST([] AS BIGINT[]) AS items, '' AS outcome
+  UNION ALL
+  SELECT q.n, CASE WHEN list_contains(t.orders, q.order_id) OR list_contains(t.items, q.item_id) THEN t.orders
+    ELSE list_append(t.orders, q.order_id) END, CASE WHEN list_contains(t.orders, q.order_id)
+    OR list_contains(t.items, q.item_id) THEN t.items ELSE list_append(t.items, q.item_id) END,
+   CASE WHEN list_contains(t.orders, q.order_id) THEN 'already_fulfilled'
+    WHEN list_contains(t.items, q.item_id) THEN 'item_taken' ELSE 'assigned' END
+  FROM turn t JOIN q ON q.n = t.n + 1)
+ SELECT order_id, item_id, reason AS outcome FROM r WHERE reason IS NOT NULL
+ UNION ALL SELECT q.order_id, q.item_id, t.outcome FROM q JOIN turn t USING (n)) x"""
 
 TRANSFER = """SELECT i.id, COALESCE(w.to_location_id, i.location_id) AS location_id,
  CASE WHEN w.item_id IS NOT NULL THEN 'in_storage' ELSE i.status END AS status, w.id AS last_transfer_id
@@ -77,7 +93,7 @@ ENTRIES = {
         "AND item_id IS NOT NULL) THEN 'sold' ELSE i.status END AS status FROM item i"),
     "backorder_assign": (lambda c: op.backorder_assign(c, c.assignments), ASSIGN),
     "installment_expand": (
-        lambda c: op.installment_expand(op.installment_payloads(c.installment_batch), c.shipment),
+        lambda c: op.installment_rows(c.installment_batch, c.shipment),
         f"SELECT b.shipment_id, b.inst_key, {M('b.amount')} AS amount, b.due_date, CAST({PAID_RAW} AS INTEGER) AS is_paid, "
         f"COALESCE(b.paid_date, CASE WHEN {PAID_RAW} THEN s.date_received END) AS paid_date "
         "FROM installment_batch b LEFT JOIN shipment s ON s.id = b.shipment_id"),
@@ -92,18 +108,46 @@ ENTRIES = {
         "FROM item_transfer t LEFT JOIN person p ON p.id = t.transporter_id WHERE COALESCE(t.transporter_id, 0) <> 0"),
     "transfer_apply": (lambda c: op.transfer_apply(c, c.transfer_batch), TRANSFER),
     "apply_patch": (
-        lambda c: edge(op.apply_patch(c.item, op.patch_map(c.item_patch, "item_id", ["sale_price", "description"]),
-                                      ITEM_PATCH_ALLOWED)),
+        lambda c: edge(op.apply_patch(c.item, op.patch_map(c.item_patch, "item_id", ["sale_price", "description"], "seq"),
+                                      ITEM_PATCH_ALLOWED, seq="seq")),
         f"""SELECT i.id, i.shipment_id, i.location_id, i.name, i.category,
- CASE WHEN p.has_description THEN p.description ELSE i.description END AS description,
+ CASE WHEN b.has_description THEN b.description WHEN a.has_description THEN a.description ELSE i.description END
+   AS description,
  {M('i.purchase_value')} AS purchase_value,
- {M('CASE WHEN p.has_sale_price THEN p.sale_price ELSE i.sale_price END')} AS sale_price, i.status
-FROM item i LEFT JOIN item_patch p ON p.item_id = i.id"""),
+ {M('CASE WHEN b.has_sale_price THEN b.sale_price WHEN a.has_sale_price THEN a.sale_price ELSE i.sale_price END')}
+   AS sale_price, i.status
+FROM item i LEFT JOIN item_patch a ON a.item_id = i.id AND a.seq = 1
+LEFT JOIN item_patch b ON b.item_id = i.id AND b.seq = 2"""),
+    "apply_patch_people": (
+        lambda c: edge(op.apply_patch(c.person, op.patch_map(c.person_patch, "person_id", ["rate", "role"], "seq"),
+                                      PERSON_PATCH_ALLOWED, seq="seq").select("id", "name", "role", "rate")),
+        f"""SELECT p.id, p.name, COALESCE((SELECT x.role FROM person_patch x WHERE x.person_id = p.id AND x.has_role
+   ORDER BY x.seq DESC LIMIT 1), p.role) AS role,
+ {M('CASE WHEN b.has_rate THEN b.rate WHEN a.has_rate THEN a.rate ELSE p.rate END')} AS rate
+FROM person p LEFT JOIN person_patch a ON a.person_id = p.id AND a.seq = 1
+LEFT JOIN person_patch b ON b.person_id = p.id AND b.seq = 2"""),
+    "apply_patch_orders": (
+        lambda c: edge(op.apply_patch(c.sales_order, op.patch_map(c.order_patch, "order_id",
+                                                                  ["discount", "delivery_status"], "seq"),
+                                      ORDER_PATCH_ALLOWED, seq="seq").select("id", "status", "discount",
+                                                                             "delivery_status")),
+        f"""SELECT o.id, o.status,
+ {M('CASE WHEN b.has_discount THEN b.discount WHEN a.has_discount THEN a.discount ELSE o.discount END')} AS discount,
+ CASE WHEN b.has_delivery_status THEN b.delivery_status WHEN a.has_delivery_status THEN a.delivery_status
+   ELSE o.delivery_status END AS delivery_status
+FROM sales_order o LEFT JOIN order_patch a ON a.order_id = o.id AND a.seq = 1
+LEFT JOIN order_patch b ON b.order_id = o.id AND b.seq = 2"""),
     "replace_children": (
         lambda c: op.replace_children(c.item_image, c.image_replacement, "item_id", "url"),
         "SELECT item_id, id, url, 'kept' AS origin FROM item_image WHERE item_id NOT IN "
         "(SELECT item_id FROM image_replacement) UNION ALL SELECT item_id, CAST(NULL AS BIGINT), trim(url), 'new' "
         "FROM image_replacement WHERE trim(url) <> ''"),
+    "replace_children_people": (
+        lambda c: op.replace_children(c.person_location, c.person_location_replacement, "person_id", "location_id"),
+        "SELECT person_id, id, location_id, 'kept' AS origin FROM person_location pl WHERE NOT EXISTS "
+        "(SELECT 1 FROM person_location_replacement r WHERE r.person_id = pl.person_id) "
+        "UNION ALL SELECT person_id, CAST(NULL AS BIGINT), location_id, 'new' FROM person_location_replacement "
+        "WHERE location_id IS NOT NULL"),
     "apply_deletes": (_item_deletes, DELETES),
     "apply_deletes_survivors": (
         lambda c: op.surviving_rows(c.item, _item_deletes(c)).select("id", "name", "status"),

@@ -12,13 +12,17 @@ ORDER_COLS = (f"o.id, o.customer_id, o.item_id, o.location_id, {M('o.agreed_pric
 
 
 def enriched(phone: bool = False, balance: bool = True) -> str:
-    cols = ORDER_COLS + ", c.name AS customer_name" + (", c.phone AS customer_phone" if phone else "") + \
-        ", l.name AS location_name"
-    joins = "FROM sales_order o JOIN erp_customer c ON c.id = o.customer_id JOIN location l ON l.id = o.location_id"
+    """Orders with what belongs to them looked up row by row; an order whose
+    customer or location is unknown is left out."""
+    found = ("SELECT *, (SELECT any_value(name) FROM erp_customer k WHERE k.id = q.customer_id) AS customer_name, "
+             "(SELECT any_value(phone) FROM erp_customer k WHERE k.id = q.customer_id) AS customer_phone, "
+             "(SELECT any_value(name) FROM location k WHERE k.id = q.location_id) AS location_name, "
+             f"{Z('(SELECT SUM(amount) FROM order_payment k WHERE k.order_id = q.id)')} AS had FROM sales_order q "
+             "WHERE q.customer_id IN (SELECT id FROM erp_customer) AND q.location_id IN (SELECT id FROM location)")
+    cols = ORDER_COLS + ", customer_name" + (", customer_phone" if phone else "") + ", location_name"
     if balance:
-        cols += f", {M(Z('p.total_paid'))} AS total_paid, {M('o.agreed_price - ' + Z('p.total_paid'))} AS remaining_balance"
-        joins += f" LEFT JOIN {PAID} p ON p.order_id = o.id"
-    return f"SELECT {cols} {joins}"
+        cols += f", {M('had')} AS total_paid, {M('o.agreed_price - had')} AS remaining_balance"
+    return f"SELECT {cols} FROM ({found}) o"
 
 
 LIST_QUERY = "  Customer#00000012 "
@@ -26,14 +30,14 @@ LIST_QUERY = "  Customer#00000012 "
 ENTRIES = {
     "order_search": (
         lambda c: op.order_search(c, ORDER_SEARCH),
-        enriched(phone=True) + f" WHERE c.name ILIKE '%{ORDER_SEARCH}%' OR c.phone ILIKE '%{ORDER_SEARCH}%'"),
+        enriched(phone=True) + f" WHERE customer_name ILIKE '%{ORDER_SEARCH}%' OR customer_phone ILIKE '%{ORDER_SEARCH}%'"),
     "order_search_all": (lambda c: op.order_search(c), enriched(phone=True)),
     "order_detail": (lambda c: op.order_detail(c), enriched()),
     "customer_orders": (lambda c: op.customer_orders(c), enriched()),
     "sales_list_filter": (
         lambda c: op.sales_list_filter(c, "active", LIST_QUERY),
-        enriched(phone=True) + f" WHERE o.status = 'active' AND (coalesce(contains(lower(c.name), "
-        f"'{LIST_QUERY.lower().strip()}'), false) OR coalesce(contains(c.phone, '{LIST_QUERY.lower().strip()}'), false))"),
+        enriched(phone=True) + f" WHERE o.status = 'active' AND (coalesce(contains(lower(customer_name), "
+        f"'{LIST_QUERY.lower().strip()}'), false) OR coalesce(contains(customer_phone, '{LIST_QUERY.lower().strip()}'), false))"),
     "backorders": (
         lambda c: op.backorders(c),
         enriched(balance=False) + " WHERE o.is_backorder = 1 AND o.status = 'backorder'"),

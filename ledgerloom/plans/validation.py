@@ -3,7 +3,10 @@
 from ledgerloom import fixed as fx
 from ledgerloom.operators import validation as op
 
-ORDERS = """SELECT b.id, CASE
+# an order takes its item from later orders: counted here by a window over the free claims
+ORDERS = """SELECT id, CASE WHEN reason IS NULL AND COALESCE(item_id, 0) <> 0 AND COUNT(*) FILTER (WHERE reason IS NULL)
+  OVER (PARTITION BY item_id ORDER BY id ROWS UNBOUNDED PRECEDING) > 1 THEN 'item_unavailable' ELSE reason END AS reason
+FROM (SELECT b.id, b.item_id, CASE
  WHEN b.customer_id IS NULL OR b.customer_id = 0 THEN 'customer_id_required'
  WHEN b.location_id IS NULL OR b.location_id = 0 THEN 'location_id_required'
  WHEN b.agreed_price IS NULL THEN 'agreed_price_required'
@@ -13,7 +16,7 @@ ORDERS = """SELECT b.id, CASE
  WHEN COALESCE(b.item_id, 0) <> 0 AND it.id IS NULL THEN 'item_not_found'
  WHEN COALESCE(b.item_id, 0) <> 0 AND it.status IN ('reserved', 'sold') THEN 'item_unavailable' END AS reason
 FROM order_batch b LEFT JOIN erp_customer cu ON cu.id = b.customer_id LEFT JOIN location lo ON lo.id = b.location_id
-LEFT JOIN item it ON it.id = b.item_id"""
+LEFT JOIN item it ON it.id = b.item_id) z"""
 
 
 def res(body: str, kind: str | None = None, extra: str = "") -> str:
@@ -79,15 +82,55 @@ CONTACTS = res(f"""SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_req
  WHEN NOT regexp_full_match(phone, '{fx.CUSTOMER_PHONE.strip('^$')}') THEN 'phone_format' END AS reason
  FROM erp_customer""", "customer")
 
-ENUM = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{col}' AS column_name, COUNT(*) AS bad_rows FROM {t} "
-    f"WHERE {col} IS NOT NULL AND {col} NOT IN ({', '.join(repr(v) for v in allowed)})"
-    for t, col, allowed in fx.ENUMS)
-
-FK = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{col}' AS column_name, '{ref}' AS ref_table, COUNT(*) AS orphans FROM {t} c "
-    f"WHERE c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {ref} p WHERE p.id = c.{col})"
-    for t, col, ref in fx.FOREIGN_KEYS)
+# the constraints of the DDL, listed here once more by table: allowed values, and what columns refer to
+CHECKS = """location type: gallery warehouse
+erp_supplier status: active inactive
+shipment payment_status: unpaid partial settled
+item status: on_display in_storage reserved sold in_transit
+sales_order status: active backorder fulfilled cancelled
+sales_order fulfillment_trigger: specific_order assigned_on_arrival customer_waiting
+person role: accountant sales transporter cleaner worker other
+person employment_type: permanent temporary daily_hire
+person payment_type: monthly_salary daily_wage per_task mixed
+person status: active inactive contract_ended
+work_log log_type: day_worked task trip month_confirmed
+person_payment method: cash bank_transfer
+expense category: packaging cleaning tools repair other
+transaction_log type: supplier customer payroll transport expense
+transaction_log direction: inflow outflow"""
+
+REFERENCES = """shipment: supplier_id erp_supplier
+shipment_installment: shipment_id shipment
+item: shipment_id shipment, location_id location
+item_part: parent_item_id item, part_item_id item
+item_image: item_id item
+item_transfer: item_id item, from_location_id location, to_location_id location, transporter_id person
+sales_order: customer_id erp_customer, item_id item, location_id location
+order_payment: order_id sales_order
+person_location: person_id person, location_id location
+work_log: person_id person, location_id location, transfer_id item_transfer
+person_payment: person_id person
+expense: location_id location, paid_by_person_id person
+transaction_log: location_id location
+inventory: location_id location"""
+
+
+def _enum_sql(line: str) -> str:
+    (table, col), allowed = line.split(":")[0].split(), line.split(":")[1].split()
+    ok = " OR ".join(f"{col} = '{v}'" for v in allowed)
+    return (f"SELECT '{table}' AS table_name, '{col}' AS column_name, COUNT(*) FILTER (WHERE NOT ({ok})) AS bad_rows "
+            f"FROM {table}")
+
+
+def _fk_sql(line: str) -> list[str]:
+    table, refs = line.split(": ")
+    return [f"SELECT '{table}' AS table_name, '{col}' AS column_name, '{ref}' AS ref_table, "
+            f"COUNT(*) FILTER (WHERE c.{col} IS NOT NULL AND p.id IS NULL) AS orphans "
+            f"FROM {table} c LEFT JOIN {ref} p ON p.id = c.{col}" for col, ref in map(str.split, refs.split(", "))]
+
+
+ENUM = " UNION ALL ".join(map(_enum_sql, CHECKS.splitlines()))
+FK = " UNION ALL ".join(sql for line in REFERENCES.splitlines() for sql in _fk_sql(line))
 
 ENTRIES = {
     "validate_orders": (lambda c: op.validate_orders(c), res(ORDERS)),

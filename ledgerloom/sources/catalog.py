@@ -88,7 +88,9 @@ def materialize_catalog(spark: SparkSession, sf_dir: str, out_dir: str) -> Catal
     from ledgerloom.operators.ledger import sink_ledger
 
     src = Catalog(spark, sf_dir)
-    for name in BUSINESS_TABLES:
+    # each table is derived from those stored before it; `line`, the order
+    # lines that four of them share, is kept beside them
+    for name in ("line", *BUSINESS_TABLES):
         path = f"{out_dir.rstrip('/')}/{name}"
         df = src[name]
         if name == "transaction_log":
@@ -100,6 +102,7 @@ def materialize_catalog(spark: SparkSession, sf_dir: str, out_dir: str) -> Catal
             # date over several tasks
             df = df.repartitionByRange(*CLUSTER_BY[name]).sortWithinPartitions(*CLUSTER_BY[name])
         df.write.mode("overwrite").parquet(path)
+        src._frames[name] = spark.read.schema(df.schema).parquet(path)
     return Catalog(spark, sf_dir, materialized=out_dir)
 
 

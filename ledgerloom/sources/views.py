@@ -20,7 +20,9 @@ VIEWS: dict[str, str] = {
 
     "erp_supplier": """SELECT s_suppkey+1 AS id, s_name AS name,
  '01' || lpad(CAST((s_suppkey*104729011)%1000000000 AS STRING),9,'0') AS phone,
- CASE WHEN s_acctbal<0 THEN 'inactive' ELSE 'active' END AS status FROM {supplier}""",
+ CASE WHEN s_acctbal<0 THEN 'inactive' ELSE 'active' END AS status,
+ CASE WHEN s_suppkey%6=5 THEN NULL ELSE 'Street ' || CAST(s_suppkey%90+1 AS STRING) END AS address,
+ CASE WHEN s_suppkey%3=0 THEN 'Supplier note ' || CAST(s_suppkey AS STRING) END AS notes FROM {supplier}""",
 
     "erp_customer": """SELECT c_custkey+1 AS id, c_name AS name,
  '01' || lpad(CAST((c_custkey*104729011)%1000000000 AS STRING),9,'0') AS phone,
@@ -42,19 +44,24 @@ VIEWS: dict[str, str] = {
       THEN CAST(CAST(o.o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) END AS expected_arrival,
  CAST(o.o_orderdate AS DATE) AS order_date,
  CASE WHEN o.o_orderkey%5=0 THEN CAST(100 AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS discount,
- CASE WHEN o.o_orderkey%2=0 THEN 'received' ELSE 'not_received' END AS delivery_status
+ CASE WHEN o.o_orderkey%2=0 THEN 'received' ELSE 'not_received' END AS delivery_status,
+ CASE WHEN o.o_orderstatus<>'P' THEN NULL WHEN o.o_orderkey%53=0 THEN 'whenever' WHEN o.o_orderkey%3=0 THEN 'specific_order'
+      WHEN o.o_orderkey%3=1 THEN 'assigned_on_arrival' ELSE 'customer_waiting' END AS fulfillment_trigger
  FROM {orders} o JOIN {customer} c ON c.c_custkey=o.o_custkey
  LEFT JOIN (SELECT l_orderkey, MIN(partkey) AS partkey FROM {line} GROUP BY l_orderkey) f
  ON f.l_orderkey=o.o_orderkey""",
 
     "order_payment": """SELECT (l_orderkey+1)*10+l_linenumber AS id, l_orderkey+1 AS order_id,
  amt AS amount, d AS payment_date,
- CASE l_linenumber%4 WHEN 0 THEN 'cash' WHEN 1 THEN 'instapay' WHEN 2 THEN 'visa' ELSE 'vodafone_cash' END AS method
+ CASE l_linenumber%4 WHEN 0 THEN 'cash' WHEN 1 THEN 'instapay' WHEN 2 THEN 'visa' ELSE 'vodafone_cash' END AS method,
+ CASE WHEN l_orderkey%4=0 THEN 'Receipt ' || CAST(l_orderkey AS STRING) END AS notes
  FROM {line} WHERE flag<>'R'""",
 
     "shipment": """SELECT (l_suppkey+1)*1000+(year(l_shipdate)-1990)*12+month(l_shipdate) AS id,
  l_suppkey+1 AS supplier_id, MIN(CAST(l_shipdate AS DATE)) AS date_received,
- SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS declared_value, 'unpaid' AS payment_status
+ SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS declared_value, 'unpaid' AS payment_status,
+ CASE WHEN (l_suppkey+month(l_shipdate))%4=0 THEN 1 ELSE 0 END AS partial_delivery,
+ CASE WHEN (l_suppkey+month(l_shipdate))%3=0 THEN 'Delivery of month ' || CAST(month(l_shipdate) AS STRING) END AS notes
  FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate)""",
 
     "shipment_installment": """SELECT shipment_id*10+l_linenumber AS id, shipment_id, amount, due_date,
@@ -89,30 +96,45 @@ VIEWS: dict[str, str] = {
     "person": """SELECT user_id+1 AS id, 'Person#' || CAST(user_id AS STRING) AS name,
  CASE user_id%6 WHEN 0 THEN 'accountant' WHEN 1 THEN 'sales' WHEN 2 THEN 'transporter'
       WHEN 3 THEN 'cleaner' WHEN 4 THEN 'worker' ELSE 'other' END AS role,
- CAST(10+user_id%50 AS DECIMAL(18,2)) AS rate FROM (SELECT DISTINCT user_id FROM {events}) u""",
+ CAST(10+user_id%50 AS DECIMAL(18,2)) AS rate,
+ '01' || lpad(CAST((user_id*104729011)%1000000000 AS STRING),9,'0') AS phone,
+ CASE WHEN user_id%41=7 THEN 'seasonal' WHEN user_id%3=0 THEN 'permanent' WHEN user_id%3=1 THEN 'temporary' ELSE 'daily_hire' END AS employment_type,
+ CASE user_id%4 WHEN 0 THEN 'monthly_salary' WHEN 1 THEN 'daily_wage' WHEN 2 THEN 'per_task' ELSE 'mixed' END AS payment_type,
+ CASE WHEN user_id%3=1 THEN DATE '2023-01-01' END AS contract_start,
+ CASE WHEN user_id%6=1 THEN DATE '2024-12-31' END AS contract_end,
+ CASE WHEN user_id%37=5 THEN 'away' WHEN user_id%9=0 THEN 'inactive' WHEN user_id%9=1 THEN 'contract_ended' ELSE 'active' END AS status
+ FROM (SELECT DISTINCT user_id FROM {events}) u""",
 
     "person_location": """SELECT DISTINCT (user_id+1)*100+(user_id*3+event_id%3)%25+1 AS id, user_id+1 AS person_id,
- (user_id*3+event_id%3)%25+1 AS location_id FROM {events} WHERE user_id%7<>0""",
+ (user_id*3+event_id%3)%25+1 AS location_id FROM {events} WHERE user_id%7<>0
+ UNION ALL SELECT DISTINCT (user_id+1)*100+50, user_id+1, (user_id*3)%25+1 FROM {events} WHERE user_id%11=3""",
 
     "work_log": """SELECT event_id+1 AS id, user_id+1 AS person_id, event_id%25+1 AS location_id,
  CAST(ts AS DATE) AS log_date, CASE event_type WHEN 'click' THEN 'day_worked' ELSE 'task' END AS log_type,
- 1+event_id%3 AS quantity, CAST((10+user_id%50)*(1+event_id%3) AS DECIMAL(18,2)) AS amount_earned
+ 1+event_id%3 AS quantity, CAST((10+user_id%50)*(1+event_id%3) AS DECIMAL(18,2)) AS amount_earned,
+ CASE WHEN event_id%6=0 THEN (event_id%1000+1)*10+1 END AS transfer_id,
+ CASE WHEN event_id%5=0 THEN 'Log ' || CAST(event_id AS STRING) END AS notes
  FROM {events} WHERE event_type IN ('click','view') AND user_id%10<>9""",
 
     "person_payment": """SELECT event_id+1 AS id, user_id+1 AS person_id, CAST(value AS DECIMAL(18,2)) AS amount,
- CAST(ts AS DATE) AS payment_date, CASE event_id%2 WHEN 0 THEN 'cash' ELSE 'bank_transfer' END AS method
+ CAST(ts AS DATE) AS payment_date, CASE event_id%2 WHEN 0 THEN 'cash' ELSE 'bank_transfer' END AS method,
+ CASE WHEN event_id%3=0 THEN 'Salary ' || CAST(event_id AS STRING) END AS notes
  FROM {events} WHERE event_type='signup'""",
 
     "expense": """SELECT event_id+1 AS id, 'Expense ' || CAST(event_id AS STRING) AS description,
  CAST(value AS DECIMAL(18,2)) AS amount, CAST(ts AS DATE) AS expense_date,
  CASE event_id%5 WHEN 0 THEN 'packaging' WHEN 1 THEN 'cleaning' WHEN 2 THEN 'tools' WHEN 3 THEN 'repair' ELSE 'other' END AS category,
  CASE WHEN event_id%7=0 THEN NULL ELSE event_id%25+1 END AS location_id,
- CASE WHEN event_id%4=0 THEN user_id+1 END AS paid_by_person_id FROM {events} WHERE event_type='error'""",
+ CASE WHEN event_id%4=0 THEN user_id+1 END AS paid_by_person_id,
+ CASE WHEN event_id%4=0 THEN 1 ELSE 0 END AS is_reimbursement,
+ CASE WHEN event_id%6=0 THEN 'Bill ' || CAST(event_id AS STRING) END AS notes FROM {events} WHERE event_type='error'""",
 
     "item_transfer": """SELECT (l_orderkey+1)*10+l_linenumber AS id, partkey+1 AS item_id, partkey%25+1 AS from_location_id,
  (partkey+l_linenumber)%25+1 AS to_location_id, d AS transfer_date,
  CASE WHEN l_linenumber%3=0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(amt*0.01 AS DECIMAL(18,2)) END AS transport_cost,
- CASE WHEN l_linenumber%2=0 THEN (l_orderkey%10)+1 END AS transporter_id FROM {line} WHERE flag='R'""",
+ CASE WHEN l_linenumber%2=0 THEN (l_orderkey%10)+1 END AS transporter_id,
+ CASE WHEN l_linenumber%3=1 THEN 'Van ' || CAST(l_orderkey%9 AS STRING) END AS vehicle,
+ CASE WHEN l_orderkey%3=0 THEN 'Move ' || CAST(l_orderkey AS STRING) END AS notes FROM {line} WHERE flag='R'""",
 
     "transaction_log": """SELECT p.id*8 AS id, p.payment_date AS transaction_date, 'customer' AS type, 'inflow' AS direction,
  p.amount, o.location_id, 'ORDER_PAYMENT' AS source_table, p.id AS source_id, CAST(NULL AS STRING) AS notes
@@ -121,8 +143,8 @@ UNION ALL SELECT si.id*8+1, si.paid_date, 'supplier','outflow', si.amount, i.loc
  'Payment for shipment #' || CAST(si.shipment_id AS STRING) FROM {shipment_installment} si
  LEFT JOIN (SELECT shipment_id, MIN(location_id) AS loc FROM {item} WHERE shipment_id IS NOT NULL GROUP BY shipment_id) i
  ON i.shipment_id=si.shipment_id WHERE si.is_paid=1
-UNION ALL SELECT id*8+2, payment_date,'payroll','outflow',amount,NULL,'PERSON_PAYMENT',id,NULL FROM {person_payment}
-UNION ALL SELECT id*8+3, transfer_date,'transport','outflow',transport_cost,to_location_id,'ITEM_TRANSFER',id,NULL
+UNION ALL SELECT id*8+2, payment_date,'payroll','outflow',amount,NULL,'PERSON_PAYMENT',id,notes FROM {person_payment}
+UNION ALL SELECT id*8+3, transfer_date,'transport','outflow',transport_cost,to_location_id,'ITEM_TRANSFER',id,notes
  FROM {item_transfer} WHERE transport_cost>0
 UNION ALL SELECT id*8+4, expense_date,'expense','outflow',amount,location_id,'EXPENSE',id,description FROM {expense}
 UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN 'customer' ELSE 'expense' END,
@@ -151,7 +173,8 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  CASE WHEN id%29=0 THEN NULL ELSE declared_value END AS declared_value FROM {shipment}""",
 
     "installment_batch": """SELECT shipment_id, id AS inst_key, amount, due_date,
- CASE id%4 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN 'false' ELSE NULL END AS is_paid_raw,
+ CASE id%9 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN 'false' WHEN 3 THEN '"true"' WHEN 4 THEN '"1"'
+      WHEN 5 THEN ' TRUE ' WHEN 6 THEN 'TRUE' WHEN 7 THEN '0' END AS is_paid_raw,
  CASE WHEN id%8=0 THEN due_date END AS paid_date FROM {shipment_installment}""",
 
     "item_batch": """SELECT id, CASE WHEN id%17=0 THEN '' ELSE name END AS name,
@@ -186,15 +209,31 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  CASE WHEN event_id%2=0 THEN 'customer' ELSE 'expense' END AS type,
  CASE WHEN event_id%23=0 THEN '' ELSE 'Party ' || CAST(user_id AS STRING) END AS party,
  CASE WHEN event_id%5=0 THEN NULL ELSE 'manual' END AS notes,
- CASE WHEN event_id%7=0 THEN NULL ELSE CAST(ts AS DATE) END AS transaction_date, event_id%25+1 AS location_id
+ CASE WHEN event_id%7=0 THEN NULL ELSE CAST(ts AS DATE) END AS transaction_date, event_id%25+1 AS location_id,
+ CASE WHEN event_id%3=0 THEN event_id*2+1 END AS source_id
  FROM {events} WHERE event_type='purchase'""",
 
     "assignments": """SELECT id AS order_id, CASE WHEN id%43=0 THEN 999999999 ELSE id%200+1 END AS item_id
- FROM {sales_order} WHERE is_backorder=1 OR id%50=0""",
+ FROM {sales_order} WHERE is_backorder=1 OR id%50=0
+ UNION ALL SELECT id, id%200+8 FROM {sales_order} WHERE is_backorder=1 AND id%4=0
+ UNION ALL SELECT id, id%7+1 FROM {sales_order} WHERE is_backorder=1 AND id%6=0""",
 
-    "item_patch": """SELECT id AS item_id, id%2=0 AS has_sale_price,
+    "item_patch": """SELECT id AS item_id, 1 AS seq, id%2=0 AS has_sale_price,
  CASE WHEN id%2=0 THEN CAST(123.45 AS DECIMAL(18,2)) END AS sale_price, id%5=0 AS has_description,
- CAST(NULL AS STRING) AS description, id AS forbidden_id FROM {item} WHERE id%3=0""",
+ CAST(NULL AS STRING) AS description, id AS forbidden_id FROM {item} WHERE id%3=0
+ UNION ALL SELECT id, 2, id%4=0, CASE WHEN id%8=0 THEN CAST(9.99 AS DECIMAL(18,2)) END, true,
+ 'second ' || CAST(id AS STRING), id FROM {item} WHERE id%9=0""",
+
+    "person_patch": """SELECT id AS person_id, 1 AS seq, id%2=0 AS has_rate,
+ CASE WHEN id%4=0 THEN CAST(77.50 AS DECIMAL(18,2)) END AS rate, id%3=0 AS has_role, 'worker' AS role FROM {person}
+ UNION ALL SELECT id, 2, true, CAST(id%90+10 AS DECIMAL(18,2)), false, 'other' FROM {person} WHERE id%5=0""",
+
+    "order_patch": """SELECT id AS order_id, 1 AS seq, id%2=0 AS has_discount, CAST(25.50 AS DECIMAL(18,2)) AS discount,
+ id%3=0 AS has_delivery_status, 'received' AS delivery_status FROM {sales_order} WHERE id%4<>1
+ UNION ALL SELECT id, 2, true, CAST(0 AS DECIMAL(18,2)), id%6=0, 'not_received' FROM {sales_order} WHERE id%10=0""",
+
+    "person_location_replacement": """SELECT id AS person_id, CASE WHEN id%4=0 THEN NULL ELSE id%25+1 END AS location_id
+ FROM {person} WHERE id%2=0 UNION ALL SELECT id, id%24+2 FROM {person} WHERE id%6=0""",
 
     "image_replacement": """SELECT id AS item_id, 1 AS pos, '  /new/' || CAST(id AS STRING) || '.jpg ' AS url FROM {item} WHERE id%7=0
  UNION ALL SELECT id, 2, '   ' FROM {item} WHERE id%7=0""",
@@ -209,9 +248,11 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
     "payload_batch": """SELECT event_id+1 AS id,
  CASE WHEN event_id%17=0 THEN substr(props,1,length(props)-1) ELSE props END AS body FROM {events}""",
 
-    "mark_batch": """SELECT id, CASE WHEN id%23=0 THEN 999999999 ELSE shipment_id END AS shipment_id,
+    "mark_batch": """SELECT id, 1 AS seq, CASE WHEN id%23=0 THEN 999999999 ELSE shipment_id END AS shipment_id,
  CASE WHEN id%19=0 THEN NULL WHEN id%2=0 THEN 1 ELSE 0 END AS is_paid,
- CASE WHEN id%4=0 THEN due_date END AS paid_date FROM {shipment_installment} WHERE id%3=0""",
+ CASE WHEN id%4=0 THEN due_date END AS paid_date FROM {shipment_installment} WHERE id%3=0
+ UNION ALL SELECT id, 2, CASE WHEN id%5=0 THEN shipment_id+1 ELSE shipment_id END, CASE WHEN id%7=0 THEN NULL ELSE id%2 END,
+ CAST(NULL AS DATE) FROM {shipment_installment} WHERE id%6=0""",
 
     "delete_batch": """SELECT id*3-2 AS id FROM {item} UNION ALL SELECT 999999999""",
 }
