@@ -5,9 +5,9 @@ reaches ``percent``. The result is one row per document with the smallest
 document it reaches, complete for all pairs, without writing pairs of copies.
 
 1. Sets. A task hashes the shingles of whole texts. Equal sets are one class.
-   Shingles met often (counted in every task, added up) are noted; the
-   ``HOT`` most frequent come last in the order in which shingles are looked
-   up. The order changes cost, not results.
+   Shingles are looked up by rising hash; those that two sets of a batch
+   share are counted, added up over all batches, and the ``HOT`` most
+   frequent come last instead. The order changes cost, not results.
 2. Groups. Classes that agree in a pair of minimum hashes are compared with
    one of them, and linked if they reach the similarity; what links so, at
    linear cost, is a group. Most documents are groups of one.
@@ -17,9 +17,9 @@ document it reaches, complete for all pairs, without writing pairs of copies.
    these has at most c + (what is left of the larger) in common; pairs below
    the needed overlap are not opened.
 4. Qualifying groups are opened: first one document of each against the
-   other (enough where groups are single), then, for groups still apart, all
-   documents of the smaller against those of the other. Texts are compared
-   exactly by their sets.
+   other (enough where groups are single), then, for groups still apart, the
+   documents of the smaller ask the other's, dealt out in blocks. Texts are
+   compared exactly by their sets.
 
 Shingles are 64-bit hashes: two of one pair of documents collide with a
 chance below 1e-12 at a million shingles.
@@ -47,8 +47,9 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import arrow_rows, components, id_filter, split_by_filter, stored
 
 SHINGLE, PERCENT = 5, 75
-KEYS, HOT, HOT_MIN = 6, 65_536, 24
+KEYS, HOT, HOT_MIN = 6, 262_144, 16
 SLICE = 4 << 20
+BLOCK = 256
 NULL_ID = 1 << 62
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F)]
@@ -76,7 +77,8 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         n = max(0, len(w) - SHINGLE + 1)
         grams = np.full(n, _MIX[0], dtype=np.uint64)
         for k in range(SHINGLE):  # the order of words counts
-            grams = _scramble(grams * _MIX[3] + w[k:n + k] + np.uint64(k))
+            grams = grams * _MIX[3] + w[k:n + k]
+        grams = _scramble(grams)
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             if b - a >= SHINGLE:
                 yield np.unique(grams[a:b - SHINGLE + 1])
@@ -115,13 +117,12 @@ _SIGNS = T.StructType([T.StructField("node", T.LongType()), T.StructField("class
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its class, set size and minimum hashes; per batch also
-    the shingles met twice or more."""
-    schema = pa.schema([("node", pa.int64()), ("class", pa.binary()), ("n", pa.int64()),
-                        ("keys", pa.list_(pa.int64())), ("often", pa.int64()), ("times", pa.int64())])
-    seeds = [np.uint64((i * 0x9E3779B97F4A7C15 + 0x1234566) % 2**64 | 1) for i in range(1, 2 * KEYS + 1)]
+    the shingles that two or more of its sets hold (``often``, ``times``)."""
+    names = ["node", "class", "n", "keys", "often", "times"]
     none = pa.nulls
+    seeds = [np.uint64((i * 0x9E3779B97F4A7C15 + 0x1234566) % 2**64 | 1) for i in range(1, 2 * KEYS + 1)]
     for batch in batches:
-        often, times = [], []
+        met = []
         for begin, end in slices(batch.column("text")):
             sets = list(shingle_sets(batch.column("text").slice(begin, end - begin)))
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -138,17 +139,15 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").slice(begin, n),
                  pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(sizes),
-                 pa.array(keys, pa.list_(pa.int64())), none(n, pa.int64()), none(n, pa.int64())], schema=schema)
-            seen, count = np.unique(flat, return_counts=True)
-            often.append(seen[count > 1])
-            times.append(count[count > 1])
-        if often:
-            met = pd.Series(np.concatenate(times)).groupby(np.concatenate(often)).sum()
-            m = len(met)
+                 pa.array(keys, pa.list_(pa.int64())), none(n, pa.int64()), none(n, pa.int64())], names=names)
+            met.append(flat)
+        if met:
+            seen, times = np.unique(np.concatenate(met), return_counts=True)
+            seen, times = seen[times > 1], times[times > 1]
+            m = len(seen)
             yield pa.RecordBatch.from_arrays(
                 [none(m, pa.int64()), none(m, pa.binary()), none(m, pa.int64()), none(m, pa.list_(pa.int64())),
-                 pa.array(met.index.to_numpy(dtype=np.uint64).view(np.int64)),
-                 pa.array(met.to_numpy(dtype=np.int64))], schema=schema)
+                 pa.array(seen.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
 
 def _matrix_rows(hot: np.ndarray):
@@ -272,7 +271,51 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return stored(both.filter(_texts_linked("text_a", "text_b")).select("a", "b").distinct(), "verified")
 
 
-def _least_sizes(n: str = "n", m: str = "m") -> str:
+def _open_block(key, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    """For each asking text one document of the block that it links with, if
+    there is any."""
+    out = []
+    if len(members) and len(asking):
+        sets = list(shingle_sets(pa.array(members["text"], pa.string())))
+        sizes = np.array([len(x) for x in sets])
+        for a, s in zip(asking["node"], shingle_sets(pa.array(asking["text"], pa.string())), strict=True):
+            fits = (100 * np.minimum(sizes, len(s)) >= PERCENT * np.maximum(sizes, len(s))).nonzero()[0]
+            hit = next((i for i in fits if linked(s, sets[i])), None)
+            if hit is not None:
+                out.append((a, members["node"].iloc[hit]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _open_groups(docs: DataFrame, apart: DataFrame, member: DataFrame) -> DataFrame:
+    """Links between the documents of pairs of groups. The larger group of a
+    pair is dealt out in blocks, every member once however many ask; the
+    documents of the smaller ask each block."""
+    size = stored(member.groupBy("group").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "group-sizes")
+    sized = (apart.join(size.toDF("a", "size_a"), "a", "left").join(size.toDF("b", "size_b"), "b", "left")
+             .select("a", "b", F.coalesce("size_a", F.lit(1)).alias("size_a"), F.coalesce("size_b", F.lit(1)).alias("size_b"))
+             .filter("size_a > 1 OR size_b > 1"))
+    swap = F.col("size_a") > F.col("size_b")
+    ask = stored(sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"),
+                              F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"),
+                              F.ceil(F.greatest("size_a", "size_b") / BLOCK).cast("int").alias("blocks")), "apart")
+    large = ask.select("large", "blocks").distinct()
+    held = (member.join(large, member["group"] == large["large"])
+            .select("node", "large", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    asks = (ask.join(member.withColumnRenamed("group", "small"), "small")
+            .select("node", "large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    held, asks = stored(held, "blocks"), stored(asks, "asking")
+    nodes = stored(held.select("node").unionByName(asks.select("node")).distinct(), "open-nodes")
+    maybe, _ = split_by_filter(docs, "node", id_filter(nodes, "node"))
+    texts = stored(maybe.join(nodes, "node", "left_semi"), "open-texts")
+    keys = ("large", "block")
+    left = held.join(texts, "node").select(*keys, "node", "text")
+    right = (asks.join(texts.select(F.col("node").alias("of"), F.col("text").alias("asked")),
+                       F.col("node") == F.col("of")).select(*keys, "node", F.col("asked").alias("text")))
+    return stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_open_block, "a long, b long"),
+                  "opened")
+
+
+def _fits(n: str = "n", m: str = "m") -> str:
     return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
 
 
@@ -300,7 +343,7 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = classes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     pivots = stored(keyed.groupBy("at", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("c"))
                     .filter("c > 1").select("at", "key", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "pivots")
-    near = (keyed.join(pivots, ["at", "key"]).filter(F.col("node") != F.col("b")).filter(_least_sizes())
+    near = (keyed.join(pivots, ["at", "key"]).filter(F.col("node") != F.col("b")).filter(_fits())
             .select(F.col("node").alias("a"), "b").distinct())
     links = _verify(docs, near)
     # an id with several texts is one document: its node is then a member of several classes
@@ -339,14 +382,9 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = (open_pairs.select("a", "b")
              .join(now.toDF("a", "now_a"), "a", "left").join(now.toDF("b", "now_b"), "b", "left")
              .filter(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b"))
-    multi = stored(groups.groupBy("label").count().filter("count > 1").select(F.col("label").alias("group")), "multi")
-    apart = stored(apart.join(multi.withColumnRenamed("group", "a"), "a", "left_semi")
-                   .unionByName(apart.join(multi.withColumnRenamed("group", "b"), "b", "left_semi")).distinct(), "apart")
-    if not apart.isEmpty():
-        opened = (apart.join(member.select(F.col("group").alias("a"), F.col("node").alias("x"), "n"), "a")
-                  .join(member.select(F.col("group").alias("b"), F.col("node").alias("y"), F.col("n").alias("m")), "b")
-                  .filter(_least_sizes()).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        more = _verify(docs, opened)
+    apart = stored(apart.distinct(), "apart")
+    if not (apart.isEmpty() or groups.isEmpty()):
+        more = _open_groups(docs, apart, member.select("node", "group"))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     names = labels.select(F.col("node").alias("of"), "label")
