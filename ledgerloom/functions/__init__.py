@@ -73,3 +73,15 @@ def conditional_sum(value: Column, cond: Column) -> Column:
 
 def union_all(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def date_key(c: Column | str) -> Column:
+    """A date as the number YYYYMMDD (NULL without a date), which sorts like it."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.year(c) * 10_000 + F.month(c) * 100 + F.dayofmonth(c)).cast("bigint")
+
+
+def remainder(total: Column, paid: Column) -> Column:
+    """What is left of an amount, never below 0; missing amounts are 0."""
+    zero = F.lit(0).cast(MONEY)
+    return F.greatest(zero, F.coalesce(total, zero) - F.coalesce(paid, zero))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed as fx
-from ledgerloom.functions import money, zero_if_null
+from ledgerloom.functions import date_key, money, remainder, zero_if_null
 from ledgerloom.sources.catalog import Catalog
 
 
@@ -241,6 +241,13 @@ def obligations_suppliers(c: Catalog, as_of) -> DataFrame:
             .orderBy("due_date", "installment_id"))
 
 
+def shipment_remainders(c: Catalog) -> DataFrame:
+    """Per shipment its receipt date as a YYYYMMDD key and what remains of
+    the declared value after the payments made."""
+    return shipments_with_paid(c).select("id", date_key("date_received").alias("date_key"),
+                                         money(remainder(F.col("declared_value"), F.col("paid"))).alias("remainder"))
+
+
 def deletable_suppliers(c: Catalog) -> DataFrame:
     """Suppliers without shipments (the delete guard)."""
     s = c.erp_supplier

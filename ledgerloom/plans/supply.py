@@ -108,6 +108,12 @@ FROM shipment sh LEFT JOIN {PAID_BY_SHIPMENT} p ON p.shipment_id = sh.id"""),
    (SELECT any_value(supplier_id) FROM shipment WHERE shipment.id = q.shipment_id)) AS supplier,
  {M('amount')} AS amount, due_date, CAST(due_date < DATE '{AS_OF}' AS INTEGER) AS overdue
  FROM shipment_installment q WHERE NOT is_paid = 1) x WHERE supplier IS NOT NULL"""),
+    "shipment_remainders": (
+        lambda c: op.shipment_remainders(c),
+        f"""SELECT id, CAST(strftime(date_received, '%Y%m%d') AS BIGINT) AS date_key,
+ {M('CASE WHEN left_over < 0 THEN 0 ELSE left_over END')} AS remainder FROM (SELECT id, date_received,
+ declared_value - COALESCE((SELECT SUM(amount) FROM shipment_installment k WHERE k.is_paid = 1 AND k.shipment_id = q.id),
+                           CAST(0 AS DECIMAL(18,2))) AS left_over FROM shipment q) x"""),
     "deletable_suppliers": (
         lambda c: op.deletable_suppliers(c),
         "SELECT s.id, s.name FROM erp_supplier s WHERE NOT EXISTS (SELECT 1 FROM shipment sh WHERE sh.supplier_id = s.id)"),

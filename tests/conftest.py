@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -29,6 +30,7 @@ def small_catalog(spark):
 def frames(spark, small_catalog):
     """Build literal ERP tables with the same schemas as the derived views."""
     def make(name, rows):
-        schema = small_catalog[name].schema  # trailing columns that a test doesn't name are NULL
+        # trailing columns that a test doesn't name are NULL
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in small_catalog[name].schema])
         return spark.createDataFrame([(*r, *[None] * (len(schema) - len(r))) for r in rows], schema)
     return make
