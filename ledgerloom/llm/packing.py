@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import numbered
+from ledgerloom.llm.common import numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,7 +75,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, te
          buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """One row per row of ``df``: id, n_tokens, bucket, boundary, batch (its
     number in the bucket), slot, padding, over_budget."""
-    narrow = df.select(F.col(id_col), (word_count(text_col) if length is None else length).alias("n_tokens"))
+    narrow = stored(df.select(F.col(id_col), (word_count(text_col) if length is None else length).alias("n_tokens")),
+                    "lengths")  # texts are read once
     hist = (narrow.groupBy(length_cell("n_tokens").alias("cell"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"), F.max("n_tokens").alias("top"))
             .orderBy("cell").collect())  # under 8,000 rows, see above
