@@ -5,9 +5,10 @@ reaches ``percent``. The result is one row per document with the smallest
 document it reaches, complete for all pairs, without writing pairs of copies.
 
 1. Sets. A task hashes the shingles of whole texts. Equal sets are one class.
-   Shingles are looked up by rising hash; those that two sets of a batch
-   share are counted, added up over all batches, and the ``HOT`` most
-   frequent come last instead. The order changes cost, not results.
+   Shingles are looked up by rising hash, but the ``HOT`` most frequent in
+   the corpus come last: those of the lower half of the hashes are counted
+   over all documents, the others where two sets of a batch share them. The
+   order changes cost, not results.
 2. Groups. Classes that agree in a pair of minimum hashes are compared with
    one of them, and linked if they reach the similarity; what links so, at
    linear cost, is a group. Most documents are groups of one.
@@ -15,7 +16,8 @@ document it reaches, complete for all pairs, without writing pairs of copies.
    qualifying partner must share: of a set of n, the n - ceil(0.75 n) + 1
    first shingles in the common order. A pair of groups that shares c of
    these has at most c + (what is left of the larger) in common; pairs below
-   the needed overlap are not opened.
+   the needed overlap are not opened. Sets that are frequent shingles for the
+   most part meet only where such a shingle can be their first in common.
 4. Qualifying groups are opened: first one document of each against the
    other (enough where groups are single), then, for groups still apart, the
    documents of the smaller ask the other's, dealt out in blocks. Texts are
@@ -49,6 +51,9 @@ from ledgerloom.llm.common import arrow_rows, components, id_filter, split_by_fi
 SHINGLE, PERCENT = 5, 75
 KEYS, HOT, HOT_MIN = 6, 262_144, 16
 SLICE = 4 << 20
+#: Frequencies are counted for buckets of shingles (their first 44 bits), of all shingles below LOW: the first
+#: quarter of a set by hash lies there unless more than half of it is frequent.
+BUCKET, LOW = np.uint64(20), np.uint64(1 << 63)
 BLOCK = 256
 NULL_ID = 1 << 62
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -117,7 +122,8 @@ _SIGNS = T.StructType([T.StructField("node", T.LongType()), T.StructField("class
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its class, set size and minimum hashes; per batch also
-    the shingles that two or more of its sets hold (``often``, ``times``)."""
+    the shingles from LOW on that two or more of its sets hold (``often``,
+    ``times``)."""
     names = ["node", "class", "n", "keys", "often", "times"]
     none = pa.nulls
     seeds = [np.uint64((i * 0x9E3779B97F4A7C15 + 0x1234566) % 2**64 | 1) for i in range(1, 2 * KEYS + 1)]
@@ -140,9 +146,9 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("node").slice(begin, n),
                  pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(sizes),
                  pa.array(keys, pa.list_(pa.int64())), none(n, pa.int64()), none(n, pa.int64())], names=names)
-            met.append(flat)
+            met.append(flat[flat >= LOW])
         if met:
-            seen, times = np.unique(np.concatenate(met), return_counts=True)
+            seen, times = np.unique(np.concatenate(met) >> BUCKET, return_counts=True)
             seen, times = seen[times > 1], times[times > 1]
             m = len(seen)
             yield pa.RecordBatch.from_arrays(
@@ -150,9 +156,25 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(seen.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
 
+_ROW = ("shingle", "label", "node", "n", "rest", "hots")
+ALL = 1 << 40
+
+
+def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold shingles of a bucket, for those below LOW."""
+    for batch in batches:
+        for begin, end in slices(batch.column("text")):
+            low = [s[:np.searchsorted(s, LOW)] for s in shingle_sets(batch.column("text").slice(begin, end - begin))]
+            seen, times = np.unique(np.concatenate(low) >> BUCKET, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times.astype(np.int64))],
+                                             names=["often", "times"])
+
+
 def _matrix_rows(hot: np.ndarray):
-    """(shingle, group, node, n): the first shingles of each set in the
-    common order: by hash, the hot ones (sorted by rising count) last."""
+    """Rows of the matrix: the first shingles of each set in the common
+    order, by hash, the hot ones (by rising count) last. ``rest``: how many
+    shingles of the set follow a hot one, itself included (ALL for others);
+    ``hots``: how many of the first ones are hot."""
     by_value = np.argsort(hot)
     values = hot[by_value]
 
@@ -160,47 +182,59 @@ def _matrix_rows(hot: np.ndarray):
         for batch in batches:
             group, node = batch.column("label").to_numpy(), batch.column("node").to_numpy()
             for begin, end in slices(batch.column("text")):
-                found, at, sizes = [], [], []
+                found, at, sizes, hots, rests = [], [], [], [], []
                 for i, s in enumerate(shingle_sets(batch.column("text").slice(begin, end - begin)), begin):
-                    if not len(s):
+                    n = len(s)
+                    if not n:
                         continue
-                    first = len(s) - -(-PERCENT * len(s) // 100) + 1
+                    first, plain = n - -(-PERCENT * n // 100) + 1, n
                     if len(values):
-                        place = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                        is_hot = values[place] == s
+                        bucket = s >> BUCKET
+                        place = np.minimum(np.searchsorted(values, bucket), len(values) - 1)
+                        is_hot = values[place] == bucket
                         if is_hot.any():
                             late = np.argsort(by_value[place[is_hot]], kind="stable")
                             s = np.concatenate([s[~is_hot], s[is_hot][late]])
+                            plain -= len(late)
+                    rest = np.full(first, ALL, dtype=np.int64)
+                    rest[plain:] = np.arange(n, n - first, -1)[plain:]
                     found.append(s[:first])
+                    rests.append(rest)
                     at.append(i)
-                    sizes.append(len(s))
+                    sizes.append(n)
+                    hots.append(max(0, first - plain))
                 if found:
                     firsts = [len(f) for f in found]
                     at = np.repeat(at, firsts)
+                    each = lambda x: pa.array(np.repeat(np.array(x, dtype=np.int64), firsts))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(found).view(np.int64)), pa.array(group[at]), pa.array(node[at]),
-                         pa.array(np.repeat(np.array(sizes, dtype=np.int64), firsts))],
-                        names=["shingle", "label", "node", "n"])
+                         each(sizes), pa.array(np.concatenate(rests)), each(hots)], names=list(_ROW))
     return run
 
 
-_PAIR = ("a", "b", "shared", "node_a", "node_b", "low_a", "low_b", "high")
+_PAIR = ("a", "b", "shared", "hots", "node_a", "node_b", "low_a", "low_b", "high")
 _FLUSH = 500_000
 
 
 def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of groups that share shingles, with the number shared; rows come
     sorted by shingle and group. Runs of a shingle are paired at distance 1,
-    2, ... in one step for all of them, and counted before they leave."""
+    2, ... in one step for all of them, and counted before they leave.
+
+    ``shared`` counts the shingles that aren't hot. A hot one makes a pair only
+    if it can be the first that the two have in common, that is, if what
+    follows it in both sets suffices; ``hots`` bounds how many hot ones they
+    can share."""
     made: list[np.ndarray] = []  # rows of _PAIR
-    rest = np.zeros((4, 0), dtype=np.int64)
+    rest = np.zeros((len(_ROW), 0), dtype=np.int64)
 
     def counted() -> pa.RecordBatch:
         p = np.concatenate(made, axis=1)
         made.clear()
         p = p[:, np.lexsort((p[1], p[0]))]
         first = np.flatnonzero(np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])]))
-        how = (np.minimum, np.minimum, np.add, np.minimum, np.minimum, np.minimum, np.minimum, np.maximum)
+        how = (np.minimum, np.minimum, np.add, np.maximum, np.minimum, np.minimum, np.minimum, np.minimum, np.maximum)
         return pa.RecordBatch.from_arrays([pa.array(f.reduceat(c, first)) for f, c in zip(how, p, strict=True)],
                                           names=list(_PAIR))
 
@@ -218,6 +252,8 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, label = rows[0, first], rows[1, first]
         node, low, high = (np.minimum.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first),
                            np.maximum.reduceat(rows[3], first))
+        follow, hots = np.maximum.reduceat(rows[4], first), np.maximum.reduceat(rows[5], first)
+        plain = (follow == ALL).astype(np.int64)
         i, step = np.arange(len(first)), 1
         while True:
             i = i[i + step < len(first)]
@@ -225,17 +261,19 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(i):
                 return
             j = i + step
-            fits = (100 * high[j] >= PERCENT * low[i]) & (100 * high[i] >= PERCENT * low[j])
+            least = -(-PERCENT * (low[i] + low[j]) // (100 + PERCENT))
+            fits = ((100 * high[j] >= PERCENT * low[i]) & (100 * high[i] >= PERCENT * low[j])
+                    & (np.minimum(follow[i], follow[j]) >= least))
             x, y = i[fits], j[fits]
             if len(x):
-                made.append(np.array([label[x], label[y], np.ones(len(x), dtype=np.int64), node[x], node[y], low[x],
+                made.append(np.array([label[x], label[y], plain[x], np.minimum(hots[x], hots[y]), node[x], node[y], low[x],
                                       low[y], np.maximum(high[x], high[y])]))
                 if sum(m.shape[1] for m in made) > _FLUSH:
                     yield counted()
             step += 1
 
     for batch in batches:
-        rows = np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in ("shingle", "label", "node", "n")],
+        rows = np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in _ROW],
                                               dtype=np.int64)], axis=1)
         if not rows.shape[1]:
             continue
@@ -327,16 +365,19 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NULL_ID - 1))).alias("node"), text.alias("text"))
     found = stored(docs.mapInArrow(_signs, _SIGNS), "signs")
     signs = found.filter("node IS NOT NULL").select("node", "class", "n", "keys")
-    hot = (found.filter("often IS NOT NULL").groupBy("often").agg(F.sum("times").alias("times"))
-           .filter(F.col("times") >= HOT_MIN).orderBy(F.desc("times"), "often").limit(HOT)
-           .toPandas())  # at most HOT rows
-    hot = hot.sort_values(["times", "often"])["often"].to_numpy(dtype=np.int64).view(np.uint64)
-
     # classes of equal sets, by the smallest node
     copies = stored(signs.filter("n > 0").groupBy("class").agg(F.min("node").alias("of"), F.count(F.lit(1)).alias("c"))
                     .filter("c > 1").select("class", "of"), "copies")
     members = stored(signs.join(copies, "class", "left")
                      .select("node", F.coalesce("of", "node").alias("of"), "n", "keys"), "members")
+
+    # frequent shingles, over the documents that aren't copies
+    _, single = split_by_filter(docs, "node", id_filter(members.filter("node <> of").select("node"), "node"))
+    hot = (single.select("text").mapInArrow(_low_counts, "often long, times long")
+           .unionByName(found.filter("often IS NOT NULL").select("often", "times"))
+           .groupBy("often").agg(F.sum("times").alias("times")).filter(F.col("times") >= HOT_MIN)
+           .orderBy(F.desc("times"), "often").limit(HOT).toPandas())  # at most HOT rows
+    hot = hot.sort_values(["times", "often"])["often"].to_numpy(dtype=np.int64).view(np.uint64)
     classes = members.filter("node = of AND n > 0").dropDuplicates(["node"])
 
     # groups: links to one class for each pair of minimum hashes
@@ -363,14 +404,14 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .filter(F.coalesce("keep", F.lit(True)))
              .select("node", F.coalesce("label", "node").alias("label"), "text")
              .unionByName(plain.select("node", F.col("node").alias("label"), "text")))
-    matrix = (texts.mapInArrow(_matrix_rows(hot), "shingle long, label long, node long, n long")
+    matrix = (texts.mapInArrow(_matrix_rows(hot), ", ".join(f"{c} long" for c in _ROW))
               .repartition("shingle").sortWithinPartitions("shingle", "label"))
     counted = (matrix.mapInArrow(_group_pairs, ", ".join(f"{c} long" for c in _PAIR))
-               .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("node_a").alias("node_a"),
+               .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("hots").alias("hots"), F.min("node_a").alias("node_a"),
                                       F.min("node_b").alias("node_b"), F.min("low_a").alias("low_a"),
                                       F.min("low_b").alias("low_b"), F.max("high").alias("high")))
     needed = F.expr(f"ceil({PERCENT} * (low_a + low_b) / {100 + PERCENT}) - ceil({PERCENT} * high / 100) + 1")
-    open_pairs = stored(counted.filter(F.col("shared") >= F.greatest(F.lit(1), needed)), "qualifying")
+    open_pairs = stored(counted.filter(F.col("shared") + F.col("hots") >= F.greatest(F.lit(1), needed)), "qualifying")
 
     # open: one document of each, then all where a group has more
     first = _verify(docs, open_pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
