@@ -54,7 +54,7 @@ SLICE = 4 << 20
 #: Frequencies are counted for buckets of shingles (their first 44 bits), of all shingles below LOW: the first
 #: quarter of a set by hash lies there unless more than half of it is frequent.
 BUCKET, LOW = np.uint64(20), np.uint64(1 << 63)
-BLOCK = 256
+BLOCK, ASKING = 256, 512
 NULL_ID = 1 << 62
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F)]
@@ -326,8 +326,8 @@ def _open_block(key, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFram
 
 def _open_groups(docs: DataFrame, apart: DataFrame, member: DataFrame) -> DataFrame:
     """Links between the documents of pairs of groups. The larger group of a
-    pair is dealt out in blocks, every member once however many ask; the
-    documents of the smaller ask each block."""
+    pair is dealt out in blocks, and so are the documents of the smaller ones
+    that ask it, so a task holds at most about BLOCK + ASKING texts."""
     size = stored(member.groupBy("group").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "group-sizes")
     sized = (apart.join(size.toDF("a", "size_a"), "a", "left").join(size.toDF("b", "size_b"), "b", "left")
              .select("a", "b", F.coalesce("size_a", F.lit(1)).alias("size_a"), F.coalesce("size_b", F.lit(1)).alias("size_b"))
@@ -335,17 +335,22 @@ def _open_groups(docs: DataFrame, apart: DataFrame, member: DataFrame) -> DataFr
     swap = F.col("size_a") > F.col("size_b")
     ask = stored(sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"),
                               F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"),
+                              F.least("size_a", "size_b").alias("texts"),
                               F.ceil(F.greatest("size_a", "size_b") / BLOCK).cast("int").alias("blocks")), "apart")
-    large = ask.select("large", "blocks").distinct()
+    large = stored(ask.groupBy("large", "blocks").agg(F.ceil(F.sum("texts") / ASKING).cast("int").alias("turns")),
+                   "large")
     held = (member.join(large, member["group"] == large["large"])
-            .select("node", "large", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    asks = (ask.join(member.withColumnRenamed("group", "small"), "small")
-            .select("node", "large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+            .select("node", "large", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+                    F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")))
+    asks = (ask.select("small", "large").join(member.withColumnRenamed("group", "small"), "small")
+            .join(large, "large")
+            .select("node", "large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                    F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int").alias("turn")))
     held, asks = stored(held, "blocks"), stored(asks, "asking")
     nodes = stored(held.select("node").unionByName(asks.select("node")).distinct(), "open-nodes")
     maybe, _ = split_by_filter(docs, "node", id_filter(nodes, "node"))
     texts = stored(maybe.join(nodes, "node", "left_semi"), "open-texts")
-    keys = ("large", "block")
+    keys = ("large", "block", "turn")
     left = held.join(texts, "node").select(*keys, "node", "text")
     right = (asks.join(texts.select(F.col("node").alias("of"), F.col("text").alias("asked")),
                        F.col("node") == F.col("of")).select(*keys, "node", F.col("asked").alias("text")))

@@ -117,10 +117,12 @@ def planted(seed, n=160):
             for i, t in zip(ids, texts, strict=True)]
 
 
-@pytest.mark.parametrize("seed,keys,hot", [(0, 6, 24), (1, 6, 2), (2, 1, 3)])
-def test_components_equal_brute_force(docs, monkeypatch, seed, keys, hot):
+@pytest.mark.parametrize("seed,keys,hot,block", [(0, 6, 24, 256), (1, 6, 2, 1), (2, 1, 3, 2)])
+def test_components_equal_brute_force(docs, monkeypatch, seed, keys, hot, block):
     monkeypatch.setattr(jaccard_join, "KEYS", keys)  # fewer keys: more is left to the matrix
     monkeypatch.setattr(jaccard_join, "HOT_MIN", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ASKING", block)
     rows = planted(seed)
     got = jaccard_join.group_documents(docs(rows).repartition(4))
     assert sorted((r.node, r.n_shingles, r.component) for r in got.collect()) == brute_components(rows)
