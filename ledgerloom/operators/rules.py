@@ -253,13 +253,17 @@ def patch_map(patches: DataFrame, key: str, fields: list[str], seq: str | None =
 
 
 def apply_patch(table: DataFrame, patches: DataFrame, allowed: list[str], key: str = "id",
-                seq: str | None = None) -> DataFrame:
+                seq: str | None = None, convert: dict | None = None, derived: dict | None = None) -> DataFrame:
     """Apply ``map<string,string>`` patches: only whitelisted columns and only
     keys present in a patch change; values are cast to the column type
-    (``try_cast``: a bad value becomes NULL instead of failing the job).
+    (``try_cast``: a bad value becomes NULL instead of failing the job) or
+    read by the column's function in ``convert``. A column of ``derived`` is
+    computed anew (its function gives the expression over the patched
+    columns) for rows that a patch changes.
     Patches of one id apply in turn: per (id, column) the last by ``seq``
     holds. Without ``seq``, patches of one id count as one moment and the
     greatest value of a column holds."""
+    convert, derived = convert or {}, derived or {}
     order = F.col(seq) if seq else F.lit(0)
     each = patches.select("patch_id", order.alias("seq"), F.explode("patch").alias("k", "v"))
     merged = (each.filter(F.col("k").isin(*allowed)).groupBy("patch_id", "k")
@@ -270,12 +274,26 @@ def apply_patch(table: DataFrame, patches: DataFrame, allowed: list[str], key: s
     cols = []
     for col in table.columns:
         if col in allowed and col != key:
-            newv = F.col("patch")[col].try_cast(types[col]) if types[col] != "string" else F.col("patch")[col]
+            v = F.col("patch")[col]
+            newv = convert[col](v) if col in convert else v.try_cast(types[col]) if types[col] != "string" else v
             cols.append(F.when(F.coalesce(F.map_contains_key("patch", F.lit(col)), F.lit(False)), newv)
                         .otherwise(F.col(col)).alias(col))
         else:
             cols.append(F.col(col))
-    return j.select(*cols)
+    if not derived:
+        return j.select(*cols)
+    changed = F.col("patch_id").isNotNull()
+    return j.select(*cols, "patch_id").select(*[
+        F.when(changed, derived[col]().cast(types[col])).otherwise(F.col(col)).alias(col) if col in derived else F.col(col)
+        for col in table.columns])
+
+
+def truthy(raw):
+    """1 for a raw JSON value that JavaScript takes as true, else 0: false are
+    null, ``false``, every form of the number 0 and the empty string (a text
+    keeps its quotes: ``"0"`` and ``"false"`` are true)."""
+    return F.when(raw.isNull() | raw.isin("false", "null", '""', "") | F.coalesce(raw.try_cast("double") == 0, F.lit(False)),
+                  0).otherwise(1)
 
 
 def replace_children(children: DataFrame, replacements: DataFrame, parent: str, value: str) -> DataFrame:

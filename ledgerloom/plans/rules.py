@@ -3,6 +3,7 @@ transfers, patches, child replacement, deletes, lookups)."""
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import zero_if_null
 from ledgerloom.operators import rules as op
 from ledgerloom.operators import validation as val
 from ledgerloom.plans.edge import edge
@@ -14,8 +15,16 @@ FULLY_PAID = (f"SELECT o.id, o.item_id FROM sales_order o LEFT JOIN {PAID} p ON
               f"WHERE o.status = 'active' AND {Z('p.total_paid')} >= o.agreed_price")
 ITEM_PATCH_ALLOWED = ["name", "category", "description", "purchase_value", "sale_price", "status", "location_id",
                       "shipment_id"]
-PERSON_PATCH_ALLOWED = ["name", "role", "rate"]
-ORDER_PATCH_ALLOWED = ["status", "agreed_price", "discount", "delivery_status", "expected_arrival", "location_id"]
+PERSON_PATCH_ALLOWED = ["name", "role", "phone", "employment_type", "payment_type", "rate", "contract_start",
+                        "contract_end", "status"]
+ORDER_PATCH_ALLOWED = ["status", "agreed_price", "backorder_description", "expected_arrival", "fulfillment_trigger",
+                       "discount", "delivery_status"]
+SHIPMENT_PATCH_ALLOWED = ["date_received", "declared_value", "partial_delivery", "notes", "container_number",
+                          "estimated_arrival", "delivery_status", "image_url", "account_notes"]
+SUPPLIER_PATCH_ALLOWED = ["name", "phone", "address", "notes", "status"]
+CUSTOMER_PATCH_ALLOWED = ["name", "phone", "notes"]
+EXPENSE_PATCH_ALLOWED = ["description", "amount", "expense_date", "category", "location_id", "paid_by_person_id", "notes"]
+INVENTORY_PATCH_ALLOWED = ["name", "category", "location_id", "quantity", "unit_price"]
 # a JSON value counts as paid when it is the literal true, the number 1 or the text "true"
 PAID_RAW = ("COALESCE(b.is_paid_raw = 'true' OR b.is_paid_raw = '1' OR (length(b.is_paid_raw) = 6 "
             "AND b.is_paid_raw LIKE '\"true\"'), false)")
@@ -73,6 +82,39 @@ DELETES = """SELECT d.id, CASE WHEN COALESCE(d.id, 0) <= 0 THEN 'invalid' WHEN i
 FROM (SELECT DISTINCT id FROM delete_batch) d LEFT JOIN item i ON i.id = d.id"""
 
 
+def _patched(table, batch, key, allowed, **rules):
+    """The whole table after a batch that names columns of all kinds."""
+    return lambda c: edge(op.apply_patch(c[table], op.patch_map(c[batch], key, allowed, "seq"), allowed, seq="seq", **rules))
+
+
+def _stock_value():
+    return F.coalesce(F.col("quantity"), F.lit(0)) * zero_if_null("unit_price")
+
+
+def _patched_sql(table, batch, key, columns, money="", derived=""):
+    """Two patches in turn; ``columns`` are the table's, a ``+`` marks those a patch may set."""
+    out = []
+    for name in columns.split():
+        col = name.lstrip("+")
+        sql = (f"CASE WHEN b.has_{col} THEN b.{col} WHEN a.has_{col} THEN a.{col} ELSE t.{col} END" if name != col
+               else f"t.{col}")
+        out.append(f"{M(sql) if col in money.split() else sql} AS {col}")
+    return (f"SELECT {', '.join(out)}{derived} FROM {table} t LEFT JOIN {batch} a ON a.{key} = t.id AND a.seq = 1 "
+            f"LEFT JOIN {batch} b ON b.{key} = t.id AND b.seq = 2")
+
+
+def _raw_flag(c):
+    return f"CASE WHEN {c} IS NULL OR {c} IN ('false', '0', '0.0', '-0', '\"\"') THEN 0 ELSE 1 END"
+
+
+# a changed row's value follows from its new quantity and price
+_QTY, _PRICE = (f"CASE WHEN b.has_{c} THEN b.{c} WHEN a.has_{c} THEN a.{c} ELSE t.{c} END" for c in ("quantity", "unit_price"))
+_CHANGED = " OR ".join(f"{p}.has_{c}" for p in "ab" for c in ("name", "category", "location_id", "quantity", "unit_price"))
+STOCK_VALUE = f", {M(f'CASE WHEN {_CHANGED} THEN ({_QTY}) * ({_PRICE}) ELSE t.total_value END')} AS total_value"
+PARTIAL = (f", CASE WHEN b.has_partial_delivery THEN {_raw_flag('b.partial_delivery')} WHEN a.has_partial_delivery "
+           f"THEN {_raw_flag('a.partial_delivery')} ELSE t.partial_delivery END AS partial_delivery")
+
+
 def _item_deletes(c):
     return op.apply_deletes(c.item, c.delete_batch, guard=F.col("status") == "sold")
 
@@ -137,6 +179,40 @@ LEFT JOIN person_patch b ON b.person_id = p.id AND b.seq = 2"""),
    ELSE o.delivery_status END AS delivery_status
 FROM sales_order o LEFT JOIN order_patch a ON a.order_id = o.id AND a.seq = 1
 LEFT JOIN order_patch b ON b.order_id = o.id AND b.seq = 2"""),
+    "apply_patch_items_all": (
+        _patched("item", "item_patch_all", "item_id", ITEM_PATCH_ALLOWED),
+        _patched_sql("item", "item_patch_all", "item_id", "id +shipment_id +location_id +name +category +description "
+                     "+purchase_value +sale_price +status", "purchase_value sale_price")),
+    "apply_patch_people_all": (
+        _patched("person", "person_patch_all", "person_id", PERSON_PATCH_ALLOWED),
+        _patched_sql("person", "person_patch_all", "person_id", "id +name +role +rate +phone +employment_type "
+                     "+payment_type +contract_start +contract_end +status", "rate")),
+    "apply_patch_orders_all": (
+        _patched("sales_order", "order_patch_all", "order_id", ORDER_PATCH_ALLOWED),
+        _patched_sql("sales_order", "order_patch_all", "order_id", "id customer_id item_id location_id +agreed_price "
+                     "+status is_backorder +backorder_description +expected_arrival order_date +discount "
+                     "+delivery_status +fulfillment_trigger", "agreed_price discount")),
+    "apply_patch_shipments": (
+        _patched("shipment_full", "shipment_patch_all", "shipment_id", SHIPMENT_PATCH_ALLOWED,
+                 convert={"partial_delivery": op.truthy}),
+        _patched_sql("shipment_full", "shipment_patch_all", "shipment_id", "id supplier_id +date_received "
+                     "+declared_value payment_status +notes +container_number +estimated_arrival +delivery_status "
+                     "+image_url +account_notes", "declared_value", PARTIAL)),
+    "apply_patch_suppliers": (
+        _patched("erp_supplier", "supplier_patch_all", "supplier_id", SUPPLIER_PATCH_ALLOWED),
+        _patched_sql("erp_supplier", "supplier_patch_all", "supplier_id", "id +name +phone +status +address +notes")),
+    "apply_patch_customers": (
+        _patched("erp_customer", "customer_patch_all", "customer_id", CUSTOMER_PATCH_ALLOWED),
+        _patched_sql("erp_customer", "customer_patch_all", "customer_id", "id +name +phone +notes")),
+    "apply_patch_expenses": (
+        _patched("expense", "expense_patch_all", "expense_id", EXPENSE_PATCH_ALLOWED),
+        _patched_sql("expense", "expense_patch_all", "expense_id", "id +description +amount +expense_date +category "
+                     "+location_id +paid_by_person_id is_reimbursement +notes", "amount")),
+    "apply_patch_inventory": (
+        _patched("inventory", "inventory_patch_all", "inventory_id", INVENTORY_PATCH_ALLOWED,
+                 derived={"total_value": _stock_value}),
+        _patched_sql("inventory", "inventory_patch_all", "inventory_id", "id +name +category +location_id +quantity "
+                     "+unit_price", "unit_price", STOCK_VALUE)),
     "replace_children": (
         lambda c: op.replace_children(c.item_image, c.image_replacement, "item_id", "url"),
         "SELECT item_id, id, url, 'kept' AS origin FROM item_image WHERE item_id NOT IN "

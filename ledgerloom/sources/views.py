@@ -232,6 +232,154 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  id%3=0 AS has_delivery_status, 'received' AS delivery_status FROM {sales_order} WHERE id%4<>1
  UNION ALL SELECT id, 2, true, CAST(0 AS DECIMAL(18,2)), id%6=0, 'not_received' FROM {sales_order} WHERE id%10=0""",
 
+    # --- one batch per table that sets every patchable column and a forbidden one, a second patch for some rows ---
+    # the shipment with its columns of migrations 0004, 0008 and 0009
+    "shipment_full": """SELECT id, supplier_id, date_received, declared_value, payment_status, partial_delivery, notes,
+ CASE WHEN id%4=0 THEN 'MSKU' || CAST(id AS STRING) END AS container_number,
+ CASE WHEN id%3=0 THEN date_received END AS estimated_arrival,
+ CASE id%4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_transit' ELSE 'received' END AS delivery_status,
+ CASE WHEN id%5=0 THEN '/ship/' || CAST(id AS STRING) || '.jpg' END AS image_url,
+ CASE WHEN id%6=0 THEN 'Account ' || CAST(id AS STRING) END AS account_notes FROM {shipment}""",
+
+    "item_patch_all": """SELECT id AS item_id, 1 AS seq,
+ id%2=0 AS has_name, 'Item ' || CAST(id AS STRING) AS name,
+ id%3=1 AS has_category, 'chair' AS category,
+ id%5=0 AS has_description, CAST(NULL AS STRING) AS description,
+ id%7=0 AS has_purchase_value, CAST(50.25 AS DECIMAL(18,2)) AS purchase_value,
+ id%4=2 AS has_sale_price, CAST(123.45 AS DECIMAL(18,2)) AS sale_price,
+ id%6=4 AS has_status, 'on_display' AS status,
+ id%5=2 AS has_location_id, CAST(id%25+1 AS BIGINT) AS location_id,
+ id%9=1 AS has_shipment_id, CAST(NULL AS BIGINT) AS shipment_id,
+ CAST(-1 AS BIGINT) AS id FROM {item} WHERE id%2=0
+ UNION ALL SELECT id, 2, id%3=0, 'Second ' || CAST(id AS STRING),
+ id%4=0, CAST(NULL AS STRING),
+ id%5=1, 'later',
+ id%3=1, CAST(id%90 AS DECIMAL(18,2)),
+ id%8=0, CAST(NULL AS DECIMAL(18,2)),
+ id%6=0, 'in_storage',
+ id%7=1, CAST(3 AS BIGINT),
+ id%9=2, CAST(1001 AS BIGINT),
+ CAST(-1 AS BIGINT) FROM {item} WHERE id%5<3""",
+
+    "person_patch_all": """SELECT id AS person_id, 1 AS seq,
+ id%2=0 AS has_name, 'Person ' || CAST(id AS STRING) AS name,
+ id%3=1 AS has_role, 'worker' AS role,
+ id%5=0 AS has_phone, CAST(NULL AS STRING) AS phone,
+ id%7=0 AS has_employment_type, 'daily_hire' AS employment_type,
+ id%4=1 AS has_payment_type, 'mixed' AS payment_type,
+ id%2=1 AS has_rate, CAST(77.50 AS DECIMAL(18,2)) AS rate,
+ id%6=0 AS has_contract_start, DATE '2024-03-01' AS contract_start,
+ id%6=1 AS has_contract_end, CAST(NULL AS DATE) AS contract_end,
+ id%9=1 AS has_status, 'inactive' AS status,
+ CAST(-1 AS BIGINT) AS id FROM {person} WHERE id%3<>2
+ UNION ALL SELECT id, 2, id%3=0, 'Second ' || CAST(id AS STRING),
+ id%4=0, 'sales',
+ id%5=1, '01000000000',
+ id%3=1, 'permanent',
+ id%7=2, 'per_task',
+ id%5=2, CAST(id%90+10 AS DECIMAL(18,2)),
+ id%3=2, CAST(NULL AS DATE),
+ id%4=3, DATE '2025-06-30',
+ id%9=3, 'active',
+ CAST(-1 AS BIGINT) FROM {person} WHERE id%5<3""",
+
+    "order_patch_all": """SELECT id AS order_id, 1 AS seq,
+ id%5=0 AS has_status, 'fulfilled' AS status,
+ id%3=1 AS has_agreed_price, CAST(999.99 AS DECIMAL(18,2)) AS agreed_price,
+ id%7=0 AS has_backorder_description, 'two tables' AS backorder_description,
+ id%6=0 AS has_expected_arrival, DATE '2004-01-15' AS expected_arrival,
+ id%8=0 AS has_fulfillment_trigger, 'customer_waiting' AS fulfillment_trigger,
+ id%2=0 AS has_discount, CAST(25.50 AS DECIMAL(18,2)) AS discount,
+ id%3=2 AS has_delivery_status, 'received' AS delivery_status,
+ CAST(99 AS BIGINT) AS location_id FROM {sales_order} WHERE id%4<>1
+ UNION ALL SELECT id, 2, id%3=0, 'cancelled',
+ id%4=0, CAST(id%5000 AS DECIMAL(18,2)),
+ id%5=1, CAST(NULL AS STRING),
+ id%4=2, CAST(NULL AS DATE),
+ id%7=1, 'specific_order',
+ id%5=2, CAST(0 AS DECIMAL(18,2)),
+ id%6=0, 'not_received',
+ CAST(99 AS BIGINT) FROM {sales_order} WHERE id%5<3""",
+
+    "shipment_patch_all": """SELECT id AS shipment_id, 1 AS seq,
+ id%2=0 AS has_date_received, DATE '1999-09-09' AS date_received,
+ id%4=1 AS has_declared_value, CAST(4321.09 AS DECIMAL(28,2)) AS declared_value,
+ id%2=1 AS has_partial_delivery, CASE id%11 WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN 'false' WHEN 3 THEN '0' WHEN 4 THEN '""'
+      WHEN 5 THEN '"0"' WHEN 6 THEN '"false"' WHEN 7 THEN '0.0' WHEN 8 THEN '2' WHEN 9 THEN '-0' END AS partial_delivery,
+ id%5=1 AS has_notes, CAST(NULL AS STRING) AS notes,
+ id%3=0 AS has_container_number, 'C-' || CAST(id AS STRING) AS container_number,
+ id%7=2 AS has_estimated_arrival, DATE '1999-10-01' AS estimated_arrival,
+ id%4=0 AS has_delivery_status, 'in_transit' AS delivery_status,
+ id%6=5 AS has_image_url, '/s/' || CAST(id AS STRING) || '.jpg' AS image_url,
+ id%8=3 AS has_account_notes, 'paid late' AS account_notes,
+ 'settled' AS payment_status, CAST(-1 AS BIGINT) AS supplier_id FROM {shipment_full} WHERE id%3<>1
+ UNION ALL SELECT id, 2, id%5=0, DATE '2000-02-29',
+ id%6=0, CAST(id%5000 AS DECIMAL(28,2)),
+ id%7=0, 'true',
+ id%4=0, 'checked',
+ id%5=2, CAST(NULL AS STRING),
+ id%8=0, CAST(NULL AS DATE),
+ id%3=0, 'received',
+ id%9=0, CAST(NULL AS STRING),
+ id%7=4, 'closed',
+ 'settled', CAST(-1 AS BIGINT) FROM {shipment_full} WHERE id%5<3""",
+
+    "supplier_patch_all": """SELECT id AS supplier_id, 1 AS seq,
+ id%2=0 AS has_name, 'Supplier ' || CAST(id AS STRING) AS name,
+ id%3=1 AS has_phone, '01000000000' AS phone,
+ id%5=0 AS has_address, CAST(NULL AS STRING) AS address,
+ id%2=1 AS has_notes, 'new terms' AS notes,
+ id%3=0 AS has_status, 'inactive' AS status,
+ CAST(-1 AS BIGINT) AS id FROM {erp_supplier} WHERE id%4<>3
+ UNION ALL SELECT id, 2, id%3=0, 'Second ' || CAST(id AS STRING),
+ id%5=2, '01111111111',
+ id%5=1, 'Harbour Road',
+ id%6=0, CAST(NULL AS STRING),
+ id%4=2, 'active',
+ CAST(-1 AS BIGINT) FROM {erp_supplier} WHERE id%5<3""",
+
+    "customer_patch_all": """SELECT id AS customer_id, 1 AS seq,
+ id%2=0 AS has_name, 'Customer ' || CAST(id AS STRING) AS name,
+ id%3=2 AS has_phone, '01000000000' AS phone,
+ id%5=0 AS has_notes, CAST(NULL AS STRING) AS notes,
+ CAST(-1 AS BIGINT) AS id FROM {erp_customer} WHERE id%3<>1
+ UNION ALL SELECT id, 2, id%3=0, 'Second ' || CAST(id AS STRING),
+ id%4=0, '01111111111',
+ id%5=1, 'calls back',
+ CAST(-1 AS BIGINT) FROM {erp_customer} WHERE id%5<3""",
+
+    "expense_patch_all": """SELECT id AS expense_id, 1 AS seq,
+ id%2=0 AS has_description, 'Bill of ' || CAST(id AS STRING) AS description,
+ id%3=2 AS has_amount, CAST(88.80 AS DECIMAL(18,2)) AS amount,
+ id%5=0 AS has_expense_date, DATE '2024-02-29' AS expense_date,
+ id%4=1 AS has_category, 'tools' AS category,
+ id%7=0 AS has_location_id, CAST(NULL AS BIGINT) AS location_id,
+ id%2=1 AS has_paid_by_person_id, CAST(id%50+1 AS BIGINT) AS paid_by_person_id,
+ id%6=3 AS has_notes, CAST(NULL AS STRING) AS notes,
+ 1-id%2 AS is_reimbursement FROM {expense} WHERE id%3<>1
+ UNION ALL SELECT id, 2, id%3=0, 'corrected',
+ id%4=0, CAST(id%700 AS DECIMAL(18,2)),
+ id%5=1, DATE '2024-03-31',
+ id%6=0, 'other',
+ id%5=2, CAST(5 AS BIGINT),
+ id%8=0, CAST(NULL AS BIGINT),
+ id%4=2, 'receipt kept',
+ 1-id%2 FROM {expense} WHERE id%5<3""",
+
+    "inventory_patch_all": """SELECT id AS inventory_id, 1 AS seq,
+ id%2=0 AS has_name, 'Stock ' || CAST(id AS STRING) AS name,
+ id%3=1 AS has_category, 'chair' AS category,
+ id%5=1 AS has_location_id, CAST(NULL AS BIGINT) AS location_id,
+ id%4=1 AS has_quantity, id%40 AS quantity,
+ id%6=4 AS has_unit_price, CAST(19.95 AS DECIMAL(18,2)) AS unit_price,
+ CAST(-1 AS DECIMAL(18,2)) AS total_value FROM {inventory} WHERE id%4<>3
+ UNION ALL SELECT id, 2, id%5=0, 'Second ' || CAST(id AS STRING),
+ id%4=0, CAST(NULL AS STRING),
+ id%7=0, CAST(4 AS BIGINT),
+ id%8=0, 0,
+ id%4=2, CAST(id%300 AS DECIMAL(18,2)),
+ CAST(-1 AS DECIMAL(18,2)) FROM {inventory} WHERE id%5<3""",
+
     "person_location_replacement": """SELECT id AS person_id, CASE WHEN id%4=0 THEN NULL ELSE id%25+1 END AS location_id
  FROM {person} WHERE id%2=0 UNION ALL SELECT id, id%24+2 FROM {person} WHERE id%6=0""",
 
