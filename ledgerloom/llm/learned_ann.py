@@ -17,8 +17,9 @@ part with a third of all rows is many tasks.
 Defined results: null, zero or non-finite vectors, vectors with null
 components, null ids, and vectors whose length is not that of most vectors
 take no part; ties go to the smaller id; a row is no candidate for a query
-of its own id; repeated rows are candidates each; an empty table gives an
-empty result; other columns are not read.
+of its own id; repeated rows are candidates each; rows of one id that ask
+are one query, whose distance to a candidate is the smallest over their
+vectors; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def usable(vector: Column) -> Column:
 
 
 def _block_search(key, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each query routed to it."""
+    """The k nearest rows of a block for each query routed to it, over all
+    vectors of the query."""
     if rows.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     x, ids = np.vstack(rows["vector"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
@@ -163,10 +165,15 @@ def _block_search(key, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.
             at = np.flatnonzero(near[i] & np.isfinite(d[i]))
             score = np.sqrt(((x[at] - tile[i]) ** 2).sum(axis=1))
             best = np.lexsort((ids[at], score))[:k]
-            found.append((np.full(len(best), own[i]), ids[at][best], score[best]))
+            found.append((np.full(len(best), own[i]), ids[at][best], score[best], at[best]))
     if not found:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)), strict=True)))
+    out = pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "row"), map(np.concatenate, zip(*found)), strict=True)))
+    if len(np.unique(asked)) < len(asked):
+        # a row counts once for a query, at its smallest distance
+        out = (out.sort_values(["query_id", "score", "vec_id", "row"]).drop_duplicates(["query_id", "row"])
+               .groupby("query_id").head(k))
+    return out.drop(columns="row")
 
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
@@ -215,7 +222,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     rows = (indexed.withColumn("block", F.pmod(mixed("vec_id"), n_blocks).cast("int"))
             .withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
             .select("part", "block", "asked", "vec_id", "vector"))
-    queries = (indexed.filter("asks").select(F.col("vec_id").alias("query_id"), "vector", route("vector").alias("to"))
+    queries = (indexed.filter("asks").select(F.col("vec_id").alias("query_id"), "vector").distinct()
+               .select("query_id", "vector", route("vector").alias("to"))
                .withColumn("asked", F.pmod(mixed("query_id"), F.lit(query_blocks)).cast("int"))
                .select("query_id", "vector", "asked", F.explode("to").alias("part"))
                .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
