@@ -135,7 +135,7 @@ ENTRIES = {
         "AND item_id IS NOT NULL) THEN 'sold' ELSE i.status END AS status FROM item i"),
     "backorder_assign": (lambda c: op.backorder_assign(c, c.assignments), ASSIGN),
     "installment_expand": (
-        lambda c: op.installment_rows(c.installment_batch, c.shipment),
+        lambda c: op.installment_expand(c.installment_payloads, c.shipment),
         f"SELECT b.shipment_id, b.inst_key, {M('b.amount')} AS amount, b.due_date, CAST({PAID_RAW} AS INTEGER) AS is_paid, "
         f"COALESCE(b.paid_date, CASE WHEN {PAID_RAW} THEN s.date_received END) AS paid_date "
         "FROM installment_batch b LEFT JOIN shipment s ON s.id = b.shipment_id"),

@@ -177,6 +177,20 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
       WHEN 5 THEN ' TRUE ' WHEN 6 THEN 'TRUE' WHEN 7 THEN '0' END AS is_paid_raw,
  CASE WHEN id%8=0 THEN due_date END AS paid_date FROM {shipment_installment}""",
 
+    # for Spark alone (named_struct): a payload per shipment, a slot for each of its line numbers (id = shipment_id*10 + it)
+    "installment_payloads": """SELECT shipment_id, filter(array(MAX(CASE WHEN inst_key%10=0 THEN inst END),
+ MAX(CASE WHEN inst_key%10=1 THEN inst END),
+ MAX(CASE WHEN inst_key%10=2 THEN inst END),
+ MAX(CASE WHEN inst_key%10=3 THEN inst END),
+ MAX(CASE WHEN inst_key%10=4 THEN inst END),
+ MAX(CASE WHEN inst_key%10=5 THEN inst END),
+ MAX(CASE WHEN inst_key%10=6 THEN inst END),
+ MAX(CASE WHEN inst_key%10=7 THEN inst END),
+ MAX(CASE WHEN inst_key%10=8 THEN inst END),
+ MAX(CASE WHEN inst_key%10=9 THEN inst END)), x -> x IS NOT NULL) AS installments
+ FROM (SELECT shipment_id, inst_key, named_struct('inst_key', inst_key, 'amount', amount, 'due_date', due_date,
+ 'is_paid_raw', is_paid_raw, 'paid_date', paid_date) AS inst FROM {installment_batch}) b GROUP BY shipment_id""",
+
     "item_batch": """SELECT id, CASE WHEN id%17=0 THEN '' ELSE name END AS name,
  CASE WHEN id%19=0 THEN NULL WHEN id%23=0 THEN 999999999 ELSE location_id END AS location_id,
  CASE WHEN id%29=0 THEN 999999999 ELSE shipment_id END AS shipment_id,
