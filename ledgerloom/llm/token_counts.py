@@ -9,7 +9,10 @@
 * A text longer than CHUNK is cut into chunks that different tasks read. A
   chunk's state map is (open text before its first word boundary, tokens
   inside, open text after its last boundary); two maps compose by joining
-  the open texts between them, so a scan over a text's maps gives its count.
+  the open texts between them. Neighbouring maps are composed in rounds, FAN
+  at a time (a prefix scan's up-sweep; the count of the whole needs no more),
+  so no task holds a text's maps. What is left open is one stretch without
+  white space or digits; that alone is carried on and read in one task.
   Cuts lie only where normalisation, contractions and special strings can't
   reach across.
 
@@ -39,7 +42,7 @@ from ledgerloom.llm.sentencepiece_fst import model_path
 from ledgerloom.llm.token_lattice import TokenLattice, compiled, sum_lists, words_of
 
 MODEL = "word_bpe_49k.json"
-CHUNK = 65_536
+CHUNK, FAN = 65_536, 16
 MEMO, OFTEN = 150_000, 4
 # a word boundary whatever comes before and behind: white space, or next to a digit
 HARD = regex.compile(r"\p{White_Space}|\p{N}")
@@ -165,16 +168,29 @@ class CountingTransducer:
                 last = m.end()
         return plain[:first.start()], n + self._count_normal(plain[first.start():last]), plain[last:]
 
-    def compose(self, maps) -> int:
-        """The count of a text from the state maps of its chunks, in order."""
-        total, pending = 0, []
+    def merge(self, maps) -> tuple[str, int, str | None]:
+        """The state map of neighbouring chunks from theirs, in order."""
+        head, total, pending = None, 0, []
         for front, inside, behind in maps:
             pending.append(front)
             total += inside
             if behind is not None:
-                total += self._count_normal("".join(pending))
+                if head is None:
+                    head = "".join(pending)
+                else:
+                    total += self._count_normal("".join(pending))
                 pending = [behind]
-        return total + self._count_normal("".join(pending))
+        if head is None:
+            return "".join(pending), total, None
+        return head, total, "".join(pending)
+
+    def close(self, front: str, inside: int, behind: str | None) -> int:
+        """The count of a text from its state map."""
+        return inside + self._count_normal(front) + (self._count_normal(behind) if behind else 0)
+
+    def compose(self, maps) -> int:
+        """The count of a text from the state maps of its chunks, in order."""
+        return self.close(*self.merge(maps))
 
 
 def transducer(model: str) -> CountingTransducer:
@@ -208,19 +224,32 @@ def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", m
         for batch in chunks:
             yield pd.DataFrame([fst.state_map(c) for c in batch], columns=maps_type.names)
 
+    @F.pandas_udf(maps_type)
+    def merge(runs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fst = transducer(model)
+        for batch in runs:
+            yield pd.DataFrame([fst.merge((m["front"], m["inside"], m["behind"]) for m in maps) for maps in batch],
+                               columns=maps_type.names)
+
     @F.pandas_udf("long")
-    def compose(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def close(maps: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         fst = transducer(model)
-        for batch in texts:
-            yield pd.Series([fst.compose((m["front"], m["inside"], m["behind"]) for m in maps) for maps in batch],
-                            dtype="int64")
+        for batch in maps:
+            yield pd.Series([fst.close(f, n, None if pd.isna(b) else b)
+                             for f, n, b in batch[maps_type.names].itertuples(index=False)], dtype="int64")
 
     rows = df.drop(out).select(F.struct("*").alias("row"), text.alias("text"))
     short = rows.filter(F.length("text") <= chunk).select("row.*", whole("text").alias(out))
     # a long text's chunks are dealt to all tasks; its row stays behind, found again by a number
     long_rows = stored(rows.filter(F.length("text") > chunk).withColumn("id", F.monotonically_increasing_id()), "long")
     chunks = long_rows.select("id", F.posexplode(cut("text")).alias("at", "chunk")).repartition("id", "at")
-    counted = (chunks.select("id", "at", state_map("chunk").alias("map"))
-               .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "map"))).alias("maps"))
-               .select("id", compose(F.transform("maps", lambda m: m["map"])).alias("count")))
+    maps = chunks.select("id", "at", state_map("chunk").alias("map"))
+    # a chunk has at least `chunk` characters, but for the last
+    left = (long_rows.agg(F.max(F.length("text"))).first()[0] or 0) // chunk + 1
+    while left > 1:
+        maps = (maps.groupBy("id", F.floor(F.col("at") / FAN).cast("int").alias("run"))
+                .agg(F.sort_array(F.collect_list(F.struct("at", "map"))).alias("maps"))  # at most FAN
+                .select("id", F.col("run").alias("at"), merge(F.transform("maps", lambda m: m["map"])).alias("map")))
+        left = -(-left // FAN)
+    counted = maps.select("id", close("map").alias("count"))
     return short.unionByName(long_rows.join(counted, "id").select("row.*", F.col("count").alias(out)))
