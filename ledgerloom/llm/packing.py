@@ -10,6 +10,12 @@
    bucket in one task (``common.numbered``), and each run of
    ``max(1, budget // boundary)`` rows is a batch.
 
+A token here is a white-space word unless ``length`` gives another count:
+``n_tokens`` and the budget of the registered queries are in words, so a text
+without ASCII spaces counts as 1, and a full batch can exceed the budget in a
+tokenizer's tokens. With ``token_counts.count_tokens(df)`` for ``df`` and its
+column as ``length``, buckets and batches keep to real tokens.
+
 Defined results: a null or empty text has length 0 and takes a slot like any
 other; a row longer than the budget is not cut, it is a batch of its own
 with ``over_budget`` true; rows with the same id are interchangeable when
