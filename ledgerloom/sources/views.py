@@ -384,7 +384,7 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  id%2=0 AS has_name, 'Stock ' || CAST(id AS STRING) AS name,
  id%3=1 AS has_category, 'chair' AS category,
  id%5=1 AS has_location_id, CAST(NULL AS BIGINT) AS location_id,
- id%4=1 AS has_quantity, id%40 AS quantity,
+ id%4=1 AS has_quantity, CAST(id%40 AS INT) AS quantity,
  id%6=4 AS has_unit_price, CAST(19.95 AS DECIMAL(18,2)) AS unit_price,
  CAST(-1 AS DECIMAL(18,2)) AS total_value FROM {inventory} WHERE id%4<>3
  UNION ALL SELECT id, 2, id%5=0, 'Second ' || CAST(id AS STRING),
