@@ -118,5 +118,48 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
+
+
+def _vector_codes() -> str:
+    """Every distance of every round, without bounds."""
+    rounds = ""
+    for r in range(5):
+        rounds += f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * 256 + entry)::BIGINT AS k FROM (
+    SELECT vec_id, part, entry, sum((v - c) * (v - c)) AS d FROM x JOIN book{r} USING (part, pos) GROUP BY ALL)
+  GROUP BY ALL
+),"""
+        if r < 4:
+            rounds += f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM book{r} LEFT JOIN (
+    SELECT part, k % 256 AS entry, pos, sum(v) AS s, count(*) AS n FROM near{r} JOIN x USING (vec_id, part)
+    GROUP BY ALL) USING (part, entry, pos)
+),"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+x AS MATERIALIZED (
+  SELECT vec_id, i // w AS part, i % w AS pos, floor(1024 * embedding[i + 1])::BIGINT AS v
+  FROM (SELECT *, unnest(range(len(embedding))) AS i FROM kept)
+),
+book0 AS MATERIALIZED (
+  SELECT part, entry, pos, v AS c FROM x
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256)
+  USING (vec_id)
+),{rounds}
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', (k % 256)::INT), '' ORDER BY part) AS code, sum(k // 256)::BIGINT AS error
+  FROM near4 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book4) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 ORACLES: dict[str, str] = {"op2_warc": WARC, "op3_quality_rules": QUALITY_RULES, "op4_chat_format": CHAT_FORMAT,
-                           "op10_jaccard_join": JACCARD_JOIN}
+                           "op10_jaccard_join": JACCARD_JOIN, "op12_vector_codes": _vector_codes()}

@@ -16,6 +16,7 @@ from ledgerloom.llm import (
     sentencepiece_fst,
     sharding,
     token_counts,
+    vector_codes,
     warc,
 )
 from ledgerloom.llm.common import scratch_path, stored
@@ -106,5 +107,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(own("node").alias("doc_id"), "n_shingles", own("component").alias("component_id"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return (vector_codes.with_label_error(coded)
+            .select("vec_id", "code", "error", "label_error",
+                    F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op5_sentencepiece,
-                                  op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier, op10_jaccard_join)}
+                                  op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier, op10_jaccard_join,
+                                  op12_vector_codes)}
