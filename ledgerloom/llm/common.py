@@ -43,9 +43,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int):
+def arrow_rows(spark: SparkSession, n: int, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch"):
     """Rows with several long texts go to Python in batches of at most n."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
     try:

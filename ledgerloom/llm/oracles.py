@@ -120,6 +120,35 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r US
 
 
 
+FOLDED_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+                r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {FOLDED_WORDS} AS words FROM documents),
+b AS (SELECT item_id, {FOLDED_WORDS} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, words[i:i + 9] AS win
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)
+),
+sizes AS (SELECT DISTINCT len(win) AS m FROM windows),
+places AS (
+  SELECT doc_id, i, words[i:i + m - 1] AS win
+  FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM d JOIN sizes ON m <= len(words))
+),
+hits AS (SELECT DISTINCT doc_id, i, len(win) AS m, item_id FROM places JOIN windows USING (win)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id
+),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit,
+       coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def _vector_codes() -> str:
     """Every distance of every round, without bounds."""
     rounds = ""
@@ -162,4 +191,5 @@ FROM coded JOIN kept USING (vec_id)
 
 
 ORACLES: dict[str, str] = {"op2_warc": WARC, "op3_quality_rules": QUALITY_RULES, "op4_chat_format": CHAT_FORMAT,
-                           "op10_jaccard_join": JACCARD_JOIN, "op12_vector_codes": _vector_codes()}
+                           "op10_jaccard_join": JACCARD_JOIN, "op11_decontamination": DECONTAMINATION,
+                           "op12_vector_codes": _vector_codes()}

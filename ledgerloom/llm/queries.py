@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     chat_format,
+    decontamination,
     jaccard_join,
     learned_ann,
     packing,
@@ -19,7 +20,7 @@ from ledgerloom.llm import (
     vector_codes,
     warc,
 )
-from ledgerloom.llm.common import scratch_path, stored
+from ledgerloom.llm.common import discard, scratch_path, stored
 from ledgerloom.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -107,6 +108,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(own("node").alias("doc_id"), "n_shingles", own("component").alias("component_id"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, path = decontamination.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = stored(decontamination.search(index, table(spark, sf_dir, "benchmark")), "contamination")
+    discard(spark, path)
+    return decontamination.report(found).withColumnRenamed("id", "doc_id")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return (vector_codes.with_label_error(coded)
@@ -116,4 +124,4 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op5_sentencepiece,
                                   op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier, op10_jaccard_join,
-                                  op12_vector_codes)}
+                                  op11_decontamination, op12_vector_codes)}
