@@ -53,6 +53,11 @@ def arrow_rows(spark: SparkSession, n: int, key: str = "spark.sql.execution.arro
         spark.conf.set(key, before)
 
 
+def few_large_rows(spark: SparkSession):
+    """Rows of megabytes are read from Parquet a few at a time."""
+    return arrow_rows(spark, 4, "spark.sql.parquet.columnarReaderBatchSize")
+
+
 def mixed(id_col: str | Column) -> Column:
     """A fixed scatter of an id over 0 .. 2^31-2 by arithmetic alone (so SQL
     can repeat it); a null id counts as -1."""

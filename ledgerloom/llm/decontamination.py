@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerloom.llm.common import arrow_rows, discard, scratch_path, stored
+from ledgerloom.llm.common import arrow_rows, discard, few_large_rows, scratch_path, stored
 from ledgerloom.llm.fm_index import FmIndex, build
 
 WINDOW, SHARD, BLOCK = 10, 1 << 20, 32_768
@@ -299,10 +299,6 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
         F.coalesce("items", nothing[1]).alias("items"))
 
 
-def few_large_rows(spark):
-    return arrow_rows(spark, 4, "spark.sql.parquet.columnarReaderBatchSize")
-
-
 def report(found: DataFrame) -> DataFrame:
     """Figures of each document: words, hit words, items and their digest."""
     names = F.array_sort(F.transform("items", lambda i: F.coalesce(i.cast("string"), F.lit(""))))

@@ -16,6 +16,7 @@ from ledgerloom.llm import (
     quality_rules,
     sentencepiece_fst,
     sharding,
+    token_alignment,
     token_counts,
     vector_codes,
     warc,
@@ -122,6 +123,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures, _ = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return figures.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_quality_rules, op4_chat_format, op5_sentencepiece,
                                   op6_learned_ann, op7_sharding, op8_token_counts, op9_quality_classifier, op10_jaccard_join,
-                                  op11_decontamination, op12_vector_codes)}
+                                  op11_decontamination, op12_vector_codes, op13_token_alignment)}
