@@ -7,13 +7,16 @@ a global row number, so a re-run produces the same ids on any cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom import fixed as fx
 from ledgerloom.functions import missing, union_all
 from ledgerloom.functions.skew import hot_split_left_join
 from ledgerloom.sources.catalog import Catalog
+from ledgerloom.sources.schemas import ERP_SCHEMAS
+from ledgerloom.sources.versions import KeyedTable
 
 LEDGER_COLS = ("id", "transaction_date", "type", "direction", "amount", "location_id", "source_table",
                "source_id", "notes")
@@ -145,22 +148,42 @@ def ledger_reconcile(expected: DataFrame, ledger: DataFrame) -> DataFrame:
             .filter(F.col("issue").isNotNull()))
 
 
-def sink_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the ledger as Parquet partitioned by ``tx_month`` (yyyy-MM):
-    every report filters by date, so whole months are pruned on read
-    (``finance.ledger_range`` adds the partition predicate). Rows are
-    clustered by date within each task to keep files per partition low."""
-    out = ledger.withColumn("tx_month", F.date_format("transaction_date", "yyyy-MM"))
-    # Range partitioning on (date, id) splits a hot month over several tasks
-    # (hash on tx_month would give one task per month) while each task still
-    # writes a contiguous run of dates, i.e. few files per month.
-    # Overwrite replaces only the months present in ``ledger`` (dynamic
-    # partition overwrite): re-posting a month after a failure or a
-    # correction is idempotent and leaves the other months alone.
-    (out.repartitionByRange("transaction_date", "id").sortWithinPartitions("transaction_date", "id")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tx_month").parquet(path))
-
-
-def read_ledger(spark, path: str) -> DataFrame:
-    """Read a ledger written by ``sink_ledger`` (partition column ``tx_month``)."""
-    return spark.read.parquet(path)
+def ledger_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The stored ledger: keyed by ``id``, in partitions of ``tx_month``
+    (yyyy-MM), files clustered by date. Every report filters by date, so
+    whole months are pruned (``finance.ledger_range`` adds the predicate)."""
+    schema = T.StructType.fromDDL(ERP_SCHEMAS["transaction_log"])
+    return KeyedTable(spark, path, schema, ["id"], "tx_month", F.date_format("transaction_date", "yyyy-MM"),
+                      ["transaction_date", "id"])
+
+
+def sink_ledger(ledger: DataFrame | None, path: str, mode: str = "merge", deletes: DataFrame | None = None,
+                order: list[str] | None = None, may_move: bool = True, spark: SparkSession | None = None) -> int:
+    """Adds postings to the stored ledger and returns its new version.
+
+    ``merge``: a row replaces the stored one of its id or joins the ledger;
+    ids in ``deletes`` go (a reversed payment). A batch written twice
+    changes nothing, a row whose date was corrected leaves its old month, and
+    of several rows of one id the last by ``order`` holds. ``may_move=False``
+    (dates are never corrected) spares the look at the ids of other months.
+    ``append``: as ``merge``, but a stored row stays as it is.
+    ``replace``: the months present in ``ledger`` are replaced whole, as
+    when a month is posted anew from its sources.
+
+    A failure leaves the version before it; readers of a version keep it."""
+    spark = spark or (ledger if ledger is not None else deletes).sparkSession
+    table = ledger_table(spark, path)
+    if ledger is not None:
+        extra = [c for c in order or [] if c not in LEDGER_COLS]
+        ledger = ledger.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields], *extra)
+    if mode == "replace":
+        return table.replace(ledger)
+    if mode not in ("merge", "append"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return table.merge(ledger, deletes, order, may_move, keep_stored=mode == "append")
+
+
+def read_ledger(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version (default: the newest) of a ledger that ``sink_ledger``
+    wrote, with the partition column ``tx_month``."""
+    return ledger_table(spark, path).read(version)

@@ -193,9 +193,9 @@ LEFT JOIN order_patch b ON b.order_id = o.id AND b.seq = 2"""),
                      "+status is_backorder +backorder_description +expected_arrival order_date +discount "
                      "+delivery_status +fulfillment_trigger", "agreed_price discount")),
     "apply_patch_shipments": (
-        _patched("shipment_full", "shipment_patch_all", "shipment_id", SHIPMENT_PATCH_ALLOWED,
+        _patched("shipment", "shipment_patch_all", "shipment_id", SHIPMENT_PATCH_ALLOWED,
                  convert={"partial_delivery": op.truthy}),
-        _patched_sql("shipment_full", "shipment_patch_all", "shipment_id", "id supplier_id +date_received "
+        _patched_sql("shipment", "shipment_patch_all", "shipment_id", "id supplier_id +date_received "
                      "+declared_value payment_status +notes +container_number +estimated_arrival +delivery_status "
                      "+image_url +account_notes", "declared_value", PARTIAL)),
     "apply_patch_suppliers": (

@@ -8,7 +8,8 @@ ERP_SCHEMAS: dict[str, str] = {
     "location": "id bigint, name string, type string",
     "erp_supplier": "id bigint, name string, phone string, status string, address string, notes string",
     "shipment": "id bigint, supplier_id bigint, date_received date, declared_value decimal(28,2), payment_status string, "
-                "partial_delivery int, notes string",
+                "partial_delivery int, notes string, container_number string, estimated_arrival date, "
+                "delivery_status string, image_url string, account_notes string",
     "shipment_installment": "id bigint, shipment_id bigint, amount decimal(28,2), due_date date, is_paid int, "
                             "paid_date date",
     "item": "id bigint, shipment_id bigint, location_id bigint, name string, category string, description string, "

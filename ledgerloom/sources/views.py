@@ -57,12 +57,17 @@ VIEWS: dict[str, str] = {
  CASE WHEN l_orderkey%4=0 THEN 'Receipt ' || CAST(l_orderkey AS STRING) END AS notes
  FROM {line} WHERE flag<>'R'""",
 
-    "shipment": """SELECT (l_suppkey+1)*1000+(year(l_shipdate)-1990)*12+month(l_shipdate) AS id,
+    "shipment": """SELECT id, supplier_id, date_received, declared_value, payment_status, partial_delivery, notes,
+ CASE WHEN id%4=0 THEN 'MSKU' || CAST(id AS STRING) END AS container_number,
+ CASE WHEN id%3=0 THEN date_received END AS estimated_arrival,
+ CASE id%4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_transit' ELSE 'received' END AS delivery_status,
+ CASE WHEN id%5=0 THEN '/ship/' || CAST(id AS STRING) || '.jpg' END AS image_url,
+ CASE WHEN id%6=0 THEN 'Account ' || CAST(id AS STRING) END AS account_notes FROM (SELECT (l_suppkey+1)*1000+(year(l_shipdate)-1990)*12+month(l_shipdate) AS id,
  l_suppkey+1 AS supplier_id, MIN(CAST(l_shipdate AS DATE)) AS date_received,
  SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS declared_value, 'unpaid' AS payment_status,
  CASE WHEN (l_suppkey+month(l_shipdate))%4=0 THEN 1 ELSE 0 END AS partial_delivery,
  CASE WHEN (l_suppkey+month(l_shipdate))%3=0 THEN 'Delivery of month ' || CAST(month(l_shipdate) AS STRING) END AS notes
- FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate)""",
+ FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate)) x""",
 
     "shipment_installment": """SELECT shipment_id*10+l_linenumber AS id, shipment_id, amount, due_date,
  CASE shipment_id%3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE l_linenumber%2 END AS is_paid,
@@ -247,14 +252,6 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  UNION ALL SELECT id, 2, true, CAST(0 AS DECIMAL(18,2)), id%6=0, 'not_received' FROM {sales_order} WHERE id%10=0""",
 
     # --- one batch per table that sets every patchable column and a forbidden one, a second patch for some rows ---
-    # the shipment with its columns of migrations 0004, 0008 and 0009
-    "shipment_full": """SELECT id, supplier_id, date_received, declared_value, payment_status, partial_delivery, notes,
- CASE WHEN id%4=0 THEN 'MSKU' || CAST(id AS STRING) END AS container_number,
- CASE WHEN id%3=0 THEN date_received END AS estimated_arrival,
- CASE id%4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_transit' ELSE 'received' END AS delivery_status,
- CASE WHEN id%5=0 THEN '/ship/' || CAST(id AS STRING) || '.jpg' END AS image_url,
- CASE WHEN id%6=0 THEN 'Account ' || CAST(id AS STRING) END AS account_notes FROM {shipment}""",
-
     "item_patch_all": """SELECT id AS item_id, 1 AS seq,
  id%2=0 AS has_name, 'Item ' || CAST(id AS STRING) AS name,
  id%3=1 AS has_category, 'chair' AS category,
@@ -326,7 +323,7 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  id%4=0 AS has_delivery_status, 'in_transit' AS delivery_status,
  id%6=5 AS has_image_url, '/s/' || CAST(id AS STRING) || '.jpg' AS image_url,
  id%8=3 AS has_account_notes, 'paid late' AS account_notes,
- 'settled' AS payment_status, CAST(-1 AS BIGINT) AS supplier_id FROM {shipment_full} WHERE id%3<>1
+ 'settled' AS payment_status, CAST(-1 AS BIGINT) AS supplier_id FROM {shipment} WHERE id%3<>1
  UNION ALL SELECT id, 2, id%5=0, DATE '2000-02-29',
  id%6=0, CAST(id%5000 AS DECIMAL(28,2)),
  id%7=0, 'true',
@@ -336,7 +333,7 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  id%3=0, 'received',
  id%9=0, CAST(NULL AS STRING),
  id%7=4, 'closed',
- 'settled', CAST(-1 AS BIGINT) FROM {shipment_full} WHERE id%5<3""",
+ 'settled', CAST(-1 AS BIGINT) FROM {shipment} WHERE id%5<3""",
 
     "supplier_patch_all": """SELECT id AS supplier_id, 1 AS seq,
  id%2=0 AS has_name, 'Supplier ' || CAST(id AS STRING) AS name,

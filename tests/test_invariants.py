@@ -68,11 +68,11 @@ def test_deletes_partition_the_requests(small_catalog):
     assert left.count() == c.item.count() - deleted
 
 
-def test_sink_ledger_rewrites_only_given_months(spark, small_catalog, tmp_path):
+def test_sink_ledger_replaces_only_given_months(spark, small_catalog, tmp_path):
     led = ledger.post_ledger(small_catalog)
     path = str(tmp_path / "ledger")
     ledger.sink_ledger(led, path)
     one_month = led.filter(F.date_format("transaction_date", "yyyy-MM") == "1998-03")
-    ledger.sink_ledger(one_month, path)  # rerun of one month
-    back = spark.read.parquet(path).select(*ledger.LEDGER_COLS)
+    ledger.sink_ledger(one_month, path, mode="replace")  # rerun of one month
+    back = ledger.read_ledger(spark, path).select(*ledger.LEDGER_COLS)
     assert back.exceptAll(led).count() == 0 and led.exceptAll(back).count() == 0
