@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import first_reason, missing, money, zero_if_null
 from ledgerloom.operators.sales import paid_by_order
+from ledgerloom.operators.validation import transfers_in_turn
 from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.sources.catalog import Catalog
 
@@ -212,26 +213,14 @@ def trip_work_log(c: Catalog, transfers: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- items
 
 def transfer_apply(c: Catalog, transfers: DataFrame) -> DataFrame:
-    """New location and status of every item after a batch of transfers.
-    Transfers are checked against the stored item (unknown, sold, missing
-    destination or date, same place, unknown place are rejected); the
-    latest accepted transfer (date, id) per item wins and forces
-    ``in_storage`` (Q21)."""
-    i = c.item.select(F.col("id").alias("i_id"), F.col("location_id").alias("cur_loc"), F.col("status").alias("cur_status"))
-    lo = c.location.select(F.col("id").alias("l_id"))
-    t = (transfers.join(i, transfers.item_id == i.i_id, "left")
-         .join(lo, transfers.to_location_id == lo.l_id, "left"))
-    bad = first_reason(
-        (F.col("i_id").isNull(), "item_not_found"),
-        (F.col("cur_status") == "sold", "item_sold"),
-        (missing("to_location_id"), "to_location_required"),
-        (F.col("transfer_date").isNull(), "transfer_date_required"),
-        (F.col("to_location_id") == F.col("cur_loc"), "same_location"),
-        (F.col("l_id").isNull(), "location_not_found"))
+    """New location and status of every item after a batch of transfers, as
+    if one came after the other by (date, id): each is checked against the
+    place where the ones before it left the item (``transfers_in_turn``). The
+    last accepted one decides the place and forces ``in_storage`` (Q21)."""
     # spread by transfer id so the per-item step does not inherit an item layout
-    ok = t.filter(bad.isNull()).repartition("id")
+    ok = transfers_in_turn(c, transfers).filter(F.col("reason").isNull()).repartition("id")
     last = ok.groupBy(F.col("item_id").alias("t_item")).agg(
-        F.max_by(F.struct("to_location_id", "id"), F.struct("transfer_date", "id")).alias("t"))
+        F.max_by(F.struct("to_location_id", "id"), F.struct("transfer_date", "id", "to_location_id")).alias("t"))
     it = c.item
     j = it.join(last, it.id == last.t_item, "left")
     moved = F.col("t_item").isNotNull()

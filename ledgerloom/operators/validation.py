@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import blank, first_reason, missing, missing_text, union_all
 from ledgerloom.fixed import CUSTOMER_PHONE, ENUMS, FOREIGN_KEYS, SUPPLIER_PHONE, SUPPLIER_STATUS
+from ledgerloom.functions import blank, first_reason, missing, missing_text, union_all
+from ledgerloom.functions.running import last_before
 from ledgerloom.sources.catalog import Catalog
 
 
@@ -95,19 +96,32 @@ def validate_items(c: Catalog) -> DataFrame:
     return _result(b, r1, "item").unionByName(_result(inv, r2, "bulk"))
 
 
-def validate_transfers(c: Catalog) -> DataFrame:
-    """Transfers: known unsold item, destination and date given, a different and known place."""
-    t = c.transfer_batch
-    t = (t.join(_keys(c.item, "it", ("status", "location_id")), t.item_id == F.col("it"), "left")
-         .join(_keys(c.location, "lo"), t.to_location_id == F.col("lo"), "left"))
-    reason = first_reason(
+def transfers_in_turn(c: Catalog, transfers: DataFrame) -> DataFrame:
+    """The transfers with the place their item is at when their turn comes
+    (by date, id) and the reason why they are refused, if any. A transfer
+    that is refused changes nothing, one to the same place neither, so the
+    place is the last destination of those before that could stand: a scan
+    over the ordered events, safe for an item with most of them."""
+    t = (transfers.join(_keys(c.item, "it", ("status", "location_id")), transfers.item_id == F.col("it"), "left")
+         .join(_keys(c.location, "lo"), transfers.to_location_id == F.col("lo"), "left"))
+    could = first_reason(
         (F.col("it").isNull(), "item_not_found"),
         (F.col("it_status") == "sold", "item_sold"),
         (missing("to_location_id"), "to_location_id_required"),
-        (F.col("transfer_date").isNull(), "transfer_date_required"),
-        (F.col("to_location_id") == F.col("it_location_id"), "same_location"),
-        (F.col("lo").isNull(), "location_not_found"))
-    return _result(t, reason)
+        (F.col("transfer_date").isNull(), "transfer_date_required"))
+    t = t.withColumn("_reason", could).withColumn(
+        "_place", F.when(F.col("_reason").isNull() & F.col("lo").isNotNull(), F.col("to_location_id")))
+    t = last_before(t, "item_id", ["transfer_date", "id", "to_location_id"], "_place", "_before")
+    at = F.coalesce("_before", "it_location_id")
+    reason = F.coalesce("_reason", first_reason((F.col("to_location_id") == at, "same_location"),
+                                                (F.col("lo").isNull(), "location_not_found")))
+    return t.select(*transfers.columns, at.alias("place_before"), reason.alias("reason"))
+
+
+def validate_transfers(c: Catalog) -> DataFrame:
+    """Transfers in turn: known unsold item, destination and date given, a
+    known place other than the one the item is at by then."""
+    return _result(transfers_in_turn(c, c.transfer_batch), F.col("reason"))
 
 
 def validate_people(c: Catalog) -> DataFrame:

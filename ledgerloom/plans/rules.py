@@ -8,7 +8,7 @@ from ledgerloom.operators import rules as op
 from ledgerloom.operators import validation as val
 from ledgerloom.plans.edge import edge
 from ledgerloom.plans.oracle import M, Z
-from ledgerloom.plans.validation import ORDERS
+from ledgerloom.plans.validation import IN_TURN, ORDERS
 
 PAID = "(SELECT order_id, SUM(amount) AS total_paid FROM order_payment GROUP BY order_id)"
 FULLY_PAID = (f"SELECT o.id, o.item_id FROM sales_order o LEFT JOIN {PAID} p ON p.order_id = o.id "
@@ -69,13 +69,10 @@ ASSIGN = """SELECT order_id, item_id, outcome, CASE WHEN outcome = 'assigned' TH
  SELECT order_id, item_id, reason AS outcome FROM r WHERE reason IS NOT NULL
  UNION ALL SELECT q.order_id, q.item_id, t.outcome FROM q JOIN turn t USING (n)) x"""
 
-TRANSFER = """SELECT i.id, COALESCE(w.to_location_id, i.location_id) AS location_id,
+TRANSFER = f"""SELECT i.id, COALESCE(w.to_location_id, i.location_id) AS location_id,
  CASE WHEN w.item_id IS NOT NULL THEN 'in_storage' ELSE i.status END AS status, w.id AS last_transfer_id
-FROM item i LEFT JOIN (SELECT * FROM (SELECT t.*, ROW_NUMBER() OVER (PARTITION BY t.item_id
-   ORDER BY t.transfer_date DESC, t.id DESC) AS rn FROM transfer_batch t JOIN item it ON it.id = t.item_id
-   JOIN location lo ON lo.id = t.to_location_id
-   WHERE it.status <> 'sold' AND COALESCE(t.to_location_id, 0) <> 0 AND t.transfer_date IS NOT NULL
-     AND t.to_location_id <> it.location_id) z WHERE rn = 1) w ON w.item_id = i.id"""
+FROM item i LEFT JOIN ({IN_TURN} SELECT item_id, id, to_location_id FROM walk WHERE n > 0 AND reason IS NULL
+ QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY n DESC) = 1) w ON w.item_id = i.id"""
 
 DELETES = """SELECT d.id, CASE WHEN COALESCE(d.id, 0) <= 0 THEN 'invalid' WHEN i.id IS NULL THEN 'not_found'
  WHEN i.status = 'sold' THEN 'blocked' ELSE 'deleted' END AS outcome

@@ -48,11 +48,22 @@ ITEMS = res("""SELECT b.id, CASE WHEN b.name IS NULL OR b.name = '' THEN 'name_r
             "item") + " UNION ALL " + res(
     "SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_required' END AS reason FROM inventory", "bulk")
 
-TRANSFERS = res("""SELECT t.id, CASE WHEN it.id IS NULL THEN 'item_not_found' WHEN it.status = 'sold' THEN 'item_sold'
- WHEN t.to_location_id IS NULL OR t.to_location_id = 0 THEN 'to_location_id_required'
- WHEN t.transfer_date IS NULL THEN 'transfer_date_required' WHEN t.to_location_id = it.location_id THEN 'same_location'
- WHEN lo.id IS NULL THEN 'location_not_found' END AS reason
- FROM transfer_batch t LEFT JOIN item it ON it.id = t.item_id LEFT JOIN location lo ON lo.id = t.to_location_id""")
+# one transfer of an item after the other: the state of the recursion is where the item is
+IN_TURN = """WITH RECURSIVE q AS (
+  SELECT t.*, it.id AS it, it.status, it.location_id AS stored, lo.id AS lo,
+   ROW_NUMBER() OVER (PARTITION BY t.item_id ORDER BY t.transfer_date NULLS FIRST, t.id) AS n
+  FROM transfer_batch t LEFT JOIN item it ON it.id = t.item_id LEFT JOIN location lo ON lo.id = t.to_location_id),
+ walk AS (
+  SELECT item_id, CAST(0 AS BIGINT) AS n, MIN(stored) AS place, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS to_location_id,
+   CAST(NULL AS VARCHAR) AS reason FROM q GROUP BY item_id
+  UNION ALL
+  SELECT q.item_id, q.n, CASE WHEN x.reason IS NULL THEN q.to_location_id ELSE w.place END, q.id, q.to_location_id, x.reason
+  FROM walk w JOIN q ON q.item_id = w.item_id AND q.n = w.n + 1,
+   LATERAL (SELECT CASE WHEN q.it IS NULL THEN 'item_not_found' WHEN q.status = 'sold' THEN 'item_sold'
+    WHEN q.to_location_id IS NULL OR q.to_location_id = 0 THEN 'to_location_id_required'
+    WHEN q.transfer_date IS NULL THEN 'transfer_date_required' WHEN q.to_location_id = w.place THEN 'same_location'
+    WHEN q.lo IS NULL THEN 'location_not_found' END AS reason) x)"""
+TRANSFERS = res(f"SELECT id, reason FROM ({IN_TURN} SELECT id, reason FROM walk WHERE n > 0) w")
 
 PEOPLE = res("""SELECT id, CASE WHEN name IS NULL OR name = '' THEN 'name_required' WHEN role IS NULL OR role = ''
  THEN 'role_required' WHEN employment_type IS NULL OR employment_type = '' THEN 'employment_type_required'

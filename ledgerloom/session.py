@@ -11,6 +11,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The run's own folder in the shared checkpoint folder: all written
+    intermediates go there."""
+    try:
+        run = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        run = spark.conf.get("spark.app.id", "session")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerloom-{run}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the run's folder."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex[:12]}-{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the run's intermediates; results that were not written
+    elsewhere can't be read after it."""
+    from ledgerloom.sources import files
+
+    files.remove(spark, scratch_root(spark))

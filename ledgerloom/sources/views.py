@@ -201,10 +201,16 @@ UNION ALL SELECT (event_id+1)*8+5, CAST(ts AS DATE), CASE WHEN event_id%2=0 THEN
  CASE WHEN id%29=0 THEN 999999999 ELSE shipment_id END AS shipment_id,
  CASE WHEN id%31=0 THEN NULL ELSE purchase_value END AS purchase_value FROM {item}""",
 
+    # trips, some back to where the item was stored and some twice to the same place
     "transfer_batch": """SELECT t.id, CASE WHEN t.id%29=0 THEN 999999999 ELSE t.item_id END AS item_id,
  CASE WHEN t.id%17=0 THEN NULL WHEN t.id%19=0 THEN i.location_id WHEN t.id%23=0 THEN 999999999 ELSE t.to_location_id END AS to_location_id,
  CASE WHEN t.id%31=0 THEN NULL ELSE t.transfer_date END AS transfer_date, t.transport_cost, t.transporter_id
- FROM {item_transfer} t JOIN {item} i ON i.id=t.item_id""",
+ FROM {item_transfer} t JOIN {item} i ON i.id=t.item_id
+ UNION ALL SELECT t.id+1000000000000, t.item_id, CASE WHEN t.id%2=0 THEN i.location_id ELSE t.to_location_id END,
+ CASE WHEN t.id%3=0 THEN t.transfer_date ELSE DATE '2024-01-01' END, t.transport_cost, t.transporter_id
+ FROM {item_transfer} t JOIN {item} i ON i.id=t.item_id WHERE t.id%5<3
+ UNION ALL SELECT t.id+2000000000000, t.item_id, t.to_location_id, DATE '2024-01-02', t.transport_cost, t.transporter_id
+ FROM {item_transfer} t JOIN {item} i ON i.id=t.item_id WHERE t.id%7=0""",
 
     "people_batch": """SELECT p.id, CASE WHEN p.id%17=0 THEN NULL ELSE p.name END AS name, p.role,
  CASE p.id%3 WHEN 0 THEN 'permanent' WHEN 1 THEN 'temporary' ELSE 'daily_hire' END AS employment_type,
