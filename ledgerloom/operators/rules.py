@@ -7,13 +7,16 @@ in a single window partition.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import first_reason, missing, money, zero_if_null
+from ledgerloom.functions import first_reason, missing, money, union_all, zero_if_null
+from ledgerloom.functions.graph import components, written
 from ledgerloom.operators.sales import paid_by_order
 from ledgerloom.operators.validation import transfers_in_turn
-from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.sources.catalog import Catalog
 
 # ---------------------------------------------------------------- orders
@@ -71,19 +74,93 @@ def delivery_status_items(c: Catalog) -> DataFrame:
     return j.select("id", F.when(F.col("rec_item").isNotNull(), "sold").otherwise(F.col("status")).alias("status"))
 
 
-def backorder_assign(c: Catalog, assignments: DataFrame) -> DataFrame:
+#: Claims that one task settles, one after the other.
+CLAIMS_IN_TASK = 262_144
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Claims in order of (order, item): one stands if neither its order nor
+    its item has been served."""
+    orders, items = set(), set()
+    for b in batches:
+        stands = []
+        for order, item in zip(b["order_id"].tolist(), b["item_id"].tolist(), strict=True):
+            free = order not in orders and item not in items
+            if free:
+                orders.add(order)
+                items.add(item)
+            stands.append(free)
+        yield b.loc[stands, ["order_id", "item_id"]]
+
+
+def _settled(claims: DataFrame) -> DataFrame:
+    """Standing claims of partitions that each hold whole components."""
+    return (claims.sortWithinPartitions("order_id", "item_id").select("order_id", "item_id")
+            .mapInPandas(_settle, "order_id bigint, item_id bigint"))
+
+
+def _without(claims: DataFrame, won: DataFrame) -> DataFrame:
+    """Claims whose order and item are both unserved."""
+    return (claims.join(won.select("order_id"), "order_id", "left_anti")
+            .join(won.select("item_id"), "item_id", "left_anti"))
+
+
+def standing_claims(claims: DataFrame, in_task: int = CLAIMS_IN_TASK) -> DataFrame:
+    """Distinct claims (order_id, item_id) that stand when taken one after the
+    other, order and item serving once.
+
+    Claims hang together only through shared orders and items, so each
+    component of that graph can be settled by itself: components of up to
+    ``in_task`` claims go whole to one task each (so do all claims, if they
+    are no more than that). A larger one first loses, by partial aggregates,
+    the claims that are the first of both their order and their item, with all
+    that these shut out; that takes apart what hangs together by a hot item or
+    order. Then its first claims, about ``in_task`` of them, are settled in a
+    task: they depend on nothing behind them. What is left is labelled anew."""
+    left = written(claims.select("order_id", "item_id").distinct(), "claims")
+    n = left.count()
+    if n <= in_task:
+        return written(_settled(left.coalesce(1)), "standing")
+    won = None
+    while n:
+        # orders and items as nodes of one graph
+        label = components(left.select((F.col("order_id") * 2).alias("a"), (F.col("item_id") * 2 + 1).alias("b")))
+        own = written(left.join(label.select((F.col("node") / 2).cast("bigint").alias("order_id"), "label")
+                                .filter(F.col("node") % 2 == 0), "order_id"), "labelled")
+        sizes = own.groupBy("label").count()
+        small = own.join(sizes.filter(F.col("count") <= in_task).select("label"), "label", "left_semi")
+        found = [_settled(small.repartition("label"))]
+        large = written(own.join(sizes.filter(F.col("count") > in_task).select("label"), "label", "left_semi")
+                        .select("label", "order_id", "item_id"), "large")
+        n = large.count()
+        if n:
+            by_order = large.groupBy("order_id").agg(F.min("item_id").alias("item_id"))
+            by_item = large.groupBy("item_id").agg(F.min("order_id").alias("order_id"))
+            firsts = written(by_order.join(by_item, ["order_id", "item_id"]), "firsts")
+            rest = written(_without(large, firsts).repartition("order_id", "item_id"), "rest")
+            share = F.least(F.lit(1.0), F.lit(float(in_task)) / F.count(F.lit(1)))
+            counts = rest.groupBy("label").agg(share.alias("share"))
+            cut = (rest.join(counts, "label").groupBy("label", "share")
+                   .agg(F.percentile_approx("order_id", F.array([F.lit(i / 256) for i in range(1, 257)]), 20_000).alias("q"))
+                   .select("label", F.element_at("q", F.greatest(F.lit(1), F.floor(F.col("share") * 256).cast("int"))).alias("cut")))
+            head = rest.join(cut, "label").filter(F.col("order_id") <= F.col("cut")).drop("cut")
+            held = head.groupBy("label").count().filter(F.col("count") <= 4 * in_task)  # else one order has most of them
+            head = written(_settled(head.join(held.select("label"), "label", "left_semi").repartition("label")), "heads")
+            found += [firsts.select("order_id", "item_id"), head]
+            left = written(_without(rest, head).select("order_id", "item_id").repartition("order_id", "item_id"), "claims")
+            n = left.count()
+        step = written(union_all(found), "standing")
+        won = step if won is None else won.unionByName(step)
+    return won
+
+
+def backorder_assign(c: Catalog, assignments: DataFrame, in_task: int = CLAIMS_IN_TASK) -> DataFrame:
     """Apply (order, item) assignments, as if one after the other by
     (order_id, item_id). Reasons in the reference's order: unknown order, not
     a backorder, already fulfilled (a cancelled one passes, Q19; so is an
     order that an earlier claim served), item missing, unknown item, item
-    reserved or sold (``item_taken`` when by an earlier claim).
-
-    Claims that could all stand alone are settled in rounds: a claim that is
-    the first of those left at its order and at its item stands, and those it
-    shuts out go. The firsts are ``min`` per order and per item (partial
-    aggregates, safe when a third of all claims target one item) and join
-    back on keys without hot values. Every round settles at least the first
-    claim left; chains of claims are short, so rounds are few."""
+    reserved or sold (``item_taken`` when by an earlier claim). Claims that
+    could all stand alone are settled by ``standing_claims``."""
     o = c.sales_order.select(F.col("id").alias("o_id"), "is_backorder", F.col("status").alias("o_status"))
     i = c.item.select(F.col("id").alias("i_id"), F.col("status").alias("i_status"))
     a = (assignments.join(o, assignments.order_id == o.o_id, "left")
@@ -97,18 +174,11 @@ def backorder_assign(c: Catalog, assignments: DataFrame) -> DataFrame:
         (F.col("i_status").isin("reserved", "sold"), "item_unavailable"))
     # Spread the claims by their own key: the joins above may leave them
     # partitioned by item, which the per-item aggregates would reuse.
-    a = a.withColumn("reason", reason).repartition("order_id", "item_id")
+    a = written(a.withColumn("reason", reason).select("order_id", "item_id", "reason").repartition("order_id", "item_id"),
+                "reasons")
     rejected = a.filter(F.col("reason").isNotNull()).select("order_id", "item_id", F.col("reason").alias("outcome"))
-    ensure_checkpoint_dir(c.spark)
-    valid = a.filter(F.col("reason").isNull()).select("order_id", "item_id").distinct().checkpoint()
-    left, won = valid, valid.limit(0)
-    while not left.isEmpty():
-        by_order = left.groupBy("order_id").agg(F.min("item_id").alias("item_id"))
-        by_item = left.groupBy("item_id").agg(F.min("order_id").alias("order_id"))
-        stands = by_order.join(by_item, ["order_id", "item_id"]).checkpoint()
-        won = won.unionByName(stands)
-        left = (left.join(stands.select("order_id"), "order_id", "left_anti")
-                .join(stands.select("item_id"), "item_id", "left_anti").repartition("order_id", "item_id").checkpoint())
+    valid = a.filter(F.col("reason").isNull()).select("order_id", "item_id").distinct()
+    won = standing_claims(valid, in_task)
     served = won.select(F.col("order_id").alias("s_order"), F.col("item_id").alias("s_item"))
     out = valid.join(served, valid.order_id == served.s_order, "left")
     outcome = (F.when(F.col("s_item") == F.col("item_id"), "assigned")
