@@ -33,6 +33,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from ledgerloom.llm.token_counts import _byte_symbols
 from ledgerloom.llm.token_lattice import compiled
 
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK, TEXTS_AT_ONCE, UNITS_AT_ONCE, LINKS_AT_ONCE = 8 << 20, 1_024, 16_384, 1 << 22
+BLOCK, TEXTS_AT_ONCE, UNITS_AT_ONCE, LINKS_AT_ONCE = 4 << 20, 512, 2_048, 1 << 20
 
 
 class Strings:
@@ -70,6 +71,25 @@ def runs(first: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
 
 
+def ordered_set(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; sorts its argument."""
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, as narrow as they are, compressed."""
+    kind = next(k for k in (np.uint8, np.uint16, np.int32, np.int64)
+                if not len(values) or (np.iinfo(k).min <= values.min() and values.max() <= np.iinfo(k).max))
+    raw = values.astype(kind).tobytes()
+    return np.dtype(kind).char.encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, dtype=data[:1].decode()).astype(np.int64)
+
+
 class Pair:
     """The two tokenizers and what is computed from their vocabularies."""
 
@@ -117,14 +137,14 @@ class Pair:
         ids, counts = ([], []), ([], [])
         for at in range(0, len(units), UNITS_AT_ONCE):
             texts = [u.decode("utf-8", "replace") for u in units[at:at + UNITS_AT_ONCE]]
-            a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
             # B puts the space in front itself; of a lone space nothing would be left
             b = self.b.encode([t[1:] for t in texts], num_threads=1)
             if self.cuts:
                 b = [[self.mark] if t == " " else i for t, i in zip(texts, b, strict=True)]
             for k, lists in enumerate((a, b)):
-                counts[k].append(np.array([len(i) for i in lists], dtype=np.int64))
-                ids[k].append(np.array([i for one in lists for i in one], dtype=np.int64))
+                counts[k].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids[k].append(np.fromiter(chain.from_iterable(lists), np.int64, int(counts[k][-1].sum())))
         whole = lambda parts: np.concatenate([np.zeros(0, dtype=np.int64), *parts])
         return whole(ids[0]), whole(counts[0]), whole(ids[1]), whole(counts[1])
 
@@ -257,8 +277,11 @@ def align_block(texts: pa.Array, pair: Pair) -> dict:
         if ok:
             said = b"".join([u.text[k] for k in unit[upto[i]:upto[i + 1]].tolist()])
             digests[at] = hashlib.sha256(said[:-1]).digest()
-    key, times = np.unique((full[doc] * n_units + unit)[valid[doc]], return_counts=True)
-    at, which = np.divmod(key, n_units)
+    key = (full[doc] * n_units + unit)[valid[doc]]
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(first, len(key)))
+    at, which = np.divmod(key[first], n_units)
     for k, name in enumerate(NUMBERS):
         figures[k] = np.bincount(at, weights=getattr(u, name)[which] * times, minlength=n).astype(np.int64)
     # documents that hold a pair, each once, some documents at a time
@@ -272,16 +295,17 @@ def align_block(texts: pa.Array, pair: Pair) -> dict:
         w = which[from_:to]
         pairs = u.pair[runs(first[w], u.n_pairs[w])]
         owner = np.repeat(at[from_:to] - at[from_], u.n_pairs[w])
-        docs += np.bincount(np.unique(owner * len(u.codes) + pairs) % len(u.codes), minlength=len(u.codes))
+        docs += np.bincount(ordered_set(owner * len(u.codes) + pairs) % len(u.codes), minlength=len(u.codes))
         from_ = to
     a, b = np.divmod(u.codes, pair.width)
-    same, i32 = pair.identity[a] == b, lambda v: v.astype(np.int32).tobytes()
+    same = pair.identity[a] == b
     place = np.empty(len(same), dtype=np.int64)  # identity pairs by A id, others by -1 - number
     place[same], place[~same] = a[same], -1 - np.arange(int((~same).sum()))
     irregular = ~same & (docs > 0)
-    return {"figures": figures.tobytes(), "digests": b"".join(digests), "units": i32(np.bincount(at, minlength=n)),
-            "unit_at": i32(which), "unit_times": i32(times), "pairs_of_unit": i32(u.n_pairs), "pair_at": i32(u.pair),
-            "pair_times": i32(u.times), "links": place.tobytes() + a.tobytes(),
+    steps = np.diff(which, prepend=0)  # units ascend within a document
+    return {"figures": pack(figures.ravel()), "digests": b"".join(digests), "units": pack(np.bincount(at, minlength=n)),
+            "unit_at": pack(steps), "unit_times": pack(times), "pairs_of_unit": pack(u.n_pairs), "pair_at": pack(u.pair),
+            "pair_times": pack(u.times), "links": pack(np.concatenate([place, a])),
             "same": [{"a": int(x), "docs": int(d)} for x, d in zip(a[same], docs[same], strict=True) if d],
             "odd": [{"at": int(-1 - place[k]), "a": int(a[k]), "b": int(b[k]), "docs": int(docs[k])}
                     for k in np.flatnonzero(irregular)]}
@@ -335,11 +359,10 @@ def _rater(identity_docs: np.ndarray, best: np.ndarray, kind: pa.DataType):
         for b in batches:
             for i in range(b.num_rows):
                 ids = b.column("ids").slice(i, 1).flatten()
-                row = {c: np.frombuffer(b.column(c)[i].as_py(), dtype=np.int32).astype(np.int64) for c in BODY[2:8]}
-                n = len(ids)
-                figures = np.frombuffer(b.column("figures")[i].as_py(), dtype=np.int64).reshape(4, n)
-                digests = b.column("digests")[i].as_py()
-                place, a = np.frombuffer(b.column("links")[i].as_py(), dtype=np.int64).reshape(2, -1)
+                n, digests = len(ids), b.column("digests")[i].as_py()
+                row = {c: unpack(b.column(c)[i].as_py()) for c in BODY if c != "digests"}
+                figures, (place, a) = row["figures"].reshape(4, n), row["links"].reshape(2, -1)
+                row["unit_at"] = np.cumsum(row["unit_at"])
                 count = np.zeros(len(place), dtype=np.int64)
                 count[place >= 0] = identity_docs[place[place >= 0]]
                 odd, told = np.flatnonzero(place < 0), b.column("counts").slice(i, 1).flatten()
