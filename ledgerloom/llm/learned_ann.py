@@ -6,13 +6,19 @@ of nearly equal size (principal-axis halving, then label propagation that
 keeps a size limit), and a small softmax classifier learns, for a vector,
 the share of its neighbours in each part.
 
-Index: every vector belongs to its most probable part. Search: a query is
-routed to its most probable parts, at least as many as the sample needs to
-cover ``coverage`` of its neighbours and as hold ``k`` other vectors, and is
-reranked there by exact double-precision distances. A part of any size is
-cut into blocks of rows (so is the query set), each block gives its nearest
-rows, and the best of all blocks are the result: no cap on candidates, and a
-part with a third of all rows is many tasks.
+Index: every vector belongs to its most probable part. Search: a query opens
+its most probable parts until their probabilities add up to the router's
+``mass``, the least with which the sample's queries meet ``coverage`` of their
+neighbours (a sure query so opens few parts, an unsure one many), and at
+least as many as hold ``k`` other vectors; it is reranked there by exact
+double-precision distances. A part of any size is cut into blocks of rows, and
+the queries that ask it into blocks of queries; each pair of blocks gives its
+nearest rows, and the best of all are the result: no cap on candidates, a part
+with a third of all rows is many tasks, and a part is copied only for blocks
+of queries that ask it. ``coverage=1`` opens all parts: exact search.
+
+Vectors are scaled by a power of two before squares are taken, so any finite
+size takes part; the distances returned are those of the vectors as given.
 
 Defined results: null, zero or non-finite vectors, vectors with null
 components, null ids, and vectors whose length is not that of most vectors
@@ -35,8 +41,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import mixed, stored
 
-BLOCK, QUERY_BLOCK, TILE = 16_384, 16_384, 128
-ROWS_PER_PART, MIN_PARTS, MAX_PARTS = 2_048, 4, 256
+BLOCK, QUERY_BLOCK, TILE = 16_384, 65_536, 128
+ROWS_PER_PART, MIN_PARTS, MAX_PARTS = 400, 4, 256
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -96,16 +102,24 @@ def partition_graph(x: np.ndarray, near: np.ndarray, parts: int, sweeps: int = 1
 
 @dataclass
 class Router:
-    """Softmax classifier of parts, and how many parts a query needs."""
+    """Softmax classifier of parts, and how much probability a query opens."""
     center: np.ndarray
     scale: float
     weights: np.ndarray
     bias: np.ndarray
-    probes: int
+    mass: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.center) / self.scale) @ self.weights + self.bias
 
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts from the most probable on, and the mass of those before each."""
+        y = self.logits(x)
+        order = np.argsort(-y, axis=1, kind="stable")
+        p = np.exp(np.take_along_axis(y, order, axis=1) - y.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return order, np.cumsum(p, axis=1) - p
+
 
 def fit_router(x: np.ndarray, parts: int, neighbours: int = 10, coverage: float = 0.97, steps: int = 150) -> Router:
     x = x.astype(np.float64)
@@ -130,13 +144,13 @@ def fit_router(x: np.ndarray, parts: int, neighbours: int = 10, coverage: float
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.999 * v[i] + 0.001 * grad * grad
             param -= 0.1 * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.999 ** step)) + 1e-9)
-    router = Router(center, scale, w, b, parts)
-    # parts of a vector, by rank, against the parts its neighbours were given
-    y = router.logits(x)
-    own, rank = y.argmax(axis=1), np.argsort(np.argsort(-y, axis=1, kind="stable"), axis=1)
-    if near.shape[1]:
-        needed = np.sort(np.take_along_axis(rank, own[near], axis=1).ravel())
-        router.probes = int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) + 1
+    router = Router(center, scale, w, b, np.inf)
+    if near.shape[1] and coverage < 1:
+        # the mass before the part that each neighbour was given
+        own, (order, before) = router.logits(x).argmax(axis=1), router.ranked(x)
+        rank = np.argsort(order, axis=1)
+        needed = np.sort(np.take_along_axis(before, np.take_along_axis(rank, own[near], axis=1), axis=1).ravel())
+        router.mass = float(np.nextafter(needed[min(len(needed), int(np.ceil(coverage * len(needed)))) - 1], np.inf))
     return router
 
 
@@ -145,25 +159,40 @@ def usable(vector: Column) -> Column:
             & F.exists(vector, lambda v: v != 0))
 
 
-def _block_search(key, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; scaled where plain squares leave a double's range."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        d = x - q
+        plain = np.sqrt((d * d).sum(axis=1))
+        odd = ~(np.isfinite(plain) & (plain > 1e-150))
+        if odd.any():
+            top = np.abs(d[odd]).max(axis=1)
+            rest = np.sqrt(((d[odd] / top[:, None]) ** 2).sum(axis=1))
+            plain[odd] = np.where(top == 0, 0.0, np.where(np.isfinite(top), top * rest, np.inf))
+    return plain
+
+
+def _block_search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, shift: int) -> pd.DataFrame:
     """The k nearest rows of a block for each query routed to it, over all
     vectors of the query."""
     if rows.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     x, ids = np.vstack(rows["vector"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
     q, asked = np.vstack(queries["vector"].to_numpy()).astype(np.float64), queries["query_id"].to_numpy()
-    norm, found = (x * x).sum(axis=1), []
+    xs, qs = np.ldexp(x, shift), np.ldexp(q, shift)
+    norm, found = (xs * xs).sum(axis=1), []
     for a in range(0, len(q), TILE):
-        tile, own = q[a:a + TILE], asked[a:a + TILE]
+        tile, own = qs[a:a + TILE], asked[a:a + TILE]
         size = (tile * tile).sum(axis=1)
-        d = norm[None, :] + size[:, None] - 2 * (tile @ x.T)
-        d[own[:, None] == ids[None, :]] = np.inf
+        d = norm[None, :] + size[:, None] - 2 * (tile @ xs.T)
+        other = own[:, None] != ids[None, :]
+        d[~other] = np.inf
         far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
         # the product's rounding is far below this margin; distances proper decide
-        near = d <= (far + 1e-9 * (size + norm.max()))[:, None]
+        near = other & (d <= (far + 1e-9 * (size + norm.max()))[:, None])
         for i in range(len(tile)):
-            at = np.flatnonzero(near[i] & np.isfinite(d[i]))
-            score = np.sqrt(((x[at] - tile[i]) ** 2).sum(axis=1))
+            at = np.flatnonzero(near[i])
+            score = distances(x[at], q[a + i])
             best = np.lexsort((ids[at], score))[:k]
             found.append((np.full(len(best), own[i]), ids[at][best], score[best], at[best]))
     if not found:
@@ -177,34 +206,34 @@ def _block_search(key, rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.
 
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
-           sample: int = 8_192, coverage: float = 0.97, parts: int | None = None) -> DataFrame:
+           sample: int = 8_192, coverage: float = 0.95, parts: int | None = None, stats: dict | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row of ``df``
-    its k nearest other rows found."""
+    its k nearest other rows found. ``stats``, if given, receives the number
+    of parts and the share of all rows that a query opens."""
     spark = df.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     read = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"),
                      is_query.alias("asks")).filter(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    sizes = read.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    top = F.array_max(F.transform("vector", lambda v: F.abs(v.cast("double"))))
+    sizes = (read.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("count"), F.max(top).alias("top"))
+             .orderBy(F.desc("count"), "d").first())
     if sizes is None:
         return spark.createDataFrame([], result)
-    read = read.filter(F.size("vector") == sizes["d"])
-    seen = read.select("vec_id", "vector").orderBy(mixed("vec_id"), "vec_id").limit(sample).collect()  # bounded
+    read, shift = read.filter(F.size("vector") == sizes["d"]), -int(np.frexp(sizes["top"])[1])
+    seen = read.select("vec_id", "vector").orderBy(mixed("vec_id"), "vec_id", "vector").limit(sample).collect()  # bounded
     parts = parts or min(MAX_PARTS, max(MIN_PARTS, sizes["count"] // ROWS_PER_PART))
     parts = min(parts, len(seen))
-    router = fit_router(np.array([r.vector for r in seen], dtype=np.float64), parts, k, coverage)
+    router = fit_router(np.ldexp(np.array([r.vector for r in seen], dtype=np.float64), shift), parts, k, coverage)
 
     @F.pandas_udf("int")
     def part_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield (pd.Series(router.logits(np.vstack(batch.to_numpy()).astype(np.float64)).argmax(axis=1))
+            yield (pd.Series(router.logits(np.ldexp(np.vstack(batch.to_numpy()).astype(np.float64), shift)).argmax(axis=1))
                    if len(batch) else pd.Series([], dtype="int32"))
 
     indexed = stored(read.withColumn("part", part_of("vector")), "ann-index")
     held = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}  # at most `parts` rows
     counts = np.array([held.get(p, 0) for p in range(parts)])
-    n_queries = indexed.filter("asks").count()
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    blocks = np.maximum(1, -(-counts // BLOCK))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -212,26 +241,34 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             if not len(batch):
                 yield pd.Series([], dtype=object)
                 continue
-            order = np.argsort(-router.logits(np.vstack(batch.to_numpy()).astype(np.float64)), axis=1, kind="stable")
+            order, before = router.ranked(np.ldexp(np.vstack(batch.to_numpy()).astype(np.float64), shift))
             enough = (np.cumsum(counts[order], axis=1) > k).argmax(axis=1) + 1
             enough[counts.sum() <= k] = parts
-            yield pd.Series([list(map(int, o[:max(router.probes, e)])) for o, e in zip(order, enough, strict=True)],
-                            dtype=object)
+            opened = np.maximum((before < router.mass).sum(axis=1), enough)
+            yield pd.Series([[int(p) for p in o[:n] if counts[p]] for o, n in zip(order, opened, strict=True)], dtype=object)
 
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("part") + 1)
-    rows = (indexed.withColumn("block", F.pmod(mixed("vec_id"), n_blocks).cast("int"))
-            .withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    routed = stored(indexed.filter("asks").select(F.col("vec_id").alias("query_id"), "vector").distinct()
+                    .select("query_id", "vector", route("vector").alias("to")), "ann-queries")
+    asked = {r.part: r["count"] for r in routed.select(F.explode("to").alias("part")).groupBy("part").count().collect()}
+    if stats is not None:
+        opened = sum(int(counts[p]) * n for p, n in asked.items())
+        stats |= {"parts": parts, "opened": opened / max(1, int(counts.sum()) * routed.count())}
+    # a part's rows and the queries that ask it, each in blocks
+    per_part = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
+    row_blocks = per_part(np.maximum(1, -(-counts // BLOCK)))
+    query_blocks = per_part([-(-asked.get(p, 0) // QUERY_BLOCK) for p in range(parts)])
+    rows = (indexed.withColumn("block", F.pmod(mixed("vec_id"), row_blocks).cast("int"))
+            .withColumn("asked", query_blocks).filter("asked > 0")
+            .withColumn("asked", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
             .select("part", "block", "asked", "vec_id", "vector"))
-    queries = (indexed.filter("asks").select(F.col("vec_id").alias("query_id"), "vector").distinct()
-               .select("query_id", "vector", route("vector").alias("to"))
-               .withColumn("asked", F.pmod(mixed("query_id"), F.lit(query_blocks)).cast("int"))
-               .select("query_id", "vector", "asked", F.explode("to").alias("part"))
-               .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    queries = (routed.select("query_id", "vector", F.explode("to").alias("part"))
+               .withColumn("asked", F.pmod(mixed("query_id"), query_blocks).cast("int"))
+               .withColumn("block", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
                .select("part", "block", "asked", "query_id", "vector"))
     keys = ("part", "block", "asked")
 
     def run(key, left, right):
-        return _block_search(key, left, right, k)
+        return _block_search(left, right, k, shift)
 
     found = (rows.groupBy(*keys).cogroup(queries.groupBy(*keys))
              .applyInPandas(run, "query_id long, vec_id long, score double"))
@@ -241,3 +278,10 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
             .select("query_id", F.posexplode("best").alias("at", "b")))
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"),
                        F.col("b.score").alias("score"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours that were found (both results of ``search``)."""
+    wanted = exact.select("query_id", "vec_id", F.lit(1).alias("w"))
+    met = wanted.join(found.select("query_id", "vec_id", F.lit(1).alias("f")), ["query_id", "vec_id"], "left")
+    return met.agg(F.count("f") / F.count("w")).first()[0]

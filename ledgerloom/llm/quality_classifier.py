@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 Grades: 0 toxic, 1 poor, 2 good. (Toxic is the end of the scale as each toxic
-word adds evidence without bound; signs of poor text are shares.) One weight vector over
-hashed text features and ordered thresholds t1 < t2 model
+word adds evidence without bound; signs of poor text are shares.) One weight
+vector over hashed text features, each free to speak for or against a text,
+and ordered thresholds t1 < t2 model
 
     P(grade <= k) = sigmoid(t_k - score)
 
@@ -10,15 +11,18 @@ A document's expected grade is P(>= 1) + P(>= 2); its tail probability
 P(>= 2) decides selection.
 
 Features (64-bit hashes of strings): every distinct word of the whole text,
-its first four and five letters, and shares of shouted, symbol-laden, piped,
-repeated and distinct words, coded as the levels they pass.
-
-Fitting uses at most ``max_labelled`` rated documents (those of smallest
-scattered id; a documented bound, as is ``max_features``): feature counts by
-grade are summed in Spark, the features that speak for a lower grade (G
-statistic and log odds ratio; words that merely come with long texts don't
-reach it) are kept, and proximal gradient steps run over the sparse rows
-they leave. Scoring covers all documents.
+its first four and five letters, and shares of upper-case, shouted, symbol,
+piped, repeated and rare-word text (the usual heuristics of text quality),
+coded as the levels they pass.
+
+Fitting uses at most ``max_labelled`` ratings (those of smallest scattered id)
+and one text for each rated id (where documents share an id, the text that
+sorts first), so at most as many rows, a documented bound like
+``max_features``: feature counts by grade are summed in Spark, the features
+that tell a lower grade or the best one from the rest (G statistic and log odds
+ratio; words that merely come with long texts don't reach it) are kept, and
+proximal gradient steps run over the sparse rows they leave. Scoring covers
+all documents.
 
 Defined results: a null text has no features; ratings without a quality are
 not used, a null toxic counts as 0; repeated ratings count each; without any
@@ -114,49 +118,60 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": b["row"], "grade": b["grade"], "features": ids})
 
 
+def likelihood(w: np.ndarray, theta: np.ndarray, at: np.ndarray, which: np.ndarray, grades: np.ndarray
+               ) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the cumulative logits over sparse rows
+    (row ``at[i]`` has feature ``which[i]``), and its gradients."""
+    n, rows = len(grades), np.arange(len(grades))
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    score = np.bincount(at, weights=w[which], minlength=n)
+    s = sig(np.vstack([np.full(n, -np.inf), theta[0] - score, theta[1] - score, np.full(n, np.inf)]))
+    low, high = s[grades, rows], s[grades + 1, rows]
+    p = np.maximum(high - low, 1e-9)
+    d_w = np.bincount(which, weights=((1 - high - low) / n)[at], minlength=len(w))
+    d_theta = np.array([((grades == k + 1) * s[k + 1] * (1 - s[k + 1]) / p
+                         - (grades == k) * s[k + 1] * (1 - s[k + 1]) / p).sum() / n for k in range(2)])
+    return float(-np.log(p).mean()), d_w, d_theta
+
+
 def _fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int, l1: float, l2: float
                  ) -> tuple[np.ndarray, np.ndarray]:
     """Proximal gradient with per-coordinate steps on the cumulative logits."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, dtype=np.int64)
-    n = len(rows)
-    upto = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
+    upto = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / len(rows), 1e-3, 1 - 1e-3)
     theta = np.log(upto / (1 - upto))
     theta[1] = max(theta[1], theta[0] + 1e-2)
     w, g2 = np.zeros(n_features), np.full(n_features, 1e-8)
     t2 = np.full(2, 1e-8)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for _ in range(steps):
-        score = np.bincount(at, weights=w[which], minlength=n)
-        edges = np.vstack([np.full(n, -np.inf), theta[0] - score, theta[1] - score, np.full(n, np.inf)])
-        s = sig(edges)
-        low, high = s[grades, np.arange(n)], s[grades + 1, np.arange(n)]
-        p = np.maximum(high - low, 1e-9)
-        d_score = (1 - high - low) / n
-        grad = np.bincount(which, weights=d_score[at], minlength=n_features) + l2 * w
-        d_theta = np.array([((grades == k + 1) * s[k + 1] * (1 - s[k + 1]) / p
-                             - (grades == k) * s[k + 1] * (1 - s[k + 1]) / p).sum() / n for k in range(2)])
+        _, grad, d_theta = likelihood(w, theta, at, which, grades)
+        grad = grad + l2 * w
         g2 += grad * grad
         t2 += d_theta * d_theta
         rate = 0.3 / np.sqrt(g2)
         w = w - rate * grad
-        w = np.minimum(w + rate * l1, 0)  # kept features speak for a lower grade, never against
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
         theta = theta - 0.3 / np.sqrt(t2) * d_theta
         theta[1] = max(theta[1], theta[0] + 1e-3)
     return w, theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
         max_labelled: int = 16_384, max_features: int = 8_192, min_rows: int = 3,
-        min_log_odds: float = 1.5, steps: int = 300, l1: float = 1e-5, l2: float = 1e-6) -> OrdinalModel:
+        min_log_odds: float = 1.5, steps: int = 300, l1: float = 1e-4, l2: float = 1e-6) -> OrdinalModel:
     grade = F.when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 0).when(F.col("quality") < 1, 1).otherwise(GRADES - 1)
-    rated = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
-             .select(F.col("doc_id").alias("_rated"), grade.alias("grade"))
-             .orderBy(mixed("doc_id"), "_rated", "grade").limit(max_labelled))
+    rated = (labels.filter(F.col("quality").isNotNull() & F.col(label_id_col).isNotNull())
+             .select(F.col(label_id_col).alias("_rated"), grade.alias("grade"))
+             .orderBy(mixed(label_id_col), "_rated", "grade").limit(max_labelled))
     rated = stored(rated, "rated")  # at most max_labelled narrow rows
-    found = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-                   .join(rated, F.col("_id") == F.col("_rated"))
-                   .select(F.monotonically_increasing_id().alias("row"), "grade", "text")
+    asked = rated.select("_rated").distinct()
+    # a null text sorts before all others
+    first = F.min(F.struct(F.col(text_col).cast("string").alias("text"))).alias("t")
+    texts = (docs.join(asked, docs[id_col] == asked["_rated"]).groupBy("_rated").agg(first)
+             .select("_rated", F.col("t.text").alias("text")))
+    found = stored(texts.join(rated, "_rated")
+                   .select(F.xxhash64("_rated", "grade").alias("row"), "grade", "text")
                    .mapInPandas(_features, "row long, grade int, features array<long>"), "rated-features")
     totals = {r.grade: r.n for r in found.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
@@ -173,22 +188,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 total = total + F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
         return 2 * total
 
-    def log_odds(count: Column, by_grade: list[Column]) -> Column:
-        """How much likelier the feature is in some lower grade than elsewhere."""
+    def log_odds(count: Column, by_grade: list[Column]) -> list[Column]:
+        """How much likelier the feature is in each grade than elsewhere."""
         ratios = []
-        for g, c in enumerate(by_grade[:-1]):
+        for g, c in enumerate(by_grade):
             of, rest = totals.get(g, 0), n - totals.get(g, 0)
             other = count - c
             ratios.append(F.log((c + 0.5) * (F.lit(rest) - other + 0.5) / ((F.lit(of) - c + 0.5) * (other + 0.5))))
-        return F.greatest(*ratios)
+        return ratios
 
     each = found.select("grade", F.explode(F.array_distinct("features")).alias("feature"))
     counts = each.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum((F.col("grade") == g).cast("long")).alias(f"n{g}") for g in range(GRADES)])
     by_grade = [F.col(f"n{k}") for k in range(GRADES)]
+    # good texts are the most, so more must speak for a feature of theirs
+    *lower, best = log_odds(F.col("n"), by_grade)
     best = [r.feature for r in counts.filter(F.col("n") >= min_rows)
             .withColumn("g", g_statistic(F.col("n"), by_grade))
-            .filter((F.col("g") > 12) & (log_odds(F.col("n"), by_grade) >= min_log_odds))
+            .filter(((F.col("g") > 12) & (F.greatest(*lower) >= min_log_odds)) | ((F.col("g") > 20) & (best >= min_log_odds)))
             .orderBy(F.desc("g"), "feature").limit(max_features).select("feature").collect()]
     place = {f: i for i, f in enumerate(best)}
 
@@ -198,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     for row in b["features"]]
             yield pd.DataFrame({"row": b["row"], "grade": b["grade"], "places": kept})
 
-    rows = found.mapInPandas(keep_best, "row long, grade int, places binary").orderBy("row").toPandas()
+    # at most max_labelled rows
+    rows = found.mapInPandas(keep_best, "row long, grade int, places binary").orderBy("row", "grade", "places").toPandas()
     w, theta = _fit_ordinal([np.frombuffer(p, dtype=np.int32) for p in rows["places"]],
                             rows["grade"].to_numpy(dtype=np.int64), len(best), steps, l1, l2)
     return OrdinalModel({f: float(x) for f, x in zip(best, w, strict=True) if x}, tuple(map(float, theta)))

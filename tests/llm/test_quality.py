@@ -96,14 +96,79 @@ def test_held_out_accuracy(rated):
     assert model.thresholds[0] < model.thresholds[1]
 
 
-def test_gradient_matches_the_likelihood():
-    rows = [np.array([0]), np.array([0, 1]), np.array([1]), np.array([], dtype=int)] * 25
-    grades = np.array([0, 0, 1, 2] * 25)
-    w, theta = quality_classifier._fit_ordinal(rows, grades, 2, 2000, 0.0, 1e-6)
-    assert w[0] < w[1] < 0 and theta[0] < theta[1]
-    model = quality_classifier.OrdinalModel({}, tuple(theta))
-    one, two = model.tails(np.array([w[0], w[0] + w[1], w[1], 0.0]))
-    assert [int(round(a + b)) for a, b in zip(one, two, strict=True)] == [0, 0, 1, 2]
+def sparse(rows):
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(1)
+    rows = [rng.choice(12, size=rng.integers(0, 6), replace=False) for _ in range(60)]
+    grades, (at, which) = rng.integers(0, 3, 60), sparse(rows)
+    w, theta = rng.normal(0, 1, 12), np.array([-0.7, 0.9])
+    _, d_w, d_theta = quality_classifier.likelihood(w, theta, at, which, grades)
+    for x, d in ((w, d_w), (theta, d_theta)):
+        for i in range(len(x)):
+            keep, values = x[i], []
+            for step in (1e-6, -1e-6):
+                x[i] = keep + step
+                values.append(quality_classifier.likelihood(w, theta, at, which, grades)[0])
+            x[i] = keep
+            assert abs((values[0] - values[1]) / 2e-6 - d[i]) < 1e-6
+
+
+def test_fit_equals_an_independent_one():
+    """Plain gradient descent on likelihoods written out row by row."""
+    rng = np.random.default_rng(2)
+    true, rows, grades = np.array([-1.5, 1.0, 0.0]), [], []
+    for _ in range(400):
+        have = np.flatnonzero(rng.random(3) < 0.5)
+        z = true[have].sum() + rng.logistic()
+        rows.append(have)
+        grades.append(0 if z < -1 else 1 if z < 0.5 else 2)
+    grades = np.array(grades)
+    x = np.zeros((400, 3))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+
+    def loss(v):
+        s = lambda t: 1 / (1 + np.exp(-t))
+        score = x @ v[:3]
+        p0, p1 = s(v[3] - score), s(v[4] - score)
+        return -np.log(np.where(grades == 0, p0, np.where(grades == 1, p1 - p0, 1 - p1))).mean()
+
+    v = np.array([0, 0, 0, -0.5, 0.5])
+    for _ in range(3000):
+        g = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(5) * 1e-5])
+        v = v - 0.8 * g
+    w, theta = quality_classifier._fit_ordinal(rows, grades, 3, 3000, 0.0, 0.0)
+    assert np.allclose(np.concatenate([w, theta]), v, atol=0.02)
+    assert w[0] < 0 < w[1]
+
+
+def test_words_can_speak_for_a_text(docs, spark):
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"v{rnd.randrange(3000)}" for _ in range(60)]
+        good = i % 2 == 0
+        rows.append((i, " ".join([*words, "whereas", "therefore"] if good else [*words, "click", "here"])))
+        labels.append((i, int(good), 0))
+    df, labels = docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(df, labels.filter("doc_id % 4 < 2"))
+    assert max(model.weights.values()) > 0 > min(model.weights.values())
+    kept = {r.doc_id for r in df.select("doc_id", quality_classifier.rating(F.col("text"), model).alias("r")).filter("r.kept").collect()}
+    assert kept == {i for i in range(400) if i % 2 == 0}
+
+
+def test_repeated_documents_do_not_grow_the_fit(docs, spark, monkeypatch):
+    """Two rated ids with thousands of rows are two rows of the fit."""
+    seen = []
+    fit = quality_classifier._fit_ordinal
+    monkeypatch.setattr(quality_classifier, "_fit_ordinal", lambda rows, *a: seen.append(len(rows)) or fit(rows, *a))
+    df = docs([(1, "a b c")]).unionByName(docs([(2, "d e f"), (2, None)])).crossJoin(spark.range(3000)).drop("id")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0)], "item long, quality int, toxic int")
+    quality_classifier.fit(df, labels, label_id_col="item")
+    assert seen == [3]
 
 
 def test_classifier_without_ratings_keeps_all(spark, docs):
