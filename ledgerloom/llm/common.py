@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import scratch_path
 
-#: Rows are numbered through this many hash cells, so a cell holds about
-#: rows / CELLS rows and the table of cell offsets never exceeds CELLS rows
-#: for each group.
-CELLS = 16_384
+#: Rows are numbered in at least this many parts.
+LEAST_PARTS = 32
 _PRIME = 2_147_483_647
 _FACTOR = 1_103_515_245
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}-{name}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage,
     survives lost executors, is computed once, and gives the planner its
@@ -70,46 +63,61 @@ def numbered(df: DataFrame, id_col: str, order: list[str], out: str, by: list[st
     """Adds ``out``: gapless row numbers from 0 within each group ``by``, in
     the order (mixed(id), id, order...).
 
-    No task holds a whole group: a group is cut into CELLS hash cells, rows
-    are numbered inside their cell and shifted by the count of the cells
-    before it. The numbers depend on the rows alone, not on the cells.
+    Rows are range-partitioned once in that order and written down with the
+    number of their part; they are numbered inside (group, part) and shifted by
+    the counts of the parts before. A salt, last in the order, parts rows that
+    are equal in all of it, so no task holds a whole group or all rows of one
+    id, and the numbers depend on the rows alone (of rows equal in all of the
+    order, any may come first).
     """
-    by = by or []
-    d = df.withColumn("_mix", mixed(id_col)).withColumn("_cell", F.floor(F.col("_mix") * CELLS / _PRIME).cast("int"))
-    counts = d.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_cell").alias("_of_cell"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*by, "_cell").orderBy("_mix", id_col, *order)
-    same = d["_cell"] == offsets["_of_cell"]
+    by, spark = by or [], df.sparkSession
+    salted = (df.withColumn("_mix", mixed(id_col))
+              .withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 16)).cast("int")))
+    line = ["_mix", id_col, *order, "_salt"]
+    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = stored(salted.repartitionByRange(parts, *by, *line).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = d.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a group has at most as many rows here as there are parts
+    offsets = stored(counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of_part"),
+                                   F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "offsets")
+    inside = Window.partitionBy(*by, "_part").orderBy(*line)
+    same = d["_part"] == offsets["_of_part"]
     for c in by:
         same = same & d[c].eqNullSafe(offsets[f"_by_{c}"])
     return (d.withColumn("_in", F.row_number().over(inside)).join(offsets, same)
             .withColumn(out, F.col("_offset") + F.col("_in") - 1)
-            .drop("_mix", "_cell", "_in", "_offset", "_of_cell", *[f"_by_{c}" for c in by]))
+            .drop("_mix", "_salt", "_part", "_in", "_offset", "_of_part", *[f"_by_{c}" for c in by]))
+
+
+#: A filter of ids is a bitmap of 16 to 32 bits an id, in words of 64, but of
+#: no more than MOST_BITS: the words it is broadcast as never exceed
+#: MOST_BITS / 64 rows. Beyond 8 million ids it lets more pass, never less.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
-#: A filter of ids is a bitmap of this many bits, in words of 64, whatever
-#: the number of ids: the words it is broadcast as never exceed BITS / 64 rows.
-BITS = 1 << 24
+class IdFilter(NamedTuple):
+    words: DataFrame
+    bits: int
 
 
-def id_filter(ids: DataFrame, col: str) -> DataFrame:
+def id_filter(ids: DataFrame, col: str) -> IdFilter:
     """The bitmap (word, bits) of hashed ids, combined before the shuffle."""
-    at = F.pmod(F.xxhash64(col), F.lit(BITS))
-    return stored(ids.select(F.shiftright(at, 6).alias("word"), F.expr(
-        f"shiftleft(1L, cast(pmod(xxhash64(`{col}`), {BITS}) % 64 AS int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")), "id-filter")
+    bits = min(MOST_BITS, max(LEAST_BITS, 16 << ids.count().bit_length()))
+    at = F.pmod(F.xxhash64(col), F.lit(bits))
+    return IdFilter(stored(ids.select(F.shiftright(at, 6).alias("word"), F.expr(
+        f"shiftleft(1L, cast(pmod(xxhash64(`{col}`), {bits}) % 64 AS int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")), "id-filter"), bits)
 
 
-def split_by_filter(df: DataFrame, col: str, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_filter(df: DataFrame, col: str, ids: IdFilter) -> tuple[DataFrame, DataFrame]:
     """Rows whose id may be among the ids of the filter, and rows whose id
     is surely not. Only the former need a join with them, so the others'
     texts are never shuffled."""
-    at = F.pmod(F.xxhash64(col), F.lit(BITS))
-    w = words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    at = F.pmod(F.xxhash64(col), F.lit(ids.bits))
+    w = ids.words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
     d = df.join(F.broadcast(w), F.shiftright(at, 6) == F.col("_word"), "left")
-    hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64(`{col}`), {BITS}) % 64 AS int)) & 1 = 1"),
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64(`{col}`), {ids.bits}) % 64 AS int)) & 1 = 1"),
                      F.lit(False))
     return d.filter(hit).drop("_word", "_bits"), d.filter(~hit).drop("_word", "_bits")
 

@@ -14,7 +14,9 @@ document it reaches, complete for all pairs, without writing pairs of copies.
    linear cost, is a group. Most documents are groups of one.
 3. Matrix. Rows (shingle, group) hold each group's union, cut to what a
    qualifying partner must share: of a set of n, the n - ceil(0.75 n) + 1
-   first shingles in the common order. A pair of groups that shares c of
+   first shingles in the common order, a frequent one only where enough
+   follows it to be the first in common. The groups of a shingle look only at
+   those of a size that fits; a long run of them is dealt out in blocks. A pair of groups that shares c of
    these has at most c + (what is left of the larger) in common; pairs below
    the needed overlap are not opened. Sets that are frequent shingles for the
    most part meet only where such a shingle can be their first in common.
@@ -198,8 +200,12 @@ def _matrix_rows(hot: np.ndarray):
                             plain -= len(late)
                     rest = np.full(first, ALL, dtype=np.int64)
                     rest[plain:] = np.arange(n, n - first, -1)[plain:]
-                    found.append(s[:first])
-                    rests.append(rest)
+                    # a hot one behind which too little is left for any partner leads to no pair
+                    can = rest >= shared_least(n, -(-PERCENT * n // 100))
+                    if not can.any():
+                        continue
+                    found.append(s[:first][can])
+                    rests.append(rest[can])
                     at.append(i)
                     sizes.append(n)
                     hots.append(max(0, first - plain))
@@ -214,75 +220,174 @@ def _matrix_rows(hot: np.ndarray):
 
 
 _PAIR = ("a", "b", "shared", "hots", "node_a", "node_b", "low_a", "low_b", "high")
+_LONG = ("shingle", "label", "node", "low", "high", "follow", "hots")
 _FLUSH = 500_000
+#: A run of a shingle with more rows, or more pairs to look at, is dealt out in cells of about 2 * RUN_BLOCK rows.
+RUN_ROWS, RUN_PAIRS, RUN_BLOCK = 65_536, 1 << 24, 8_192
 
 
-def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups that share shingles, with the number shared; rows come
-    sorted by shingle and group. Runs of a shingle are paired at distance 1,
-    2, ... in one step for all of them, and counted before they leave.
+def shared_least(n, m):
+    """How much sets of these sizes must share to link."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+class _Pairs:
+    """Pairs of groups of a run, and how much they share; counted before they
+    leave.
 
     ``shared`` counts the shingles that aren't hot. A hot one makes a pair only
     if it can be the first that the two have in common, that is, if what
     follows it in both sets suffices; ``hots`` bounds how many hot ones they
     can share."""
-    made: list[np.ndarray] = []  # rows of _PAIR
-    rest = np.zeros((len(_ROW), 0), dtype=np.int64)
 
-    def counted() -> pa.RecordBatch:
-        p = np.concatenate(made, axis=1)
-        made.clear()
+    def __init__(self) -> None:
+        self.made: list[np.ndarray] = []  # rows of _PAIR
+
+    def counted(self) -> pa.RecordBatch:
+        p = np.concatenate(self.made, axis=1)
+        self.made.clear()
         p = p[:, np.lexsort((p[1], p[0]))]
         first = np.flatnonzero(np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])]))
         how = (np.minimum, np.minimum, np.add, np.maximum, np.minimum, np.minimum, np.minimum, np.minimum, np.maximum)
-        return pa.RecordBatch.from_arrays([pa.array(f.reduceat(c, first)) for f, c in zip(how, p, strict=True)],
-                                          names=list(_PAIR))
+        columns = [pa.array(f.reduceat(c, first)) for f, c in zip(how, p, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(first), dtype=np.int64))], names=[*_PAIR, "long"])
+
+    def windows(self, run: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows in order of (run, least size): where the partners of each
+        end. Beyond, a partner is too large for what this one has, or for what
+        follows the shingle in it."""
+        low, high, follow = g[3], g[4], g[5]
+        reach = np.minimum(100 * high // PERCENT, (100 + PERCENT) * follow // PERCENT - low)
+        wide = int(low.max()) + 2
+        end = np.searchsorted(run * wide + low, run * wide + np.clip(reach, -1, wide - 1), side="right")
+        return end, np.maximum(end - np.arange(len(run)) - 1, 0)
+
+    def add(self, run: np.ndarray, g: np.ndarray, end: np.ndarray, times: np.ndarray, block: np.ndarray | None = None
+            ) -> Iterator[pa.RecordBatch]:
+        """Pairs within the windows; of two different blocks only, if given
+        (-1: of any)."""
+        _, label, node, low, high, follow, hots = g
+        plain = (follow == ALL).astype(np.int64)
+        upto = np.cumsum(times)
+        at = 0
+        while at < len(times):
+            past = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, past + _FLUSH, side="right")))
+            i = np.repeat(np.arange(at, to), times[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:to] - times[at:to] - past, times[at:to])
+            fits = np.minimum(follow[i], follow[j]) >= shared_least(low[i], low[j])
+            if block is not None:
+                fits &= (block[i] != block[j]) | (block[i] < 0)
+            i, j = i[fits], j[fits]
+            if len(i):
+                x, y = np.where(label[i] <= label[j], i, j), np.where(label[i] <= label[j], j, i)
+                self.made.append(np.array([label[x], label[y], plain[x], np.minimum(hots[x], hots[y]), node[x], node[y],
+                                           low[x], low[y], np.maximum(high[x], high[y])]))
+                if sum(m.shape[1] for m in self.made) > _FLUSH:
+                    yield self.counted()
+            at = to
+
+
+def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups that share shingles (``_Pairs``); rows come sorted by
+    shingle and group. Within a run of one shingle the groups are put in order
+    of size, so a group looks only at those that it could link with. The rows
+    of a run that is long all the same leave as they are (``long``)."""
+    pairs, rest, leaving = _Pairs(), np.zeros((len(_ROW), 0), dtype=np.int64), None
+
+    def long_rows(g: np.ndarray) -> pa.RecordBatch:
+        shingle, label, node, low, high, follow, hots = map(pa.array, g)
+        none = pa.array(np.zeros(g.shape[1], dtype=np.int64))
+        return pa.RecordBatch.from_arrays([shingle, label, follow, hots, node, none, low, none, high,
+                                           pa.array(np.ones(g.shape[1], dtype=np.int64))], names=[*_PAIR, "long"])
 
     def pair(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        shingle = rows[0]
-        if len(shingle) < 2:
+        if rows.shape[1] < 2:
             return
-        same = shingle[1:] == shingle[:-1]
+        same = rows[0, 1:] == rows[0, :-1]
         rows = rows[:, np.concatenate([same, [False]]) | np.concatenate([[False], same])]
         if not rows.shape[1]:
             return
         # one row for each shingle and group: its smallest node, its least and greatest set
-        new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
-        first = np.flatnonzero(new)
-        shingle, label = rows[0, first], rows[1, first]
-        node, low, high = (np.minimum.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first),
-                           np.maximum.reduceat(rows[3], first))
-        follow, hots = np.maximum.reduceat(rows[4], first), np.maximum.reduceat(rows[5], first)
-        plain = (follow == ALL).astype(np.int64)
-        i, step = np.arange(len(first)), 1
-        while True:
-            i = i[i + step < len(first)]
-            i = i[shingle[i] == shingle[i + step]]
-            if not len(i):
-                return
-            j = i + step
-            least = -(-PERCENT * (low[i] + low[j]) // (100 + PERCENT))
-            fits = ((100 * high[j] >= PERCENT * low[i]) & (100 * high[i] >= PERCENT * low[j])
-                    & (np.minimum(follow[i], follow[j]) >= least))
-            x, y = i[fits], j[fits]
-            if len(x):
-                made.append(np.array([label[x], label[y], plain[x], np.minimum(hots[x], hots[y]), node[x], node[y], low[x],
-                                      low[y], np.maximum(high[x], high[y])]))
-                if sum(m.shape[1] for m in made) > _FLUSH:
-                    yield counted()
-            step += 1
+        first = np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]))
+        g = np.array([rows[0, first], rows[1, first], np.minimum.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first),
+                      np.maximum.reduceat(rows[3], first), np.maximum.reduceat(rows[4], first),
+                      np.maximum.reduceat(rows[5], first)])
+        run = np.concatenate([[0], np.cumsum(g[0, 1:] != g[0, :-1])])
+        order = np.lexsort((g[3], run))
+        g = g[:, order]
+        end, times = pairs.windows(run, g)
+        long = np.bincount(run, weights=times) > RUN_PAIRS
+        if long.any():
+            yield long_rows(g[:, long[run]])
+            times = np.where(long[run], 0, times)
+        yield from pairs.add(run, g, end, times)
 
     for batch in batches:
-        rows = np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in _ROW],
-                                              dtype=np.int64)], axis=1)
+        new = np.array([batch.column(c).to_numpy() for c in _ROW], dtype=np.int64)
+        if leaving is not None and new.shape[1]:
+            n = int(np.searchsorted(new[0], leaving, side="right"))
+            if n:
+                yield long_rows(np.array([*new[:4, :n], new[3, :n], *new[4:, :n]]))
+                new = new[:, n:]
+            leaving = None if new.shape[1] else leaving
+        rows = np.concatenate([rest, new], axis=1)
         if not rows.shape[1]:
             continue
         cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last shingle may go on
         yield from pair(rows[:, :cut])
         rest = rows[:, cut:]
+        if rest.shape[1] > RUN_ROWS:
+            yield long_rows(np.array([*rest[:4], rest[3], *rest[4:]]))
+            leaving, rest = int(rest[0, 0]), rest[:, :0]
+    yield from pair(rest)
+    if pairs.made:
+        yield pairs.counted()
+
+
+_CELL = (*_LONG, "x", "y", "block")
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the cells of long runs; rows come sorted by (shingle, x, y)."""
+    pairs, rest = _Pairs(), np.zeros((len(_CELL), 0), dtype=np.int64)
+
+    def pair(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if rows.shape[1] < 2:
+            return
+        at = rows[[0, 7, 8]]
+        run = np.concatenate([[0], np.cumsum((at[:, 1:] != at[:, :-1]).any(axis=0))])
+        order = np.lexsort((rows[3], run))
+        rows, run = rows[:, order], run[order]
+        end, times = pairs.windows(run, rows)
+        # on the diagonal all pairs, elsewhere those of two blocks
+        yield from pairs.add(run, rows[:7], end, times, np.where(rows[7] == rows[8], -1, rows[9]))
+
+    for batch in batches:
+        rows = np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in _CELL], dtype=np.int64)], axis=1)
+        if not rows.shape[1]:
+            continue
+        goes_on = (rows[[0, 7, 8]] == rows[[0, 7, 8], -1][:, None]).all(axis=0)
+        cut = int(goes_on.argmax())
+        yield from pair(rows[:, :cut])
+        rest = rows[:, cut:]
     yield from pair(rest)
-    if made:
-        yield counted()
+    if pairs.made:
+        yield pairs.counted()
+
+
+def _long_runs(left: DataFrame) -> DataFrame:
+    """Pairs of the runs that no task is to pair alone: the groups of a run are
+    dealt into blocks, and each pair of blocks is a cell."""
+    one = stored(left.groupBy("shingle", "label").agg(
+        F.min("node").alias("node"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("follow").alias("follow"),
+        F.max("hots").alias("hots")), "long-runs")
+    sizes = stored(one.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / RUN_BLOCK).cast("int").alias("blocks")), "run-blocks")
+    dealt = (one.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("label"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))))
+             .select(*_LONG, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block"))
+    cells = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    return cells.mapInArrow(_cell_pairs, ", ".join(f"{c} long" for c in (*_PAIR, "long"))).drop("long")
 
 
 @F.arrow_udf(T.BooleanType())
@@ -411,10 +516,15 @@ def group_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .unionByName(plain.select("node", F.col("node").alias("label"), "text")))
     matrix = (texts.mapInArrow(_matrix_rows(hot), ", ".join(f"{c} long" for c in _ROW))
               .repartition("shingle").sortWithinPartitions("shingle", "label"))
-    counted = (matrix.mapInArrow(_group_pairs, ", ".join(f"{c} long" for c in _PAIR))
-               .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("hots").alias("hots"), F.min("node_a").alias("node_a"),
-                                      F.min("node_b").alias("node_b"), F.min("low_a").alias("low_a"),
-                                      F.min("low_b").alias("low_b"), F.max("high").alias("high")))
+    met = stored(matrix.mapInArrow(_group_pairs, ", ".join(f"{c} long" for c in (*_PAIR, "long"))), "met")
+    pairs, long = met.filter("long = 0").drop("long"), met.filter("long = 1").select(
+        F.col("a").alias("shingle"), F.col("b").alias("label"), F.col("node_a").alias("node"), F.col("low_a").alias("low"), "high",
+        F.col("shared").alias("follow"), "hots")
+    if not long.isEmpty():
+        pairs = pairs.unionByName(_long_runs(long))
+    counted = (pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("hots").alias("hots"), F.min("node_a").alias("node_a"),
+                                           F.min("node_b").alias("node_b"), F.min("low_a").alias("low_a"),
+                                           F.min("low_b").alias("low_b"), F.max("high").alias("high")))
     needed = F.expr(f"ceil({PERCENT} * (low_a + low_b) / {100 + PERCENT}) - ceil({PERCENT} * high / 100) + 1")
     open_pairs = stored(counted.filter(F.col("shared") + F.col("hots") >= F.greatest(F.lit(1), needed)), "qualifying")
 

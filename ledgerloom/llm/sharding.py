@@ -1,7 +1,7 @@
 """Sharding: a keyed Feistel permutation over global row numbers.
 
-1. Rows get gapless numbers 0 .. n-1 (``common.numbered``: by id, through
-   hash cells, so no task holds the table).
+1. Rows get gapless numbers 0 .. n-1 (``common.numbered``: by id, in range
+   partitions, so no task holds the table or all rows of an id).
 2. A Feistel network on the smallest power of four that holds n, with cycle
    walking (apply again until the value is below n), permutes the numbers.
    It is a bijection of 0 .. n-1, fixed by (n, seed).
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import numbered
+from ledgerloom.llm.common import numbered, stored
 
 ROUNDS = 6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,18 +77,16 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row per row of ``df``: id, size (UTF-8 bytes of the text plus 1),
     text_crc32, row_number, shard, slot."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = df.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    narrow = stored(df.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"),
+                              F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")  # texts are read once
+    total = narrow.count()
 
     @F.pandas_udf("long")
-    def position(numbers: pd.Series, n: pd.Series) -> pd.Series:
-        if not len(numbers):
-            return pd.Series([], dtype="int64")
-        return pd.Series(permute(numbers.to_numpy(), int(n.iloc[0]), seed))
+    def position(numbers: pd.Series) -> pd.Series:
+        return pd.Series(permute(numbers.to_numpy(), total, seed) if len(numbers) else [], dtype="int64")
 
     return (numbered(narrow, id_col, ["size", "text_crc32"], "row_number")
-            .withColumn("_at", position("row_number", total))
+            .withColumn("_at", position("row_number"))
             .select(id_col, "size", "text_crc32", "row_number",
                     F.pmod("_at", F.lit(shards)).cast("int").alias("shard"),
                     F.floor(F.col("_at") / shards).cast("long").alias("slot")))
