@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed as fx
 from ledgerloom.functions import conditional_sum, like_contains, money, union_all, zero_if_null
+from ledgerloom.functions.graph import written
+from ledgerloom.functions.keyfilter import key_filter, may_match
 from ledgerloom.operators.people import staff_balances
 from ledgerloom.operators.sales import paid_by_order
 from ledgerloom.sources.catalog import Catalog
@@ -77,6 +79,14 @@ def _hop(rows: DataFrame, table: DataFrame) -> DataFrame:
             .withColumn("_key", F.col("t_value")).drop("t_tag", "t_key", "t_value"))
 
 
+def _filtered_hop(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``_hop`` from few rows: only the table's rows that they may point to
+    take part."""
+    rows = written(rows, "party-rows")
+    keys = key_filter(rows.filter("_tag <> '' AND _key IS NOT NULL"), ["_tag", "_key"])
+    return _hop(rows, may_match(table, ["t_tag", "t_key"], keys))
+
+
 def ledger_party(c: Catalog, ledger: DataFrame | None = None) -> DataFrame:
     """Counterparty of every ledger row through its polymorphic source (Q6):
     payment -> order -> customer, instalment -> shipment -> supplier, staff
@@ -85,22 +95,28 @@ def ledger_party(c: Catalog, ledger: DataFrame | None = None) -> DataFrame:
     The (possibly date-filtered) ledger is read once and makes three joins,
     whatever the kind of its rows: with the sources, with orders and
     shipments, and with the parties' names, each a union tagged by kind. Rows
-    without a resolvable source keep a spread key of their own."""
+    without a resolvable source keep a spread key of their own.
+
+    With a filtered ``ledger``, the rows are written before each join and
+    their keys filter the tables they look up (``keyfilter``), so a report of
+    a day moves no more of the facts than the rows it is about. The whole
+    ledger needs most of them, so it is joined as it is."""
     led = c.transaction_log if ledger is None else ledger
+    hop = _hop if ledger is None else _filtered_hop
     source = F.when(F.col("source_id").isNotNull(), F.coalesce(
         F.when((F.col("type") == "customer") & (F.col("source_table") == fx.ORDER_PAYMENT), F.lit("C"))
         .when(F.col("type") == "supplier", F.lit("S"))
         .when((F.col("type") == "payroll") & (F.col("source_table") == fx.PERSON_PAYMENT), F.lit("P"))
         .when((F.col("type") == "transport") & (F.col("source_table") == fx.ITEM_TRANSFER), F.lit("T")), F.lit("")))
     rows = (led.withColumn("_tag", F.coalesce(source, F.lit(""))).withColumn("_key", F.col("source_id").cast("bigint")))
-    rows = _hop(rows, _tagged((c.order_payment, "C", "order_id"), (c.shipment_installment, "S", "shipment_id"),
+    rows = hop(rows, _tagged((c.order_payment, "C", "order_id"), (c.shipment_installment, "S", "shipment_id"),
                               (c.person_payment, "P", "person_id"), (c.item_transfer, "T", "transporter_id")))
     # people are reached already; their key passes through
     via = rows.withColumn("_person", F.when(F.col("_tag").isin("P", "T"), F.col("_key")))
-    via = _hop(via, _tagged((c.sales_order, "C", "customer_id"), (c.shipment, "S", "supplier_id")))
+    via = hop(via, _tagged((c.sales_order, "C", "customer_id"), (c.shipment, "S", "supplier_id")))
     via = (via.withColumn("_key", F.coalesce("_person", "_key")).drop("_person")
            .withColumn("_tag", F.when(F.col("_tag") == "T", "P").otherwise(F.col("_tag"))))
-    named = _hop(via, _tagged((c.erp_customer, "C", "name"), (c.erp_supplier, "S", "name"), (c.person, "P", "name")))
+    named = hop(via, _tagged((c.erp_customer, "C", "name"), (c.erp_supplier, "S", "name"), (c.person, "P", "name")))
     # a payroll or customer row from elsewhere has no party; supplier rows always have one
     from_source = F.col("_tag") != ""
     fallback = (F.when(F.col("type") == "supplier", fx.UNKNOWN_SUPPLIER)

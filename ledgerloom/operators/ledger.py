@@ -122,29 +122,32 @@ def ledger_expense_sync(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
         F.when(hit, F.col("e_desc")).otherwise(F.col("notes")).alias("notes"))
 
 
-def ledger_reconcile(expected: DataFrame, ledger: DataFrame) -> DataFrame:
+def ledger_reconcile(expected: DataFrame, ledger: DataFrame, months: list[str] | None = None) -> DataFrame:
     """Sources without a ledger row (missing), ledger rows without a source
     (orphan), several rows for one source (duplicate, Q9) and amount
-    mismatches. The ledger is aggregated per source first (partial
-    aggregation, so a source repeated a million times is one row before the
-    shuffle join), then full-outer-joined with the expected postings."""
-    exp = (expected.filter(F.col("source_table").isNotNull())
-           .select(F.col("source_table").alias("x_table"), F.col("source_id").alias("x_id"),
-                   F.col("amount").alias("expected_amount")))
-    act = (ledger.filter(F.col("source_table").isNotNull())
-           .groupBy(F.col("source_table").alias("a_table"), F.col("source_id").alias("a_id"))
-           .agg(F.count(F.lit(1)).alias("ledger_rows"), F.min("amount").alias("min_amt"),
-                F.max("amount").alias("max_amt")))
-    j = exp.join(act, (exp.x_table == act.a_table) & (exp.x_id == act.a_id), "full")
-    issue = (F.when(F.col("a_table").isNull(), "missing")
-             .when(F.col("x_table").isNull(), "orphan")
+    mismatches. Both sides are one table tagged by side and make one aggregate
+    per source, combined in every task before the one shuffle, so a source
+    repeated a million times is a few rows there. With ``months`` (yyyy-MM)
+    only postings of these months are compared, as after a merge of a batch."""
+    def side(rows: DataFrame, is_ledger: bool) -> DataFrame:
+        rows = rows.filter(F.col("source_table").isNotNull())
+        if months is not None:
+            rows = rows.filter(F.date_format("transaction_date", "yyyy-MM").isin(months))
+        return rows.select("source_table", F.col("source_id").cast("bigint").alias("source_id"), F.lit(is_ledger).alias("posted"),
+                           F.col("amount").cast("decimal(28,2)").alias("amount"))
+
+    posted, due = F.col("posted"), ~F.col("posted")
+    both = side(expected, False).unionByName(side(ledger, True)).groupBy("source_table", "source_id").agg(
+        F.count(F.when(posted, 1)).alias("ledger_rows"), F.count(F.when(due, 1)).alias("expected_rows"),
+        F.min(F.when(posted, F.col("amount"))).alias("low"), F.max(F.when(posted, F.col("amount"))).alias("high"),
+        F.max(F.when(due, F.col("amount"))).alias("expected_amount"))
+    issue = (F.when(F.col("ledger_rows") == 0, "missing")
+             .when(F.col("expected_rows") == 0, "orphan")
              .when(F.col("ledger_rows") > 1, "duplicate")
-             .when((F.col("min_amt") != F.col("expected_amount")) | (F.col("max_amt") != F.col("expected_amount")),
-                   "amount_mismatch"))
-    return (j.select(F.coalesce("x_table", "a_table").alias("source_table"), F.coalesce("x_id", "a_id").alias("source_id"),
-                     issue.alias("issue"), F.coalesce("ledger_rows", F.lit(0).cast("bigint")).alias("ledger_rows"),
-                     F.col("expected_amount").cast("double").alias("expected_amount"),
-                     F.col("max_amt").cast("double").alias("ledger_amount"))
+             .when((F.col("low") != F.col("expected_amount")) | (F.col("high") != F.col("expected_amount")), "amount_mismatch"))
+    return (both.select("source_table", "source_id", issue.alias("issue"), "ledger_rows",
+                        F.col("expected_amount").cast("double").alias("expected_amount"),
+                        F.col("high").cast("double").alias("ledger_amount"))
             .filter(F.col("issue").isNotNull()))
 
 
