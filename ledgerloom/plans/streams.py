@@ -16,6 +16,13 @@ ENTRIES = {
         lambda c: replay.stream_ledger_dedup(c),
         "SELECT DISTINCT source_table, source_id, CAST(NULL AS BIGINT) AS manual_id FROM ledger_dirty "
         "WHERE source_table IS NOT NULL UNION ALL SELECT NULL, NULL, id FROM ledger_dirty WHERE source_table IS NULL"),
+    # half of the sources are in the stored ledger already
+    "stream_ledger_dedup_stored": (
+        lambda c: replay.stream_ledger_dedup(c, stored=c.transaction_log.filter("source_id % 2 = 0")),
+        "SELECT DISTINCT d.source_table, d.source_id, CAST(NULL AS BIGINT) AS manual_id FROM ledger_dirty d "
+        "WHERE d.source_table IS NOT NULL AND NOT EXISTS (SELECT 1 FROM transaction_log t WHERE t.source_id % 2 = 0 "
+        "AND t.source_table = d.source_table AND t.source_id = d.source_id) "
+        "UNION ALL SELECT NULL, NULL, id FROM ledger_dirty WHERE source_table IS NULL"),
     "stream_order_fulfilment": (
         lambda c: replay.stream_order_fulfilment(c),
         f"SELECT o.id AS order_id, {M('o.agreed_price')} AS agreed_price FROM sales_order o "

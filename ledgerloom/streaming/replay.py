@@ -9,24 +9,19 @@ fresh folder per run.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import scratch_path
 from ledgerloom.streaming import jobs
+from ledgerloom.streaming.sinks import CompactingSink, batch_folders
 
 ARRIVALS = 3
 DAILY = T.StructType([T.StructField("date", T.DateType()), T.StructField("i", T.DecimalType(28, 2)),
                       T.StructField("o", T.DecimalType(28, 2))])
-PAID = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("paid", T.DecimalType(28, 2))])
-
-
-def _run_dir(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:10]}"
 
 
 def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -46,40 +41,58 @@ def _replay(spark, arrivals: list[DataFrame], base: str, schema: T.StructType,
         run(jobs.read_stream(spark, f"{base}/in", schema), k)
 
 
-def stream_ledger_daily(c, ledger: DataFrame | None = None, arrivals: list[DataFrame] | None = None) -> DataFrame:
+def stream_ledger_daily(c, ledger: DataFrame | None = None, arrivals: list[DataFrame] | None = None, every: int = 8
+                        ) -> DataFrame:
     """Days of an arriving ledger; ``arrivals`` fixes the files by hand."""
-    spark, base = c.spark, _run_dir(c.spark, "daily")
+    spark, base = c.spark, scratch_path(c.spark, "stream-daily")
     led = c.transaction_log if ledger is None else ledger
     arrivals = [_typed(a, jobs.LEDGER_SCHEMA) for a in arrivals] if arrivals else arrivals_of(led, jobs.LEDGER_SCHEMA)
+    sink = CompactingSink(spark, f"{base}/totals", ["date"], DAILY, every)
     _replay(spark, arrivals, base, jobs.LEDGER_SCHEMA, lambda stream, _: jobs.run_available(
-        jobs.ledger_daily_totals(stream), f"{base}/ck", sink=jobs.upsert_sink(f"{base}/totals")))
-    return jobs.daily_flows_of(jobs.latest(spark, f"{base}/totals", ["date"], DAILY))
+        jobs.ledger_daily_totals(stream), f"{base}/ck", sink=sink))
+    return jobs.daily_flows_of(sink.read())
 
 
-def stream_ledger_dedup(c, ledger: DataFrame | None = None, arrivals: list[DataFrame] | None = None) -> DataFrame:
-    spark, base = c.spark, _run_dir(c.spark, "dedup")
+def stream_ledger_dedup(c, ledger: DataFrame | None = None, arrivals: list[DataFrame] | None = None,
+                        stored: DataFrame | None = None) -> DataFrame:
+    """Postings that are the first of their source, in the stream and, if
+    given, in the ``stored`` ledger."""
+    spark, base = c.spark, scratch_path(c.spark, "stream-dedup")
     led = c.ledger_dirty if ledger is None else ledger
     arrivals = [_typed(a, jobs.LEDGER_SCHEMA) for a in arrivals] if arrivals else arrivals_of(led, jobs.LEDGER_SCHEMA)
+    sink = batch_folders(f"{base}/out", jobs.not_stored_yet(stored)) if stored is not None else None
     _replay(spark, arrivals, base, jobs.LEDGER_SCHEMA, lambda stream, _: jobs.run_available(
-        jobs.ledger_dedup_stream(stream), f"{base}/ck", path=f"{base}/out"))
+        jobs.ledger_dedup_stream(stream), f"{base}/ck", sink=sink, path=f"{base}/out", mode="append"))
     return spark.read.schema(jobs.LEDGER_SCHEMA).parquet(f"{base}/out").select(
         "source_table", "source_id", F.when(F.col("source_table").isNull(), F.col("id")).cast("bigint").alias("manual_id"))
 
 
 def stream_order_fulfilment(c, payments: DataFrame | None = None,
-                            orders_at: Callable[[int], DataFrame] | None = None) -> DataFrame:
-    """Payments arrive in files; after each, the orders active by then
-    (``orders_at(arrival)``; default the orders table) and paid are emitted,
-    each once."""
-    spark, base = c.spark, _run_dir(c.spark, "fulfil")
-    orders_at = orders_at or (lambda k: c.sales_order)
+                            orders_at: Callable[[int], DataFrame] | None = None,
+                            arrivals: list[DataFrame] | None = None) -> DataFrame:
+    """Payments arrive in files, and before each the orders changed since the
+    last (``orders_at(arrival)`` is the table by then; default the orders
+    table, unchanged); the orders that are active and paid are emitted, each
+    once."""
+    spark, base = c.spark, scratch_path(c.spark, "stream-fulfil")
     p = c.order_payment if payments is None else payments
-
-    def run(stream: DataFrame, k: int) -> None:
-        jobs.run_available(jobs.order_paid_totals(stream), f"{base}/ck", sink=jobs.upsert_sink(f"{base}/totals"))
-        jobs.emit_fulfilled(spark, jobs.latest(spark, f"{base}/totals", ["order_id"], PAID), orders_at(k),
-                            f"{base}/emitted", str(k))
-
-    _replay(spark, arrivals_of(p, jobs.PAYMENT_SCHEMA), base, jobs.PAYMENT_SCHEMA, run)
+    cols = [F.col("id").alias("order_id"), "status", F.col("agreed_price").cast("decimal(18,2)").alias("agreed_price")]
+
+    def run(paid: DataFrame, k: int) -> None:
+        if orders_at is None:
+            changed = c.sales_order.select(*cols) if k == 0 else None
+        else:
+            changed = orders_at(k).select(*cols)
+            changed = changed.exceptAll(orders_at(k - 1).select(*cols)) if k else changed
+        if changed is not None:
+            changed.withColumn("seq", F.lit(k).cast("bigint")).write.mode("append").parquet(f"{base}/orders")
+        orders = jobs.read_stream(spark, f"{base}/orders", jobs.ORDER_SCHEMA)
+        jobs.run_available(jobs.order_states(jobs.order_events(paid, orders)), f"{base}/ck-states",
+                           sink=batch_folders(f"{base}/due", jobs.due))
+        jobs.run_available(jobs.fulfilments(jobs.read_stream(spark, f"{base}/due", jobs.EMITTED_SCHEMA)),
+                           f"{base}/ck-emitted", path=f"{base}/emitted")
+
+    arrivals = [_typed(a, jobs.PAYMENT_SCHEMA) for a in arrivals] if arrivals else arrivals_of(p, jobs.PAYMENT_SCHEMA)
+    _replay(spark, arrivals, base, jobs.PAYMENT_SCHEMA, run)
     return spark.read.schema(jobs.EMITTED_SCHEMA).parquet(f"{base}/emitted").select(
         "order_id", F.col("agreed_price").cast("double").alias("agreed_price"))
