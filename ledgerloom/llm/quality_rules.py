@@ -122,7 +122,10 @@ def judge(measured: DataFrame, host_col: str = "source", host_limit: float = 0.5
 
 def keep_documents(df: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.5
                    ) -> DataFrame:
-    """The rows of ``df`` that pass, with the columns of ``df``."""
-    measured = df.select(F.struct("*").alias("row"), F.col(host_col).alias("host"),
-                         rule_counts(F.col(text_col).cast("string")).alias("_rules"))
+    """The rows of ``df`` that pass, with the columns of ``df``. Texts are
+    measured once: the counts are stored with the rows that may stay (of
+    those that fail by themselves only the counts, for their host)."""
+    counts = rule_counts(F.col(text_col).cast("string"))
+    measured = df.select(F.struct("*").alias("row"), F.col(host_col).alias("host"), counts.alias("_rules"))
+    measured = stored(measured.withColumn("row", F.when(~base_failed(F.col("_rules")), F.col("row"))), "measured")
     return judge(measured, "host", host_limit).filter("_kept").select("row.*")

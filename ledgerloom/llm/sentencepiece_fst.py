@@ -1,24 +1,31 @@
 """SentencePiece encoding and decoding by a weighted transducer.
 
-The model's parts are compiled once per worker: the normaliser (identity map,
-spaces to the space mark, a mark in front), the pieces as a trie whose arcs
-carry weight zero or none (``token_lattice``), and byte fallback, which maps
-a symbol without a piece to its UTF-8 bytes' pieces. Composed with an input,
-the tropical shortest path gives the pieces.
+The model's parts are compiled once per worker and composed with an input:
+the normaliser (``piece_normaliser``: longest matches of the compiled character
+map, spaces to the space mark, a mark in front), the pieces as a trie of
+weighted arcs, and byte fallback, whose arc over a character without a piece
+gives its UTF-8 bytes' pieces (or the unknown piece, where a model has no
+bytes). The shortest path in the tropical semiring (weights add along a path,
+the least sum wins) gives the pieces:
 
-The public model is a BPE model. Adding up its scores along a path, as for a
-unigram model, would not give its results; weights on pairs of neighbours
-do, so the method stands and equals the library (tested).
+* a unigram model's arc weighs minus the piece's score, a fallback arc ten more
+  than the worst piece; sums are kept in single precision and the earlier start
+  wins a tie, as in the library;
+* a BPE model has no weights that add up to its results: its arcs weigh zero or
+  are missing, by the pair of neighbours (``token_lattice``), so that exactly
+  one path is left. This equals the library (tested).
 
-No piece holds a mark behind another symbol, so an input falls apart before
-each run of marks: a batch's distinct words are read once, in order, and
-those found often are kept in a bounded memo. (A model with such pieces is
-read in one part per text.)
+In a BPE model no piece holds a mark behind another symbol, so an input falls
+apart before each run of marks: a batch's distinct words are read once, in
+order, and those found often are kept in a bounded memo. (A model with such
+pieces is read in one part per text.) A unigram model and one with a character
+map are read text by text.
 
 Defined results: a null text has a null encoding, an empty text no pieces;
 rows are independent, so repeated rows, ties and empty tables need no rule;
 long texts are whole; a text with the space mark itself decodes to a space,
-as in the library; other columns are kept.
+as in the library; other columns are kept. Models of other kinds, and unigram
+models with user-defined pieces, raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -36,9 +43,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ledgerloom.llm.piece_normaliser import MARK, Normaliser
 from ledgerloom.llm.token_lattice import TokenLattice, compiled, words_of
 
-MARK = "▁"
 MEMO, OFTEN, ROWS = 150_000, 4, 8_000
 MODEL = "piece_bpe_32k.model"
 
@@ -57,25 +64,80 @@ class PieceTransducer:
         model = pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        norm, kind = model.normalizer_spec, pb2.ModelProto.SentencePiece
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
-            raise ValueError("only the identity normaliser is compiled")
-        if model.trainer_spec.model_type != pb2.TrainerSpec.BPE or not model.trainer_spec.byte_fallback:
-            raise ValueError("a BPE model with byte fallback is needed")
-        self.prefix = norm.add_dummy_prefix
+        kind, types = pb2.ModelProto.SentencePiece, pb2.TrainerSpec
+        self.normaliser = Normaliser(model.normalizer_spec)
+        self.prefix = self.normaliser.prefix
+        self.unigram = model.trainer_spec.model_type == types.UNIGRAM
+        fallback = model.trainer_spec.byte_fallback
+        if not self.unigram and (model.trainer_spec.model_type != types.BPE or not fallback):
+            raise ValueError("a unigram model, or a BPE model with byte fallback, is needed")
+        if any(p.type == kind.USER_DEFINED for p in model.pieces):
+            raise ValueError("user-defined pieces are not compiled")
         self.pieces = [p.piece for p in model.pieces]
         ranks = {tuple(p.piece): -p.score for p in model.pieces if p.type == kind.NORMAL}
         self.ids = {tuple(p.piece): i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL}
         byte_ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
-        self.byte_id = [byte_ids[f"<0x{b:02X}>"] for b in range(256)]
+        self.byte_id = [byte_ids[f"<0x{b:02X}>"] for b in range(256)] if fallback else []
         self.byte_of = {i: b for b, i in enumerate(self.byte_id)}
-        self.hidden = {i for i, p in enumerate(model.pieces) if p.type in (kind.CONTROL, kind.UNKNOWN)}
+        self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN), None)
+        self.hidden = {i for i, p in enumerate(model.pieces)
+                       if p.type == kind.CONTROL or p.type == kind.UNKNOWN and not self.unigram}
+        self.surface = model.trainer_spec.unk_surface
+        self.memo: dict[str, tuple[bytes, bool]] = {}  # of words found often
+        if self.unigram:
+            self._compile_arcs(ranks)
+            return
         self.lattice = TokenLattice(ranks, lambda a, b: ranks.get(a + b))
         self.inner = any(MARK in "".join(p).lstrip(MARK) for p in ranks)
         # a run of marks opens a part; so does what no piece holds together with others
         alone = "" if any("\n" in p for p in ranks) else "\n"
         self.cut = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|{alone or MARK}").findall
-        self.memo: dict[str, tuple[bytes, bool]] = {}  # of words found often
+
+    def _compile_arcs(self, weights: dict[tuple, float]) -> None:
+        """The pieces as a trie; None holds the (id, weight) of the arc that ends there."""
+        self.inner, self.arcs = True, {}
+        for piece, weight in weights.items():
+            node = self.arcs
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[None] = (self.ids[piece], np.float32(weight))
+        self.fallback = np.float32(max(weights.values(), default=0.0)) + np.float32(10)
+
+    def _shortest(self, text: str) -> np.ndarray:
+        """Ids along the path of least weight from the first to the last state,
+        a state for each place between characters."""
+        n, zero = len(text), np.float32(0)
+        weight, came = [zero] + [None] * n, [(0, -1)] * (n + 1)
+        for at in range(n):
+            here, node, single = weight[at], self.arcs, False
+            for end in range(at, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                arc = node.get(None)
+                if arc is not None:
+                    single = single or end == at
+                    total = here + arc[1]
+                    if weight[end + 1] is None or total < weight[end + 1]:
+                        weight[end + 1], came[end + 1] = total, (at, arc[0])
+            if not single:
+                total = here + self.fallback
+                if weight[at + 1] is None or total < weight[at + 1]:
+                    weight[at + 1], came[at + 1] = total, (at, -1)
+        steps, end = [], n
+        while end:
+            steps.append((came[end][0], end, came[end][1]))
+            end = came[end][0]
+        out, before = [], None
+        for a, z, piece in reversed(steps):
+            if piece >= 0:
+                out.append(piece)
+            elif self.byte_id:
+                out.extend(self.byte_id[b] for b in text[a:z].encode("utf-8", "replace"))
+            elif before != -1:  # neighbouring unknowns are one
+                out.append(self.unknown)
+            before = piece
+        return np.array(out, dtype=np.int32)
 
     def parts(self, text: str) -> list[str]:
         return [text] if self.inner else self.cut(text)
@@ -98,7 +160,10 @@ class PieceTransducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        parts = self.parts((MARK + text if self.prefix else text).replace(" ", MARK))
+        normal = self.normaliser(text)
+        if self.unigram:
+            return self._shortest(normal)
+        parts = self.parts(normal)
         found = self.paths(set(parts))
         return np.frombuffer(b"".join([found[p] for p in parts]), dtype=np.int32)
 
@@ -106,6 +171,8 @@ class PieceTransducer:
         """Ids of every text, and whether its words decode to themselves.
         Texts are split at spaces; where spaces or marks come in runs or at
         an end, a text is read by itself."""
+        if self.unigram or not self.normaliser.plain:
+            return self._one_by_one(texts)
         odd = pc.or_kleene(pc.match_substring_regex(texts, f"  |{MARK}|^ | $"), self.inner or not self.prefix)
         odd = odd.fill_null(False).to_numpy(zero_copy_only=False)
         offsets, which, words = words_of(texts, lambda t: pc.split_pattern(t, " "))
@@ -143,8 +210,16 @@ class PieceTransducer:
         flat = np.concatenate(ids) if ids else pool[:0]
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int32()), mask=pa.array(~valid)), same
 
+    def _one_by_one(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        some = texts.to_pylist()
+        ids = [None if t is None else self.encode(t) for t in some]
+        same = np.array([i is None or self.decode(i.tolist()) == t for i, t in zip(ids, some, strict=True)], dtype=bool)
+        return pa.array(ids, type=pa.list_(pa.int32())), same
+
     def decode(self, ids) -> str:
         ids = [i for i in ids if i not in self.hidden]
+        if self.unigram or self.normaliser.squeeze:
+            return self._surfaces(ids)
         if not any(i in self.byte_of for i in ids):
             text = "".join([self.pieces[i] for i in ids])
         else:
@@ -153,6 +228,24 @@ class PieceTransducer:
         text = text.replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def _surfaces(self, ids: list[int]) -> str:
+        """Pieces behind each other; the mark in front is no space (where
+        white space is squeezed, nor are those of the next pieces, as long as
+        nothing else came)."""
+        out, seen, squeeze = [], False, self.normaliser.squeeze
+        for i in ids:
+            if i in self.byte_of:
+                part = bytes((self.byte_of[i],))
+            elif i == self.unknown:
+                part = self.surface.encode()
+            else:
+                piece = self.pieces[i]
+                if (self.prefix or squeeze) and not seen and not any(out) and piece.startswith(MARK):
+                    piece, seen = piece[1:], not squeeze
+                part = piece.replace(MARK, " ").encode()
+            out.append(part)
+        return b"".join(out).decode("utf-8", "replace")
+
 
 def transducer(model: str) -> PieceTransducer:
     path = model_path(model)
