@@ -3,6 +3,16 @@ transfers, patches, child replacement, deletes, lookups)."""
 
 from pyspark.sql import functions as F
 
+from ledgerloom.fixed import (
+    CUSTOMER_PATCH_ALLOWED,
+    EXPENSE_PATCH_ALLOWED,
+    INVENTORY_PATCH_ALLOWED,
+    ITEM_PATCH_ALLOWED,
+    ORDER_PATCH_ALLOWED,
+    PERSON_PATCH_ALLOWED,
+    SHIPMENT_PATCH_ALLOWED,
+    SUPPLIER_PATCH_ALLOWED,
+)
 from ledgerloom.functions import zero_if_null
 from ledgerloom.operators import rules as op
 from ledgerloom.operators import validation as val
@@ -13,18 +23,6 @@ from ledgerloom.plans.validation import IN_TURN, ORDERS
 PAID = "(SELECT order_id, SUM(amount) AS total_paid FROM order_payment GROUP BY order_id)"
 FULLY_PAID = (f"SELECT o.id, o.item_id FROM sales_order o LEFT JOIN {PAID} p ON p.order_id = o.id "
               f"WHERE o.status = 'active' AND {Z('p.total_paid')} >= o.agreed_price")
-ITEM_PATCH_ALLOWED = ["name", "category", "description", "purchase_value", "sale_price", "status", "location_id",
-                      "shipment_id"]
-PERSON_PATCH_ALLOWED = ["name", "role", "phone", "employment_type", "payment_type", "rate", "contract_start",
-                        "contract_end", "status"]
-ORDER_PATCH_ALLOWED = ["status", "agreed_price", "backorder_description", "expected_arrival", "fulfillment_trigger",
-                       "discount", "delivery_status"]
-SHIPMENT_PATCH_ALLOWED = ["date_received", "declared_value", "partial_delivery", "notes", "container_number",
-                          "estimated_arrival", "delivery_status", "image_url", "account_notes"]
-SUPPLIER_PATCH_ALLOWED = ["name", "phone", "address", "notes", "status"]
-CUSTOMER_PATCH_ALLOWED = ["name", "phone", "notes"]
-EXPENSE_PATCH_ALLOWED = ["description", "amount", "expense_date", "category", "location_id", "paid_by_person_id", "notes"]
-INVENTORY_PATCH_ALLOWED = ["name", "category", "location_id", "quantity", "unit_price"]
 # a JSON value counts as paid when it is the literal true, the number 1 or the text "true"
 PAID_RAW = ("COALESCE(b.is_paid_raw = 'true' OR b.is_paid_raw = '1' OR (length(b.is_paid_raw) = 6 "
             "AND b.is_paid_raw LIKE '\"true\"'), false)")
