@@ -7,9 +7,6 @@ in a single window partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,25 +75,24 @@ def delivery_status_items(c: Catalog) -> DataFrame:
 CLAIMS_IN_TASK = 262_144
 
 
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Claims in order of (order, item): one stands if neither its order nor
-    its item has been served."""
-    orders, items = set(), set()
-    for b in batches:
-        stands = []
-        for order, item in zip(b["order_id"].tolist(), b["item_id"].tolist(), strict=True):
-            free = order not in orders and item not in items
-            if free:
-                orders.add(order)
-                items.add(item)
-            stands.append(free)
-        yield b.loc[stands, ["order_id", "item_id"]]
-
-
 def _settled(claims: DataFrame) -> DataFrame:
-    """Standing claims of partitions that each hold whole components."""
+    """Claims that stand, of partitions that each hold whole components, taken
+    in order of (order, item): one stands if neither its order nor its item has
+    been served."""
+    def settle(batches):  # defined here, so that it travels to the executors by value
+        orders, items = set(), set()
+        for b in batches:
+            stands = []
+            for order, item in zip(b["order_id"].tolist(), b["item_id"].tolist(), strict=True):
+                free = order not in orders and item not in items
+                if free:
+                    orders.add(order)
+                    items.add(item)
+                stands.append(free)
+            yield b.loc[stands, ["order_id", "item_id"]]
+
     return (claims.sortWithinPartitions("order_id", "item_id").select("order_id", "item_id")
-            .mapInPandas(_settle, "order_id bigint, item_id bigint"))
+            .mapInPandas(settle, "order_id bigint, item_id bigint"))
 
 
 def _without(claims: DataFrame, won: DataFrame) -> DataFrame:
