@@ -167,16 +167,26 @@ def assign_part(x: np.ndarray, book: np.ndarray, groups: list[np.ndarray], drift
     return chosen, error, int(near.sum())
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel(), kind))
+def _blobs(values: np.ndarray) -> pa.Array:
+    """A row of numbers as one binary value: what only task code reads needs
+    no conversion on its way through Spark."""
+    n = len(values)
+    raw = np.ascontiguousarray(values)
+    at = np.arange(n + 1, dtype=np.int32) * (raw.itemsize * raw.shape[1])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(raw)])
 
 
 def _matrix(batch: pa.RecordBatch, name: str, dtype) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(batch.num_rows, -1)
+    """The rows of such a column, or of an array column."""
+    column = batch.column(name)
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(batch.num_rows, -1)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + batch.num_rows + 1]
+    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0]:at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw.view(dtype).reshape(batch.num_rows, -1)
 
 
-STATE = "codes array<smallint>, bounds array<float>, stamps array<tinyint>"
+STATE = "ints binary, codes binary, bounds binary, stamps binary, scanned float"
 
 
 def _assigner(history: list[np.ndarray], groups: list[list[np.ndarray]], last: bool, keys: list[str]):
@@ -192,10 +202,11 @@ def _assigner(history: list[np.ndarray], groups: list[list[np.ndarray]], last: b
             n = b.num_rows
             if not n:
                 continue
-            x = _matrix(b, "ints", np.int64).reshape(n, len(book), -1)
+            ints = _matrix(b, "ints", np.int32)
+            x = ints.astype(np.int64).reshape(n, len(book), -1)
             if now:
-                codes, bounds = _matrix(b, "codes", np.int64), _matrix(b, "bounds", np.float64)
-                stamps = _matrix(b, "stamps", np.int64)
+                codes, bounds = _matrix(b, "codes", np.uint8).astype(np.int64), _matrix(b, "bounds", np.float32).astype(np.float64)
+                stamps = _matrix(b, "stamps", np.uint8).astype(np.int64)
             else:
                 codes = np.full((n, len(book)), -1)
                 bounds, stamps = np.zeros((n, starts[-1])), np.zeros((n, starts[-1]), dtype=np.int64)
@@ -213,8 +224,8 @@ def _assigner(history: list[np.ndarray], groups: list[list[np.ndarray]], last: b
             else:
                 share = pa.array(np.full(n, scans / (n * starts[-1])), pa.float32())
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, b.column("ints"), _lists(codes, pa.int16()), _lists(bounds, pa.float32()),
-                     _lists(stamps, pa.int8()), share],
+                    [*kept, _blobs(ints), _blobs(codes.astype(np.uint8)), _blobs(bounds.astype(np.float32)),
+                     _blobs(stamps.astype(np.uint8)), share],
                     [*keys, "ints", "codes", "bounds", "stamps", "scanned"])
 
     return run
@@ -229,8 +240,8 @@ def _totals(shape: tuple[int, ...]):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b, "ints", np.int64).reshape(b.num_rows, parts, width)
-            codes = _matrix(b, "codes", np.int64)
+            x = _matrix(b, "ints", np.int32).astype(np.int64).reshape(b.num_rows, parts, width)
+            codes = _matrix(b, "codes", np.uint8)
             for p in range(parts):
                 order = np.argsort(codes[:, p], kind="stable")
                 used, start = np.unique(codes[order, p], return_index=True)
@@ -294,7 +305,7 @@ def compress(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     members = [split_entries(b, groups) for b in history[0]]
     for _ in range(rounds):
         there = scratch_path(spark, "codes-state")
-        schema = f"{keys}, ints array<int>, {STATE}, scanned float"
+        schema = f"{keys}, {STATE}"
         (state.mapInArrow(_assigner(history, members, False, ["vec_id", "label"]), schema)
          .write.option("compression", "zstd").parquet(there))
         state = spark.read.schema(schema).parquet(there)
