@@ -159,7 +159,7 @@ def _fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, st
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
         max_labelled: int = 16_384, max_features: int = 8_192, min_rows: int = 3,
-        min_log_odds: float = 1.5, steps: int = 300, l1: float = 1e-4, l2: float = 1e-6) -> OrdinalModel:
+        min_log_odds: float = 1.5, steps: int = 800, l1: float = 1e-4, l2: float = 1e-6) -> OrdinalModel:
     grade = F.when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 0).when(F.col("quality") < 1, 1).otherwise(GRADES - 1)
     rated = (labels.filter(F.col("quality").isNotNull() & F.col(label_id_col).isNotNull())
              .select(F.col(label_id_col).alias("_rated"), grade.alias("grade"))
