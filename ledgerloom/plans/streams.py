@@ -3,6 +3,11 @@
 from ledgerloom.plans.oracle import M, Z
 from ledgerloom.streaming import replay
 
+
+def _dedup_stored(c):
+    return replay.stream_ledger_dedup(c, stored=c.transaction_log.filter("source_id % 2 = 0"))
+
+
 ENTRIES = {
     "stream_ledger_daily": (
         lambda c: replay.stream_ledger_daily(c),
@@ -13,12 +18,12 @@ ENTRIES = {
             n=M(Z("SUM(CASE WHEN direction = 'inflow' THEN amount ELSE 0 END)") + " - "
                 + Z("SUM(CASE WHEN direction = 'outflow' THEN amount ELSE 0 END)")))),
     "stream_ledger_dedup": (
-        lambda c: replay.stream_ledger_dedup(c),
+        lambda c: replay.stream_ledger_dedup(c.holding("line")),
         "SELECT DISTINCT source_table, source_id, CAST(NULL AS BIGINT) AS manual_id FROM ledger_dirty "
         "WHERE source_table IS NOT NULL UNION ALL SELECT NULL, NULL, id FROM ledger_dirty WHERE source_table IS NULL"),
     # half of the sources are in the stored ledger already
     "stream_ledger_dedup_stored": (
-        lambda c: replay.stream_ledger_dedup(c, stored=c.transaction_log.filter("source_id % 2 = 0")),
+        lambda c: _dedup_stored(c.holding("line", "transaction_log")),
         "SELECT DISTINCT d.source_table, d.source_id, CAST(NULL AS BIGINT) AS manual_id FROM ledger_dirty d "
         "WHERE d.source_table IS NOT NULL AND NOT EXISTS (SELECT 1 FROM transaction_log t WHERE t.source_id % 2 = 0 "
         "AND t.source_table = d.source_table AND t.source_id = d.source_id) "

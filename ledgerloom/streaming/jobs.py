@@ -78,16 +78,18 @@ def ledger_dedup_stream(ledger: DataFrame) -> DataFrame:
 def not_stored_yet(stored: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Drops postings whose source the stored ledger has. The ledger's
     sources become a bitmap once; rows that are surely new pass it at once,
-    and only the others are looked up in the ledger itself, by their keys."""
+    and only the others are looked up in the ledger itself, by their keys. The
+    rows of a micro-batch are written before that, as each use of them would
+    read and commit its state again."""
     keys = written(stored.filter(F.col("source_table").isNotNull()).select(
         "source_table", F.col("source_id").cast("bigint").alias("source_id")), "stored-sources")
     known = key_filter(keys, ["source_table", "source_id"])
 
     def new(rows: DataFrame) -> DataFrame:
+        rows = written(rows, "arrived")
         manual = rows.filter(F.col("source_table").isNull())
         maybe, fresh = split_by_keys(rows.filter(F.col("source_table").isNotNull()),
                                      ["source_table", F.col("source_id").cast("bigint")], known)
-        maybe = written(maybe, "maybe-stored")
         if not maybe.isEmpty():
             asked = key_filter(maybe.select("source_table", F.col("source_id").cast("bigint").alias("source_id")),
                                ["source_table", "source_id"])
