@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.graph import written
 from ledgerloom.session import scratch_path
 from ledgerloom.streaming import jobs
 from ledgerloom.streaming.sinks import CompactingSink, batch_folders
@@ -29,7 +30,8 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def arrivals_of(df: DataFrame, schema: T.StructType) -> list[DataFrame]:
-    typed = _typed(df, schema)
+    """The rows of each arrival; the table is derived once for all of them."""
+    typed = written(_typed(df, schema), "arriving")
     at = F.coalesce(F.pmod("id", F.lit(ARRIVALS)), F.lit(0))
     return [typed.filter(at == k) for k in range(ARRIVALS)]
 
