@@ -53,7 +53,7 @@ def _sink_roundtrip(c):
     """Post the ledger in two batches that share their months, the second
     with half of the first one again, and read one month: the plan prunes to
     one ``tx_month``."""
-    path = _sink_path(c)
+    path, c = _sink_path(c), c.holding("line", "transaction_log")
     op.sink_ledger(c.transaction_log.filter("id % 2 = 0"), path, may_move=False)
     op.sink_ledger(c.transaction_log.filter("id % 2 <> 0 OR id % 4 = 0"), path, may_move=False)
     led = op.read_ledger(c.spark, path)
