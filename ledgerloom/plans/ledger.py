@@ -63,7 +63,7 @@ def _sink_roundtrip(c):
 def _sink_corrections(c):
     """A stored ledger takes a batch of corrected expenses (some change their
     month) and the ids of reversed postings; the whole new version."""
-    path = _sink_path(c)
+    path, c = _sink_path(c), c.holding("line", "shipment_installment", "transaction_log")
     first = op.sink_ledger(c.transaction_log, path, mode="replace")
     stored = op.read_ledger(c.spark, path, first)
     edited = c.expense_batch.select(F.col("id").alias("e_id"))
