@@ -45,6 +45,10 @@ def _expenses_left(c):
     return rl.surviving_rows(c.expense, rl.apply_deletes(c.expense, c.delete_batch))
 
 
+def _reconcile(c):
+    return op.ledger_reconcile(op.post_ledger(c), c.ledger_dirty)
+
+
 def _sink_path(c):
     return f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/ledger-{uuid.uuid4().hex[:12]}"
 
@@ -85,7 +89,7 @@ ENTRIES = {
         lambda c: edge(op.post_ledger(c, manual=op.manual_transactions(c.manual_batch, AS_OF))),
         f"SELECT {LCOLS} FROM transaction_log WHERE source_table IS NOT NULL UNION ALL {MANUAL}"),
     "ledger_reconcile": (
-        lambda c: op.ledger_reconcile(op.post_ledger(c), c.ledger_dirty),
+        lambda c: _reconcile(c.holding("line", "shipment_installment")),
         """SELECT COALESCE(x.source_table, a.source_table) AS source_table, COALESCE(x.source_id, a.source_id) AS source_id,
  CASE WHEN a.source_table IS NULL THEN 'missing' WHEN x.source_table IS NULL THEN 'orphan'
       WHEN a.n > 1 THEN 'duplicate' WHEN a.lo <> x.amount OR a.hi <> x.amount THEN 'amount_mismatch' END AS issue,
